@@ -192,15 +192,28 @@ def bm25(tf: Column, dl: Column, df: Column, n: Column, avgdl: Column) -> Column
 
 
 def match_and_rank(queries: DataFrame, index: SearchIndex) -> DataFrame:
-    """query_id, segment_id, rank of every segment holding all phrases of its query."""
+    """query_id, segment_id, rank of every segment holding all phrases of its query.
+
+    Only segments with a query's rarest phrase are candidates; its other phrases are
+    looked up for those alone, on (phrase, segment).
+    """
     words = parse_queries(queries)
     hits = phrase_hits(words, index)
     frequency = hits.groupBy("phrase").agg(F.count("*").alias("df"))
-    per_query = words.select("query_id", "n_phrases", "phrase_no", "phrase").distinct()
+    phrases = words.select("query_id", "n_phrases", "phrase_no", "phrase").distinct().join(
+        frequency, "phrase")
+    complete = (
+        phrases.groupBy("query_id", "n_phrases")
+        .agg(F.count("*").alias("found"), F.min_by("phrase", F.struct("df", "phrase_no"))
+             .alias("rarest"))
+        .where("found = n_phrases").select("query_id", F.col("rarest").alias("phrase")))
+    candidates = complete.join(hits.select("phrase", "segment_id"), "phrase").select(
+        "query_id", "segment_id")
     stats = corpus_stats(index)
     scored = (
-        per_query.join(frequency, "phrase").join(hits, "phrase")
-        .select("query_id", "n_phrases", "phrase_no", "segment_id",
+        candidates.join(phrases, "query_id")
+        .join(hits, ["phrase", "segment_id"])
+        .select("query_id", "n_phrases", "segment_id",
                 bm25(F.col("tf"), F.col("dl"), F.col("df"), stats.select("n").scalar(),
                      stats.select("avgdl").scalar()).alias("score")))
     return (
