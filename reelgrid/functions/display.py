@@ -43,8 +43,20 @@ def segment_time(ms: Column) -> Column:
     return _minutes_seconds(F.floor(ms / 1000))
 
 
-def _one_decimal(value: Column) -> Column:
-    return F.format_string("%.1f", F.floor(value * 10 + F.lit(0.5)) / 10)
+def _fixed(value: Column, digits: int) -> Column:
+    """A non-negative number with a fixed number of decimals, rounded by its exact binary
+    value (0.1035 is stored as slightly less, so three decimals give 0.103)."""
+    scale = float(10 ** digits)
+    # The part of value * scale that is lost in the product, from an exact split of value.
+    far = value * F.lit(134217729.0)
+    high = far - (far - value)
+    product = value * scale
+    lost = (high * scale - product) + (value - high) * scale
+    whole = F.floor(product)
+    units = (whole + F.when(product - whole - F.lit(0.5) + lost >= 0, 1).otherwise(0)).cast("bigint")
+    return F.concat(
+        F.floor(units / int(scale)).cast("string"), F.lit("."),
+        F.lpad((units % int(scale)).cast("string"), digits, "0"))
 
 
 def byte_text(n: Column) -> Column:
@@ -52,15 +64,16 @@ def byte_text(n: Column) -> Column:
     return (
         F.when(~truthy(n), F.lit("No bytes written"))
         .when(size < 1024, F.concat(n.cast("bigint").cast("string"), F.lit(" B")))
-        .when(size < 1024 ** 2, F.concat(_one_decimal(size / 1024), F.lit(" KB")))
-        .when(size < 1024 ** 3, F.concat(_one_decimal(size / 1024 ** 2), F.lit(" MB")))
-        .otherwise(F.concat(_one_decimal(size / 1024 ** 3), F.lit(" GB"))))
+        .when(size < 1024 ** 2, F.concat(_fixed(size / 1024, 1), F.lit(" KB")))
+        .when(size < 1024 ** 3, F.concat(_fixed(size / 1024 ** 2, 1), F.lit(" MB")))
+        .otherwise(F.concat(_fixed(size / 1024 ** 3, 1), F.lit(" GB"))))
 
 
 def rank_text(rank: Column) -> Column:
     finite = rank.isNotNull() & ~F.isnan(rank) & (F.abs(rank) < float("inf"))
     exponent = F.regexp_replace(F.format_string("%.2e", rank), r"e([+-])0+(\d)", "e$1$2")
-    value = F.when(F.abs(rank) < 0.001, exponent).otherwise(F.format_string("%.3f", rank))
+    plain = F.concat(F.when(rank < 0, "-").otherwise(""), _fixed(F.abs(rank), 3))
+    value = F.when(F.abs(rank) < 0.001, exponent).otherwise(plain)
     return F.when(finite, F.concat(F.lit("Rank "), value)).otherwise(F.lit("Rank pending"))
 
 

@@ -215,7 +215,7 @@ def input_notes(input_json: Column) -> Column:
 
 def job_counts(jobs: DataFrame) -> DataFrame:
     """Jobs per kind with one column per state."""
-    counts = jobs.groupBy("kind").pivot("state", list(schemas.JOB_STATES)).agg(F.count("*"))
+    counts = jobs.groupBy("kind").pivot("state", list(schemas.JOB_STATES)).agg(F.count(F.lit(1)))
     return counts.na.fill(0, list(schemas.JOB_STATES))
 
 

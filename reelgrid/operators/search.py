@@ -1,8 +1,9 @@
 """Ranked full-text search over transcript segments.
 
 The index is a set of ordinary tables: ``postings`` (one row per term and
-segment) and ``documents`` (one row per segment with its length). Corpus and term
-statistics are aggregates over them. Hot terms are no hot spots: postings are
+segment), ``positions`` (one row per token, for adjacent words only) and ``documents``
+(one row per segment with its length). Corpus and term statistics are aggregates over
+them. Hot terms are no hot spots: postings are
 built with a partial aggregation per segment, written range-partitioned by
 (term bucket, term, segment), and filtered to the query terms before anything
 else happens.
@@ -10,7 +11,7 @@ else happens.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,20 +26,42 @@ IDF_FLOOR = 1e-6
 DEFAULT_LIMIT = 50
 MAX_LIMIT = 100
 SNIPPET_TOKENS = 18
-TERM_BUCKETS = 256
+# Folders a stored index is cut into by hash of the term.
+TERM_BUCKETS = 64
 
 
 @dataclass(frozen=True)
 class SearchIndex:
-    """``postings``: term, term_bucket, segment_id, tf, dl, positions.
-    ``documents``: segment_id, transcript_id, recording_id, dl."""
+    """``postings``: term, segment_id, dl, tf. ``positions``: term, segment_id, dl, position.
+    Both have term_bucket too when stored. ``documents``: segment_id, transcript_id, recording_id, dl.
+    ``terms``: term, df, cf. ``corpus``: one row with n and avgdl.
+    ``buckets`` is the number of term buckets of a stored index."""
 
     postings: DataFrame
+    positions: DataFrame
     documents: DataFrame
+    terms: DataFrame
+    corpus: DataFrame
+    buckets: int | None = None
 
 
-def term_bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
+def make_index(postings: DataFrame, positions: DataFrame, documents: DataFrame) -> SearchIndex:
+    """Index with its statistics derived from the base tables."""
+    return SearchIndex(postings, positions, documents, term_stats(postings),
+                       corpus_stats(documents))
+
+
+def term_stats(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("term").agg(
+        F.count("*").alias("df"), F.sum("tf").cast("bigint").alias("cf"))
+
+
+def corpus_stats(documents: DataFrame) -> DataFrame:
+    return documents.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+
+
+def term_bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
 def searchable_segments(segments: DataFrame, transcripts: DataFrame) -> DataFrame:
@@ -58,13 +81,10 @@ def index_segments(segments: DataFrame) -> SearchIndex:
         F.col("id").alias("segment_id"), "transcript_id", "recording_id",
         tx.index_tokens(F.col("text")).alias("tokens"))
     sized = tokens.withColumn("dl", F.size(F.filter("tokens", lambda t: t != "")).cast("bigint"))
-    postings = (
-        sized.select("segment_id", "dl", F.posexplode("tokens").alias("position", "term"))
-        .where(F.col("term") != "")
-        .groupBy("term", "segment_id", "dl")
-        .agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
-        .withColumn("term_bucket", term_bucket(F.col("term"))))
-    return SearchIndex(postings, sized.drop("tokens"))
+    positions = sized.select("segment_id", "dl", F.posexplode("tokens").alias("position", "term")
+                             ).where(F.col("term") != "")
+    postings = positions.groupBy("term", "segment_id", "dl").agg(F.count("*").alias("tf"))
+    return make_index(postings, positions, sized.drop("tokens"))
 
 
 def build_index(segments: DataFrame, transcripts: DataFrame) -> SearchIndex:
@@ -72,25 +92,57 @@ def build_index(segments: DataFrame, transcripts: DataFrame) -> SearchIndex:
     return index_segments(searchable_segments(segments, transcripts))
 
 
-def write_index(index: SearchIndex, path: str, mode: str = "overwrite") -> None:
+def _write_by_term(rows: DataFrame, path: str, mode: str, buckets: int) -> None:
+    order = ["term_bucket", "term", "segment_id"]
+    (rows.withColumn("term_bucket", term_bucket(F.col("term"), buckets))
+     .repartitionByRange(*order).sortWithinPartitions(*order)
+     .write.mode(mode).partitionBy("term_bucket").parquet(path))
+
+
+def _write_base(index: SearchIndex, path: str, mode: str, buckets: int) -> None:
+    """Documents are written last, so a write cut short is found missing again."""
+    _write_by_term(index.postings, f"{path}/postings", mode, buckets)
+    _write_by_term(index.positions, f"{path}/positions", mode, buckets)
+    index.documents.write.mode(mode).parquet(f"{path}/documents")
+
+
+def _write_stats(spark: SparkSession, path: str) -> None:
+    """Term and corpus statistics, from the stored base tables."""
+    postings, _, documents = _read_base(spark, path)
+    term_stats(postings).write.mode("overwrite").parquet(f"{path}/terms")
+    corpus_stats(documents).write.mode("overwrite").parquet(f"{path}/corpus")
+
+
+def write_index(index: SearchIndex, path: str, buckets: int = TERM_BUCKETS) -> None:
     """Store the index. Range partitioning on (bucket, term, segment) splits a term
     that holds a large share of all postings over many files."""
-    (index.postings.repartitionByRange("term_bucket", "term", "segment_id")
-     .sortWithinPartitions("term_bucket", "term", "segment_id")
-     .write.mode(mode).partitionBy("term_bucket").parquet(f"{path}/postings"))
-    index.documents.write.mode(mode).parquet(f"{path}/documents")
+    _write_base(index, path, "overwrite", buckets)
+    _write_stats(index.documents.sparkSession, path)
 
 
-def read_index(spark: SparkSession, path: str) -> SearchIndex:
-    return SearchIndex(spark.read.parquet(f"{path}/postings"),
-                       spark.read.parquet(f"{path}/documents"))
+def _read_base(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return (
+        spark.read.schema("term string, segment_id string, dl bigint, tf bigint, term_bucket int")
+        .parquet(f"{path}/postings"),
+        spark.read.schema("term string, segment_id string, dl bigint, position int, "
+                          "term_bucket int").parquet(f"{path}/positions"),
+        spark.read.schema("segment_id string, transcript_id string, recording_id string, "
+                          "dl bigint").parquet(f"{path}/documents"))
+
+
+def read_index(spark: SparkSession, path: str, buckets: int = TERM_BUCKETS) -> SearchIndex:
+    return SearchIndex(
+        *_read_base(spark, path),
+        spark.read.schema("term string, df bigint, cf bigint").parquet(f"{path}/terms"),
+        spark.read.schema("n bigint, avgdl double").parquet(f"{path}/corpus"), buckets)
 
 
-def reindex(segments: DataFrame, transcripts: DataFrame, path: str) -> DataFrame:
+def reindex(segments: DataFrame, transcripts: DataFrame, path: str,
+            buckets: int = TERM_BUCKETS) -> DataFrame:
     """Rebuild the stored index; returns one row with the number of segments indexed."""
-    write_index(build_index(segments, transcripts), path)
-    spark = segments.sparkSession
-    return read_index(spark, path).documents.agg(F.count("*").alias("indexed_segment_count"))
+    write_index(build_index(segments, transcripts), path, buckets)
+    stored = read_index(segments.sparkSession, path, buckets)
+    return stored.corpus.select(F.col("n").alias("indexed_segment_count"))
 
 
 def unindexed_segments(segments: DataFrame, transcripts: DataFrame,
@@ -106,21 +158,29 @@ def extend_index(segments: DataFrame, transcripts: DataFrame, index: SearchIndex
     return union_index(index, added)
 
 
-def append_missing(segments: DataFrame, transcripts: DataFrame, path: str) -> None:
-    """Append the missing segments to a stored index."""
-    index = read_index(segments.sparkSession, path)
-    write_index(index_segments(unindexed_segments(segments, transcripts, index)), path, "append")
+def append_missing(segments: DataFrame, transcripts: DataFrame, path: str,
+                   buckets: int = TERM_BUCKETS) -> None:
+    """Append the missing segments to a stored index; only they are tokenised."""
+    spark = segments.sparkSession
+    stored = read_index(spark, path, buckets)
+    added = index_segments(unindexed_segments(segments, transcripts, stored))
+    _write_base(added, path, "append", buckets)
+    _write_stats(spark, path)
 
 
 def union_index(a: SearchIndex, b: SearchIndex) -> SearchIndex:
-    return SearchIndex(a.postings.unionByName(b.postings), a.documents.unionByName(b.documents))
+    return make_index(
+        a.postings.drop("term_bucket").unionByName(b.postings.drop("term_bucket")),
+        a.positions.drop("term_bucket").unionByName(b.positions.drop("term_bucket")),
+        a.documents.unionByName(b.documents))
 
 
 def drop_transcripts(index: SearchIndex, transcript_ids: DataFrame) -> SearchIndex:
     """Index without the rows of the given transcripts (one column, transcript_id)."""
     gone = index.documents.join(transcript_ids, "transcript_id", "left_semi").select("segment_id")
-    return SearchIndex(index.postings.join(gone, "segment_id", "left_anti"),
-                       index.documents.join(transcript_ids, "transcript_id", "left_anti"))
+    return make_index(index.postings.join(gone, "segment_id", "left_anti"),
+                      index.positions.join(gone, "segment_id", "left_anti"),
+                      index.documents.join(transcript_ids, "transcript_id", "left_anti"))
 
 
 def replace_in_index(index: SearchIndex, new_segments: DataFrame,
@@ -135,21 +195,13 @@ def replace_in_index(index: SearchIndex, new_segments: DataFrame,
 def drop_orphans(index: SearchIndex, segments: DataFrame) -> SearchIndex:
     """Index without rows whose segment no longer exists."""
     alive = segments.select(F.col("id").alias("segment_id"))
-    return SearchIndex(index.postings.join(alive, "segment_id", "left_semi"),
-                       index.documents.join(alive, "segment_id", "left_semi"))
-
-
-def term_stats(index: SearchIndex) -> DataFrame:
-    return index.postings.groupBy("term").agg(
-        F.count("*").alias("df"), F.sum("tf").cast("bigint").alias("cf"))
-
-
-def corpus_stats(index: SearchIndex) -> DataFrame:
-    return index.documents.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    return make_index(index.postings.join(alive, "segment_id", "left_semi"),
+                      index.positions.join(alive, "segment_id", "left_semi"),
+                      index.documents.join(alive, "segment_id", "left_semi"))
 
 
 def parse_queries(queries: DataFrame) -> DataFrame:
-    """One row per query word: query_id, phrase_no, phrase, n_phrases, n_words, offset, term.
+    """One row per query word: query_id, n_phrases, phrase_no, phrase, n_words, offset, term.
 
     ``queries`` has query_id and query. A query without tokens yields no row,
     hence no results; a token without any index word can never match.
@@ -163,27 +215,6 @@ def parse_queries(queries: DataFrame) -> DataFrame:
         F.size("words").alias("n_words"), F.posexplode("words").alias("offset", "term"))
 
 
-def phrase_hits(words: DataFrame, index: SearchIndex) -> DataFrame:
-    """phrase, segment_id, dl, tf for every distinct phrase of the queries."""
-    wanted = words.select("phrase", "n_words", "offset", "term",
-                          term_bucket(F.col("term")).alias("term_bucket")).distinct()
-    single = wanted.where("n_words = 1").join(
-        index.postings.select("term_bucket", "term", "segment_id", "dl", "tf"),
-        ["term_bucket", "term"]).select("phrase", "segment_id", "dl", "tf")
-    starts = wanted.where("n_words > 1").join(
-        index.postings.select("term_bucket", "term", "segment_id", "dl", "positions"),
-        ["term_bucket", "term"]).select(
-        "phrase", "n_words", "segment_id", "dl", "offset",
-        F.explode("positions").alias("position"))
-    adjacent = (
-        starts.groupBy("phrase", "n_words", "segment_id", "dl",
-                       (F.col("position") - F.col("offset")).alias("start"))
-        .agg(F.count("*").alias("found"))
-        .where("found = n_words")
-        .groupBy("phrase", "segment_id", "dl").agg(F.count("*").alias("tf")))
-    return single.unionByName(adjacent)
-
-
 def bm25(tf: Column, dl: Column, df: Column, n: Column, avgdl: Column) -> Column:
     """Okapi score of one phrase, negated so that lower is better."""
     idf = F.greatest(F.log((n - df + 0.5) / (df + 0.5)), F.lit(IDF_FLOOR))
@@ -191,6 +222,33 @@ def bm25(tf: Column, dl: Column, df: Column, n: Column, avgdl: Column) -> Column
     return -idf * tf * (BM25_K1 + 1) / norm
 
 
+def _rows_of_words(words: DataFrame, rows: DataFrame, buckets: int | None) -> DataFrame:
+    """Index rows of the given words (phrase, n_words, offset, term), by bucket and term."""
+    wanted = words.select("phrase", "n_words", "offset", "term").distinct()
+    if not buckets:
+        return wanted.join(rows, "term")
+    return wanted.withColumn("term_bucket", term_bucket(F.col("term"), buckets)).join(
+        rows, ["term_bucket", "term"])
+
+
+def single_hits(words: DataFrame, index: SearchIndex) -> DataFrame:
+    """phrase, segment_id, dl, tf of the phrases of one word."""
+    return _rows_of_words(words.where("n_words = 1"), index.postings, index.buckets).select(
+        "phrase", "segment_id", "dl", "tf")
+
+
+def adjacent_hits(words: DataFrame, index: SearchIndex) -> DataFrame:
+    """phrase, segment_id, dl, tf of the phrases of several words, which must follow each
+    other. Each word votes for the place where its phrase would start."""
+    votes = _rows_of_words(words.where("n_words > 1"), index.positions, index.buckets).select(
+        "phrase", "n_words", "segment_id", "dl",
+        (F.col("position") - F.col("offset")).alias("start"))
+    return (votes.groupBy("phrase", "n_words", "segment_id", "dl", "start")
+            .agg(F.count("*").alias("found"))
+            .where("found = n_words")
+            .groupBy("phrase", "segment_id", "dl").agg(F.count("*").alias("tf")))
+
+
 def match_and_rank(queries: DataFrame, index: SearchIndex) -> DataFrame:
     """query_id, segment_id, rank of every segment holding all phrases of its query.
 
@@ -198,8 +256,15 @@ def match_and_rank(queries: DataFrame, index: SearchIndex) -> DataFrame:
     looked up for those alone, on (phrase, segment).
     """
     words = parse_queries(queries)
-    hits = phrase_hits(words, index)
-    frequency = hits.groupBy("phrase").agg(F.count("*").alias("df"))
+    adjacency = not words.where("n_words > 1").isEmpty()
+    hits = single_hits(words, index)
+    frequency = words.where("n_words = 1").select("phrase", "term").distinct().join(
+        index.terms, "term").select("phrase", "df")
+    if adjacency:
+        adjacent = adjacent_hits(words, index)
+        hits = hits.unionByName(adjacent)
+        frequency = frequency.unionByName(
+            adjacent.groupBy("phrase").agg(F.count("*").alias("df")))
     phrases = words.select("query_id", "n_phrases", "phrase_no", "phrase").distinct().join(
         frequency, "phrase")
     complete = (
@@ -209,13 +274,12 @@ def match_and_rank(queries: DataFrame, index: SearchIndex) -> DataFrame:
         .where("found = n_phrases").select("query_id", F.col("rarest").alias("phrase")))
     candidates = complete.join(hits.select("phrase", "segment_id"), "phrase").select(
         "query_id", "segment_id")
-    stats = corpus_stats(index)
     scored = (
         candidates.join(phrases, "query_id")
         .join(hits, ["phrase", "segment_id"])
         .select("query_id", "n_phrases", "segment_id",
-                bm25(F.col("tf"), F.col("dl"), F.col("df"), stats.select("n").scalar(),
-                     stats.select("avgdl").scalar()).alias("score")))
+                bm25(F.col("tf"), F.col("dl"), F.col("df"), index.corpus.select("n").scalar(),
+                     index.corpus.select("avgdl").scalar()).alias("score")))
     return (
         scored.groupBy("query_id", "n_phrases", "segment_id")
         .agg(F.count("*").alias("matched"), F.sum("score").alias("score"))
@@ -223,6 +287,57 @@ def match_and_rank(queries: DataFrame, index: SearchIndex) -> DataFrame:
         .select("query_id", "segment_id", F.round("score", 9).alias("rank")))
 
 
+def match_query(query: str, index: SearchIndex) -> DataFrame:
+    """segment_id, rank of every segment holding all phrases of one query.
+
+    The words of the query are known when the plan is made, so the postings scan is
+    pruned by bucket and term, and one shuffle by segment brings the words together.
+    """
+    spark = index.documents.sparkSession
+    row = spark.range(1).select(tx.query_phrases(F.lit(query)).alias("p")).head()
+    phrases = [list(words) for words in row["p"]]
+    if not phrases or not all(phrases):
+        return spark.createDataFrame([], "segment_id string, rank double")
+    singles = sorted({words[0] for words in phrases if len(words) == 1})
+    longer = sorted({tuple(words) for words in phrases if len(words) > 1})
+    hits = _pruned(index.postings, singles, index.buckets).select(
+        F.col("term").alias("phrase"), "segment_id", "dl", "tf")
+    if longer:
+        words = spark.createDataFrame(
+            [(" ".join(p), len(p), o, t) for p in longer for o, t in enumerate(p)],
+            "phrase string, n_words int, offset int, term string")
+        near = replace(index, positions=_pruned(
+            index.positions, sorted({t for p in longer for t in p}), index.buckets))
+        hits = hits.unionByName(adjacent_hits(words, near))
+
+    names = {p: f"n{i}" for i, p in enumerate([*singles, *(" ".join(p) for p in longer)])}
+    counted = hits.groupBy("segment_id", "dl").agg(
+        *[F.max(F.when(F.col("phrase") == p, F.col("tf"))).alias(c) for p, c in names.items()])
+    known = index.terms.where(F.col("term").isin(singles)).agg(
+        F.map_from_entries(F.collect_list(F.struct("term", "df"))).alias("m")).scalar()
+    n, avgdl = (index.corpus.select(c).scalar() for c in ("n", "avgdl"))
+    score, present = F.lit(0.0), F.lit(True)
+    for words in phrases:
+        column = names[" ".join(words)]
+        if len(words) == 1:
+            df = F.try_element_at(known, F.lit(words[0]))
+        else:
+            df = counted.agg(F.count(column).alias("df")).scalar()
+        score = score + bm25(F.col(column), F.col("dl"), df, n, avgdl)
+        present = present & F.col(column).isNotNull()
+    return counted.where(present).select("segment_id", F.round(score, 9).alias("rank"))
+
+
+def _pruned(rows: DataFrame, terms: list[str], buckets: int | None) -> DataFrame:
+    """Index rows of known terms, with filters the scan can use."""
+    found = rows.where(F.col("term").isin(terms))
+    if not buckets or not terms:
+        return found
+    numbers = rows.sparkSession.range(1).select(
+        F.array(*[term_bucket(F.lit(t), buckets) for t in terms])).head()[0]
+    return found.where(F.col("term_bucket").isin(sorted(set(numbers))))
+
+
 def _with_sort_keys(ranked: DataFrame, segments: DataFrame, transcripts: DataFrame,
                     recordings: DataFrame) -> DataFrame:
     """Ranked hits of completed transcripts with the narrow columns the order needs."""
@@ -267,9 +382,7 @@ def search_batch(queries: DataFrame, index: SearchIndex, segments: DataFrame,
 def search(query: str, index: SearchIndex, segments: DataFrame, transcripts: DataFrame,
            recordings: DataFrame, limit: int | None = None) -> DataFrame:
     """Top hits of one query with snippets, best first."""
-    spark = index.documents.sparkSession
-    one = spark.range(1).select(F.col("id").alias("query_id"), F.lit(query).alias("query"))
-    keyed = _with_sort_keys(match_and_rank(one, index), segments, transcripts, recordings)
+    keyed = _with_sort_keys(match_query(query, index), segments, transcripts, recordings)
     top = keyed.orderBy(*_result_order()).limit(clamp_limit(limit))
     shown = _details(top, segments, recordings).withColumn(
         "snippet", snippet(F.col("text"), tx.query_phrases(F.lit(query))))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,55 +102,65 @@ def summary_payloads(recordings: DataFrame, transcripts: DataFrame, segments: Da
                        ).withColumn("payload", F.when(F.col("error").isNull(), F.col("payload")))
 
 
-def payload_leaves(payloads: DataFrame, keys: list[str], max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Every object key and string value of JSON payloads with its location.
-
-    Rows are (keys, location, kind, found): kind is ``key`` or ``value``, or
-    ``depth`` for nesting beyond ``max_depth``. One level is opened per step.
-    """
-    spark = payloads.sparkSession
-    level = payloads.select(*keys, F.lit("$").alias("location"),
-                            F.try_parse_json("payload").alias("v"))
-    out = []
-    for depth in range(max_depth + 1):
-        kind = vr.kind(F.col("v"))
-        out.append(level.where(kind == "STRING").select(
-            *keys, "location", F.lit("value").alias("kind"),
-            F.try_variant_get("v", "$", "string").alias("found")))
-        nested = level.where(kind.rlike("^(OBJECT|ARRAY)"))
-        if depth == max_depth:
-            out.append(nested.select(*keys, "location", F.lit("depth").alias("kind"),
-                                     F.lit(None).cast("string").alias("found")))
-            break
-        opened = nested.lateralJoin(
-            spark.tvf.variant_explode(F.col("v").outer())
-        ).select(*keys, "location", "pos", "key", "value")
-        out.append(opened.where(F.col("key").isNotNull()).select(
-            *keys, "location", F.lit("key").alias("kind"), F.col("key").alias("found")))
-        step = F.coalesce(F.concat(F.lit("."), "key"),
-                          F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")))
-        level = opened.select(*keys, F.concat("location", step).alias("location"),
-                              F.col("value").alias("v"))
-    return reduce(DataFrame.unionByName, out)
+def _children(node: Column) -> Column:
+    """Direct children of a JSON node with their location; none for a plain value."""
+    fields = F.map_entries(F.try_variant_get(node["v"], "$", "map<string,variant>"))
+    items = F.try_variant_get(node["v"], "$", "array<variant>")
+    named = F.transform(fields, lambda e: F.struct(
+        node["location"].alias("parent"),
+        F.concat(node["location"], F.lit("."), e["key"]).alias("location"),
+        e["key"].alias("key"), e["value"].alias("v")))
+    numbered = F.transform(items, lambda x, i: F.struct(
+        node["location"].alias("parent"),
+        F.concat(node["location"], F.lit("["), i.cast("string"), F.lit("]")).alias("location"),
+        F.lit(None).cast("string").alias("key"), x.alias("v")))
+    return F.coalesce(named, numbered, F.array().cast(NODES))
+
+
+NODES = "array<struct<parent:string,location:string,key:string,v:variant>>"
+
+
+def _violations(payloads: DataFrame, keys: list[str], max_depth: int) -> DataFrame:
+    """keys and the array of violations. A payload is one row, so its tree is opened level
+    by level inside the row, without a shuffle."""
+    none = F.lit(None).cast("string")
+    root = F.struct(none.alias("parent"), F.lit("$").alias("location"), none.alias("key"),
+                    F.try_parse_json("payload").alias("v"))
+    rows = payloads.select(*keys, F.array(root).alias("level_0"))
+    for depth in range(1, max_depth + 1):
+        rows = rows.withColumn(
+            f"level_{depth}", F.flatten(F.transform(f"level_{depth - 1}", _children)))
+    nodes = F.concat(*[F.col(f"level_{d}") for d in range(max_depth + 1)])
+
+    def checked(n: Column) -> Column:
+        key_hit = F.lower(n["key"]).rlike(KEY_PATTERN)
+        text = F.when(vr.kind(n["v"]) == "STRING", F.try_variant_get(n["v"], "$", "string"))
+        return F.array_compact(F.array(
+            F.when(key_hit, F.struct(n["parent"].alias("location"), F.lit("key").alias("kind"))),
+            F.when(likely_media_path(text),
+                   F.struct(n["location"].alias("location"), F.lit("value").alias("kind")))))
+
+    deep = F.transform(
+        F.filter(f"level_{max_depth}", lambda n: vr.kind(n["v"]).rlike("^(OBJECT|ARRAY)")),
+        lambda n: F.struct(n["location"].alias("location"), F.lit("depth").alias("kind")))
+    return rows.select(
+        *keys, F.concat(F.flatten(F.transform(nodes, checked)), deep).alias("found"))
 
 
 def guardrail_violations(payloads: DataFrame, keys: list[str],
                          max_depth: int = MAX_DEPTH) -> DataFrame:
-    """keys, location, kind, found for each forbidden key and likely media path."""
-    leaves = payload_leaves(payloads, keys, max_depth)
-    bad_key = (F.col("kind") == "key") & F.lower("found").rlike(KEY_PATTERN)
-    bad_value = (F.col("kind") == "value") & likely_media_path(F.col("found"))
-    return leaves.where(bad_key | bad_value | (F.col("kind") == "depth"))
+    """keys, location, kind for each forbidden key (``key``, located by its parent), likely media path (``value``)
+    and nesting beyond ``max_depth`` (``depth``), which is refused unread."""
+    return _violations(payloads, keys, max_depth).select(*keys, F.inline("found"))
 
 
 def guardrail_verdicts(payloads: DataFrame, keys: list[str],
                        max_depth: int = MAX_DEPTH) -> DataFrame:
     """One row per payload: accepted, number of violations and the first location."""
-    bad = guardrail_violations(payloads, keys, max_depth).groupBy(*keys).agg(
-        F.count("*").alias("violations"), F.min("location").alias("first_location"))
-    return payloads.select(*keys).join(bad, keys, "left").select(
-        *keys, F.col("violations").isNull().alias("accepted"),
-        F.coalesce("violations", F.lit(0)).alias("violations"), "first_location")
+    return _violations(payloads, keys, max_depth).select(
+        *keys, (F.size("found") == 0).alias("accepted"),
+        F.size("found").cast("bigint").alias("violations"),
+        F.array_min(F.transform("found", lambda v: v["location"])).alias("first_location"))
 
 
 def strip_fence(content: Column) -> Column:

@@ -46,14 +46,33 @@ scored AS (
 hits AS (SELECT * FROM scored WHERE matched = n_terms)"""
 
 
+BUCKETS = 8
+_stored: dict[tuple, str] = {}
+
+
 def _talk_index(spark: SparkSession, sf_dir: str) -> se.SearchIndex:
     return se.build_index(st.plain_talk_segments(spark, sf_dir), st.talk_transcripts(spark, sf_dir))
 
 
+def _doc_index(spark: SparkSession, sf_dir: str) -> se.SearchIndex:
+    return se.index_segments(st.doc_segments(spark, sf_dir))
+
+
+def stored_index(spark: SparkSession, sf_dir: str, build) -> se.SearchIndex:
+    """The index as a stored table, written once per session and data set. Searches read
+    it the way a search service would; ``search_index_stats`` and others time the build."""
+    key = (spark.sparkContext.applicationId, sf_dir, build.__name__)
+    if key not in _stored:
+        path = shared_folder(spark, f"index-{uuid.uuid4().hex}")
+        se.write_index(build(spark, sf_dir), path, BUCKETS)
+        _stored[key] = path
+    return se.read_index(spark, _stored[key], BUCKETS)
+
+
 def search_bm25_and(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments = st.talk_segments(spark, sf_dir)
     transcripts = st.talk_transcripts(spark, sf_dir)
-    found = se.search("The, IN", _talk_index(spark, sf_dir), segments, transcripts,
+    found = se.search("The, IN", stored_index(spark, sf_dir, _talk_index), segments, transcripts,
                       st.talk_recordings(spark, sf_dir), limit=40)
     return found.select("segment_id", "recording_id", "recording_title", "start_ms", "end_ms", "rank")
 
@@ -72,10 +91,10 @@ def search_bm25_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     segments = st.doc_segments(spark, sf_dir)
     transcripts = st.doc_transcripts(spark, sf_dir).withColumn("status", F.lit("completed"))
-    index = se.build_index(segments, transcripts)
+    index = stored_index(spark, sf_dir, _doc_index)
     found = se.search_batch(queries, index, segments, transcripts,
                             st.doc_recordings(spark, sf_dir), limit=10)
-    return found.select("query_id", "place", "segment_id", "recording_title", "rank")
+    return found.select("query_id", F.col("place").cast("bigint").alias("place"), "segment_id", "recording_title", "rank")
 
 
 SEARCH_BATCH_SQL = st.with_sql(
@@ -102,8 +121,7 @@ SELECT query_id, place, segment_id, recording_title, rank FROM placed WHERE plac
 
 def search_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A token with an underscore matches adjacent words only."""
-    queries = spark.createDataFrame([(1, "of_the")], "query_id int, query string")
-    ranked = se.match_and_rank(queries, _talk_index(spark, sf_dir))
+    ranked = se.match_query("of_the", stored_index(spark, sf_dir, _talk_index))
     return ranked.select("segment_id", "rank")
 
 
@@ -118,12 +136,38 @@ SELECT ph.segment_id, round(-greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * t
 FROM ph JOIN docs ON docs.segment_id = ph.segment_id, pdf, corpus"""
 
 
+def search_phrase_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adjacent words in a batch: every nation number as a query of two tokens."""
+    queries = st.given(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").alias("query_id"),
+        F.when(F.col("n_nationkey") % 2 == 0, "of_the and").otherwise("to_the in_the")
+        .alias("query"))
+    ranked = se.match_and_rank(queries, stored_index(spark, sf_dir, _talk_index))
+    return ranked.select("query_id", "segment_id", "rank")
+
+
+SEARCH_PHRASE_BATCH_SQL = st.with_sql(
+    st.TALK_SQL, _index_sql("talk_segments", "talk_transcripts"), """
+pairs AS (SELECT segment_id, words[i] || '_' || words[i + 1] AS term
+          FROM (SELECT segment_id, words, unnest(range(1, len(words) + 1)) AS i FROM tok)),
+ph AS (SELECT segment_id, term, count(*) AS tf FROM pairs
+       WHERE term IN ('of_the', 'to_the', 'in_the') GROUP BY ALL
+       UNION ALL SELECT segment_id, term, tf FROM post WHERE term = 'and'),
+pdf AS (SELECT term, count(*) AS df FROM ph GROUP BY term),
+q AS (SELECT n_nationkey AS query_id, unnest(CASE WHEN n_nationkey % 2 = 0
+        THEN ['of_the', 'and'] ELSE ['to_the', 'in_the'] END) AS term FROM nation)""") + """
+SELECT query_id, ph.segment_id, round(sum(-greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * (1.2 + 1)
+         / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 9) AS rank
+FROM q JOIN ph ON ph.term = q.term JOIN pdf ON pdf.term = q.term
+  JOIN docs ON docs.segment_id = ph.segment_id, corpus
+GROUP BY query_id, ph.segment_id HAVING count(*) = 2"""
+
+
 def search_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snippets of every conversation turn that holds all query tokens."""
     query = "the in"
     segments = st.talk_segments(spark, sf_dir)
-    ranked = se.match_and_rank(
-        spark.createDataFrame([(1, query)], "query_id int, query string"), _talk_index(spark, sf_dir))
+    ranked = se.match_query(query, stored_index(spark, sf_dir, _talk_index))
     return ranked.join(segments.withColumnRenamed("id", "segment_id"), "segment_id").select(
         "segment_id", se.snippet(F.col("text"), tx.query_phrases(F.lit(query))).alias("snippet"))
 
@@ -151,7 +195,7 @@ FROM both_terms t JOIN best b ON b.segment_id = t.segment_id AND b.n = 1"""
 
 
 def search_index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return se.term_stats(_talk_index(spark, sf_dir))
+    return _talk_index(spark, sf_dir).terms
 
 
 _TERM_STATS = "SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM post GROUP BY term"
@@ -161,7 +205,7 @@ INDEX_STATS_SQL = st.with_sql(
 
 def search_corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = se.build_index(st.doc_segments(spark, sf_dir), st.doc_transcripts(spark, sf_dir))
-    return se.corpus_stats(index).select("n", F.round("avgdl", 6).alias("avgdl"))
+    return index.corpus.select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
 CORPUS_SQL = st.with_sql(st.DOC_SQL, _index_sql("doc_segments", "doc_transcripts")) + \
@@ -174,7 +218,7 @@ def search_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     transcripts = st.talk_transcripts(spark, sf_dir)
     older = transcripts.where(F.pmod(F.substring("id", 2, 20).cast("bigint"), F.lit(2)) == 0)
     index = se.build_index(segments, older)
-    return se.term_stats(se.extend_index(segments, transcripts, index))
+    return se.extend_index(segments, transcripts, index).terms
 
 
 def search_unindexed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,7 +244,7 @@ def search_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     fresh = segments.join(new.select(F.col("id").alias("transcript_id")), "transcript_id",
                           "left_semi").withColumn("text", F.concat_ws(" ", "text", "text"))
     index = se.replace_in_index(se.build_index(segments, transcripts), fresh, new)
-    return se.term_stats(index)
+    return index.terms
 
 
 REPLACE_SQL = st.with_sql(st.TALK_SQL, """
@@ -215,7 +259,7 @@ states AS (SELECT id, CASE WHEN CAST(substr(id, 2) AS BIGINT) % 6 = 0 THEN 'fail
 def search_reindex(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full rebuild of a stored index; the number of segments indexed."""
     path = shared_folder(spark, f"reindex-{uuid.uuid4().hex}")
-    return se.reindex(st.doc_segments(spark, sf_dir), st.doc_transcripts(spark, sf_dir), path)
+    return se.reindex(st.doc_segments(spark, sf_dir), st.doc_transcripts(spark, sf_dir), path, BUCKETS)
 
 
 REINDEX_SQL = st.with_sql(st.DOC_SQL) + """
@@ -246,6 +290,7 @@ QUERIES = {
     "search_bm25_and": (search_bm25_and, SEARCH_AND_SQL),
     "search_bm25_batch": (search_bm25_batch, SEARCH_BATCH_SQL),
     "search_phrase": (search_phrase, SEARCH_PHRASE_SQL),
+    "search_phrase_batch": (search_phrase_batch, SEARCH_PHRASE_BATCH_SQL),
     "search_snippet": (search_snippet, SEARCH_SNIPPET_SQL),
     "search_index_stats": (search_index_stats, INDEX_STATS_SQL),
     "search_corpus_stats": (search_corpus_stats, CORPUS_SQL),

@@ -17,9 +17,10 @@ def read_transcript_json(spark: SparkSession, path: str, model: str = tx.DEFAULT
         F.lit(model).alias("model_name"))
 
 
-def read_session_files(spark: SparkSession, path: str) -> DataFrame:
-    """Session files as nested rows with their path."""
-    return (spark.read.schema(schemas.SESSION_SIDECAR).option("multiLine", True).json(path)
+def read_session_files(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
+    """Session files as nested rows with their path: one pretty-printed object per file, or
+    the line form that ``write_session_files`` makes."""
+    return (spark.read.schema(schemas.SESSION_SIDECAR).option("multiLine", one_per_file).json(path)
             .select("*", F.col("_metadata.file_path").alias("path")))
 
 

@@ -18,8 +18,12 @@ CAPTURE_EVENTS = T.StructType([
 ])
 
 
-def read_capture_events(spark: SparkSession, path: str) -> DataFrame:
-    return spark.readStream.schema(CAPTURE_EVENTS).parquet(path)
+def read_capture_events(spark: SparkSession, path: str,
+                        files_per_trigger: int | None = None) -> DataFrame:
+    reader = spark.readStream.schema(CAPTURE_EVENTS)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(path)
 
 
 def live_counters(events: DataFrame) -> DataFrame:

@@ -63,6 +63,7 @@ def land_batch(files: DataFrame, batch_id: int, target: str, model: str = tx.DEF
 
     index = se.index_segments(spark.read.parquet(f"{target}/segments/{folder}"))
     index.postings.write.mode("overwrite").parquet(f"{target}/postings/{folder}")
+    index.positions.write.mode("overwrite").parquet(f"{target}/positions/{folder}")
     index.documents.write.mode("overwrite").parquet(f"{target}/documents/{folder}")
 
 
@@ -94,6 +95,6 @@ def current_segments(spark: SparkSession, target: str) -> DataFrame:
 
 def current_index(spark: SparkSession, target: str) -> se.SearchIndex:
     """Search index without rows of replaced segments."""
-    index = se.SearchIndex(_versioned(spark, f"{target}/postings"),
-                           _versioned(spark, f"{target}/documents"))
+    index = se.make_index(*[_versioned(spark, f"{target}/{part}")
+                            for part in ("postings", "positions", "documents")])
     return se.drop_orphans(index, current_segments(spark, target))
