@@ -178,10 +178,12 @@ def _plain_path(path: Column) -> Column:
 
 def _parent_folders(files: DataFrame) -> DataFrame:
     """All folders that hold a file, at any depth."""
-    parts = F.split("path", "/")
-    folders = F.transform(F.sequence(F.lit(2), F.size(parts) - 1),
-                          lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
-    return files.where(F.size(parts) > 2).select(F.explode(folders).alias("folder")).distinct()
+    parent = F.expr("left(path, length(path) - length(substring_index(path, '/', -1)) - 1)")
+    direct = files.select(parent.alias("folder")).distinct()
+    folders = F.transform(
+        F.sequence(F.lit(2), F.size(F.split("folder", "/"))),
+        lambda n: F.call_function("substring_index", F.col("folder"), F.lit("/"), n))
+    return direct.where(F.col("folder") != "").select(F.explode(folders).alias("folder")).distinct()
 
 
 def cleanup_plan(recordings: DataFrame, sessions: DataFrame, inventory: DataFrame,

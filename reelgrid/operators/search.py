@@ -30,10 +30,16 @@ SNIPPET_TOKENS = 18
 TERM_BUCKETS = 64
 
 
+# What a posting tells about its segment.
+SEGMENT_FACTS = ("segment_id", "transcript_id", "start_ms", "dl")
+
+
 @dataclass(frozen=True)
 class SearchIndex:
-    """``postings``: term, segment_id, dl, tf. ``positions``: term, segment_id, dl, position.
-    Both have term_bucket too when stored. ``documents``: segment_id, transcript_id, recording_id, dl.
+    """``postings``: term, segment_id, transcript_id, start_ms, dl, tf: all that ranking,
+    the status guard and the order need, so a query reads the rows of its terms and never
+    scans the segments. ``positions``: term, segment_id, position. Both have term_bucket
+    too when stored. ``documents``: segment_id, transcript_id, recording_id, dl.
     ``terms``: term, df, cf. ``corpus``: one row with n and avgdl.
     ``buckets`` is the number of term buckets of a stored index."""
 
@@ -72,19 +78,20 @@ def searchable_segments(segments: DataFrame, transcripts: DataFrame) -> DataFram
 
 
 def index_segments(segments: DataFrame) -> SearchIndex:
-    """Index the given segments (id, transcript_id, recording_id, text).
+    """Index the given segments (id, transcript_id, recording_id, start_ms, text).
 
     Tokens of one segment come from one row, so counting them per (segment,
     term) combines on the map side and shuffles distinct terms only.
     """
     tokens = segments.select(
-        F.col("id").alias("segment_id"), "transcript_id", "recording_id",
+        F.col("id").alias("segment_id"), "transcript_id", "recording_id", "start_ms",
         tx.index_tokens(F.col("text")).alias("tokens"))
     sized = tokens.withColumn("dl", F.size(F.filter("tokens", lambda t: t != "")).cast("bigint"))
-    positions = sized.select("segment_id", "dl", F.posexplode("tokens").alias("position", "term")
-                             ).where(F.col("term") != "")
-    postings = positions.groupBy("term", "segment_id", "dl").agg(F.count("*").alias("tf"))
-    return make_index(postings, positions, sized.drop("tokens"))
+    every = sized.select(*SEGMENT_FACTS, F.posexplode("tokens").alias("position", "term")
+                         ).where(F.col("term") != "")
+    postings = every.groupBy("term", *SEGMENT_FACTS).agg(F.count("*").alias("tf"))
+    return make_index(postings, every.select("term", "segment_id", "position"),
+                      sized.select("segment_id", "transcript_id", "recording_id", "dl"))
 
 
 def build_index(segments: DataFrame, transcripts: DataFrame) -> SearchIndex:
@@ -122,10 +129,10 @@ def write_index(index: SearchIndex, path: str, buckets: int = TERM_BUCKETS) -> N
 
 def _read_base(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return (
-        spark.read.schema("term string, segment_id string, dl bigint, tf bigint, term_bucket int")
-        .parquet(f"{path}/postings"),
-        spark.read.schema("term string, segment_id string, dl bigint, position int, "
-                          "term_bucket int").parquet(f"{path}/positions"),
+        spark.read.schema("term string, segment_id string, transcript_id string, start_ms bigint, "
+                          "dl bigint, tf bigint, term_bucket int").parquet(f"{path}/postings"),
+        spark.read.schema("term string, segment_id string, position int, term_bucket int")
+        .parquet(f"{path}/positions"),
         spark.read.schema("segment_id string, transcript_id string, recording_id string, "
                           "dl bigint").parquet(f"{path}/documents"))
 
@@ -232,25 +239,30 @@ def _rows_of_words(words: DataFrame, rows: DataFrame, buckets: int | None) -> Da
 
 
 def single_hits(words: DataFrame, index: SearchIndex) -> DataFrame:
-    """phrase, segment_id, dl, tf of the phrases of one word."""
+    """phrase, segment facts and tf of the phrases of one word."""
     return _rows_of_words(words.where("n_words = 1"), index.postings, index.buckets).select(
-        "phrase", "segment_id", "dl", "tf")
+        "phrase", *SEGMENT_FACTS, "tf")
 
 
 def adjacent_hits(words: DataFrame, index: SearchIndex) -> DataFrame:
-    """phrase, segment_id, dl, tf of the phrases of several words, which must follow each
-    other. Each word votes for the place where its phrase would start."""
-    votes = _rows_of_words(words.where("n_words > 1"), index.positions, index.buckets).select(
-        "phrase", "n_words", "segment_id", "dl",
-        (F.col("position") - F.col("offset")).alias("start"))
-    return (votes.groupBy("phrase", "n_words", "segment_id", "dl", "start")
-            .agg(F.count("*").alias("found"))
-            .where("found = n_words")
-            .groupBy("phrase", "segment_id", "dl").agg(F.count("*").alias("tf")))
+    """phrase, segment facts and tf of the phrases of several words, which must follow
+    each other. Each word votes for the place where its phrase would start; the facts come
+    from the posting of the first word."""
+    longer = words.where("n_words > 1")
+    votes = _rows_of_words(longer, index.positions, index.buckets).select(
+        "phrase", "n_words", "segment_id", (F.col("position") - F.col("offset")).alias("start"))
+    counted = (votes.groupBy("phrase", "n_words", "segment_id", "start")
+               .agg(F.count("*").alias("found"))
+               .where("found = n_words")
+               .groupBy("phrase", "segment_id").agg(F.count("*").alias("tf")))
+    facts = _rows_of_words(longer.where("offset = 0"), index.postings, index.buckets).select(
+        "phrase", *SEGMENT_FACTS)
+    return counted.join(facts, ["phrase", "segment_id"]).select("phrase", *SEGMENT_FACTS, "tf")
 
 
 def match_and_rank(queries: DataFrame, index: SearchIndex) -> DataFrame:
-    """query_id, segment_id, rank of every segment holding all phrases of its query.
+    """query_id, segment_id, transcript_id, start_ms, rank of every segment holding all
+    phrases of its query.
 
     Only segments with a query's rarest phrase are candidates; its other phrases are
     looked up for those alone, on (phrase, segment).
@@ -277,41 +289,48 @@ def match_and_rank(queries: DataFrame, index: SearchIndex) -> DataFrame:
     scored = (
         candidates.join(phrases, "query_id")
         .join(hits, ["phrase", "segment_id"])
-        .select("query_id", "n_phrases", "segment_id",
+        .select("query_id", "n_phrases", *SEGMENT_FACTS,
                 bm25(F.col("tf"), F.col("dl"), F.col("df"), index.corpus.select("n").scalar(),
                      index.corpus.select("avgdl").scalar()).alias("score")))
     return (
-        scored.groupBy("query_id", "n_phrases", "segment_id")
+        scored.groupBy("query_id", "n_phrases", "segment_id", "transcript_id", "start_ms")
         .agg(F.count("*").alias("matched"), F.sum("score").alias("score"))
         .where("matched = n_phrases")
-        .select("query_id", "segment_id", F.round("score", 9).alias("rank")))
+        .select("query_id", "segment_id", "transcript_id", "start_ms", F.round("score", 9).alias("rank")))
 
 
 def match_query(query: str, index: SearchIndex) -> DataFrame:
-    """segment_id, rank of every segment holding all phrases of one query.
+    """segment_id, transcript_id, start_ms, rank of every segment holding all phrases of
+    one query.
 
     The words of the query are known when the plan is made, so the postings scan is
     pruned by bucket and term, and one shuffle by segment brings the words together.
     """
     spark = index.documents.sparkSession
-    row = spark.range(1).select(tx.query_phrases(F.lit(query)).alias("p")).head()
+    words = F.flatten("p") if index.buckets else F.array().cast("array<string>")
+    row = spark.range(1).select(tx.query_phrases(F.lit(query)).alias("p")).select(
+        "p", F.transform(words, lambda w: F.struct(
+            w.alias("term"), term_bucket(w, index.buckets or 1).alias("bucket"))).alias("b")).head()
     phrases = [list(words) for words in row["p"]]
     if not phrases or not all(phrases):
-        return spark.createDataFrame([], "segment_id string, rank double")
+        return spark.createDataFrame(
+            [], "segment_id string, transcript_id string, start_ms bigint, rank double")
+    bucket_of = {b["term"]: b["bucket"] for b in row["b"]}
     singles = sorted({words[0] for words in phrases if len(words) == 1})
     longer = sorted({tuple(words) for words in phrases if len(words) > 1})
-    hits = _pruned(index.postings, singles, index.buckets).select(
-        F.col("term").alias("phrase"), "segment_id", "dl", "tf")
+    hits = _pruned(index.postings, singles, bucket_of).select(
+        F.col("term").alias("phrase"), *SEGMENT_FACTS, "tf")
     if longer:
         words = spark.createDataFrame(
             [(" ".join(p), len(p), o, t) for p in longer for o, t in enumerate(p)],
             "phrase string, n_words int, offset int, term string")
-        near = replace(index, positions=_pruned(
-            index.positions, sorted({t for p in longer for t in p}), index.buckets))
+        wanted = sorted({t for p in longer for t in p})
+        near = replace(index, postings=_pruned(index.postings, wanted, bucket_of),
+                       positions=_pruned(index.positions, wanted, bucket_of))
         hits = hits.unionByName(adjacent_hits(words, near))
 
     names = {p: f"n{i}" for i, p in enumerate([*singles, *(" ".join(p) for p in longer)])}
-    counted = hits.groupBy("segment_id", "dl").agg(
+    counted = hits.groupBy(*SEGMENT_FACTS).agg(
         *[F.max(F.when(F.col("phrase") == p, F.col("tf"))).alias(c) for p, c in names.items()])
     known = index.terms.where(F.col("term").isin(singles)).agg(
         F.map_from_entries(F.collect_list(F.struct("term", "df"))).alias("m")).scalar()
@@ -325,30 +344,28 @@ def match_query(query: str, index: SearchIndex) -> DataFrame:
             df = counted.agg(F.count(column).alias("df")).scalar()
         score = score + bm25(F.col(column), F.col("dl"), df, n, avgdl)
         present = present & F.col(column).isNotNull()
-    return counted.where(present).select("segment_id", F.round(score, 9).alias("rank"))
+    return counted.where(present).select(
+        "segment_id", "transcript_id", "start_ms", F.round(score, 9).alias("rank"))
 
 
-def _pruned(rows: DataFrame, terms: list[str], buckets: int | None) -> DataFrame:
+def _pruned(rows: DataFrame, terms: list[str], bucket_of: dict[str, int]) -> DataFrame:
     """Index rows of known terms, with filters the scan can use."""
     found = rows.where(F.col("term").isin(terms))
-    if not buckets or not terms:
+    if not bucket_of or not terms:
         return found
-    numbers = rows.sparkSession.range(1).select(
-        F.array(*[term_bucket(F.lit(t), buckets) for t in terms])).head()[0]
-    return found.where(F.col("term_bucket").isin(sorted(set(numbers))))
+    return found.where(F.col("term_bucket").isin(sorted({bucket_of[t] for t in terms})))
 
 
-def _with_sort_keys(ranked: DataFrame, segments: DataFrame, transcripts: DataFrame,
-                    recordings: DataFrame) -> DataFrame:
-    """Ranked hits of completed transcripts with the narrow columns the order needs."""
-    narrow = segments.select(F.col("id").alias("segment_id"), "transcript_id", "recording_id",
-                             "start_ms")
+def _live(ranked: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """Hits of completed transcripts, with their recording. The index may be stale."""
     completed = transcripts.where(F.col("status") == "completed").select(
-        F.col("id").alias("transcript_id"))
+        F.col("id").alias("transcript_id"), "recording_id")
+    return ranked.join(completed, "transcript_id")
+
+
+def _dated(hits: DataFrame, recordings: DataFrame) -> DataFrame:
     created = recordings.select(F.col("id").alias("recording_id"), "created_at")
-    return (ranked.join(narrow, "segment_id")
-            .join(completed, "transcript_id", "left_semi")
-            .join(created, "recording_id"))
+    return hits.join(created, "recording_id")
 
 
 def _result_order() -> list[Column]:
@@ -370,21 +387,39 @@ def clamp_limit(limit: int | None) -> int:
 def search_batch(queries: DataFrame, index: SearchIndex, segments: DataFrame,
                  transcripts: DataFrame, recordings: DataFrame,
                  limit: int | None = None) -> DataFrame:
-    """Top hits of many queries. The per-query rank filter is applied inside each
-    task before the shuffle, so a query that matches most segments stays cheap."""
+    """Top hits of many queries.
+
+    Both windows keep at most k rows (and ties) per query inside each task before the
+    shuffle, so a query that matches most segments stays cheap.
+    """
     k = clamp_limit(limit)
-    keyed = _with_sort_keys(match_and_rank(queries, index), segments, transcripts, recordings)
+    by_rank = Window.partitionBy("query_id").orderBy("rank")
+    near = _live(match_and_rank(queries, index), transcripts).withColumn(
+        "near", F.rank().over(by_rank)).where(F.col("near") <= k).drop("near")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(*_result_order()))
-    top = keyed.withColumn("place", place).where(F.col("place") <= k)
+    top = _dated(near, recordings).withColumn("place", place).where(F.col("place") <= k)
     return _details(top, segments, recordings)
 
 
 def search(query: str, index: SearchIndex, segments: DataFrame, transcripts: DataFrame,
            recordings: DataFrame, limit: int | None = None) -> DataFrame:
-    """Top hits of one query with snippets, best first."""
-    keyed = _with_sort_keys(match_query(query, index), segments, transcripts, recordings)
-    top = keyed.orderBy(*_result_order()).limit(clamp_limit(limit))
-    shown = _details(top, segments, recordings).withColumn(
+    """Top hits of one query with snippets, best first.
+
+    Ranks are cut at the k-th best first, ties included, so only hits that can win meet
+    the recordings. The keys of the winners, 100 at most, come to the driver and go back
+    into the segment scan as a filter; a table sorted by recording is then read in a few
+    row groups instead of as a whole.
+    """
+    k = clamp_limit(limit)
+    live = _live(match_query(query, index), transcripts)
+    worst = live.select("rank").orderBy("rank").limit(k).agg(F.max("rank").alias("r")).scalar()
+    near = live.where(F.col("rank") <= worst)
+    keys = _dated(near, recordings).orderBy(*_result_order()).limit(k)
+    winners = keys.collect()
+    top = segments.sparkSession.createDataFrame(winners, keys.schema)
+    rows = segments.where(F.col("recording_id").isin([w.recording_id for w in winners])
+                          & F.col("id").isin([w.segment_id for w in winners]))
+    shown = _details(top, rows, recordings).withColumn(
         "snippet", snippet(F.col("text"), tx.query_phrases(F.lit(query))))
     return shown.orderBy(*_result_order())
 

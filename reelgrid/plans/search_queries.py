@@ -51,7 +51,7 @@ _stored: dict[tuple, str] = {}
 
 
 def _talk_index(spark: SparkSession, sf_dir: str) -> se.SearchIndex:
-    return se.build_index(st.plain_talk_segments(spark, sf_dir), st.talk_transcripts(spark, sf_dir))
+    return se.build_index(st.talk_segments(spark, sf_dir), st.talk_transcripts(spark, sf_dir))
 
 
 def _doc_index(spark: SparkSession, sf_dir: str) -> se.SearchIndex:
@@ -168,7 +168,8 @@ def search_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
     query = "the in"
     segments = st.talk_segments(spark, sf_dir)
     ranked = se.match_query(query, stored_index(spark, sf_dir, _talk_index))
-    return ranked.join(segments.withColumnRenamed("id", "segment_id"), "segment_id").select(
+    texts = segments.select(F.col("id").alias("segment_id"), "text")
+    return ranked.join(texts, "segment_id").select(
         "segment_id", se.snippet(F.col("text"), tx.query_phrases(F.lit(query))).alias("snippet"))
 
 
@@ -195,7 +196,8 @@ FROM both_terms t JOIN best b ON b.segment_id = t.segment_id AND b.n = 1"""
 
 
 def search_index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _talk_index(spark, sf_dir).terms
+    return se.build_index(st.plain_talk_segments(spark, sf_dir),
+                          st.talk_transcripts(spark, sf_dir)).terms
 
 
 _TERM_STATS = "SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM post GROUP BY term"

@@ -50,13 +50,13 @@ def talk_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def plain_talk_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same segments without times, for jobs that need none."""
+    """The same segments with no times in them, for jobs that need none."""
     conv = F.col("conv_id").cast("string")
     return spread_texts(spark, sf_dir, "conversations", "conv_id", "turn", "text").select(
         F.concat(F.lit("c"), conv, F.lit("-"), F.col("turn").cast("string")).alias("id"),
         F.concat(F.lit("t"), conv).alias("transcript_id"),
         F.concat(F.lit("r"), conv).alias("recording_id"), F.col("turn").alias("segment_index"),
-        "text")
+        F.lit(0).cast("bigint").alias("start_ms"), "text")
 
 
 def talk_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
