@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from reelgrid import schemas
 from reelgrid.functions import text as tx
 from reelgrid.functions import variants as vr
+from reelgrid.operators.running import with_group_facts
 from reelgrid.operators.upserts import as_time
 
 DEFAULT_MAX_ATTEMPTS = 3
@@ -71,8 +72,8 @@ def open_jobs(jobs: DataFrame, kind: str) -> DataFrame:
 def with_open_job(recording_ids: DataFrame, jobs: DataFrame, kind: str,
                   present: bool = True) -> DataFrame:
     """Recordings (column recording_id) that have, or lack, an open job of a kind."""
-    return recording_ids.join(open_jobs(jobs, kind).select("recording_id"), "recording_id",
-                              "left_semi" if present else "left_anti")
+    busy = open_jobs(jobs, kind).select("recording_id").distinct()
+    return recording_ids.join(busy, "recording_id", "left_semi" if present else "left_anti")
 
 
 def encode_requests(recording_ids: DataFrame, sessions: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -263,13 +264,13 @@ def fold_events(events: DataFrame) -> DataFrame:
         F.coalesce(last_seq(~state.isin("failed", "cancelled")), F.lit(-2)).alias("clean_seq"),
         last_seq(F.col("interrupted")).alias("true_seq"))
     # First event that names the state of the last run, per kind of run.
-    rows = events.join(marks, "job_id")
+    rows = with_group_facts(events, marks, ["job_id"], "seq")
     starts = rows.groupBy("job_id", "final_state").agg(
         F.min(F.when(state.isNotNull() & (seq > F.col("open_seq")), seq)).alias("end_from"),
         F.min(F.when(state.isNotNull() & (seq > F.col("unsucceeded_seq")), seq)).alias("ok_from"),
         F.min(F.when(state.isNotNull() & (seq > F.col("clean_seq")), seq)).alias("bad_from"),
         F.min(F.when(~F.col("interrupted") & (seq > F.col("true_seq")), seq)).alias("false_from"))
-    rows = events.join(starts, "job_id")
+    rows = with_group_facts(events, starts, ["job_id"], "seq")
     final = F.col("final_state")
     ended, bad = final.isin(*ENDED_STATES), final.isin("failed", "cancelled")
     before_ok = F.max(F.when(seq < F.col("ok_from"), F.struct("seq", "output_json")))

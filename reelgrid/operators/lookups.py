@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelgrid.functions import text as tx
-from reelgrid.operators.transcripts import PAGE_SEGMENTS, segment_pages
+from reelgrid.operators.transcripts import PAGE_SEGMENTS, heads_with_pages
 
 
 def by_id(table: DataFrame, row_id: str) -> DataFrame:
@@ -47,15 +47,13 @@ def nested_transcripts(transcripts: DataFrame, segments: DataFrame,
     """Transcripts with their segments nested in index order.
 
     One row per page of segments (see ``segment_pages``); a transcript without
-    segments keeps one row with an empty array.
+    segments keeps one row with an empty array. The transcript text goes with page 0.
     """
-    pages = segment_pages(segments, page_segments)
-    joined = transcripts.join(pages, transcripts["id"] == pages["transcript_id"], "left")
-    empty = F.array().cast(pages.schema["segments"].dataType)
-    return joined.select(
-        *[transcripts[c] for c in transcripts.columns],
-        F.coalesce(pages["page"], F.lit(0)).alias("page"),
-        F.coalesce(pages["segments"], empty).alias("segments"))
+    heads = transcripts.withColumn("transcript_id", F.col("id"))
+    shown = heads_with_pages(heads.drop("text"), segments, page_segments)
+    texts = transcripts.select(F.col("id").alias("transcript_id"), F.lit(0).alias("page"), "text")
+    return shown.join(texts, ["transcript_id", "page"], "left").select(
+        *transcripts.columns, "page", "segments")
 
 
 def transcript_of(recording_id: str, transcripts: DataFrame, segments: DataFrame) -> DataFrame:

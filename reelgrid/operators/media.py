@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reelgrid.operators.running import with_group_facts
+
 # Frame format codes, bytes per pixel and size bounds.
 RAW_FRAME_FORMAT = 7
 PACKED_FRAME_FORMAT = 8
@@ -76,7 +78,7 @@ def check_frames(frames: DataFrame) -> DataFrame:
     a reason for each bad one. Sizes are compared with the stream's first frame."""
     first = frames.groupBy("stream_id").agg(
         F.min_by(F.struct("width", "height"), "frame_seq").alias("_first"))
-    joined = frames.join(first, "stream_id")
+    joined = with_group_facts(frames, first, ["stream_id"], "frame_seq")
     expected = F.col("width") * F.col("height") * BYTES_PER_PIXEL
     code = F.col("format_code")
     reason = (

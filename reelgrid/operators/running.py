@@ -65,3 +65,17 @@ def running_before(df: DataFrame, keys: list[str], order: str,
         *df.columns,
         *[_merge(how, F.col(f"_c_{name}"), F.col(f"_l_{name}")).alias(name)
           for name, (how, _) in specs.items()])
+
+
+def with_group_facts(rows: DataFrame, facts: DataFrame, keys: list[str], order: str,
+                     chunk_width: int = CHUNK_WIDTH) -> DataFrame:
+    """Join one row of facts per group to all rows of the group, also where a group holds a
+    large share of the rows.
+
+    A plain join would bring a whole group into one task. The facts are first given to the
+    (group, chunk) pairs that occur, which are few, and the rows meet them on both keys.
+    Only groups with facts are kept.
+    """
+    chunked = rows.withColumn("_chunk", _chunk_of(F.col(order), chunk_width))
+    pairs = chunked.select(*keys, "_chunk").distinct().join(facts, keys)
+    return chunked.join(pairs, [*keys, "_chunk"]).drop("_chunk")

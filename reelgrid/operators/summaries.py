@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from reelgrid.functions import display as dp
 from reelgrid.functions import text as tx
 from reelgrid.functions import variants as vr
-from reelgrid.operators.transcripts import PAGE_SEGMENTS, page_text, segment_pages
+from reelgrid.operators.transcripts import PAGE_SEGMENTS, heads_with_pages, page_text
 
 # Outputs a payload asks for.
 REQUESTED_OUTPUTS = ("summary", "action_items", "decisions", "questions", "risks", "chapters")
@@ -57,22 +57,21 @@ def summary_payloads(recordings: DataFrame, transcripts: DataFrame, segments: Da
     t = transcripts.select(
         F.col("id").alias("transcript_id"), "recording_id", "language", "model_name",
         F.col("text").alias("stored"), F.col("status").alias("transcript_status"))
-    pages = segment_pages(segments.join(t.where("transcript_status = 'completed'"),
-                                        "transcript_id", "left_semi"), page_segments)
     r = recordings.select(F.col("id").alias("recording_id"), "title", "status", "captured_at",
                           "duration_ms", "completed_at")
-    facts = segments.groupBy("transcript_id").agg(
-        F.bool_or(tx.trim_space(F.col("text")) != "").alias("has_words"),
-        F.floor(F.min("segment_index") / page_segments).cast("bigint").alias("first_page"))
-    joined = (r.join(t, "recording_id")
-              .join(facts, "transcript_id", "left").join(pages, "transcript_id", "left"))
+    words = segments.groupBy("transcript_id").agg(
+        F.bool_or(tx.trim_space(F.col("text")) != "").alias("has_words"))
+    heads = r.join(t, "recording_id").join(words, "transcript_id", "left")
     if notes is None:
-        joined = joined.withColumn("notes", F.lit(None).cast("string"))
+        heads = heads.withColumn("notes", F.lit(None).cast("string"))
     else:
-        joined = joined.join(notes.select("recording_id", "notes"), "recording_id", "left")
-    part = F.coalesce(F.col("page") - F.col("first_page"), F.lit(0))
+        heads = heads.join(notes.select("recording_id", "notes"), "recording_id", "left")
+    ready = segments.join(t.where("transcript_status = 'completed'").select("transcript_id"),
+                          "transcript_id", "left_semi")
+    joined = heads_with_pages(heads, ready, page_segments)
+    part = F.col("page")
     stored = F.col("stored")
-    body = (F.when(stored.isNull(), F.coalesce(page_text(F.col("segments")), F.lit("")))
+    body = (F.when(stored.isNull(), page_text(F.col("segments")))
             .when(part == 0, stored).otherwise(F.lit("")))
     usable = F.when(stored.isNull(), F.coalesce("has_words", F.lit(False))).otherwise(
         tx.trim_space(stored) != "")
@@ -82,8 +81,7 @@ def summary_payloads(recordings: DataFrame, transcripts: DataFrame, segments: Da
                F.lit("a completed transcript is required"))
         .when(~F.col("usable"), F.lit("transcript text is required")))
     items = F.transform(
-        F.coalesce("segments", F.array().cast(
-            "array<struct<segment_index:bigint,start_ms:bigint,end_ms:bigint,text:string>>")),
+        "segments",
         lambda s: F.struct(s["segment_index"].alias("index"), s["start_ms"].alias("startMs"),
                            s["end_ms"].alias("endMs"), s["text"].alias("text")))
     payload = F.to_json(

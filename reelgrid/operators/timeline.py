@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelgrid.operators.running import CHUNK_WIDTH, running_before
+from reelgrid.operators.running import CHUNK_WIDTH, running_before, with_group_facts
 
 # Supported PCM sample formats and the bytes one sample takes.
 SAMPLE_BYTES = {"i8": 1, "u8": 1, "i16": 2, "u16": 2, "i24": 4, "i32": 4, "u24": 4, "u32": 4,
@@ -120,8 +120,8 @@ def resample(samples: DataFrame, rates: DataFrame | int, rate_out: int, values:
         facts = lengths.join(rates.select(key, F.col("sample_rate").alias("_in")), key)
     facts = facts.withColumn(
         "_frames", F.expr(f"(_n * {rate_out}L + _in div 2) div _in"))
-    rows = _with_next(samples, key, values, chunk_width).join(
-        facts.where("_in > 0"), key)
+    rows = with_group_facts(_with_next(samples, key, values, chunk_width),
+                            facts.where("_in > 0"), [key], "frame", chunk_width)
     # Smallest output frame at or after an input frame: ceil(frame * out / in).
     first = F.expr(f"(frame * {rate_out}L + _in - 1) div _in")
     last = F.expr(f"least(((frame + 1) * {rate_out}L + _in - 1) div _in, _frames) - 1")
@@ -146,7 +146,7 @@ def source_gains(levels: DataFrame, sources: DataFrame) -> DataFrame:
 
 def mix(samples: DataFrame, gains: DataFrame) -> DataFrame:
     """recording_id, frame, left, right: equal-gain sum as long as the longest source."""
-    return samples.join(gains, "stream_id").groupBy("recording_id", "frame").agg(
+    return with_group_facts(samples, gains, ["stream_id"], "frame").groupBy("recording_id", "frame").agg(
         F.sum(F.col("left") * F.col("gain")).alias("left"),
         F.sum(F.col("right") * F.col("gain")).alias("right"))
 

@@ -115,6 +115,25 @@ def segment_pages(segments: DataFrame, page_segments: int = PAGE_SEGMENTS) -> Da
         F.array_sort(F.collect_list(item)).alias("segments"))
 
 
+def heads_with_pages(heads: DataFrame, segments: DataFrame,
+                     page_segments: int = PAGE_SEGMENTS) -> DataFrame:
+    """Rows of ``heads`` (with transcript_id) once per page of their segments.
+
+    Adds page, counted from the transcript's first one, and segments. Transcripts without
+    segments keep one row with an empty array. The pages are the left side of an inner
+    join, which Spark can split where one transcript owns very many of them.
+    """
+    first = F.floor(F.min("segment_index") / page_segments).cast("bigint")
+    facts = segments.groupBy("transcript_id").agg(first.alias("_first"))
+    known = heads.join(facts, "transcript_id", "left")
+    pages = segment_pages(segments, page_segments)
+    filled = pages.join(known.where("_first IS NOT NULL"), "transcript_id").select(
+        *heads.columns, (F.col("page") - F.col("_first")).alias("page"), "segments")
+    empty = F.array().cast(pages.schema["segments"].dataType)
+    return filled.unionByName(known.where("_first IS NULL").select(
+        *heads.columns, F.lit(0).cast("bigint").alias("page"), empty.alias("segments")))
+
+
 def page_text(segments: Column, trim: bool = True) -> Column:
     """Segment texts of a page joined by one space."""
     texts = F.transform(segments, lambda s: tx.trim_space(s["text"]) if trim else s["text"])
@@ -132,7 +151,6 @@ def transcript_preview(transcripts: DataFrame, segments: DataFrame,
         "recording_id", F.lit(0).cast("bigint").alias("page"), F.col("text").alias("preview"))
     without = transcripts.where(~has_text).select(F.col("id").alias("transcript_id"), "recording_id")
     wanted = segments.join(without, "transcript_id", "left_semi")
-    joined = without.join(segment_pages(wanted, page_segments), "transcript_id", "left").select(
-        "recording_id", F.coalesce("page", F.lit(0)).alias("page"),
-        F.coalesce(page_text(F.col("segments"), trim=False), F.lit("")).alias("preview"))
+    joined = heads_with_pages(without, wanted, page_segments).select(
+        "recording_id", "page", page_text(F.col("segments"), trim=False).alias("preview"))
     return stated.unionByName(joined)
