@@ -63,6 +63,11 @@ def normal_title(c: Column) -> Column:
     return F.coalesce(blank_to_null(c), F.lit(DEFAULT_TITLE))
 
 
+def is_ascii(text: Column) -> Column:
+    """True when every character takes one byte."""
+    return F.octet_length(text) == F.char_length(text)
+
+
 def raw_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0))
 
@@ -70,13 +75,16 @@ def raw_tokens(text: Column) -> Column:
 def index_tokens(text: Column) -> Column:
     """Folded tokens of a text in order, one per raw token; empty for a null text.
 
-    The text is folded as a whole, which keeps token borders; only texts that
-    hold combining marks pay for a step per token.
+    The text is folded as a whole, which keeps token borders. ASCII texts take a plain
+    pattern, and only texts that hold combining marks pay for a step per token.
     """
-    tokens = raw_tokens(F.translate(F.lower(text), FOLD_FROM, FOLD_TO))
-    marked = text.rlike(r"\p{Mn}") | F.lower(text).rlike(r"\p{Mn}")
+    lower = F.lower(text)
+    plain = F.regexp_extract_all(lower, F.lit("[a-z0-9]+"), F.lit(0))
+    tokens = raw_tokens(F.translate(lower, FOLD_FROM, FOLD_TO))
     bare = F.transform(tokens, lambda t: F.regexp_replace(t, r"\p{Mn}+", ""))
-    return F.coalesce(F.when(marked, bare).otherwise(tokens), F.array().cast("array<string>"))
+    return F.coalesce(
+        F.when(is_ascii(text), plain).when(lower.rlike(r"\p{Mn}"), bare).otherwise(tokens),
+        F.array().cast("array<string>"))
 
 
 def query_tokens(query: Column) -> Column:

@@ -152,7 +152,9 @@ def guardrail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sm.guardrail_verdicts(_page_payloads(spark, sf_dir), ["page_id"])
 
 
-_PATH_SQL = f"regexp_matches(replace(lower(trim({{0}}, ' \t\r\n')), '\\', '/'), '{sm.VALUE_PATTERN}')"
+_VALUE_PATTERN = "^(/users/|/var/|/tmp/)|" + "|".join(
+    w.replace(".", r"\.") for w in sm.PATH_PARTS + sm.MEDIA_PATH_MARKERS)
+_PATH_SQL = f"regexp_matches(replace(lower(trim({{0}}, ' \t\r\n')), '\\', '/'), '{_VALUE_PATTERN}')"
 GUARDRAIL_SQL = f"""
 WITH b AS (SELECT page_id, CAST({_PATH_SQL.format('html')} AS INTEGER) AS html_bad,
                   CAST({_PATH_SQL.format('url')} AS INTEGER) AS url_bad,
