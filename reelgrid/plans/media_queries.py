@@ -17,11 +17,11 @@ RATE = 16000
 
 def event_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as audio blocks of one stream per user, in event order."""
-    ts = F.unix_micros(F.col("ts").cast("timestamp"))
+    seconds = F.expr("timestampdiff(SECOND, timestamp_ntz'2024-01-01 00:00:00', ts)")
     return st.given(spark, sf_dir, "events").select(
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("stream_id"),
         F.col("event_id").alias("block_seq"),
-        F.floor((ts - F.lit(1704067200000000)) / 1000000).alias("elapsed_ms"),
+        seconds.alias("elapsed_ms"),
         F.lit(RATE).cast("bigint").alias("sample_rate"),
         F.round(F.col("value") * 10000).cast("bigint").alias("frames"))
 
