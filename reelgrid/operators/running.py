@@ -16,7 +16,7 @@ CHUNK_WIDTH = 65536
 
 
 def _chunk_of(order: Column, width: int) -> Column:
-    return F.floor(order / F.lit(width)).cast("bigint")
+    return F.call_function("div", order.cast("bigint"), F.lit(width).cast("bigint"))
 
 
 def _merge(how: str, carried: Column, local: Column) -> Column:

@@ -142,14 +142,17 @@ def _violations(payloads: DataFrame, keys: list[str], max_depth: int) -> DataFra
     deep = F.transform(
         F.filter(f"level_{max_depth}", lambda n: vr.kind(n["v"]).rlike("^(OBJECT|ARRAY)")),
         lambda n: F.struct(n["location"].alias("location"), F.lit("depth").alias("kind")))
+    unreadable = F.array(F.struct(F.lit("$").alias("location"), F.lit("unreadable").alias("kind")))
     return rows.select(
-        *keys, F.concat(F.flatten(F.transform(nodes, checked)), deep).alias("found"))
+        *keys, F.when(F.col("level_0")[0]["v"].isNull(), unreadable).otherwise(
+            F.concat(F.flatten(F.transform(nodes, checked)), deep)).alias("found"))
 
 
 def guardrail_violations(payloads: DataFrame, keys: list[str],
                          max_depth: int = MAX_DEPTH) -> DataFrame:
-    """keys, location, kind for each forbidden key (``key``, located by its parent), likely media path (``value``)
-    and nesting beyond ``max_depth`` (``depth``), which is refused unread."""
+    """keys, location, kind for each forbidden key (``key``, located by its parent), likely media path
+    (``value``), nesting beyond ``max_depth`` (``depth``), and for a payload that is missing or
+    no JSON (``unreadable``). The last two are refused unread."""
     return _violations(payloads, keys, max_depth).select(*keys, F.inline("found"))
 
 
@@ -235,7 +238,3 @@ def list_items(lists: DataFrame, keys: list[str], column: str) -> DataFrame:
         *keys, F.lit(0).cast("bigint").alias("position"), F.col(column).alias("primary"),
         F.lit("").alias("detail"))
     return rows.where(F.col("primary") != "").unionByName(broken)
-
-
-def reply_error(error: Column) -> Column:
-    return tx.compact_error(error)

@@ -128,6 +128,8 @@ def test_guardrails(spark):
     assert verdict(spark, {"a": "plain text", "b": [1, None, True]}) == []
     assert verdict(spark, {"a": {"b": {"c": 1}}}, depth=2) == [("$.a.b", "depth")]
     assert verdict(spark, {"a": {"b": "x"}}, depth=2) == []
+    bad = spark.createDataFrame([(1, "{oops"), (2, None)], "n int, payload string")
+    assert [(r.accepted, r.violations) for r in sm.guardrail_verdicts(bad, ["n"]).collect()] == [(False, 1)] * 2
 
 
 def test_replies_and_items(spark):
