@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from reelgrid.llm.neighbours import op9_neighbours
+from reelgrid.llm.packing import op5_packing
 from reelgrid.llm.simhash import op2_simhash
 from reelgrid.llm.topk import OP8_SQL, op8_exact_topk
 from reelgrid.llm.urls import OP3_SQL, op3_url_filter
 
-QUERIES = {"op2_simhash": op2_simhash, "op3_url_filter": op3_url_filter,
+QUERIES = {"op5_packing": op5_packing, "op2_simhash": op2_simhash, "op3_url_filter": op3_url_filter,
            "op8_exact_topk": op8_exact_topk, "op9_neighbours": op9_neighbours}
 SQL = {"op3_url_filter": OP3_SQL, "op8_exact_topk": OP8_SQL}

@@ -99,15 +99,14 @@ def links(codes: DataFrame, limit: int = DIFFERENCES, bucket: int = BUCKET) -> D
     that more codes than that cannot differ. Each bucket is searched by a Gray-order index and
     gives a spanning forest, never all its pairs.
     """
-    spark = codes.sparkSession
     parents, free, found = [0], 64, []
     rest = codes.select(F.lit(0).cast("long").alias("mask"), "code")
     while True:
-        steps = [(_signed(m), _signed(c)) for m in parents for c in sub_masks(m, limit + 1)]
-        step = spark.createDataFrame(steps, "mask long, child long")
-        # (limit + 1) ** depth rows of two longs, at most 4096 for three bits
-        rows = rest.join(F.broadcast(step), "mask").select(F.col("child").alias("mask"), "code")
-        parents = sorted({c & (1 << 64) - 1 for _, c in steps})
+        children = {m: sub_masks(m, limit + 1) for m in parents}
+        step = F.create_map(*(x for m, below in children.items() for x in (
+            F.lit(_signed(m)), F.array(*(F.lit(_signed(c)) for c in below)))))
+        rows = rest.select(F.explode(step[F.col("mask")]).alias("mask"), "code")
+        parents = sorted({c for below in children.values() for c in below})
         free = 64 - min(p.bit_count() for p in parents)
         if 1 << free <= bucket:
             found.append(_links_in_buckets(rows, limit))
