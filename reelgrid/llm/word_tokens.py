@@ -8,6 +8,8 @@ import re
 import numpy as np
 import regex
 
+from reelgrid.llm.words import WordIndex, grown
+
 MOST_WORDS = 300_000
 
 # The tokenizer file's own split pattern.
@@ -42,7 +44,7 @@ class WordTokens:
         self.clear()
 
     def clear(self):
-        self.place: dict[bytes, int] = {}
+        self.words = WordIndex()
         self.pieces: dict[str, list[int]] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 12, np.int64)
@@ -69,13 +71,10 @@ class WordTokens:
     def _keep(self, words: list[bytes]):
         found = [self._word(w) for w in words]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        first = len(self.place) - len(words)
-        while len(self.place) > len(self.starts):
-            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)])
-                                       for x in (self.starts, self.sizes))
+        first = len(self.words) - len(words)
+        self.starts, self.sizes = (grown(x, len(self.words)) for x in (self.starts, self.sizes))
         total = int(sizes.sum())
-        while self.used + total > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids = grown(self.ids, self.used + total)
         self.ids[self.used:self.used + total] = np.fromiter(
             (i for x in found for i in x), np.uint32, total)
         self.starts[first:first + len(words)] = self.used + np.cumsum(sizes) - sizes
@@ -84,22 +83,11 @@ class WordTokens:
 
     def encode(self, texts: list[bytes], end: int) -> list[np.ndarray]:
         """Ids of each text, with ``end`` after them."""
-        if len(self.place) > MOST_WORDS:
+        if len(self.words) > MOST_WORDS:
             self.clear()
-        place, new, at = self.place, [], []
-        counts = np.zeros(len(texts), np.int64)
-        for k, text in enumerate(texts):
-            words = text.split()
-            counts[k] = len(words)
-            for w in words:
-                n = place.get(w)
-                if n is None:
-                    n = place[w] = len(place)
-                    new.append(w)
-                at.append(n)
+        at, counts, new = self.words.look_up(texts)
         if new:
             self._keep(new)
-        at = np.array(at, np.int64)
         sizes = self.sizes[at]
         before = np.cumsum(sizes) - sizes
         flat = self.ids[np.repeat(self.starts[at] - before, sizes) + np.arange(sizes.sum())]
