@@ -150,10 +150,14 @@ def piece_digests(pieces: DataFrame) -> DataFrame:
                          "doc_tokens", "sequence_id", "offset")
 
 
-def op5_packing(spark, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """Digests of the packed pieces, by the public tokenizer file or the one at ``tokenizer``."""
     if tokenizer is None:
         import public_tokenizers
 
         tokenizer = public_tokenizers.path(TOKENIZER)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return piece_digests(pack(docs, definition_of(tokenizer)))
+
+
+def op5_packing(spark, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents").select("doc_id", "text"))
