@@ -5,12 +5,14 @@ from __future__ import annotations
 from reelgrid.llm.neighbours import op9_neighbours
 from reelgrid.llm.packing import op5_packing
 from reelgrid.llm.quality import op4_quality
+from reelgrid.llm.sentencepieces import op1_sentencepiece
 from reelgrid.llm.simhash import op2_simhash
+from reelgrid.llm.token_counts import op6_token_counts
 from reelgrid.llm.topk import OP8_SQL, op8_exact_topk
 from reelgrid.llm.toxicity import op10_toxicity
 from reelgrid.llm.urls import OP3_SQL, op3_url_filter
 
 QUERIES = {f.__name__: f for f in (
-    op2_simhash, op3_url_filter, op4_quality, op5_packing, op8_exact_topk, op9_neighbours,
-    op10_toxicity)}
+    op1_sentencepiece, op2_simhash, op3_url_filter, op4_quality, op5_packing, op6_token_counts,
+    op8_exact_topk, op9_neighbours, op10_toxicity)}
 SQL = {"op3_url_filter": OP3_SQL, "op8_exact_topk": OP8_SQL}
