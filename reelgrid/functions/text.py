@@ -17,7 +17,7 @@ TRIM_PATTERN = f"^[{SPACE_CLASS}]+|[{SPACE_CLASS}]+$"
 # combining marks attached to them.
 TOKEN_PATTERN = r"[\p{L}\p{N}\p{Co}\p{Mn}]+"
 # A query keeps the underscore inside a token; the index separates on it.
-QUERY_TOKEN_PATTERN = r"[\p{L}\p{N}_]+"
+QUERY_TOKEN_PATTERN = r"[\p{IsAlphabetic}\p{N}_]+"
 
 # Display labels of the job kinds.
 JOB_KIND_LABELS = {
@@ -55,6 +55,11 @@ def trim_space(c: Column) -> Column:
     return F.regexp_replace(c, TRIM_PATTERN, "")
 
 
+def has_words(c: Column) -> Column:
+    """Whether a text has any character that is not white space; stops at the first."""
+    return c.rlike(f"[^{SPACE_CLASS}]")
+
+
 def blank_to_null(c: Column) -> Column:
     return F.nullif(trim_space(c), F.lit(""))
 

@@ -123,12 +123,14 @@ def drop_children(children: DataFrame, recordings: DataFrame) -> DataFrame:
 
 
 def release_jobs(jobs: DataFrame, recordings: DataFrame) -> DataFrame:
-    """Jobs of deleted recordings stay, without their recording."""
+    """Jobs of deleted recordings stay, without their recording. Jobs that have none already
+    go round the join, where their null keys would meet in one task."""
     alive = recordings.select(F.col("id").alias("_alive"))
-    joined = jobs.join(alive, F.col("recording_id") == F.col("_alive"), "left")
+    own = jobs.where("recording_id IS NOT NULL")
+    joined = own.join(alive, F.col("recording_id") == F.col("_alive"), "left")
     return joined.select(*[
         F.col("_alive").alias("recording_id") if c == "recording_id" else F.col(c)
-        for c in jobs.columns])
+        for c in jobs.columns]).unionByName(jobs.where("recording_id IS NULL"))
 
 
 def evolve(rows: DataFrame, schema: T.StructType, defaults: dict) -> DataFrame:

@@ -176,13 +176,16 @@ def retry_jobs(jobs: DataFrame, ids: DataFrame, now: Column | str | None = None)
 
 
 def retry_effects(jobs: DataFrame, ids: DataFrame) -> dict[str, DataFrame]:
-    """What a retry does to the recording: change frames for the upsert operators."""
+    """What a retry does to the recording: change frames for the upsert operators. A retry
+    whose model name is refused changes no transcript; ``refused`` has it with the error."""
     chosen = jobs.join(ids.select("id"), "id", "left_semi").where("recording_id IS NOT NULL")
     nothing = F.lit(None).cast("string")
     encode = chosen.where("kind = 'encode_recording'").select("recording_id").distinct()
-    name, _ = tx.model_name(input_model(F.col("input_json")))
-    speech = chosen.where(F.col("kind").isin(*TRANSCRIPT_KINDS)).groupBy("recording_id").agg(
-        F.max_by(name, F.struct("updated_at", "id")).alias("model_name"))
+    name, error = tx.model_name(input_model(F.col("input_json")))
+    named = F.struct(name.alias("model_name"), error.alias("error"))
+    asked = chosen.where(F.col("kind").isin(*TRANSCRIPT_KINDS)).groupBy("recording_id").agg(
+        F.max_by(named, F.struct("updated_at", "id")).alias("n")).select("recording_id", "n.*")
+    speech = asked.where("error IS NULL")
     summary = chosen.where("kind = 'ai_summary'").groupBy("recording_id").agg(
         F.max_by(input_notes(F.col("input_json")), F.struct("updated_at", "id")).alias("notes"))
     return {
@@ -197,6 +200,7 @@ def retry_effects(jobs: DataFrame, ids: DataFrame) -> dict[str, DataFrame]:
             nothing.alias("completed_at"), nothing.alias("failure_message")),
         "summaries": summary.select(
             "recording_id", F.lit("processing").alias("status"), "notes"),
+        "refused": asked.where("error IS NOT NULL").select("recording_id", "error"),
     }
 
 

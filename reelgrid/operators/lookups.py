@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelgrid.functions import text as tx
-from reelgrid.operators.transcripts import PAGE_SEGMENTS, heads_with_pages
+from reelgrid.operators.transcripts import with_position
 
 
 def by_id(table: DataFrame, row_id: str) -> DataFrame:
@@ -42,23 +42,25 @@ def list_jobs(jobs: DataFrame, state: str | None = None,
     return found.orderBy(F.desc("created_at"), "id")
 
 
-def nested_transcripts(transcripts: DataFrame, segments: DataFrame,
-                       page_segments: int = PAGE_SEGMENTS) -> DataFrame:
-    """Transcripts with their segments nested in index order.
+def nested_transcripts(transcripts: DataFrame, segments: DataFrame) -> DataFrame:
+    """Transcripts with their segments as flat rows: position (from 0, in index order),
+    segment_index, start_ms, end_ms, segment_text beside the transcript's columns.
 
-    One row per page of segments (see ``segment_pages``); a transcript without
-    segments keeps one row with an empty array. The transcript text goes with page 0.
+    The transcript's own text stands in its first row only. A transcript without segments
+    keeps one row with null segment columns.
     """
-    heads = transcripts.withColumn("transcript_id", F.col("id"))
-    shown = heads_with_pages(heads.drop("text"), segments, page_segments)
-    texts = transcripts.select(F.col("id").alias("transcript_id"), F.lit(0).alias("page"), "text")
-    return shown.join(texts, ["transcript_id", "page"], "left").select(
-        *transcripts.columns, "page", "segments")
+    flat = with_position(segments).select(
+        F.col("transcript_id").alias("id"), "position", "segment_index", "start_ms", "end_ms",
+        F.col("text").alias("segment_text"))
+    own = F.when(F.coalesce("position", F.lit(0)) == 0, F.col("text")).alias("text")
+    return transcripts.join(flat, "id", "left").select(
+        *[own if c == "text" else F.col(c) for c in transcripts.columns], "position",
+        "segment_index", "start_ms", "end_ms", "segment_text")
 
 
 def transcript_of(recording_id: str, transcripts: DataFrame, segments: DataFrame) -> DataFrame:
     return nested_transcripts(by_recording(transcripts, recording_id),
-                              by_recording(segments, recording_id)).orderBy("page")
+                              by_recording(segments, recording_id)).orderBy("position")
 
 
 def overview(tables: dict[str, DataFrame]) -> DataFrame:
@@ -78,12 +80,6 @@ def asset_paths(recordings: DataFrame, root: str) -> DataFrame:
         tx.resolve_path(F.col("thumbnail_path"), root).alias("thumbnail_path"))
 
 
-def summary_eligible(recording_status: Column, transcript_status: Column,
-                     preview: Column) -> Column:
-    ready = (recording_status == "completed") & (transcript_status == "completed")
-    return F.coalesce(ready & (tx.trim_space(preview) != ""), F.lit(False))
-
-
 def encode_retry_eligible(recording_status: Column, session_status: Column) -> Column:
     return F.coalesce((recording_status == "failed") & (session_status == "stopped"),
                       F.lit(False))
@@ -103,7 +99,7 @@ def _job_totals(jobs: DataFrame) -> DataFrame:
 def _has_words(segments: DataFrame) -> DataFrame:
     return segments.groupBy("transcript_id").agg(
         F.count("*").alias("segment_count"),
-        F.bool_or(tx.trim_space(F.col("text")) != "").alias("segments_have_text"))
+        F.bool_or(tx.has_words(F.col("text"))).alias("segments_have_text"))
 
 
 def recording_detail(recordings: DataFrame, transcripts: DataFrame, segments: DataFrame,
@@ -125,7 +121,7 @@ def recording_detail(recordings: DataFrame, transcripts: DataFrame, segments: Da
         .join(_job_totals(jobs), "recording_id", "left")
         .join(_has_words(segments), "transcript_id", "left"))
     own_text = F.nullif(F.col("transcript_text"), F.lit(""))
-    words = F.when(own_text.isNotNull(), tx.trim_space(own_text) != "").otherwise(
+    words = F.when(own_text.isNotNull(), tx.has_words(own_text)).otherwise(
         F.coalesce("segments_have_text", F.lit(False)))
     ready = (F.col("status") == "completed") & (F.col("transcript_status") == "completed")
     return rows.select(

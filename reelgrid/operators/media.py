@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reelgrid.functions import text as tx
 from reelgrid.operators.running import with_group_facts
 
 # Frame format codes, bytes per pixel and size bounds.
@@ -15,8 +16,6 @@ ENCODE_BOUND = (1920, 1080)
 CAPTURE_BOUND = (1280, 720)
 THUMBNAIL_WIDTH = 480
 
-ERROR_PAGE = 4096
-
 
 def _whole_ratio(numerator: Column, denominator: Column) -> Column:
     """Rounded quotient of two whole numbers, in whole-number arithmetic."""
@@ -109,7 +108,7 @@ def manifest_problem() -> Column:
         F.when((F.col("width") <= 0) | (F.col("height") <= 0) | (F.col("frameRate") <= 0),
                F.lit("invalid size or frame rate"))
         .when((F.col("frameCount") <= 0) | (n <= 0), F.lit("no finished chunks"))
-        .when(F.exists(chunks, lambda c: F.trim(c["path"]) == ""), F.lit("chunk without path"))
+        .when(F.exists(chunks, lambda c: ~tx.has_words(c["path"])), F.lit("chunk without path"))
         .when(F.exists(chunks, lambda c: c["frameCount"] <= 0), F.lit("empty chunk"))
         .when(total != F.col("frameCount"), F.lit("frame count mismatch")))
 
@@ -147,13 +146,8 @@ def capture_stats(events: DataFrame) -> DataFrame:
     ).withColumn("status", F.when(F.col("error_count") > 0, "failed").otherwise("stopped"))
 
 
-def failure_messages(events: DataFrame, page: int = ERROR_PAGE) -> DataFrame:
-    """session_id, part, failure_message: errors in order, joined by a semicolon. Errors
-    are grouped by stretches of ``page`` sequence numbers, so a session that reports
-    errors without end goes on in further parts."""
-    part = F.floor(F.col("seq") / page).cast("bigint").alias("part")
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "message")))
-    return events.where("kind = 'error'").groupBy("session_id", part).agg(
-        ordered.alias("errors")).select(
-        "session_id", "part",
-        F.array_join(F.transform("errors", lambda e: e["message"]), "; ").alias("failure_message"))
+def failure_messages(events: DataFrame) -> DataFrame:
+    """session_id, seq, message: every error of every session, in order of seq. A session's
+    failure text is these messages joined by a semicolon; kept as rows, a session that
+    reports errors without end needs no large group."""
+    return events.where("kind = 'error'").select("session_id", "seq", "message")

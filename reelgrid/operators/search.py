@@ -27,6 +27,7 @@ DEFAULT_LIMIT = 50
 MAX_LIMIT = 100
 SNIPPET_TOKENS = 18
 # Folders a stored index is cut into by hash of the term.
+SALTS = 16
 TERM_BUCKETS = 64
 
 
@@ -99,7 +100,8 @@ def build_index(segments: DataFrame, transcripts: DataFrame) -> SearchIndex:
     return index_segments(searchable_segments(segments, transcripts))
 
 
-def _write_by_term(rows: DataFrame, path: str, mode: str, buckets: int) -> None:
+def write_by_term(rows: DataFrame, path: str, mode: str, buckets: int) -> None:
+    """Write index rows to folders by term bucket, ordered by term."""
     order = ["term_bucket", "term", "segment_id"]
     (rows.withColumn("term_bucket", term_bucket(F.col("term"), buckets))
      .repartitionByRange(*order).sortWithinPartitions(*order)
@@ -108,8 +110,8 @@ def _write_by_term(rows: DataFrame, path: str, mode: str, buckets: int) -> None:
 
 def _write_base(index: SearchIndex, path: str, mode: str, buckets: int) -> None:
     """Documents are written last, so a write cut short is found missing again."""
-    _write_by_term(index.postings, f"{path}/postings", mode, buckets)
-    _write_by_term(index.positions, f"{path}/positions", mode, buckets)
+    write_by_term(index.postings, f"{path}/postings", mode, buckets)
+    write_by_term(index.positions, f"{path}/positions", mode, buckets)
     index.documents.write.mode(mode).parquet(f"{path}/documents")
 
 
@@ -268,15 +270,11 @@ def match_and_rank(queries: DataFrame, index: SearchIndex) -> DataFrame:
     looked up for those alone, on (phrase, segment).
     """
     words = parse_queries(queries)
-    adjacency = not words.where("n_words > 1").isEmpty()
-    hits = single_hits(words, index)
+    adjacent = adjacent_hits(words, index)
+    hits = single_hits(words, index).unionByName(adjacent)
     frequency = words.where("n_words = 1").select("phrase", "term").distinct().join(
-        index.terms, "term").select("phrase", "df")
-    if adjacency:
-        adjacent = adjacent_hits(words, index)
-        hits = hits.unionByName(adjacent)
-        frequency = frequency.unionByName(
-            adjacent.groupBy("phrase").agg(F.count("*").alias("df")))
+        index.terms, "term").select("phrase", "df").unionByName(
+        adjacent.groupBy("phrase").agg(F.count("*").alias("df")))
     phrases = words.select("query_id", "n_phrases", "phrase_no", "phrase").distinct().join(
         frequency, "phrase")
     complete = (
@@ -284,19 +282,24 @@ def match_and_rank(queries: DataFrame, index: SearchIndex) -> DataFrame:
         .agg(F.count("*").alias("found"), F.min_by("phrase", F.struct("df", "phrase_no"))
              .alias("rarest"))
         .where("found = n_phrases").select("query_id", F.col("rarest").alias("phrase")))
-    candidates = complete.join(hits.select("phrase", "segment_id"), "phrase").select(
+    # A phrase of very many segments that is the rarest of many queries is dealt over SALTS.
+    salt = F.pmod(F.xxhash64("segment_id"), F.lit(SALTS)).cast("int").alias("salt")
+    candidates = complete.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).join(
+        hits.select("phrase", "segment_id", salt), ["phrase", "salt"]).select(
         "query_id", "segment_id")
     scored = (
         candidates.join(phrases, "query_id")
         .join(hits, ["phrase", "segment_id"])
-        .select("query_id", "n_phrases", *SEGMENT_FACTS,
+        .select("query_id", "n_phrases", "phrase_no", *SEGMENT_FACTS,
                 bm25(F.col("tf"), F.col("dl"), F.col("df"), index.corpus.select("n").scalar(),
                      index.corpus.select("avgdl").scalar()).alias("score")))
     return (
         scored.groupBy("query_id", "n_phrases", "segment_id", "transcript_id", "start_ms")
-        .agg(F.count("*").alias("matched"), F.sum("score").alias("score"))
-        .where("matched = n_phrases")
-        .select("query_id", "segment_id", "transcript_id", "start_ms", F.round("score", 9).alias("rank")))
+        .agg(F.array_sort(F.collect_list(F.struct("phrase_no", "score"))).alias("scores"))
+        .where(F.size("scores") == F.col("n_phrases"))
+        # added in the order of the query, so that equal segments get equal ranks
+        .select("query_id", "segment_id", "transcript_id", "start_ms", F.aggregate(
+            "scores", F.lit(0.0), lambda total, s: total + s["score"]).alias("rank")))
 
 
 def match_query(query: str, index: SearchIndex) -> DataFrame:
@@ -345,7 +348,7 @@ def match_query(query: str, index: SearchIndex) -> DataFrame:
         score = score + bm25(F.col(column), F.col("dl"), df, n, avgdl)
         present = present & F.col(column).isNotNull()
     return counted.where(present).select(
-        "segment_id", "transcript_id", "start_ms", F.round(score, 9).alias("rank"))
+        "segment_id", "transcript_id", "start_ms", score.alias("rank"))
 
 
 def _pruned(rows: DataFrame, terms: list[str], bucket_of: dict[str, int]) -> DataFrame:
@@ -389,16 +392,23 @@ def search_batch(queries: DataFrame, index: SearchIndex, segments: DataFrame,
                  limit: int | None = None) -> DataFrame:
     """Top hits of many queries.
 
+    Queries of the same phrases in the same order are searched once; their hits go to each
+    of them after the cut.
     Both windows keep at most k rows (and ties) per query inside each task before the
     shuffle, so a query that matches most segments stays cheap.
     """
     k = clamp_limit(limit)
+    asked = queries.select("query_id", F.to_json(tx.query_phrases(F.col("query"))).alias("same"),
+                           "query")
+    once = asked.groupBy("same").agg(F.min("query").alias("query")).withColumnRenamed(
+        "same", "query_id")
     by_rank = Window.partitionBy("query_id").orderBy("rank")
-    near = _live(match_and_rank(queries, index), transcripts).withColumn(
+    near = _live(match_and_rank(once, index), transcripts).withColumn(
         "near", F.rank().over(by_rank)).where(F.col("near") <= k).drop("near")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(*_result_order()))
     top = _dated(near, recordings).withColumn("place", place).where(F.col("place") <= k)
-    return _details(top, segments, recordings)
+    shown = _details(top, segments, recordings).withColumnRenamed("query_id", "same")
+    return asked.select("query_id", "same").join(shown, "same").drop("same")
 
 
 def search(query: str, index: SearchIndex, segments: DataFrame, transcripts: DataFrame,
@@ -419,7 +429,8 @@ def search(query: str, index: SearchIndex, segments: DataFrame, transcripts: Dat
     top = segments.sparkSession.createDataFrame(winners, keys.schema)
     rows = segments.where(F.col("recording_id").isin([w.recording_id for w in winners])
                           & F.col("id").isin([w.segment_id for w in winners]))
-    shown = _details(top, rows, recordings).withColumn(
+    wanted = recordings.where(F.col("id").isin([w.recording_id for w in winners]))
+    shown = _details(top, rows, wanted).withColumn(
         "snippet", snippet(F.col("text"), tx.query_phrases(F.lit(query))))
     return shown.orderBy(*_result_order())
 

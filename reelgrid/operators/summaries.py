@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelgrid.functions import display as dp
 from reelgrid.functions import text as tx
 from reelgrid.functions import variants as vr
-from reelgrid.operators.transcripts import PAGE_SEGMENTS, heads_with_pages, page_text
+from reelgrid.operators.transcripts import heads_with_pages, page_text
 
 # Outputs a payload asks for.
 REQUESTED_OUTPUTS = ("summary", "action_items", "decisions", "questions", "risks", "chapters")
@@ -28,9 +31,10 @@ TITLE_KEYS = ("title", "text", "summary", "question", "risk", "decision", "actio
 OWNER_KEYS = ("owner", "due", "status", "priority")
 REASON_KEYS = ("details", "rationale", "reason")
 
-MAX_DEPTH = 12
-
-
+# A JSON string literal, with the colon after it where it is a key.
+LITERAL_PATTERN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:\s*+:)?'
+SPACES = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028,
+                           0x2029, 0x202F, 0x205F, 0x3000]))
 KEY_PATTERN = "|".join(FORBIDDEN_KEY_FRAGMENTS)
 START_PATTERN = f"^[{tx.SPACE_CLASS}]*({'|'.join(PATH_STARTS)})"
 
@@ -47,13 +51,13 @@ def likely_media_path(text: Column) -> Column:
 
 def summary_payloads(recordings: DataFrame, transcripts: DataFrame, segments: DataFrame,
                      notes: DataFrame | None = None,
-                     page_segments: int = PAGE_SEGMENTS) -> DataFrame:
-    """recording_id, part, payload, error.
+                     page_segments: int | None = None) -> DataFrame:
+    """recording_id, part, parts, payload, error.
 
-    ``payload`` is JSON text. A recording whose transcript fits one page gives one
-    part with the whole payload. A longer one goes on in further parts of the same
-    shape, each with its own slice of segments; the stored transcript text goes
-    with part 0 and is never repeated or cut.
+    ``payload`` is JSON text: one for a recording with its whole text and segments. With
+    ``page_segments`` a transcript of more segments goes in several parts, by place, each
+    with its own segments and their text. A payload the guardrail refuses is not returned;
+    its error says so.
     """
     t = transcripts.select(
         F.col("id").alias("transcript_id"), "recording_id", "language", "model_name",
@@ -61,7 +65,7 @@ def summary_payloads(recordings: DataFrame, transcripts: DataFrame, segments: Da
     r = recordings.select(F.col("id").alias("recording_id"), "title", "status", "captured_at",
                           "duration_ms", "completed_at")
     words = segments.groupBy("transcript_id").agg(
-        F.bool_or(tx.trim_space(F.col("text")) != "").alias("has_words"))
+        F.bool_or(tx.has_words(F.col("text"))).alias("has_words"))
     heads = r.join(t, "recording_id").join(words, "transcript_id", "left")
     if notes is None:
         heads = heads.withColumn("notes", F.lit(None).cast("string"))
@@ -72,10 +76,10 @@ def summary_payloads(recordings: DataFrame, transcripts: DataFrame, segments: Da
     joined = heads_with_pages(heads, ready, page_segments)
     part = F.col("page")
     stored = F.col("stored")
-    body = (F.when(stored.isNull(), page_text(F.col("segments")))
-            .when(part == 0, stored).otherwise(F.lit("")))
+    body = F.when(stored.isNull() | (F.col("parts") > 1),
+                  page_text(F.col("segments"))).otherwise(stored)
     usable = F.when(stored.isNull(), F.coalesce("has_words", F.lit(False))).otherwise(
-        tx.trim_space(stored) != "")
+        tx.has_words(stored))
     base = joined.select("*", part.alias("part"), body.alias("body"), usable.alias("usable"))
     error = (
         F.when(F.col("transcript_status") != "completed",
@@ -97,72 +101,87 @@ def summary_payloads(recordings: DataFrame, transcripts: DataFrame, segments: Da
             tx.blank_to_null(F.col("notes")).alias("userNotes"),
             F.array(*map(F.lit, REQUESTED_OUTPUTS)).alias("requestedOutputs")),
         {"ignoreNullFields": "false"})
-    return base.select("recording_id", "part", error.alias("error"), payload.alias("payload")
-                       ).withColumn("payload", F.when(F.col("error").isNull(), F.col("payload")))
-
-
-def _children(node: Column) -> Column:
-    """Direct children of a JSON node with their location; none for a plain value."""
-    fields = F.map_entries(F.try_variant_get(node["v"], "$", "map<string,variant>"))
-    items = F.try_variant_get(node["v"], "$", "array<variant>")
-    named = F.transform(fields, lambda e: F.struct(
-        node["location"].alias("parent"),
-        F.concat(node["location"], F.lit("."), e["key"]).alias("location"),
-        e["key"].alias("key"), e["value"].alias("v")))
-    numbered = F.transform(items, lambda x, i: F.struct(
-        node["location"].alias("parent"),
-        F.concat(node["location"], F.lit("["), i.cast("string"), F.lit("]")).alias("location"),
-        F.lit(None).cast("string").alias("key"), x.alias("v")))
-    return F.coalesce(named, numbered, F.array().cast(NODES))
-
-
-NODES = "array<struct<parent:string,location:string,key:string,v:variant>>"
-
-
-def _violations(payloads: DataFrame, keys: list[str], max_depth: int) -> DataFrame:
-    """keys and the array of violations. A payload is one row, so its tree is opened level
-    by level inside the row, without a shuffle."""
-    none = F.lit(None).cast("string")
-    root = F.struct(none.alias("parent"), F.lit("$").alias("location"), none.alias("key"),
-                    F.try_parse_json("payload").alias("v"))
-    rows = payloads.select(*keys, F.array(root).alias("level_0"))
-    for depth in range(1, max_depth + 1):
-        rows = rows.withColumn(
-            f"level_{depth}", F.flatten(F.transform(f"level_{depth - 1}", _children)))
-    nodes = F.concat(*[F.col(f"level_{d}") for d in range(max_depth + 1)])
-
-    def checked(n: Column) -> Column:
-        key_hit = F.lower(n["key"]).rlike(KEY_PATTERN)
-        text = F.when(vr.kind(n["v"]) == "STRING", F.try_variant_get(n["v"], "$", "string"))
-        return F.array_compact(F.array(
-            F.when(key_hit, F.struct(n["parent"].alias("location"), F.lit("key").alias("kind"))),
-            F.when(likely_media_path(text),
-                   F.struct(n["location"].alias("location"), F.lit("value").alias("kind")))))
-
-    deep = F.transform(
-        F.filter(f"level_{max_depth}", lambda n: vr.kind(n["v"]).rlike("^(OBJECT|ARRAY)")),
-        lambda n: F.struct(n["location"].alias("location"), F.lit("depth").alias("kind")))
-    unreadable = F.array(F.struct(F.lit("$").alias("location"), F.lit("unreadable").alias("kind")))
-    return rows.select(
-        *keys, F.when(F.col("level_0")[0]["v"].isNull(), unreadable).otherwise(
-            F.concat(F.flatten(F.transform(nodes, checked)), deep)).alias("found"))
-
-
-def guardrail_violations(payloads: DataFrame, keys: list[str],
-                         max_depth: int = MAX_DEPTH) -> DataFrame:
+    made = base.select("recording_id", "part", "parts", error.alias("stated"),
+                       F.when(error.isNull(), payload).alias("made"))
+    checked = made.withColumn("error", F.coalesce("stated", F.when(
+        refused(F.col("made")), F.lit("payload holds a media path or field"))))
+    return checked.select("recording_id", "part", "parts", "error",
+                          F.when(F.col("error").isNull(), F.col("made")).alias("payload"))
+
+
+def refused(payload: Column) -> Column:
+    """Whether a payload is no JSON, or holds a forbidden key or a likely media path at any
+    depth. One pass over its string literals; one that a colon follows is a key."""
+    found = F.regexp_extract_all(payload, F.lit(LITERAL_PATTERN), F.lit(0))
+
+    def plain(literal: Column) -> Column:
+        text = F.regexp_replace(literal, r'^"|"\s*:?$', "")
+        whole = F.from_json(F.concat(F.lit('["'), text, F.lit('"]')), "array<string>")
+        return F.when(text.contains("\\"), F.get(whole, 0)).otherwise(text)
+
+    bad = F.exists(found, lambda x: F.coalesce(
+        F.when(x.endswith(":"), F.lower(plain(x)).rlike(KEY_PATTERN))
+        .otherwise(likely_media_path(plain(x))), F.lit(True)))
+    return F.try_parse_json(payload).isNull() | bad
+
+
+class _Pairs(list):
+    """Fields of a JSON object in order, repeated names included."""
+
+
+def _is_path(text: str) -> bool:
+    normal = text.lower().replace("\\", "/")
+    return normal.lstrip(SPACES).startswith(PATH_STARTS) or any(
+        part in normal for part in PATH_PARTS + MEDIA_PATH_MARKERS)
+
+
+def _locations(payload: str) -> list[tuple[str, str]]:
+    """Location and kind of each violation of one payload, in document order."""
+    try:
+        todo = [("$", json.loads(payload, object_pairs_hook=_Pairs))]
+    except (ValueError, RecursionError):
+        return [("$", "unreadable")]
+    out = []
+    while todo:
+        where, value = todo.pop()
+        if where is None:
+            out.append(value)
+        elif isinstance(value, _Pairs):
+            for key, inner in reversed(value):
+                todo.append((f"{where}.{key}", inner))
+                if any(part in key.lower() for part in FORBIDDEN_KEY_FRAGMENTS):
+                    todo.append((None, (where, "key")))
+        elif isinstance(value, list):
+            todo += [(f"{where}[{i}]", x) for i, x in reversed(list(enumerate(value)))]
+        elif isinstance(value, str) and _is_path(value):
+            out.append((where, "value"))
+    return out or [("$", "unreadable")]
+
+
+def _violations(payloads: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and the array of violations. Only refused payloads leave the JVM."""
+    @F.pandas_udf("array<struct<location:string,kind:string>>")
+    def located(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [] if t is None else _locations(t))
+
+    text = F.when(refused(F.col("payload")), F.coalesce("payload", F.lit("")))
+    text = F.when(F.col("payload").isNull(), F.lit("")).otherwise(text)
+    return payloads.select(*keys, located(text).alias("found"))
+
+
+def guardrail_violations(payloads: DataFrame, keys: list[str]) -> DataFrame:
     """keys, location, kind for each forbidden key (``key``, located by its parent), likely media path
-    (``value``), nesting beyond ``max_depth`` (``depth``), and for a payload that is missing or
-    no JSON (``unreadable``). The last two are refused unread."""
-    return _violations(payloads, keys, max_depth).select(*keys, F.inline("found"))
+    (``value``), and for a payload that is missing or no JSON (``unreadable``)."""
+    return _violations(payloads, keys).select(*keys, F.inline("found"))
 
 
-def guardrail_verdicts(payloads: DataFrame, keys: list[str],
-                       max_depth: int = MAX_DEPTH) -> DataFrame:
-    """One row per payload: accepted, number of violations and the first location."""
-    return _violations(payloads, keys, max_depth).select(
+def guardrail_verdicts(payloads: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per payload: accepted, number of violations and the location of the first in
+    document order."""
+    return _violations(payloads, keys).select(
         *keys, (F.size("found") == 0).alias("accepted"),
         F.size("found").cast("bigint").alias("violations"),
-        F.array_min(F.transform("found", lambda v: v["location"])).alias("first_location"))
+        F.get("found", 0)["location"].alias("first_location"))
 
 
 def strip_fence(content: Column) -> Column:

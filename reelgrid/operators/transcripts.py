@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from reelgrid.functions import text as tx
 from reelgrid.functions import variants as vr
-
-PAGE_SEGMENTS = 4096
+from reelgrid.operators.running import running_before
 
 # Confidence keys in the order they are looked up.
 CONFIDENCE_KEYS = ("confidence", "confidence_score", "probability")
@@ -102,36 +101,41 @@ def rejected_documents(parsed: DataFrame, keys: list[str]) -> DataFrame:
     return parsed.where(F.col("error").isNotNull()).select(*keys, "error")
 
 
-def segment_pages(segments: DataFrame, page_segments: int = PAGE_SEGMENTS) -> DataFrame:
-    """Segments nested in order, at most ``page_segments`` per row.
+def with_position(segments: DataFrame) -> DataFrame:
+    """Segments with their place in the transcript, from 0, whatever gaps the indexes have."""
+    return running_before(segments, ["transcript_id"], "segment_index",
+                          {"position": ("sum", F.lit(1).cast("bigint"))})
 
-    Rows are (transcript_id, page, segments). A transcript of up to one page is a
-    single row; a longer one goes on in further rows, so no group grows without
-    bound. (transcript_id, segment_index) is unique in the library.
-    """
+
+def segment_pages(segments: DataFrame, page_segments: int | None = None) -> DataFrame:
+    """(transcript_id, page, segments): segments nested in order, by transcript or, with
+    ``page_segments``, by so many of them. (transcript_id, segment_index) is unique."""
     item = F.struct("segment_index", "start_ms", "end_ms", "text")
-    page = F.floor(F.col("segment_index") / page_segments).cast("bigint").alias("page")
-    return segments.groupBy("transcript_id", page).agg(
-        F.array_sort(F.collect_list(item)).alias("segments"))
+    nested = F.array_sort(F.collect_list(item)).alias("segments")
+    if page_segments is None:
+        return segments.groupBy("transcript_id").agg(nested).select(
+            "transcript_id", F.lit(0).cast("bigint").alias("page"), "segments")
+    page = F.call_function("div", F.col("position"), F.lit(page_segments).cast("bigint"))
+    return with_position(segments).groupBy("transcript_id", page.alias("page")).agg(nested)
 
 
 def heads_with_pages(heads: DataFrame, segments: DataFrame,
-                     page_segments: int = PAGE_SEGMENTS) -> DataFrame:
-    """Rows of ``heads`` (with transcript_id) once per page of their segments.
-
-    Adds page, counted from the transcript's first one, and segments. Transcripts without
-    segments keep one row with an empty array. The pages are the left side of an inner
-    join, which Spark can split where one transcript owns very many of them.
-    """
-    first = F.floor(F.min("segment_index") / page_segments).cast("bigint")
-    facts = segments.groupBy("transcript_id").agg(first.alias("_first"))
-    known = heads.join(facts, "transcript_id", "left")
+                     page_segments: int | None = None) -> DataFrame:
+    """Rows of ``heads`` (with transcript_id) once per page of their segments, with page,
+    parts (how many pages there are) and segments. Transcripts without segments keep one row
+    with an empty array."""
     pages = segment_pages(segments, page_segments)
-    filled = pages.join(known.where("_first IS NOT NULL"), "transcript_id").select(
-        *heads.columns, (F.col("page") - F.col("_first")).alias("page"), "segments")
+    joined = heads.join(pages, "transcript_id", "left")
+    if page_segments is None:
+        parts = F.lit(1).cast("bigint")
+    else:
+        counts = segments.groupBy("transcript_id").agg(
+            F.ceil(F.count("*") / page_segments).cast("bigint").alias("parts"))
+        joined = joined.join(counts, "transcript_id", "left")
+        parts = F.coalesce("parts", F.lit(1))
     empty = F.array().cast(pages.schema["segments"].dataType)
-    return filled.unionByName(known.where("_first IS NULL").select(
-        *heads.columns, F.lit(0).cast("bigint").alias("page"), empty.alias("segments")))
+    return joined.select(*heads.columns, F.coalesce("page", F.lit(0)).alias("page"),
+                         parts.alias("parts"), F.coalesce("segments", empty).alias("segments"))
 
 
 def page_text(segments: Column, trim: bool = True) -> Column:
@@ -142,15 +146,13 @@ def page_text(segments: Column, trim: bool = True) -> Column:
     return F.array_join(texts, " ")
 
 
-def transcript_preview(transcripts: DataFrame, segments: DataFrame,
-                       page_segments: int = PAGE_SEGMENTS) -> DataFrame:
-    """recording_id, page, preview: the transcript text, else its untrimmed segment
-    texts joined by a space, else an empty text."""
+def transcript_preview(transcripts: DataFrame, segments: DataFrame) -> DataFrame:
+    """recording_id, preview: the transcript text, else its untrimmed segment texts joined by
+    a space, else an empty text."""
     has_text = F.coalesce(F.col("text"), F.lit("")) != ""
-    stated = transcripts.where(has_text).select(
-        "recording_id", F.lit(0).cast("bigint").alias("page"), F.col("text").alias("preview"))
+    stated = transcripts.where(has_text).select("recording_id", F.col("text").alias("preview"))
     without = transcripts.where(~has_text).select(F.col("id").alias("transcript_id"), "recording_id")
     wanted = segments.join(without, "transcript_id", "left_semi")
-    joined = heads_with_pages(without, wanted, page_segments).select(
-        "recording_id", "page", page_text(F.col("segments"), trim=False).alias("preview"))
+    joined = heads_with_pages(without, wanted).select(
+        "recording_id", page_text(F.col("segments"), trim=False).alias("preview"))
     return stated.unionByName(joined)

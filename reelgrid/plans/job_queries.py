@@ -124,7 +124,9 @@ FROM r"""
 
 
 def job_retry_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    jobs = st.order_jobs(spark, sf_dir).where("input_json IS NULL OR input_json <> '{not json'")
+    """Effects on all failed jobs, broken inputs included; one model name is refused."""
+    jobs = st.order_jobs(spark, sf_dir).withColumn("input_json", F.replace(
+        F.col("input_json"), F.lit("ggml-base-4"), F.lit("sub/base-4")))
     made = jb.retry_effects(jobs, jobs.where("state = 'failed'"))
     return (
         made["recordings"].select(F.lit("recording").alias("kind"), F.col("id").alias("recording_id"),
@@ -132,17 +134,23 @@ def job_retry_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
         .unionByName(made["transcripts"].select(F.lit("transcript").alias("kind"), "recording_id",
                                                 "status", F.col("model_name").alias("detail")))
         .unionByName(made["summaries"].select(F.lit("summary").alias("kind"), "recording_id",
-                                              "status", F.col("notes").alias("detail"))))
+                                              "status", F.col("notes").alias("detail")))
+        .unionByName(made["refused"].select(F.lit("refused").alias("kind"), "recording_id",
+                                            F.lit(None).cast("string").alias("status"),
+                                            F.col("error").alias("detail"))))
 
 
 RETRY_EFFECTS_SQL = st.with_sql(st.JOB_SQL, """
 f AS (SELECT *, CASE WHEN input_json LIKE '{"modelName"%' THEN 'base-' || regexp_extract(input_json, 'base-([0-9]+)', 1) ELSE 'small.en' END AS model,
         nullif(regexp_extract(input_json, '(note [0-9]|call [0-9])', 1), '') AS notes
-      FROM order_jobs WHERE state = 'failed' AND recording_id IS NOT NULL AND (input_json IS NULL OR input_json <> '{not json'))""") + """
+      FROM order_jobs WHERE state = 'failed' AND recording_id IS NOT NULL)""") + """
 SELECT DISTINCT 'recording' AS kind, recording_id, 'processing' AS status, CAST(NULL AS VARCHAR) AS detail
 FROM f WHERE kind = 'encode_recording'
-UNION ALL SELECT 'transcript', recording_id, 'processing', arg_max(model, (updated_at, id)) FROM f
-WHERE kind IN ('transcribe_recording', 'extract_audio', 'run_whisper') GROUP BY recording_id
+UNION ALL SELECT CASE WHEN model = 'base-4' THEN 'refused' ELSE 'transcript' END, recording_id,
+       CASE WHEN model <> 'base-4' THEN 'processing' END,
+       CASE WHEN model = 'base-4' THEN 'model name must be a local file name' ELSE model END
+FROM (SELECT recording_id, arg_max(model, (updated_at, id)) AS model FROM f
+      WHERE kind IN ('transcribe_recording', 'extract_audio', 'run_whisper') GROUP BY recording_id)
 UNION ALL SELECT 'summary', recording_id, 'processing', arg_max_null(notes, (updated_at, id)) FROM f
 WHERE kind = 'ai_summary' GROUP BY recording_id"""
 

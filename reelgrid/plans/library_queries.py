@@ -61,35 +61,37 @@ WHERE r.id IN (SELECT recording_id FROM order_jobs WHERE recording_id IS NOT NUL
 
 
 def transcript_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Transcripts with their ordered segments, shown as one joined text per page."""
-    nested = lk.nested_transcripts(st.talk_transcripts(spark, sf_dir),
-                                   st.talk_segments(spark, sf_dir))
-    shown = F.array_join(F.transform("segments", lambda s: F.concat_ws(
-        "|", s["segment_index"], s["start_ms"], s["end_ms"], s["text"])), "\n")
-    return nested.select("id", "recording_id", "status", "page",
-                         F.size("segments").cast("bigint").alias("segments"), shown.alias("body"))
+    """Transcripts with their ordered segments; every third transcript has gaps in its indexes."""
+    segments = st.talk_segments(spark, sf_dir)
+    gaps = F.substring("transcript_id", 2, 20).cast("bigint") % 3 == 0
+    segments = segments.withColumn("segment_index", F.when(
+        gaps, F.col("segment_index") * 5000 + 7).otherwise(F.col("segment_index")))
+    return lk.nested_transcripts(st.talk_transcripts(spark, sf_dir), segments).select(
+        "id", "recording_id", "status", "position", "segment_index", "start_ms", "end_ms",
+        "segment_text")
 
 
 NESTED_SQL = st.with_sql(st.TALK_SQL) + """
-SELECT t.id, t.recording_id, t.status, CAST(0 AS BIGINT) AS page, count(*) AS segments,
-       string_agg(segment_index || '|' || start_ms || '|' || end_ms || '|' || text, chr(10) ORDER BY segment_index) AS body
-FROM talk_transcripts t JOIN talk_segments s ON s.transcript_id = t.id GROUP BY ALL"""
+SELECT t.id, t.recording_id, t.status,
+       row_number() OVER (PARTITION BY t.id ORDER BY s.segment_index) - 1 AS position,
+       CASE WHEN CAST(substr(t.id, 2) AS BIGINT) % 3 = 0 THEN s.segment_index * 5000 + 7 ELSE s.segment_index END AS segment_index,
+       start_ms, end_ms, s.text AS segment_text
+FROM talk_transcripts t LEFT JOIN talk_segments s ON s.transcript_id = t.id"""
 
 
 def transcript_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Previews of both libraries: stored texts and joined segments."""
-    docs = tr.transcript_preview(
-        st.doc_transcripts(spark, sf_dir).where("status = 'completed'"),
-        st.doc_segments(spark, sf_dir))
+    docs = tr.transcript_preview(st.doc_transcripts(spark, sf_dir), st.doc_segments(spark, sf_dir))
     talks = tr.transcript_preview(st.talk_transcripts(spark, sf_dir),
                                   st.talk_segments(spark, sf_dir))
     return docs.unionByName(talks)
 
 
 PREVIEW_SQL = st.with_sql(st.DOC_SQL, st.TALK_SQL) + """
-SELECT recording_id, CAST(0 AS BIGINT) AS page, text AS preview FROM doc_transcripts WHERE status = 'completed'
+SELECT t.recording_id, coalesce(nullif(t.text, ''), s.text, '') AS preview
+FROM doc_transcripts t LEFT JOIN doc_segments s ON s.transcript_id = t.id
 UNION ALL
-SELECT recording_id, CAST(0 AS BIGINT), string_agg(text, ' ' ORDER BY segment_index) FROM talk_segments GROUP BY recording_id"""
+SELECT recording_id, string_agg(text, ' ' ORDER BY segment_index) FROM talk_segments GROUP BY recording_id"""
 
 
 def library_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -375,12 +377,13 @@ SELECT 'u' || user_id AS id, arg_max(event_type, ts) AS event_type,
 
 
 def constraint_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Checks of jobs, recordings and transcripts, with some rows made to break them."""
+    """Checks of jobs, recordings and transcripts, with some rows made to break them; rules that
+    hold are listed with zero."""
     t = st.library(spark, sf_dir)
     jobs = t["processing_jobs"].withColumn("max_attempts", F.col("attempts") - 1)
     return cn.constraint_report({
         "recordings": t["recordings"].withColumn("recording_directory", F.col("title")),
-        "transcripts": t["transcripts"], "processing_jobs": jobs}).where("violations > 0")
+        "transcripts": t["transcripts"], "processing_jobs": jobs})
 
 
 CONSTRAINT_SQL = st.with_sql(st.DOC_SQL, st.JOB_SQL) + """
@@ -388,7 +391,37 @@ SELECT 'recordings' AS table_name, 'unique recording_directory' AS rule, count(*
 FROM (SELECT source FROM documents GROUP BY source HAVING count(*) > 1)
 UNION ALL SELECT 'processing_jobs', 'max_attempts not positive', count(*) FROM order_jobs WHERE attempts - 1 <= 0
 UNION ALL SELECT 'processing_jobs', 'recording_id without parent', count(*) FROM order_jobs
-WHERE recording_id IS NOT NULL AND recording_id NOT IN (SELECT id FROM doc_recordings)"""
+WHERE recording_id IS NOT NULL AND recording_id NOT IN (SELECT id FROM doc_recordings)
+UNION ALL SELECT 'recordings', 'status unknown', count(*) FROM doc_recordings WHERE status NOT IN ('pending', 'capturing', 'processing', 'completed', 'failed')
+UNION ALL SELECT 'recordings', 'id missing', count(*) FROM doc_recordings WHERE id IS NULL
+UNION ALL SELECT 'recordings', 'title missing', count(*) FROM doc_recordings WHERE title IS NULL
+UNION ALL SELECT 'recordings', 'status missing', count(*) FROM doc_recordings WHERE status IS NULL
+UNION ALL SELECT 'recordings', 'recording_directory missing', count(*) FROM doc_recordings WHERE recording_directory IS NULL
+UNION ALL SELECT 'recordings', 'created_at missing', count(*) FROM doc_recordings WHERE created_at IS NULL
+UNION ALL SELECT 'recordings', 'updated_at missing', count(*) FROM doc_recordings WHERE updated_at IS NULL
+UNION ALL SELECT 'recordings', 'duration_ms negative', count(*) FROM doc_recordings WHERE duration_ms < 0
+UNION ALL SELECT 'recordings', 'unique id', count(*) FROM (SELECT id FROM doc_recordings GROUP BY id HAVING count(*) > 1)
+UNION ALL SELECT 'transcripts', 'status unknown', count(*) FROM doc_transcripts WHERE status NOT IN ('not_started', 'pending', 'capturing', 'processing', 'completed', 'failed')
+UNION ALL SELECT 'transcripts', 'id missing', count(*) FROM doc_transcripts WHERE id IS NULL
+UNION ALL SELECT 'transcripts', 'recording_id missing', count(*) FROM doc_transcripts WHERE recording_id IS NULL
+UNION ALL SELECT 'transcripts', 'status missing', count(*) FROM doc_transcripts WHERE status IS NULL
+UNION ALL SELECT 'transcripts', 'created_at missing', count(*) FROM doc_transcripts WHERE created_at IS NULL
+UNION ALL SELECT 'transcripts', 'updated_at missing', count(*) FROM doc_transcripts WHERE updated_at IS NULL
+UNION ALL SELECT 'transcripts', 'unique id', count(*) FROM (SELECT id FROM doc_transcripts GROUP BY id HAVING count(*) > 1)
+UNION ALL SELECT 'transcripts', 'unique recording_id', count(*) FROM (SELECT recording_id FROM doc_transcripts GROUP BY recording_id HAVING count(*) > 1)
+UNION ALL SELECT 'transcripts', 'recording_id without parent', count(*) FROM doc_transcripts WHERE recording_id NOT IN (SELECT id FROM doc_recordings)
+UNION ALL SELECT 'processing_jobs', 'state unknown', count(*) FROM order_jobs WHERE state NOT IN ('queued', 'running', 'succeeded', 'failed', 'cancelled')
+UNION ALL SELECT 'processing_jobs', 'id missing', count(*) FROM order_jobs WHERE id IS NULL
+UNION ALL SELECT 'processing_jobs', 'kind missing', count(*) FROM order_jobs WHERE kind IS NULL
+UNION ALL SELECT 'processing_jobs', 'state missing', count(*) FROM order_jobs WHERE state IS NULL
+UNION ALL SELECT 'processing_jobs', 'priority missing', count(*) FROM order_jobs WHERE priority IS NULL
+UNION ALL SELECT 'processing_jobs', 'attempts missing', count(*) FROM order_jobs WHERE attempts IS NULL
+UNION ALL SELECT 'processing_jobs', 'max_attempts missing', count(*) FROM order_jobs WHERE max_attempts IS NULL
+UNION ALL SELECT 'processing_jobs', 'interrupted missing', count(*) FROM order_jobs WHERE interrupted IS NULL
+UNION ALL SELECT 'processing_jobs', 'created_at missing', count(*) FROM order_jobs WHERE created_at IS NULL
+UNION ALL SELECT 'processing_jobs', 'updated_at missing', count(*) FROM order_jobs WHERE updated_at IS NULL
+UNION ALL SELECT 'processing_jobs', 'attempts negative', count(*) FROM order_jobs WHERE attempts < 0
+UNION ALL SELECT 'processing_jobs', 'unique id', count(*) FROM (SELECT id FROM order_jobs GROUP BY id HAVING count(*) > 1)"""
 
 
 def orphan_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

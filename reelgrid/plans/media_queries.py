@@ -134,7 +134,7 @@ SELECT stream_id, frame, CAST(round(m * CASE WHEN m < 0 THEN 32768 ELSE 32767 EN
 
 def pcm_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document texts read as PCM bytes in all formats: frames, level sums and errors."""
-    docs = st.spread_texts(spark, sf_dir, "documents", "doc_id", "text")
+    docs = st.given(spark, sf_dir, "documents").select("doc_id", "text")
     formats = F.array(*map(F.lit, ("i8", "u8", "i16", "u16", "i32", "u32", "i64")))
     blocks = docs.select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("stream_id"),
@@ -242,7 +242,7 @@ def manifest_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("conv_id") + F.col("turn")
     total = F.aggregate(lines, F.lit(0).cast("bigint"), lambda a, x: a + F.length(x))
     chunks = F.transform(lines, lambda x: F.struct(
-        F.when(k % 7 == 0, F.lit(" ")).otherwise(F.substring(x, 1, 5)).alias("path"),
+        F.when(k % 14 == 0, F.lit("\t\u00a0")).when(k % 7 == 0, F.lit(" ")).otherwise(F.substring(x, 1, 5)).alias("path"),
         F.when(k % 11 == 0, F.lit(0)).otherwise(F.length(x)).cast("bigint").alias("frameCount")))
     manifests = rows.select(
         "conv_id", "turn", F.when(k % 2 == 0, "completed").otherwise("recording").alias("status"),
@@ -333,8 +333,7 @@ def failure_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FAILURE_SQL = st.with_sql(_CAPTURE_CTE) + """
-SELECT session_id, seq // 4096 AS part, string_agg('fault ' || c, '; ' ORDER BY seq) AS failure_message
-FROM ce WHERE kind = 'error' GROUP BY ALL"""
+SELECT session_id, seq, 'fault ' || c AS message FROM ce WHERE kind = 'error'"""
 
 
 def clock_texts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from reelgrid import schemas
 from reelgrid.functions import text as tx
 from reelgrid.operators.running import running_before
-from reelgrid.sources.library import spread
 
 NOW = "1800000000"
 ROOT = "/library"
@@ -21,11 +20,6 @@ def given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread_texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """Text columns of a given table, over all cores for heavy work on each text."""
-    return spread(given(spark, sf_dir, name).select(*columns))
-
-
 def conform(rows: DataFrame, table: str) -> DataFrame:
     """Columns of a library table in order; absent ones are null."""
     return rows.select(*[
@@ -52,7 +46,7 @@ def talk_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def plain_talk_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same segments with no times in them, for jobs that need none."""
     conv = F.col("conv_id").cast("string")
-    return spread_texts(spark, sf_dir, "conversations", "conv_id", "turn", "text").select(
+    return given(spark, sf_dir, "conversations").select("conv_id", "turn", "text").select(
         F.concat(F.lit("c"), conv, F.lit("-"), F.col("turn").cast("string")).alias("id"),
         F.concat(F.lit("t"), conv).alias("transcript_id"),
         F.concat(F.lit("r"), conv).alias("recording_id"), F.col("turn").alias("segment_index"),
@@ -146,7 +140,7 @@ def doc_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def doc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = F.col("doc_id").cast("string")
-    return spread_texts(spark, sf_dir, "documents", "doc_id", "text", "n_chars").select(
+    return given(spark, sf_dir, "documents").select("doc_id", "text", "n_chars").select(
         F.concat(F.lit("g"), doc).alias("id"), F.concat(F.lit("x"), doc).alias("transcript_id"),
         F.concat(F.lit("d"), doc).alias("recording_id"),
         F.lit(0).cast("bigint").alias("segment_index"), F.lit(0).cast("bigint").alias("start_ms"),

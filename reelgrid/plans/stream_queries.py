@@ -28,28 +28,32 @@ def _folder(spark: SparkSession, name: str) -> str:
     return shared_folder(spark, f"{name}-{uuid.uuid4().hex}")
 
 
-def _in_arrival_order(rows: DataFrame, path: str, order: str, pieces: int = 3) -> None:
-    """Write all rows in pieces of the order column, one after the other."""
+def _in_arrival_order(rows: DataFrame, path: str, order: str, start, pieces: int = 3):
+    """All rows in pieces of the order column. Each piece is written by all tasks, then the
+    stream that ``start`` makes takes what is new; returns the last query."""
     top = rows.agg(F.max(order)).head()[0] + 1
     for n in range(pieces):
         low, high = top * n // pieces, top * (n + 1) // pieces
-        rows.where((F.col(order) >= low) & (F.col(order) < high)).coalesce(1).write.mode(
-            "append").parquet(path)
+        rows.where((F.col(order) >= low) & (F.col(order) < high)).write.mode("append").parquet(path)
+        query = start().trigger(availableNow=True).start()
+        query.awaitTermination()
+    return query
 
 
 def live_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     home = _folder(spark, "counters")
     events = mq.capture_events(spark, sf_dir)
-    _in_arrival_order(events, f"{home}/events", "seq")
-    stream = counters.read_capture_events(spark, f"{home}/events", files_per_trigger=1)
 
     def keep(rows: DataFrame, batch: int) -> None:
         rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(
             f"{home}/out/batch_id={batch}")
 
-    (counters.live_counters(stream).writeStream.outputMode("update").foreachBatch(keep)
-     .option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True)
-     .start().awaitTermination())
+    def start():
+        stream = counters.read_capture_events(spark, f"{home}/events")
+        return (counters.live_counters(stream).writeStream.outputMode("update").foreachBatch(keep)
+                .option("checkpointLocation", f"{home}/checkpoint"))
+
+    _in_arrival_order(events, f"{home}/events", "seq", start)
     rows = spark.read.parquet(f"{home}/out").drop("batch_id")
     others = [c for c in rows.columns if c not in ("session_id", "batch")]
     return rows.groupBy("session_id").agg(F.max_by(F.struct(*others), "batch").alias("r")).select(
@@ -58,30 +62,27 @@ def live_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def job_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     home = _folder(spark, "job-states")
-    _in_arrival_order(event_patches(spark, sf_dir), f"{home}/events", "seq")
-    stream = job_states.read_job_events(spark, f"{home}/events", files_per_trigger=1)
-    query = job_states.start_job_states(stream, f"{home}/states", f"{home}/checkpoint").trigger(
-        availableNow=True).start()
-    query.awaitTermination()
+
+    def start():
+        return job_states.start_job_states(job_states.read_job_events(spark, f"{home}/events"),
+                                           f"{home}/states", f"{home}/checkpoint")
+
+    query = _in_arrival_order(event_patches(spark, sf_dir), f"{home}/events", "seq", start)
     return job_states.states_after(spark, f"{home}/states", query.lastProgress["batchId"])
 
 
 def transcript_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transcript files of all conversation turns landing in two batches, some twice."""
     home = _folder(spark, "landing")
-    doc = F.concat_ws("-", "conv_id", "turn")
-    files = tq.transcript_documents(spark, sf_dir).select(
-        F.concat(F.lit("/recordings/"), doc, F.lit("/transcript.json")).alias("path"), "json", "turn")
-    # First every second turn in an older form, then all turns as they are.
-    files.where("turn % 2 = 0").withColumn("json", F.lit('{"text":"draft"}')).drop("turn").coalesce(
-        1).write.parquet(f"{home}/files")
-    files.drop("turn").coalesce(1).write.mode("append").parquet(f"{home}/files")
-    stream = spark.readStream.schema("path string, json string").option(
-        "maxFilesPerTrigger", 1).parquet(f"{home}/files")
-    (stream.writeStream.foreachBatch(
-        lambda rows, batch: landing.land_batch(rows, batch, f"{home}/library"))
-     .option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True)
-     .start().awaitTermination())
+    documents = tq.transcript_documents(spark, sf_dir).select(
+        F.concat_ws("-", "conv_id", "turn").alias("recording"), F.col("json").alias("value"), "turn")
+    # First every second turn in an older form, then all turns as they are; a file each.
+    older = documents.where("turn % 2 = 0").withColumn("value", F.lit('{"text":"draft"}'))
+    for name, rows in (("first", older), ("second", documents)):
+        rows.drop("turn").repartition("recording").write.partitionBy("recording").text(
+            f"{home}/files/{name}")
+        (landing.start_landing(spark, f"{home}/files/*/*", f"{home}/library", f"{home}/checkpoint")
+         .trigger(availableNow=True).start().awaitTermination())
     segments = landing.current_segments(spark, f"{home}/library").groupBy("recording_id").agg(
         F.count("*").alias("segments"), F.sum("end_ms").cast("bigint").alias("end_sum"))
     indexed = landing.current_index(spark, f"{home}/library").documents.groupBy("recording_id").agg(

@@ -21,7 +21,7 @@ def transcript_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     Even turns use the layout with seconds, odd ones the layout with offsets and clock
     texts. Some segments lack an end, run backwards or have odd confidences.
     """
-    rows = st.spread_texts(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    rows = st.given(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     lines = F.split("text", "\n")
 
     def seconds(line, i):
@@ -114,14 +114,16 @@ WHERE parsed AND (text = '' OR start_ms IS NULL OR start_ms < 0 OR end_ms < star
 
 
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Payloads of all conversations, read back from their JSON."""
+    """Payloads of all conversations, read back from their JSON; some notes name a file."""
     notes = st.talk_recordings(spark, sf_dir).select(
-        F.col("id").alias("recording_id"), F.concat(F.lit("  "), "title").alias("notes"))
+        F.col("id").alias("recording_id"), F.concat(F.lit("  "), "title", F.when(
+            F.substring("id", 2, 20).cast("bigint") % 7 == 3, F.lit(" /tmp/a.mp4")).otherwise(
+            F.lit(""))).alias("notes"))
     made = sm.summary_payloads(st.talk_recordings(spark, sf_dir), st.talk_transcripts(spark, sf_dir),
                                st.talk_segments(spark, sf_dir), notes)
     v = F.try_parse_json("payload")
     return made.select(
-        "recording_id", "part", "error", vr.string_at(v, "$.userNotes").alias("notes"),
+        "recording_id", "part", "parts", "error", vr.string_at(v, "$.userNotes").alias("notes"),
         vr.string_at(v, "$.transcript.text").alias("text"),
         F.size(vr.array_at(v, "$.transcript.segments")).cast("bigint").alias("segments"),
         F.try_variant_get(v, "$.transcript.segments[0].endMs", "bigint").alias("first_end"),
@@ -129,23 +131,30 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TRIM_SQL = f"regexp_replace(text, '{tx.TRIM_PATTERN}', '', 'g')"
-PAYLOADS_SQL = st.with_sql(st.TALK_SQL) + f"""
-SELECT t.recording_id, CAST(0 AS BIGINT) AS part,
-       CASE WHEN status <> 'completed' THEN 'a completed transcript is required' END AS error,
-       CASE WHEN status = 'completed' THEN 'Talk ' || substr(t.recording_id, 2) END AS notes,
-       CASE WHEN status = 'completed' THEN string_agg({_TRIM_SQL}, ' ' ORDER BY segment_index) END AS text,
-       CASE WHEN status = 'completed' THEN count(*) END AS segments,
-       CASE WHEN status = 'completed' THEN arg_min(end_ms, segment_index) END AS first_end,
-       CASE WHEN status = 'completed' THEN 'chapters' END AS last_output
-FROM talk_transcripts t JOIN talk_segments s ON s.transcript_id = t.id GROUP BY t.recording_id, status"""
+PAYLOADS_SQL = st.with_sql(st.TALK_SQL, """
+p AS (SELECT *, CASE WHEN status <> 'completed' THEN 'a completed transcript is required'
+                WHEN CAST(substr(recording_id, 2) AS BIGINT) % 7 = 3 THEN 'payload holds a media path or field' END AS error
+      FROM talk_transcripts)""") + f"""
+SELECT t.recording_id, CAST(0 AS BIGINT) AS part, CAST(1 AS BIGINT) AS parts, error,
+       CASE WHEN error IS NULL THEN 'Talk ' || substr(t.recording_id, 2) END AS notes,
+       CASE WHEN error IS NULL THEN string_agg({_TRIM_SQL}, ' ' ORDER BY segment_index) END AS text,
+       CASE WHEN error IS NULL THEN count(*) END AS segments,
+       CASE WHEN error IS NULL THEN arg_min(end_ms, segment_index) END AS first_end,
+       CASE WHEN error IS NULL THEN 'chapters' END AS last_output
+FROM p t JOIN talk_segments s ON s.transcript_id = t.id GROUP BY t.recording_id, error"""
 
 
 def _page_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = st.spread_texts(spark, sf_dir, "pages", "page_id", "url", "html")
+    pages = st.given(spark, sf_dir, "pages").select("page_id", "url", "html")
+    # Bodies of every fourth page name a file; every fifth page nests its body deeply.
+    html = F.when(F.col("page_id") % 4 == 1, F.concat(F.col("html"), F.lit("\nC:\\Clips\\a.MP4"))).otherwise(
+        F.col("html"))
     body = F.struct(
-        F.col("html").alias("body"), F.array("url", F.lit("plain"), F.lit(1).cast("string")).alias("links"),
+        html.alias("body"), F.array("url", F.lit("plain"), F.lit(1).cast("string")).alias("links"),
         F.when(F.col("page_id") % 3 == 0, F.struct(F.lit("x").alias("mediaPath"))).alias("extra"))
-    return pages.select("page_id", F.to_json(body).alias("payload"))
+    deep = F.concat(F.lit('{"a":[' * 20), F.to_json(body), F.lit("]}" * 20))
+    return pages.select("page_id", F.when(F.col("page_id") % 5 == 2, deep).otherwise(
+        F.to_json(body)).alias("payload"))
 
 
 def guardrail(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,20 +165,20 @@ _VALUE_PATTERN = "^(/users/|/var/|/tmp/)|" + "|".join(
     w.replace(".", r"\.") for w in sm.PATH_PARTS + sm.MEDIA_PATH_MARKERS)
 _PATH_SQL = f"regexp_matches(replace(lower(trim({{0}}, ' \t\r\n')), '\\', '/'), '{_VALUE_PATTERN}')"
 GUARDRAIL_SQL = f"""
-WITH b AS (SELECT page_id, CAST({_PATH_SQL.format('html')} AS INTEGER) AS html_bad,
+WITH b AS (SELECT page_id, CASE WHEN page_id % 5 = 2 THEN '$' || repeat('.a[0]', 20) ELSE '$' END AS root,
+                  CAST(page_id % 4 = 1 OR {_PATH_SQL.format('html')} AS INTEGER) AS html_bad,
                   CAST({_PATH_SQL.format('url')} AS INTEGER) AS url_bad,
                   CASE WHEN page_id % 3 = 0 THEN 1 ELSE 0 END AS key_bad FROM pages)
 SELECT page_id, html_bad + url_bad + key_bad = 0 AS accepted,
        CAST(html_bad + url_bad + key_bad AS BIGINT) AS violations,
-       CASE WHEN html_bad = 1 THEN '$.body' WHEN key_bad = 1 THEN '$.extra' WHEN url_bad = 1 THEN '$.links[0]' END AS first_location
+       CASE WHEN html_bad = 1 THEN root || '.body' WHEN url_bad = 1 THEN root || '.links[0]'
+            WHEN key_bad = 1 THEN root || '.extra' END AS first_location
 FROM b"""
-GUARDRAIL_SQL = GUARDRAIL_SQL.replace("WHEN html_bad = 1 THEN '$.body' WHEN key_bad = 1 THEN '$.extra'",
-                                      "WHEN key_bad = 1 THEN '$.extra' WHEN html_bad = 1 THEN '$.body'")
 
 
 def path_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents hold a likely media path."""
-    docs = st.spread_texts(spark, sf_dir, "documents", "doc_id", "text")
+    docs = st.given(spark, sf_dir, "documents").select("doc_id", "text")
     return docs.select("doc_id", sm.likely_media_path(F.col("text")).alias("rejected"))
 
 

@@ -55,19 +55,3 @@ def write_snapshot(rows: DataFrame, path: str, owner: str = "id", buckets: int =
 def read_snapshot(spark: SparkSession, path: str, table: str) -> DataFrame:
     return spark.read.parquet(path).select(
         *[F.col(f.name).cast(f.dataType) for f in schemas.TABLES[table].fields])
-
-
-def spread(rows: DataFrame) -> DataFrame:
-    """Rows of a table stored in fewer files than there are cores, spread evenly.
-
-    Worth one shuffle where a few large files would leave most cores idle during heavy
-    per-row work. Tables of many files pass through untouched.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
-
-
-def list_tables(spark: SparkSession, database: str | None = None) -> DataFrame:
-    """Names of the tables and views the session knows."""
-    rows = [(t.name,) for t in spark.catalog.listTables(database)]
-    return spark.createDataFrame(rows, "table_name string").orderBy("table_name")

@@ -14,6 +14,7 @@ from reelgrid.operators import search as se
 from reelgrid.operators import transcripts as tr
 
 FILE_SCHEMA = "value string"
+BUCKETS = 16
 
 
 def read_landing(spark: SparkSession, path: str) -> DataFrame:
@@ -23,8 +24,8 @@ def read_landing(spark: SparkSession, path: str) -> DataFrame:
 
 
 def recording_of(path):
-    """Recording id of ``.../recordings/{id}/{file}``."""
-    return F.regexp_extract(path, "([^/]+)/[^/]+$", 1)
+    """Recording id of ``.../{id}/{file}``; a folder may be written ``name={id}``."""
+    return F.regexp_extract(path, "(?:[^/=]+=)?([^/=]+)/[^/]+$", 1)
 
 
 def land_batch(files: DataFrame, batch_id: int, target: str, model: str = tx.DEFAULT_MODEL) -> None:
@@ -62,8 +63,8 @@ def land_batch(files: DataFrame, batch_id: int, target: str, model: str = tx.DEF
     segments.write.mode("overwrite").parquet(f"{target}/segments/{folder}")
 
     index = se.index_segments(spark.read.parquet(f"{target}/segments/{folder}"))
-    index.postings.write.mode("overwrite").parquet(f"{target}/postings/{folder}")
-    index.positions.write.mode("overwrite").parquet(f"{target}/positions/{folder}")
+    se.write_by_term(index.postings, f"{target}/postings/{folder}", "overwrite", BUCKETS)
+    se.write_by_term(index.positions, f"{target}/positions/{folder}", "overwrite", BUCKETS)
     index.documents.write.mode("overwrite").parquet(f"{target}/documents/{folder}")
 
 

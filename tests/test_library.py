@@ -20,10 +20,10 @@ def frame(spark, table, *records):
 
 
 def test_create_trims_title(spark):
-    req = spark.createDataFrame([(1, "  Coaching review  ", None, "2026-07-01T12:00:00Z"), (2, None, None, None)],
+    req = spark.createDataFrame([(1, "  Monday notes  ", None, "2026-07-01T12:00:00Z"), (2, None, None, None)],
                                 "request_id int, title string, media_path string, captured_at string")
     made = up.create_recordings(req, "5").orderBy("captured_at").collect()
-    assert {m.title for m in made} == {"Coaching review", "Untitled recording"}
+    assert {m.title for m in made} == {"Monday notes", "Untitled recording"}
     assert all(m.status == "pending" and m.created_at == "5" for m in made)
     assert all(m.recording_directory == f"recordings/{m.id}" for m in made)
     assert up.create_recordings(req, "5").exceptAll(up.create_recordings(req, "5")).count() == 0
@@ -130,8 +130,8 @@ def test_nested_keeps_empty_transcripts(spark):
     t = frame(spark, "transcripts", {"id": "t", "recording_id": "r"}, {"id": "u", "recording_id": "q"})
     s = frame(spark, "transcript_segments", *[{"id": str(i), "transcript_id": "t", "recording_id": "r", "segment_index": i}
                                               for i in (2, 0, 1)])
-    got = {x.id: [y.segment_index for y in x.segments] for x in lk.nested_transcripts(t, s).collect()}
-    assert got == {"t": [0, 1, 2], "u": []}
+    got = rows(lk.nested_transcripts(t, s).select("id", "position", "segment_index"), "id", "position")
+    assert got == [("t", 0, 0), ("t", 1, 1), ("t", 2, 2), ("u", None, None)]
     assert lk.transcript_of("none", t, s).count() == 0
 
 
@@ -145,7 +145,8 @@ def test_constraints_and_orphans(spark):
                    ("transcript_segments", "end before start"): 1, ("transcript_segments", "confidence out of range"): 1,
                    ("transcripts", "recording_id without parent"): 1}
     j = frame(spark, "processing_jobs", {"id": "j", "recording_id": "gone"}, {"id": "k", "recording_id": "a"})
-    assert rows(cn.release_jobs(j, r).select("id", "recording_id"), "id") == [("j", None), ("k", "a")]
+    j = j.unionByName(frame(spark, "processing_jobs", {"id": "l", "recording_id": None}))
+    assert rows(cn.release_jobs(j, r).select("id", "recording_id"), "id") == [("j", None), ("k", "a"), ("l", None)]
     assert cn.drop_children(t, r).count() == 0
 
 

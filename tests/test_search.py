@@ -23,21 +23,21 @@ def library(spark, texts, status="completed"):
 
 
 def test_hit_stale_restored(spark):
-    s, t, r = library(spark, ["First review marker.", "Rotations and decision making."])
+    s, t, r = library(spark, ["Opening words here.", "Harbour lights and compass turns."])
     index = se.build_index(s, t)
-    found = se.search("decision", index, s, t, r).collect()
+    found = se.search("compass", index, s, t, r).collect()
     assert [(x.segment_id, x.start_ms) for x in found] == [("s1", 5000)]
-    assert "[decision]" in found[0].snippet
+    assert "[compass]" in found[0].snippet
 
     failed = t.withColumn("status", F.lit("failed"))
-    assert se.search("decision", index, s, failed, r).count() == 0
+    assert se.search("compass", index, s, failed, r).count() == 0
     replaced = se.replace_in_index(index, s, failed)
     assert replaced.documents.count() == 0
 
-    s2, t2, _ = library(spark, ["Decision review restored."])
+    s2, t2, _ = library(spark, ["Compass returns anew."])
     back = se.replace_in_index(replaced, s2, t2)
     assert back.corpus.head().n == 1
-    assert se.search("restored", back, s2, t2, r).count() == 1
+    assert se.search("anew", back, s2, t2, r).count() == 1
 
 
 def test_query_tokens_and_phrases(spark):
