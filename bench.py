@@ -19,7 +19,7 @@ from reelgrid.plans.registry import all_queries  # noqa: E402
 from reelgrid.session import build_session  # noqa: E402
 
 HEADLINE = (
-    "search_index_stats", "search_corpus_stats", "search_bm25_and", "search_bm25_batch",
+    "index_write", "search_index_stats", "search_corpus_stats", "search_bm25_and", "search_bm25_batch",
     "search_snippet", "transcript_parse", "transcript_nested", "payloads", "guardrail",
     "path_scan", "recording_detail", "transcript_upsert", "segment_replace", "session_backfill",
     "job_update", "job_queue_per_kind", "job_report", "recovery_summary", "job_state_fold",

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +29,10 @@ MAX_LIMIT = 100
 SNIPPET_TOKENS = 18
 # Folders a stored index is cut into by hash of the term.
 SALTS = 16
+POSTINGS = ("term string, segment_id string, transcript_id string, start_ms bigint, dl bigint, "
+            "tf bigint, term_bucket int")
+POSITIONS = "term string, segment_id string, transcript_id string, position int, term_bucket int"
+DOCUMENTS = "segment_id string, transcript_id string, recording_id string, dl bigint"
 TERM_BUCKETS = 64
 
 
@@ -91,7 +96,7 @@ def index_segments(segments: DataFrame) -> SearchIndex:
     every = sized.select(*SEGMENT_FACTS, F.posexplode("tokens").alias("position", "term")
                          ).where(F.col("term") != "")
     postings = every.groupBy("term", *SEGMENT_FACTS).agg(F.count("*").alias("tf"))
-    return make_index(postings, every.select("term", "segment_id", "position"),
+    return make_index(postings, every.select("term", "segment_id", "transcript_id", "position"),
                       sized.select("segment_id", "transcript_id", "recording_id", "dl"))
 
 
@@ -108,42 +113,79 @@ def write_by_term(rows: DataFrame, path: str, mode: str, buckets: int) -> None:
      .write.mode(mode).partitionBy("term_bucket").parquet(path))
 
 
-def _write_base(index: SearchIndex, path: str, mode: str, buckets: int) -> None:
-    """Documents are written last, so a write cut short is found missing again."""
-    write_by_term(index.postings, f"{path}/postings", mode, buckets)
-    write_by_term(index.positions, f"{path}/positions", mode, buckets)
-    index.documents.write.mode(mode).parquet(f"{path}/documents")
-
-
-def _write_stats(spark: SparkSession, path: str) -> None:
-    """Term and corpus statistics, from the stored base tables."""
-    postings, _, documents = _read_base(spark, path)
-    term_stats(postings).write.mode("overwrite").parquet(f"{path}/terms")
-    corpus_stats(documents).write.mode("overwrite").parquet(f"{path}/corpus")
+def _batches(spark: SparkSession, path: str) -> list:
+    """Finished batches of a stored index from its last full one on, in order; one row for
+    each write, so few."""
+    try:
+        rows = spark.read.schema("batch int, full boolean, drops boolean").parquet(
+            f"{path}/batches").orderBy("batch").collect()
+    except AnalysisException:  # nothing is stored yet
+        return []
+    start = max((r.batch for r in rows if r.full), default=0)
+    return [r for r in rows if r.batch >= start]
+
+
+def _write_batch(index: SearchIndex, path: str, buckets: int, full: bool,
+                 dropped: DataFrame | None = None, gone: SearchIndex | None = None) -> None:
+    """Store an index, its statistics and the transcripts it takes rows from as a batch of its
+    own. The batch counts once its entry, written last, is there; a write cut short is written
+    over by the next. ``gone`` are the rows of ``dropped`` transcripts; their statistics are
+    taken off."""
+    spark = index.documents.sparkSession
+    done = _batches(spark, path)
+    number = done[-1].batch + 1 if done else 0
+
+    def folder(name: str) -> str:
+        return f"{path}/{name}/batch={number}"
+
+    write_by_term(index.postings, folder("postings"), "overwrite", buckets)
+    write_by_term(index.positions, folder("positions"), "overwrite", buckets)
+    index.documents.write.mode("overwrite").parquet(folder("documents"))
+    terms = term_stats(spark.read.schema(POSTINGS).parquet(folder("postings")))
+    sums = [F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).cast("bigint").alias("dl")]
+    corpus = spark.read.schema(DOCUMENTS).parquet(folder("documents")).agg(*sums)
+    if gone is not None:
+        terms = terms.unionByName(term_stats(gone.postings).select(
+            "term", (-F.col("df")).alias("df"), (-F.col("cf")).alias("cf")))
+        less = gone.documents.agg(*sums).select((-F.col("n")).alias("n"), (-F.col("dl")).alias("dl"))
+        corpus = corpus.unionByName(less)
+        dropped.select("transcript_id").distinct().write.mode("overwrite").parquet(folder("dropped"))
+    terms.write.mode("overwrite").parquet(folder("terms"))
+    corpus.write.mode("overwrite").parquet(folder("corpus"))
+    spark.range(1).select(F.lit(full).alias("full"), F.lit(gone is not None).alias("drops")).write.mode(
+        "overwrite").parquet(folder("batches"))
 
 
 def write_index(index: SearchIndex, path: str, buckets: int = TERM_BUCKETS) -> None:
-    """Store the index. Range partitioning on (bucket, term, segment) splits a term
-    that holds a large share of all postings over many files."""
-    _write_base(index, path, "overwrite", buckets)
-    _write_stats(index.documents.sparkSession, path)
-
-
-def _read_base(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return (
-        spark.read.schema("term string, segment_id string, transcript_id string, start_ms bigint, "
-                          "dl bigint, tf bigint, term_bucket int").parquet(f"{path}/postings"),
-        spark.read.schema("term string, segment_id string, position int, term_bucket int")
-        .parquet(f"{path}/positions"),
-        spark.read.schema("segment_id string, transcript_id string, recording_id string, "
-                          "dl bigint").parquet(f"{path}/documents"))
+    """Store a whole index; readers leave batches before it aside. Range partitioning on
+    (bucket, term, segment) splits a term that holds a large share of all postings over many
+    files."""
+    _write_batch(index, path, buckets, full=True)
 
 
 def read_index(spark: SparkSession, path: str, buckets: int = TERM_BUCKETS) -> SearchIndex:
-    return SearchIndex(
-        *_read_base(spark, path),
-        spark.read.schema("term string, df bigint, cf bigint").parquet(f"{path}/terms"),
-        spark.read.schema("n bigint, avgdl double").parquet(f"{path}/corpus"), buckets)
+    """The stored index: rows and statistics of its finished batches, without the rows that
+    later batches dropped."""
+    done = _batches(spark, path)
+    numbers = [r.batch for r in done]
+
+    def part(name: str, schema: str) -> DataFrame:
+        return spark.read.schema(f"{schema}, batch int").parquet(f"{path}/{name}").where(
+            F.col("batch").isin(numbers))
+
+    tables = [part("postings", POSTINGS), part("positions", POSITIONS), part("documents", DOCUMENTS)]
+    if any(r.drops for r in done):
+        last = part("dropped", "transcript_id string").groupBy(
+            F.col("transcript_id").alias("gone_id")).agg(F.max("batch").alias("gone_batch"))
+        tables = [t.join(last, (t["transcript_id"] == last["gone_id"])
+                         & (t["batch"] < last["gone_batch"]), "left_anti") for t in tables]
+    tables = [t.drop("batch") for t in tables]
+    terms = part("terms", "term string, df bigint, cf bigint").drop("batch")
+    if len(done) > 1:
+        terms = terms.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).where("df > 0")
+    corpus = part("corpus", "n bigint, dl bigint").agg(
+        F.sum("n").alias("n"), F.try_divide(F.sum("dl"), F.sum("n")).alias("avgdl"))
+    return SearchIndex(*tables, terms, corpus, buckets)
 
 
 def reindex(segments: DataFrame, transcripts: DataFrame, path: str,
@@ -169,12 +211,24 @@ def extend_index(segments: DataFrame, transcripts: DataFrame, index: SearchIndex
 
 def append_missing(segments: DataFrame, transcripts: DataFrame, path: str,
                    buckets: int = TERM_BUCKETS) -> None:
-    """Append the missing segments to a stored index; only they are tokenised."""
-    spark = segments.sparkSession
-    stored = read_index(spark, path, buckets)
+    """Append the missing segments to a stored index; only they are tokenised. Safe to run
+    again after it was cut off."""
+    stored = read_index(segments.sparkSession, path, buckets)
     added = index_segments(unindexed_segments(segments, transcripts, stored))
-    _write_base(added, path, "append", buckets)
-    _write_stats(spark, path)
+    _write_batch(added, path, buckets, full=False)
+
+
+def replace_stored(new_segments: DataFrame, new_transcripts: DataFrame, path: str,
+                   buckets: int = TERM_BUCKETS) -> None:
+    """Bring replaced transcripts of a stored index up to date: their old rows are dropped on
+    reading, new ones come in where the new transcript is completed. Only rows of these
+    transcripts are written."""
+    ids = new_transcripts.select(F.col("id").alias("transcript_id")).distinct()
+    stored = read_index(new_segments.sparkSession, path, buckets)
+    gone = make_index(*[t.join(ids, "transcript_id", "left_semi")
+                        for t in (stored.postings, stored.positions, stored.documents)])
+    _write_batch(build_index(new_segments, new_transcripts), path, buckets, full=False,
+                 dropped=ids, gone=gone)
 
 
 def union_index(a: SearchIndex, b: SearchIndex) -> SearchIndex:
@@ -186,10 +240,8 @@ def union_index(a: SearchIndex, b: SearchIndex) -> SearchIndex:
 
 def drop_transcripts(index: SearchIndex, transcript_ids: DataFrame) -> SearchIndex:
     """Index without the rows of the given transcripts (one column, transcript_id)."""
-    gone = index.documents.join(transcript_ids, "transcript_id", "left_semi").select("segment_id")
-    return make_index(index.postings.join(gone, "segment_id", "left_anti"),
-                      index.positions.join(gone, "segment_id", "left_anti"),
-                      index.documents.join(transcript_ids, "transcript_id", "left_anti"))
+    return make_index(*[t.join(transcript_ids, "transcript_id", "left_anti")
+                        for t in (index.postings, index.positions, index.documents)])
 
 
 def replace_in_index(index: SearchIndex, new_segments: DataFrame,

@@ -22,7 +22,7 @@ def _tokens_sql(column: str) -> str:
             "lambda w: regexp_replace(w, '\\p{Mn}+', '', 'g'))")
 
 
-def _index_sql(segments: str, transcripts: str) -> str:
+def index_sql(segments: str, transcripts: str) -> str:
     """CTEs tok, post, docs, corpus over the searchable segments."""
     return f"""
 tok AS (
@@ -79,7 +79,7 @@ def search_bm25_and(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SEARCH_AND_SQL = st.with_sql(
-    st.TALK_SQL, _index_sql("talk_segments", "talk_transcripts"),
+    st.TALK_SQL, index_sql("talk_segments", "talk_transcripts"),
     "q AS (SELECT 0 AS query_id, 2 AS n_terms, unnest(['the', 'in']) AS term)", _RANK_SQL) + """
 SELECT h.segment_id, s.recording_id, r.title AS recording_title, s.start_ms, s.end_ms, h.rank
 FROM hits h JOIN talk_segments s ON s.id = h.segment_id JOIN talk_recordings r ON r.id = s.recording_id
@@ -104,7 +104,7 @@ def search_bm25_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SEARCH_BATCH_SQL = st.with_sql(
     st.DOC_SQL, "all_transcripts AS (SELECT id, 'completed' AS status FROM doc_transcripts)",
-    _index_sql("doc_segments", "all_transcripts"),
+    index_sql("doc_segments", "all_transcripts"),
     f"""qt AS (SELECT item_id AS query_id, {_tokens_sql('text')} AS words FROM benchmark
   UNION ALL SELECT -1 - item_id, {_tokens_sql("regexp_extract(text, '[A-Za-z]+', 0)")} FROM benchmark),
 q AS (SELECT query_id, len(words) AS n_terms, unnest(words) AS term, generate_subscripts(words, 1) AS no FROM qt),
@@ -132,7 +132,7 @@ def search_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SEARCH_PHRASE_SQL = st.with_sql(
-    st.TALK_SQL, _index_sql("talk_segments", "talk_transcripts"), """
+    st.TALK_SQL, index_sql("talk_segments", "talk_transcripts"), """
 ph AS (SELECT segment_id, count(*) AS tf
        FROM (SELECT segment_id, words, unnest(range(1, len(words) + 1)) AS i FROM tok)
        WHERE words[i] = 'of' AND words[i + 1] = 'the' GROUP BY segment_id),
@@ -153,7 +153,7 @@ def search_phrase_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SEARCH_PHRASE_BATCH_SQL = st.with_sql(
-    st.TALK_SQL, _index_sql("talk_segments", "talk_transcripts"), """
+    st.TALK_SQL, index_sql("talk_segments", "talk_transcripts"), """
 pairs AS (SELECT segment_id, words[i] || '_' || words[i + 1] AS term
           FROM (SELECT segment_id, words, unnest(range(1, len(words) + 1)) AS i FROM tok)),
 ph AS (SELECT segment_id, term, count(*) AS tf FROM pairs
@@ -208,7 +208,7 @@ def search_index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _TERM_STATS = "SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM post GROUP BY term"
 INDEX_STATS_SQL = st.with_sql(
-    st.TALK_SQL, _index_sql("talk_segments", "talk_transcripts")) + _TERM_STATS
+    st.TALK_SQL, index_sql("talk_segments", "talk_transcripts")) + _TERM_STATS
 
 
 def search_corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,7 +216,7 @@ def search_corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.corpus.select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
-CORPUS_SQL = st.with_sql(st.DOC_SQL, _index_sql("doc_segments", "doc_transcripts")) + \
+CORPUS_SQL = st.with_sql(st.DOC_SQL, index_sql("doc_segments", "doc_transcripts")) + \
     "SELECT n, round(avgdl, 6) AS avgdl FROM corpus"
 
 
@@ -242,17 +242,22 @@ SELECT s.id, s.transcript_id FROM talk_segments s JOIN talk_transcripts t ON t.i
 WHERE t.status = 'completed' AND CAST(substr(t.id, 2) AS BIGINT) % 2 <> 0"""
 
 
-def search_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every third transcript replaced: its text doubled, every sixth one failed."""
-    segments = st.plain_talk_segments(spark, sf_dir)
-    transcripts = st.talk_transcripts(spark, sf_dir)
+def replaced_talks(segments: DataFrame, transcripts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every third transcript anew: its text doubled, every sixth one failed."""
     number = F.substring("id", 2, 20).cast("bigint")
     new = transcripts.where(number % 3 == 0).withColumn(
         "status", F.when(number % 6 == 0, "failed").otherwise("completed"))
     fresh = segments.join(new.select(F.col("id").alias("transcript_id")), "transcript_id",
                           "left_semi").withColumn("text", F.concat_ws(" ", "text", "text"))
-    index = se.replace_in_index(se.build_index(segments, transcripts), fresh, new)
-    return index.terms
+    return fresh, new
+
+
+def search_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third transcript replaced: its text doubled, every sixth one failed."""
+    segments = st.plain_talk_segments(spark, sf_dir)
+    transcripts = st.talk_transcripts(spark, sf_dir)
+    fresh, new = replaced_talks(segments, transcripts)
+    return se.replace_in_index(se.build_index(segments, transcripts), fresh, new).terms
 
 
 REPLACE_SQL = st.with_sql(st.TALK_SQL, """
@@ -261,7 +266,7 @@ mixed AS (SELECT id, transcript_id, recording_id,
           FROM talk_segments),
 states AS (SELECT id, CASE WHEN CAST(substr(id, 2) AS BIGINT) % 6 = 0 THEN 'failed'
              WHEN CAST(substr(id, 2) AS BIGINT) % 3 = 0 THEN 'completed' ELSE status END AS status
-           FROM talk_transcripts)""", _index_sql("mixed", "states")) + _TERM_STATS
+           FROM talk_transcripts)""", index_sql("mixed", "states")) + _TERM_STATS
 
 
 def search_reindex(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -286,7 +291,7 @@ def search_stale_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 STALE_SQL = st.with_sql(
     st.TALK_SQL, "every AS (SELECT DISTINCT transcript_id AS id, 'completed' AS status FROM talk_segments)",
-    _index_sql("talk_segments", "every"),
+    index_sql("talk_segments", "every"),
     "q AS (SELECT 0 AS query_id, 1 AS n_terms, 'and' AS term)", _RANK_SQL) + """
 SELECT h.segment_id, h.rank
 FROM hits h JOIN talk_segments s ON s.id = h.segment_id JOIN talk_recordings r ON r.id = s.recording_id

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from reelgrid.operators import search as se
 from reelgrid.plans import media_queries as mq
+from reelgrid.plans import search_queries as sq
 from reelgrid.plans import stand_ins as st
 from reelgrid.plans import text_queries as tq
 from reelgrid.plans.job_queries import FOLD_SQL, event_patches
@@ -140,6 +141,28 @@ def index_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return se.read_index(spark, path, 4).terms
 
 
+def index_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored index of which every third transcript is replaced, every sixth by a failed one."""
+    path = _folder(spark, "index")
+    segments, transcripts = st.talk_segments(spark, sf_dir), st.talk_transcripts(spark, sf_dir)
+    se.write_index(se.build_index(segments, transcripts), path, 4)
+    se.replace_stored(*sq.replaced_talks(segments, transcripts), path, 4)
+    return se.read_index(spark, path, 4).terms
+
+
+def index_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings of a freshly stored index, counted by segment."""
+    path = _folder(spark, "index")
+    se.write_index(se.build_index(st.doc_segments(spark, sf_dir), st.doc_transcripts(spark, sf_dir)),
+                   path, 8)
+    return se.read_index(spark, path, 8).postings.groupBy("segment_id").agg(
+        F.count("*").alias("terms"), F.sum("tf").cast("bigint").alias("words"))
+
+
+INDEX_WRITE_SQL = st.with_sql(st.DOC_SQL, sq.index_sql("doc_segments", "doc_transcripts")) + """
+SELECT segment_id, count(*) AS terms, CAST(sum(tf) AS BIGINT) AS words FROM post GROUP BY segment_id"""
+
+
 def file_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fl.inventory(spark, sf_dir, "*.parquet")
 
@@ -151,5 +174,7 @@ QUERIES = {
     "snapshot_roundtrip": (snapshot_roundtrip, SNAPSHOT_SQL),
     "session_files": (session_files, SESSION_FILES_SQL),
     "index_append": (index_append, INDEX_STATS_SQL),
+    "index_replace": (index_replace, sq.REPLACE_SQL),
+    "index_write": (index_write, INDEX_WRITE_SQL),
     "file_inventory": (file_inventory, None),
 }

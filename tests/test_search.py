@@ -136,6 +136,45 @@ def test_stored_index_append_and_counts(spark, tmp_path):
     assert "PartitionFilters: [" in plan and "term_bucket" in plan
 
 
+def test_append_cut_short_runs_again(spark, tmp_path):
+    s, t, r = library(spark, ["one two", "two three"])
+    path = str(tmp_path / "ix")
+    se.write_index(se.build_index(s, t), path, 4)
+    more, _, _ = library(spark, ["one two", "two three", "three four five"])
+    added = se.index_segments(se.unindexed_segments(more, t, se.read_index(spark, path, 4)))
+    se.write_by_term(added.postings, f"{path}/postings/batch=1", "overwrite", 4)
+    assert se.read_index(spark, path, 4).terms.where("term = 'four'").count() == 0
+    se.append_missing(more, t, path, 4)
+    index = se.read_index(spark, path, 4)
+    assert rows(index.terms.where("term IN ('three', 'four')"), "term") == [("four", 1, 1), ("three", 2, 2)]
+    query = spark.createDataFrame([(1, "four")], "query_id int, query string")
+    assert se.match_and_rank(query, index).count() == se.match_query("four", index).count() == 1
+
+
+def test_stored_replace_and_rebuild(spark, tmp_path):
+    s, t, r = library(spark, ["one two", "two three"])
+    path = str(tmp_path / "ix")
+    se.write_index(se.build_index(s, t), path, 4)
+    se.replace_stored(s, t.withColumn("status", F.lit("failed")), path, 4)
+    gone = se.read_index(spark, path, 4)
+    assert gone.terms.count() == gone.documents.count() == gone.postings.count() == 0
+    s2, t2, _ = library(spark, ["two new words"])
+    se.replace_stored(s2, t2, path, 4)
+    back = se.read_index(spark, path, 4)
+    assert rows(back.terms, "term") == [("new", 1, 1), ("two", 1, 1), ("words", 1, 1)]
+    assert tuple(back.corpus.head()) == (1, 3.0) and back.positions.count() == 3
+    se.write_index(se.build_index(s, t), path, 4)
+    assert se.read_index(spark, path, 4).documents.count() == 2
+
+
+def test_many_queries_on_one_word(spark):
+    s, t, r = library(spark, ["common " * (1 + i % 3) for i in range(60)])
+    queries = spark.range(1000).select("id", F.lit("common").alias("query")).withColumnRenamed("id", "query_id")
+    got = se.search_batch(queries, se.build_index(s, t), s, t, r, limit=5)
+    counts = got.groupBy("query_id").count().groupBy("count").count().collect()
+    assert [tuple(x) for x in counts] == [(5, 1000)]
+
+
 def test_combining_marks_and_case(spark):
     df = spark.createDataFrame([("Ca\u0301fe \u00c9T\u00c9 na\u00efve",), (None,)], "t string")
     got = [x[0] for x in df.select(tx.index_tokens(F.col("t"))).collect()]
