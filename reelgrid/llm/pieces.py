@@ -13,6 +13,7 @@ SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 LONGEST = 64
 MOST_WORDS = 200_000
+MOST_PAIRS = 500_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 _RUNS = re.compile(r"\n[^ \n]*| +[^ \n]*|[^ \n]+")
 
@@ -113,6 +114,7 @@ class PieceModel:
         keys = np.array(sorted(pairs), np.int64)
         self.pair_keys = keys
         self.pair_values = np.array([pairs[x] for x in keys.tolist()], np.int64)
+        self.lefts, self.rights = self.left.tolist(), self.right.tolist()
         self._fits: dict[int, bool] = {}
 
     def merge(self, word: str, steps: list | None = None) -> list[int]:
@@ -170,14 +172,29 @@ class PieceModel:
 
     def fit(self, one: int, two: int) -> bool:
         """``fits`` for one pair, remembered."""
-        key = one * (self.unknown + 1) + two
+        n = self.unknown + 1
+        key = one * n + two
         known = self._fits.get(key)
         if known is None:
-            if len(self._fits) > 2_000_000:
+            if len(self._fits) > MOST_PAIRS:
                 self._fits.clear()
-            known = self._fits[key] = bool(self.fits(np.array([one]), np.array([two]))[0])
+            known = self._fits[key] = self._undone(one, two, n)
         return known
 
+    def _undone(self, one: int, two: int, n: int) -> bool:
+        limit, pairs, lefts, rights = 2 * n, self.pairs, self.lefts, self.rights
+        while True:
+            made = pairs.get(one * n + two)
+            if made is not None and made < limit:
+                return False
+            right, left = rights[one], lefts[two]
+            if right != one and (one > two or left == two):
+                limit, one = one, right
+            elif left != two:
+                limit, two = two + 1, left
+            else:
+                return True
+
     def words(self, text: str) -> list[str]:
         """Runs of a text no piece crosses: a word with the spaces before it, or a line end
         with what follows. The first space is left out of a run; a run without one that is at
