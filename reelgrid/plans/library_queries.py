@@ -362,6 +362,44 @@ SELECT id, 'capturing' AS status, screen_source_id, audio_mode, CAST(0 AS BIGINT
        CAST(NULL AS BIGINT) AS duration_ms, '1800000000' AS created_at FROM event_sessions"""
 
 
+def job_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One job by its id."""
+    return lk.by_id(st.order_jobs(spark, sf_dir), "1").select(
+        "id", "recording_id", "kind", "state", "priority", "attempts")
+
+
+JOB_LOOKUP_SQL = st.with_sql(st.JOB_SQL) + """
+SELECT id, recording_id, kind, state, priority, attempts FROM order_jobs WHERE id = '1'"""
+
+
+def recording_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of the detail view of every fifth recording: name of the part, recording, id."""
+    t = st.library(spark, sf_dir)
+    ids = t["recordings"].where(F.substring("id", 2, 20).cast("bigint") % 5 == 0).select("id")
+    parts = lk.recording_context(ids, t["recordings"], t["transcripts"], t["transcript_segments"],
+                                 t["ai_summaries"], t["processing_jobs"], t["recording_sessions"],
+                                 st.ROOT)
+    out = None
+    for name, rows in sorted(parts.items()):
+        recording = F.col("id" if name == "recording" else "recording_id").alias("recording_id")
+        key = F.col("media_path" if name == "assets" else "id").alias("key")
+        rows = rows.select(F.lit(name).alias("part"), recording, key)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+PARTS_SQL = st.with_sql(st.DOC_SQL, st.JOB_SQL, st.SESSION_SQL, st.SUMMARY_SQL, """
+w AS (SELECT id FROM doc_recordings WHERE CAST(substr(id, 2) AS BIGINT) % 5 = 0)""") + """
+SELECT 'recording' AS part, id AS recording_id, id AS key FROM w
+UNION ALL SELECT 'assets', id, CASE WHEN media_path LIKE '/%' THEN media_path ELSE '/library/' || media_path END
+FROM doc_recordings WHERE id IN (SELECT id FROM w)
+UNION ALL SELECT 'transcript', recording_id, id FROM doc_transcripts WHERE recording_id IN (SELECT id FROM w)
+UNION ALL SELECT 'segments', recording_id, id FROM doc_segments WHERE recording_id IN (SELECT id FROM w)
+UNION ALL SELECT 'summary', recording_id, id FROM doc_summaries WHERE recording_id IN (SELECT id FROM w)
+UNION ALL SELECT 'jobs', recording_id, id FROM order_jobs WHERE recording_id IN (SELECT id FROM w)
+UNION ALL SELECT 'session', recording_id, id FROM event_sessions WHERE recording_id IN (SELECT id FROM w)"""
+
+
 def list_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Newest version of each user's row among all events."""
     rows = st.given(spark, sf_dir, "events").select(
@@ -492,6 +530,8 @@ QUERIES = {
     "session_create": (session_create, SESSION_CREATE_SQL),
     "session_details": (session_details, _session_patch_sql(False)),
     "session_finish": (session_finish, _session_patch_sql(True)),
+    "job_lookup": (job_lookup, JOB_LOOKUP_SQL),
+    "recording_parts": (recording_parts, PARTS_SQL),
     "list_upsert": (list_upsert, LIST_UPSERT_SQL),
     "constraint_report": (constraint_report, CONSTRAINT_SQL),
     "orphan_rows": (orphan_rows, ORPHAN_SQL),

@@ -130,6 +130,19 @@ SELECT id, recording_id, status, width, height, frame_count, video_path, video_s
        stopped_at FROM event_sessions"""
 
 
+def table_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored table read by its declared schema."""
+    path = _folder(spark, "table")
+    st.doc_transcripts(spark, sf_dir).write.parquet(path)
+    return lib.read_table(spark, path, "transcripts").select(
+        "id", "recording_id", "status", "language", "model_name", "text", "failure_message")
+
+
+TABLE_SCAN_SQL = st.with_sql(st.DOC_SQL) + """
+SELECT id, recording_id, status, language, model_name, text, CAST(NULL AS VARCHAR) AS failure_message
+FROM doc_transcripts"""
+
+
 def index_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stored index built from half of the transcripts, then brought up to date."""
     path = _folder(spark, "index")
@@ -173,6 +186,7 @@ QUERIES = {
     "transcript_landing": (transcript_landing, LANDING_SQL),
     "snapshot_roundtrip": (snapshot_roundtrip, SNAPSHOT_SQL),
     "session_files": (session_files, SESSION_FILES_SQL),
+    "table_scan": (table_scan, TABLE_SCAN_SQL),
     "index_append": (index_append, INDEX_STATS_SQL),
     "index_replace": (index_replace, sq.REPLACE_SQL),
     "index_write": (index_write, INDEX_WRITE_SQL),

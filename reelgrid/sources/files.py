@@ -13,10 +13,3 @@ def inventory(spark: SparkSession, path: str, pattern: str | None = None) -> Dat
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     return reader.load(path).select("path", "length", F.col("modificationTime").alias("modified"))
-
-
-def file_sizes(rows: DataFrame, files: DataFrame, column: str = "media_path") -> DataFrame:
-    """Rows with file_size_bytes of the file they name; null when it does not exist."""
-    sizes = files.select(F.regexp_replace("path", "^file:/+", "/").alias(column),
-                         F.col("length").alias("file_size_bytes"))
-    return rows.join(sizes, column, "left")

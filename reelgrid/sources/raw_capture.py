@@ -27,6 +27,9 @@ VIDEO_HEADER = "<QQIIII"
 ROWS_PER_BATCH = 4096
 LARGEST_LONG = 2 ** 63 - 1
 
+# Decoded frames a task holds before it hands them on.
+FRAMES_HELD = 1 << 19
+
 
 def _open(path: str):
     from pyarrow import fs
@@ -147,18 +150,25 @@ def block_problem(byte_count: Column, sample_format: Column, channels: Column) -
 
 
 def _decode(batches: Iterator[pd.DataFrame], payload) -> Iterator[pd.DataFrame]:
+    def framed(rows: list) -> pd.DataFrame:
+        frame = pd.DataFrame(rows, columns=["stream_id", "block_seq", "elapsed_ms", "frames",
+                                            "left", "right", "error"])
+        frame["frames"] = frame["frames"].astype("Int64")
+        return frame
+
     for batch in batches:
-        out = []
+        out, held = [], 0
         for row in batch.itertuples(index=False):
             left = right = None
             if row.error is None:
                 left, right = to_stereo(payload(row), row.sample_format, int(row.channels))
+                held += len(left)
             out.append((row.stream_id, row.block_seq, row.elapsed_ms,
                         None if left is None else len(left), left, right, row.error))
-        frame = pd.DataFrame(out, columns=["stream_id", "block_seq", "elapsed_ms", "frames",
-                                           "left", "right", "error"])
-        frame["frames"] = frame["frames"].astype("Int64")
-        yield frame
+            if held > FRAMES_HELD:
+                yield framed(out)
+                out, held = [], 0
+        yield framed(out)
 
 
 def decode_blocks(blocks: DataFrame) -> DataFrame:
@@ -199,7 +209,3 @@ def decode_files(index: DataFrame, formats: DataFrame) -> DataFrame:
         yield from _decode(batches, payload)
 
     return rows.mapInPandas(run, DECODED)
-
-
-def decode_errors(decoded: DataFrame) -> DataFrame:
-    return decoded.where("error IS NOT NULL").select("stream_id", "block_seq", "error")

@@ -34,9 +34,3 @@ def live_counters(events: DataFrame) -> DataFrame:
     events in arrival order until it stops.
     """
     return media.capture_stats(events)
-
-
-def start_counters(events: DataFrame, sink: str, name: str, checkpoint: str):
-    """Start the counters into a sink that takes updates (for example memory, kafka)."""
-    return (live_counters(events).writeStream.outputMode("update").format(sink)
-            .queryName(name).option("checkpointLocation", checkpoint))
