@@ -9,6 +9,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
+from reelgrid.llm.rows import kept
+
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 LONGEST = 64
@@ -221,16 +223,9 @@ class PieceModel:
         return len(word) > LONGEST or SPACE * 2 in word
 
 
-_KEPT: dict[int, PieceModel] = {}
-
-
 def piece_model(data: bytes) -> PieceModel:
     """The worker's model of a file's content."""
-    key = hash(data)
-    if key not in _KEPT:
-        _KEPT.clear()
-        _KEPT[key] = PieceModel(data)
-    return _KEPT[key]
+    return kept(("pieces", hash(data)), lambda: PieceModel(data))
 
 
 def model_bytes(path: str | None, name: str = "piece_bpe_32k.model") -> bytes:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reelgrid.llm.rows import raw_texts, table, with_columns
+from reelgrid.llm.rows import kept, raw_texts, table, with_columns
 from reelgrid.llm.words import WordIndex, bare, grown, labelled_sample, remainder
 
 BUCKETS = 1 << 12
@@ -191,6 +191,7 @@ def score(docs: DataFrame, model: Machine, text: str = "text", metadata: tuple[s
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS rows at most
 
     def make():
+        kept("quality", lambda: None)  # lets stores of other operators go
         features, machine = Features(), shared.value
 
         def compute(batch):

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from reelgrid.session import shared_folder
 
+_KEPT: dict = {}
 SLICE_BYTES = 4 << 20
 BATCH_BYTES = 32 << 20
 
@@ -28,6 +29,15 @@ def bound_batches(spark: SparkSession, limit: int = BATCH_BYTES) -> None:
         spark.conf.set(key, str(limit))
 
 
+def kept(key, build):
+    """What ``build`` makes, kept in the Python worker for its later tasks. One thing is kept
+    at a time: another key lets the one before go."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = build()
+    return _KEPT[key]
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose texts take about ``limit`` bytes; a longer text is alone."""
     if not batch.num_rows:

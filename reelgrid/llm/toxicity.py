@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reelgrid.llm.rows import raw_texts, table, with_columns
+from reelgrid.llm.rows import kept, raw_texts, table, with_columns
 from reelgrid.llm.words import WordIndex, bare, grown, labelled_sample, remainder
 
 WINDOW, STEP = 32, 16
@@ -275,6 +275,7 @@ def score(docs: DataFrame, network: Network | None, text: str = "text", name: st
         network and (network.known, network.p))  # words of the bounded sample at most
 
     def make():
+        kept("toxicity", lambda: None)  # lets stores of other operators go
         scorer = WordGates(Network(*shared.value)) if shared.value else None
 
         def compute(batch):

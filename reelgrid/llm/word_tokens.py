@@ -8,6 +8,7 @@ import re
 import numpy as np
 import regex
 
+from reelgrid.llm.rows import kept
 from reelgrid.llm.words import WordIndex, grown
 
 MOST_WORDS = 300_000
@@ -97,13 +98,6 @@ class WordTokens:
         return np.split(flat, cuts[:-1]) if len(ends) else []
 
 
-_KEPT: dict[int, WordTokens] = {}
-
-
 def word_tokens(definition: str) -> WordTokens:
     """The worker's encoder for a tokenizer definition; tasks of one worker share its words."""
-    key = hash(definition)
-    if key not in _KEPT:
-        _KEPT.clear()
-        _KEPT[key] = WordTokens(definition)
-    return _KEPT[key]
+    return kept(("words", hash(definition)), lambda: WordTokens(definition))
