@@ -47,10 +47,14 @@ hits AS (SELECT *, round(score, 9) AS rank FROM scored WHERE matched = n_terms)"
 
 
 BUCKETS = 8
-RANK = F.round("rank", 9).alias("rank")  # shown; order and cut use the full value
 _stored: dict[tuple, str] = {}
 
 
+def _rank():
+    """Rank as shown; order and cut use the full value."""
+    return F.round("rank", 9).alias("rank")
+
+
 def _talk_index(spark: SparkSession, sf_dir: str) -> se.SearchIndex:
     return se.build_index(st.talk_segments(spark, sf_dir), st.talk_transcripts(spark, sf_dir))
 
@@ -75,7 +79,7 @@ def search_bm25_and(spark: SparkSession, sf_dir: str) -> DataFrame:
     transcripts = st.talk_transcripts(spark, sf_dir)
     found = se.search("The, IN", stored_index(spark, sf_dir, _talk_index), segments, transcripts,
                       st.talk_recordings(spark, sf_dir), limit=40)
-    return found.select("segment_id", "recording_id", "recording_title", "start_ms", "end_ms", RANK)
+    return found.select("segment_id", "recording_id", "recording_title", "start_ms", "end_ms", _rank())
 
 
 SEARCH_AND_SQL = st.with_sql(
@@ -99,7 +103,7 @@ def search_bm25_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = stored_index(spark, sf_dir, _doc_index)
     found = se.search_batch(queries, index, segments, transcripts,
                             st.doc_recordings(spark, sf_dir), limit=10)
-    return found.select("query_id", F.col("place").cast("bigint").alias("place"), "segment_id", "recording_title", RANK)
+    return found.select("query_id", F.col("place").cast("bigint").alias("place"), "segment_id", "recording_title", _rank())
 
 
 SEARCH_BATCH_SQL = st.with_sql(
@@ -128,7 +132,7 @@ SELECT query_id, place, segment_id, recording_title, round(rank, 9) AS rank FROM
 def search_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A token with an underscore matches adjacent words only."""
     ranked = se.match_query("of_the", stored_index(spark, sf_dir, _talk_index))
-    return ranked.select("segment_id", RANK)
+    return ranked.select("segment_id", _rank())
 
 
 SEARCH_PHRASE_SQL = st.with_sql(
@@ -149,7 +153,7 @@ def search_phrase_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("n_nationkey") % 2 == 0, "of_the and").otherwise("to_the in_the")
         .alias("query"))
     ranked = se.match_and_rank(queries, stored_index(spark, sf_dir, _talk_index))
-    return ranked.select("query_id", "segment_id", RANK)
+    return ranked.select("query_id", "segment_id", _rank())
 
 
 SEARCH_PHRASE_BATCH_SQL = st.with_sql(
@@ -286,7 +290,7 @@ def search_stale_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     stale = se.index_segments(segments)
     found = se.search("and", stale, segments, st.talk_transcripts(spark, sf_dir),
                       st.talk_recordings(spark, sf_dir), limit=100)
-    return found.select("segment_id", RANK)
+    return found.select("segment_id", _rank())
 
 
 STALE_SQL = st.with_sql(
