@@ -53,10 +53,11 @@ class PieceModel:
     """A BPE or unigram piece model with byte fallback and no character map.
 
     ``token`` numbers here are merge ranks: single characters first, then merged pieces in the
-    order BPE merges them; the last number stands for a character without a piece.
+    order BPE merges them; the last number stands for a character without a piece. Decoding
+    needs no ``merges``.
     """
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, merges: bool = True):
         pieces, kind, spec = [], 1, {}
         for number, value in _fields(data):
             if number == 1:
@@ -93,7 +94,7 @@ class PieceModel:
             raise ValueError("a piece spans a word border")
         if any("\n" in t for t in self.text):
             raise ValueError("a piece spans a line border")
-        if self.is_bpe:
+        if self.is_bpe and merges:
             self._merges()
 
     def _merges(self):

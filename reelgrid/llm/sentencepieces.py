@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,7 +29,7 @@ class Encoder:
             for _ in range(LONGEST):
                 powers.append(powers[-1] * BASE)
         self.powers = np.array(powers, np.uint64)
-        self.keys, self.tokens = {}, {}
+        self.keys, self.tokens, self.id_of = {}, {}, model.ids.tolist()
         by_size = defaultdict(list)
         for k, text in enumerate(model.text):
             if not model.is_bpe or model.reached[k]:
@@ -120,7 +121,12 @@ class Encoder:
 
     def _ids(self, word: str, tokens) -> list[int]:
         """Ids of a word's tokens; a character without a piece becomes its bytes' ids."""
-        out, at, model = [], 0, self.model
+        model = self.model
+        if model.unknown not in tokens:
+            if "".join([model.text[t] for t in tokens]) != word:
+                raise ValueError("a substring hash met a different piece")
+            return [self.id_of[t] for t in tokens]
+        out, at = [], 0
         for t in tokens:
             if t == model.unknown:
                 out += model.byte_ids[list(word[at].encode("utf-8", "surrogatepass"))].tolist()
@@ -128,7 +134,7 @@ class Encoder:
             else:
                 if not word.startswith(model.text[t], at):
                     raise ValueError("a substring hash met a different piece")
-                out.append(int(model.ids[t]))
+                out.append(self.id_of[t])
                 at += len(model.text[t])
         return out
 
@@ -203,21 +209,45 @@ class Decoder:
 
     def __init__(self, model: PieceModel):
         self.prefix = model.prefix
-        self.spelt = []
+        spelt = []
         for text, _, kind in model.pieces:
             if kind == BYTE:
-                self.spelt.append(bytes([int(text[1:-1], 16)]))
+                spelt.append(bytes([int(text[1:-1], 16)]))
             elif kind in (CONTROL, UNUSED):
-                self.spelt.append(b"")
+                spelt.append(b"")
             else:
                 text = " ⁇ " if kind == UNKNOWN else text.replace(SPACE, " ")
-                self.spelt.append(text.encode())
-
-    def decode(self, ids: list[int]) -> str:
-        out = b"".join(map(self.spelt.__getitem__, ids))
-        if self.prefix and out[:1] == b" ":
-            out = out[1:]
-        return out.decode("utf-8", "replace")
+                spelt.append(text.encode())
+        self.sizes = np.fromiter(map(len, spelt), np.int64, len(spelt))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.letters = np.frombuffer(b"".join(spelt), np.uint8)
+
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """UTF-8 bytes of all texts one after the other, and where each begins and ends, from
+        all ids in order and the number of each text."""
+        sizes = self.sizes[ids]
+        before = np.cumsum(sizes) - sizes
+        flat = self.letters[np.repeat(self.starts[ids] - before, sizes) + np.arange(sizes.sum())]
+        edges = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
+        if self.prefix and len(flat):
+            first = edges[:-1][edges[1:] > edges[:-1]]
+            spaces = first[flat[first] == 32]
+            flat = np.delete(flat, spaces)
+            edges = edges - np.searchsorted(spaces, edges)
+        return flat, edges
+
+    def texts(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+        """Decoded texts; bytes that are no UTF-8 become replacement characters."""
+        flat, edges = self.decode(ids, counts)
+        out = pa.StringArray.from_buffers(len(counts), pa.py_buffer(edges.astype(np.int32)),
+                                          pa.py_buffer(flat))
+        try:
+            out.validate(full=True)
+        except pa.ArrowInvalid:
+            whole = flat.tobytes()
+            out = pa.array([whole[a:b].decode("utf-8", "replace")
+                            for a, b in zip(edges, edges[1:])], pa.string())
+        return out
 
 
 def encode(docs: DataFrame, model: bytes, text: str = "text", name: str = "ids") -> DataFrame:
@@ -252,12 +282,13 @@ def decode(rows: DataFrame, model: bytes, ids: str = "ids", name: str = "decoded
     wide = rows.withColumn("__weight", F.lit(""))
 
     def make():
-        decoder = Decoder(piece_model(shared.value))
+        decoder = Decoder(PieceModel(shared.value, merges=False))
 
         def compute(batch):
             column = batch.column(ids)
-            return [pa.array([None if x is None else decoder.decode(x)
-                              for x in column.to_pylist()], pa.string())]
+            counts = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
+            found = decoder.texts(column.flatten().to_numpy(), counts)
+            return [pc.if_else(column.is_null(), pa.scalar(None, pa.string()), found)]
         return compute
 
     return with_columns(wide, [(name, T.StringType())], "__weight", make).drop("__weight")

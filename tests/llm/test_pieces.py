@@ -1,6 +1,7 @@
 """Piece ids and counts against the model's own library; the unigram rule, for which there is
 no file, against a plain search."""
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -66,7 +67,8 @@ def same(texts):
         assert got == want
         assert counter.totals(texts).tolist() == [len(w) for w in want]
         decoder = sn.Decoder(encoder.model)
-        assert [decoder.decode(w) for w in want] == [t.replace("▁", " ") for t in texts]
+        back = decoder.texts(np.array(flat, np.int64), np.array(counts)).to_pylist()
+        assert back == [t.replace("▁", " ") for t in texts]
 
 
 def test_odd_texts():
@@ -111,6 +113,12 @@ def test_odd_rows(spark, operator):
     assert got.where("doc_id = 9").count() == 0
 
 
+def test_ids_that_spell_no_text():
+    decoder = sn.Decoder(BPE)
+    ids = np.array([1, *BPE.byte_ids[[0xFF, 0xC3]], int(BPE.ids[BPE.token["▁a"]])])
+    assert decoder.texts(ids, np.array([4, 0])).to_pylist() == ["\ufffd\ufffd a", ""]
+
+
 def test_small_store_changes_nothing(monkeypatch):
     texts = [f"word{k} and more{k % 7}" for k in range(60)]
     for module in (sn, tc):
