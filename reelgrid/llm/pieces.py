@@ -14,7 +14,7 @@ from reelgrid.llm.rows import kept
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 LONGEST = 64
-MOST_WORDS = 200_000
+MOST_WORDS = 500_000
 MOST_PAIRS = 500_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 _RUNS = re.compile(r"\n[^ \n]*| +[^ \n]*|[^ \n]+")

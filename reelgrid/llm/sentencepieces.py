@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reelgrid.llm.pieces import (BYTE, CONTROL, LONGEST, MOST_WORDS, SPACE, UNKNOWN, UNUSED,
-                                 PieceModel, model_bytes, piece_model)
-from reelgrid.llm.rows import table, with_columns
+                                 PieceModel, model_bytes)
+from reelgrid.llm.rows import kept, table, with_columns
 from reelgrid.llm.words import grown
 
+AT_ONCE = 1 << 17
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -237,7 +238,15 @@ class Decoder:
         return flat, edges
 
     def texts(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
-        """Decoded texts; bytes that are no UTF-8 become replacement characters."""
+        """Decoded texts, some AT_ONCE ids at a time; bytes that are no UTF-8 become
+        replacement characters."""
+        ends = np.cumsum(counts)
+        edges = [0, *(np.flatnonzero(np.diff(ends // AT_ONCE)) + 1).tolist(), len(counts)]
+        return pa.concat_arrays([self._texts(
+            ids[ends[a] - counts[a]:ends[b - 1]], counts[a:b])
+            for a, b in zip(edges, edges[1:]) if b > a] or [pa.array([], pa.string())])
+
+    def _texts(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
         flat, edges = self.decode(ids, counts)
         out = pa.StringArray.from_buffers(len(counts), pa.py_buffer(edges.astype(np.int32)),
                                           pa.py_buffer(flat))
@@ -259,7 +268,7 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", name: str = "ids")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a vocabulary file
 
     def make():
-        encoder = Encoder(piece_model(shared.value))
+        encoder = kept(("encoder", hash(shared.value)), lambda: Encoder(PieceModel(shared.value)))
 
         def compute(batch):
             texts = batch.column(text).to_pylist()
