@@ -24,10 +24,13 @@ FIRST_SHARE = 0.5
 SHARE = 0.02
 BLOCK = 16
 CACHE = 20.0
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 16 << 20
 HELD_WORDS = 300_000
 SLICE = 16_384
 PRIOR = 0.4
+SPELT = [f"spelt{m}" for m in range(EXPERTS)]
+MIXED_WORDS = 300_000
+LOG_STEPS = 50
 COUNTS = ["count", *(f"c{k}" for k in range(CLASSES))]
 MIX = np.uint64(0x9E3779B97F4A7C15)
 STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -348,7 +351,7 @@ def mixed_logs(counts: np.ndarray, at: np.ndarray, logs: np.ndarray) -> np.ndarr
     seen[order] = np.arange(len(at)) - np.repeat(new, np.diff(np.append(new, len(at))))
     plain = logs[at]
     cache = np.log((seen + CACHE * np.exp(plain[:, 0])) / (nth + CACHE))
-    plain = np.concatenate([plain, cache[:, None]], axis=1)
+    plain = np.concatenate([plain, cache[:, None]], axis=1, dtype=logs.dtype)
     parties = plain.shape[1]
     shares = np.full((len(counts), parties), (1 - FIRST_SHARE) / (parties - 1))
     shares[:, 0] = FIRST_SHARE
@@ -360,9 +363,10 @@ def mixed_logs(counts: np.ndarray, at: np.ndarray, logs: np.ndarray) -> np.ndarr
         base = np.cumsum(size) - size
         rows = plain[np.arange(size.sum()) + np.repeat(first[live] + a - base, size)]
         top = rows.max(axis=1)
-        chance = (np.exp(rows - top[:, None]) * np.repeat(shares[live], size, axis=0)).sum(axis=1)
-        out[live] += np.add.reduceat(top + np.log(chance), base)
-        worth = np.add.reduceat(rows, base, axis=0)
+        own = np.repeat(shares[live].astype(rows.dtype), size, axis=0)
+        chance = np.einsum("tp,tp->t", np.exp(rows - top[:, None]), own)
+        out[live] += np.add.reduceat(top + np.log(chance), base, dtype=np.float64)
+        worth = np.add.reduceat(rows, base, axis=0, dtype=np.float64)
         worth = shares[live] * np.exp(worth - worth.max(axis=1, keepdims=True)) + 1e-300
         worth /= worth.sum(axis=1, keepdims=True)
         shares[live] = (1 - SHARE) * worth + SHARE / parties
@@ -393,9 +397,23 @@ def score(docs: DataFrame, vocabulary: DataFrame, model: MixModel, totals: list[
         chunk = group["chunk"][0].as_py()
         return pa.table({"chunk": pa.array(np.full(len(words), chunk)), "word": words})
 
+    def spell(batches):
+        own = MixModel(*shared.value)
+        for batch in batches:
+            logs = own.word_logs(raw_texts(batch, "word"))
+            logs = np.maximum(np.floor(logs * LOG_STEPS), -32768).astype(np.int16)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, *(pa.array(logs[:, m]) for m in range(EXPERTS))],
+                names=[*batch.schema.names, *SPELT])
+
+    # A counted word is spelt once, not once in each chunk it is in. Its logs travel rounded
+    # down, so chances still add up to one at most.
+    counted = vocabulary.select("word", *COUNTS).mapInArrow(
+        spell, ", ".join(["word string", *(f"{c} long" for c in COUNTS),
+                          *(f"{m} smallint" for m in SPELT)]))
     needed = keyed.groupBy("chunk").applyInArrow(own_words, "chunk long, word string")
-    known = needed.join(vocabulary, "word", "left").select(
-        "chunk", "word", *(F.coalesce(c, F.lit(0)).alias(c) for c in COUNTS))
+    known = needed.join(counted, "word", "left").select(
+        "chunk", "word", *(F.coalesce(c, F.lit(0)).alias(c) for c in COUNTS), *SPELT)
     sums = np.array(totals, np.float64)
     whole = np.log10(totals[0] + 0.1 * (distinct + 1))
 
@@ -413,10 +431,16 @@ def score(docs: DataFrame, vocabulary: DataFrame, model: MixModel, totals: list[
         first = np.cumsum(counts) - counts
         seen = words["count"].to_numpy()
         base = np.log10(seen + 0.1) - whole
-        spelt = MixModel(*shared.value).word_logs(names)
+        spelt = np.stack([words[m].to_numpy() for m in SPELT], axis=1) / float(LOG_STEPS)
+        new = np.flatnonzero(seen == 0)
+        spelt[new] = MixModel(*shared.value).word_logs([names[k] for k in new])
         by_class = np.stack([words[c].to_numpy() for c in COUNTS], axis=1)
-        logs = np.concatenate([counted_logs(by_class, sums, distinct, spelt[:, -1]), spelt], axis=1)
-        result = mixed_logs(counts, at, logs) / np.log(10)
+        logs = np.concatenate([counted_logs(by_class, sums, distinct, spelt[:, -1]), spelt],
+                              axis=1, dtype=np.float32)
+        part = first // MIXED_WORDS
+        edges = [0, *(np.flatnonzero(np.diff(part)) + 1), len(counts)]
+        result = np.concatenate([mixed_logs(counts[a:b], at[first[a]:first[b - 1] + counts[b - 1]],
+                                            logs) for a, b in zip(edges, edges[1:])]) / np.log(10)
         sizes = np.fromiter(map(len, names), np.int64, len(names)) + 1
         nbytes = np.add.reduceat(sizes[at], first)
         return pa.table({
