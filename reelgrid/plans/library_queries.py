@@ -373,12 +373,11 @@ SELECT id, recording_id, kind, state, priority, attempts FROM order_jobs WHERE i
 
 
 def recording_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The parts of the detail view of every fifth recording: name of the part, recording, id."""
+    """The parts of the detail view of all recordings: name of the part, recording, id."""
     t = st.library(spark, sf_dir)
-    ids = t["recordings"].where(F.substring("id", 2, 20).cast("bigint") % 5 == 0).select("id")
-    parts = lk.recording_context(ids, t["recordings"], t["transcripts"], t["transcript_segments"],
-                                 t["ai_summaries"], t["processing_jobs"], t["recording_sessions"],
-                                 st.ROOT)
+    parts = lk.recording_context(t["recordings"].select("id"), t["recordings"], t["transcripts"],
+                                 t["transcript_segments"], t["ai_summaries"],
+                                 t["processing_jobs"], t["recording_sessions"], st.ROOT)
     out = None
     for name, rows in sorted(parts.items()):
         recording = F.col("id" if name == "recording" else "recording_id").alias("recording_id")
