@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import heapq
+import pickle
+import uuid
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -10,12 +13,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelgrid.llm.rows import bound_batches, raw_texts, slices, stored, table
+from reelgrid.llm.rows import bound_batches, kept, raw_texts, slices, stored, table
 from reelgrid.llm.words import WordIndex, remainder
 
 SPACE, END, START = 256, 257, 258
 END_WORD = " "  # stands for the end of a text among the words
 TABLE_BITS = (17, 19, 20, 21)  # contexts: one, two, three bytes back; the word so far
+TEXT_BITS = (21, 21)  # contexts across words: word before and word so far; four bytes back
+OWN_BITS = 14  # the text's own counts of the word so far
+GROUP = 128  # texts mixed together
+RATE, FIRST_SQUARES = 0.02, 30.0
+TASK_BYTES = 128 << 20
 RARE = 2  # words seen less often are kept out of the last table
 GATES = 24
 EXPERTS = 2
@@ -72,6 +80,10 @@ class MixModel:
     paths: list
     counts: list = field(default_factory=list)
     weights: np.ndarray | None = None
+    text_counts: list = field(default_factory=list)
+    text_weights: np.ndarray | None = None
+    odds: list | None = None  # log odds by slot, made when first asked for
+    known: np.ndarray | None = None
 
     def __post_init__(self):
         sizes = np.array([len(p) for p in self.paths])
@@ -80,9 +92,10 @@ class MixModel:
         self.nodes = np.array([n for n, _ in flat], np.uint64)
         self.steps = np.array([b for _, b in flat], np.uint8)
 
-    def bits(self, words: list[bytes]) -> Bits:
+    def bits(self, words: list[bytes], before: list[bytes] | None = None) -> Bits:
         """All decisions of words, in order. A word is its bytes and a space, the end of a text
-        one symbol of its own, so the words spell in one way only."""
+        one symbol of its own, so the words spell in one way only. With the word ``before`` each
+        (none is empty), slots of the contexts across words follow those inside a word."""
         end = np.array([w == END_WORD.encode() for w in words])
         flat = np.frombuffer(b" ".join([*words, b""]), np.uint8).astype(np.int64)
         sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
@@ -103,13 +116,26 @@ class MixModel:
             so_far = (total[:-1] - total[first[word]]) * inverse[first[word]]
             context = [past[0], past[0] * np.uint64(512) + past[1],
                        (past[0] * np.uint64(512) + past[1]) * np.uint64(512) + past[2], so_far]
+            widths = TABLE_BITS
+            if before is not None:
+                widths = TABLE_BITS + TEXT_BITS
+                names = np.fromiter(map(zlib.crc32, before), np.uint64, len(before))
+                tails = np.frombuffer(b"".join([(b"\0\0\0\0" + w)[-4:] for w in before]),
+                                      np.uint8).reshape(-1, 4).astype(np.int64)
+                last4 = np.zeros(len(flat), np.uint64)
+                for k in (1, 2, 3, 4):
+                    back = np.where(place >= k, np.roll(flat, k), SPACE)
+                    over = np.flatnonzero(place < k - 1)
+                    back[over] = tails[word[over], 4 - (k - 1 - place[over])]
+                    last4 = last4 * np.uint64(512) + back.astype(np.uint64)
+                context += [so_far * BACK + (names + np.uint64(1))[word] * MIX, last4]
             many = self.path_sizes[flat]
             owner = np.repeat(np.arange(len(flat)), many)
             step = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
             at = self.path_starts[flat][owner] + step
             node = self.nodes[at]
             slots = []
-            for k, (c, width) in enumerate(zip(context, TABLE_BITS)):
+            for k, (c, width) in enumerate(zip(context, widths)):
                 mixed = (c * MIX + np.uint64(k + 1))[owner] ^ (node * STEP)
                 slots.append(((mixed ^ mixed >> np.uint64(29)) * MIX
                               >> np.uint64(64 - width)).astype(np.int64))
@@ -124,7 +150,7 @@ class MixModel:
         """
         out = np.ones((len(bits.bit), len(TABLE_BITS) + 1), np.float32)
         one = bits.bit.astype(np.float32)
-        for k, (zeros, ones) in enumerate(self.counts):
+        for k, (zeros, ones) in enumerate(self.counts[:len(TABLE_BITS)]):
             n0, n1 = zeros[bits.slots[k]], ones[bits.slots[k]]
             if own:
                 n0, n1 = np.maximum(n0 - (1 - one), 0), np.maximum(n1 - one, 0)
@@ -133,6 +159,82 @@ class MixModel:
         gate = np.minimum(bits.place, 7) * 3 + (known > 0) + (known > 30)
         return out, gate
 
+    def text_inputs(self, bits: Bits, past: tuple[np.ndarray, np.ndarray],
+                    own: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """The same with the predictors across words and with the text's own counts so far, a
+        row for each predictor and the constant last."""
+        tables = [*self.counts[:len(TABLE_BITS)], *self.text_counts]
+        out = np.ones((MIXED_INPUTS, len(bits.bit)), np.float32)
+        if own:
+            one = bits.bit.astype(np.float32)
+            for k, (zeros, ones) in enumerate(tables):
+                n0 = np.maximum(zeros[bits.slots[k]] - (1 - one), 0)
+                n1 = np.maximum(ones[bits.slots[k]] - one, 0)
+                np.log((n1 + PRIOR) / (n0 + PRIOR), out=out[k])
+                if k == len(TABLE_BITS) - 1:
+                    known = (n0 + n1 > 0).astype(np.int64) + (n0 + n1 > 30)
+        else:
+            if self.odds is None:
+                self.odds = [np.log((n1 + PRIOR) / (n0 + PRIOR)) for n0, n1 in tables]
+                n = sum(self.counts[len(TABLE_BITS) - 1])
+                self.known = (n > 0).astype(np.int8) + (n > 30)
+            for k, odds in enumerate(self.odds):
+                np.take(odds, bits.slots[k], out=out[k], mode="clip")
+            known = self.known[bits.slots[len(TABLE_BITS) - 1]]
+        np.log((past[1] + PRIOR) / (past[0] + PRIOR), out=out[-2])
+        return out, np.minimum(bits.place, 7) * 3 + known
+
+    def text_logs(self, texts: list[list[bytes]], learnt: dict | None = None) -> np.ndarray:
+        """Natural log probability of every word of some texts, in their order.
+
+        All bits are mixed logistically. A text begins with the weights all taught texts made;
+        after each BLOCK of words, its weights and its own counts follow what it held.
+        Texts advance together and share nothing, save with ``learnt``: then they change the
+        weights ``w`` and ``squares`` in it, and each decision is left out of its own counts.
+        """
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        starts = np.cumsum(sizes) - sizes
+        out = np.zeros(int(sizes.sum()))
+        turn = np.argsort(-sizes, kind="stable")
+        for g in range(0, len(turn), GROUP):
+            group = turn[g:g + GROUP]
+            many = len(group) if learnt is None else 1
+            if learnt is None:
+                w = np.repeat(self.text_weights[None], many, axis=0)
+                squares = np.full_like(w, FIRST_SQUARES)
+            else:
+                w, squares = learnt["w"][None], learnt["squares"][None]
+            seen = np.zeros((2, len(group) << OWN_BITS), np.float32)
+            for a in range(0, int(sizes[group[0]]), BLOCK):
+                live = int(np.searchsorted(-sizes[group], -a, side="left"))
+                parts = [texts[t][a:a + BLOCK] for t in group[:live]]
+                words = [x for part in parts for x in part]
+                before = [x for t, part in zip(group, parts) for x in
+                          (texts[t][a - 1] if a else b"", *part[:-1])]
+                count = np.fromiter(map(len, parts), np.int64, live)
+                bits = self.bits(words, before)
+                text = np.repeat(np.arange(live), count)[bits.word]
+                own = (text << OWN_BITS) + (bits.slots[len(TABLE_BITS) - 1] & (1 << OWN_BITS) - 1)
+                inputs, gate = self.text_inputs(bits, (seen[0][own], seen[1][own]),
+                                                learnt is not None)
+                cell = gate if learnt is not None else text * GATES + gate
+                flat = w.reshape(-1, MIXED_INPUTS)
+                odds = np.clip(np.einsum("kb,bk->b", inputs, flat[cell]), -30, 30)
+                chance = 1 / (1 + np.exp(-odds))
+                off = bits.bit - chance
+                lost = np.bincount(bits.word, -np.log1p(-np.abs(off.astype(np.float64))),
+                                   minlength=len(words))
+                base = np.cumsum(count) - count
+                out[np.arange(len(words)) + np.repeat(starts[group[:live]] + a - base, count)] = -lost
+                root = squares.reshape(-1, MIXED_INPUTS)
+                for k in range(MIXED_INPUTS):
+                    grad = np.bincount(cell, off * inputs[k], minlength=len(flat))
+                    root[:, k] += grad * grad
+                    flat[:, k] += RATE * grad / np.sqrt(root[:, k])
+                for b in (0, 1):
+                    np.add.at(seen[b], own[bits.bit == b], np.float32(1))
+        return out
+
     def word_logs(self, words: list[bytes]) -> np.ndarray:
         """Natural log probability of each word under each set of weights."""
         out = np.zeros((len(words), EXPERTS))
@@ -169,6 +271,31 @@ def first_weights() -> np.ndarray:
     return start
 
 
+MIXED_INPUTS = len(TABLE_BITS) + len(TEXT_BITS) + 2  # with the text's own counts and a constant
+
+
+def first_text_weights() -> np.ndarray:
+    start = np.full((GATES, MIXED_INPUTS), 0.2, np.float32)
+    start[:, -1] = 0
+    return start
+
+
+def sent(context, *parts):
+    """A broadcast of a model's parts, deflated: most slots of a table hold small counts."""
+    return context.broadcast((uuid.uuid4().hex, zlib.compress(pickle.dumps(parts, 5), 1)))
+
+
+def received(shared) -> MixModel:
+    """The model of ``sent``, kept in the Python worker."""
+    key, data = shared.value
+    return kept(("language model", key), lambda: MixModel(*pickle.loads(zlib.decompress(data))))
+
+
+def words_of(text: bytes) -> list[bytes]:
+    """Lower-cased words and the end of the text."""
+    return [*text.lower().split(), END_WORD.encode()]
+
+
 def text_class(text: bytes) -> int:
     """Which of CLASSES a text counts for: by its commonest letter beyond ASCII, 0 for none."""
     flat = np.frombuffer(text, np.uint8)
@@ -228,10 +355,11 @@ def _batches(vocabulary: DataFrame, schema: str, start, step, finish) -> DataFra
     return vocabulary.mapInArrow(run, schema)
 
 
-def fit(vocabulary: DataFrame) -> MixModel:
-    """Symbol code, context counts and mixing weights from all counted words.
+def fit(vocabulary: DataFrame, docs: DataFrame | None = None, text: str = "text") -> MixModel:
+    """Symbol code, context counts and mixing weights from all counted words, and those across
+    words from all texts of ``docs`` (none: no counts).
 
-    Contexts lie inside a word, so counted words give all counts that their texts would. The
+    Contexts inside a word get from counted words all counts that their texts would give. The
     tables have fixed sizes (2 ** TABLE_BITS slots) and are summed by slot before the driver
     gets them. Each task mixes its words online; tasks' weights are averaged by words seen.
     """
@@ -292,10 +420,10 @@ def fit(vocabulary: DataFrame) -> MixModel:
         zeros[at], ones[at] = got["n0"].to_numpy()[pick], got["n1"].to_numpy()[pick]
         model.counts.append((zeros, ones))
     del got
-    shared = spark.sparkContext.broadcast((paths, model.counts))
+    shared = sent(spark.sparkContext, paths, model.counts)
 
     def begin():
-        return {"model": MixModel(*shared.value), "w": first_weights(),
+        return {"model": received(shared), "w": first_weights(),
                 "squares": np.zeros_like(first_weights()), "n": 0}
 
     def learn(state, words, counts):
@@ -314,9 +442,83 @@ def fit(vocabulary: DataFrame) -> MixModel:
     start = first_weights()
     model.weights = np.array([mean.get(i, 0.0) for i in range(start.size)], np.float32).reshape(
         start.shape) if mean else start.astype(np.float32)
+    shared.destroy()
+    fit_texts(model, docs, text)
     return model
 
 
+def fit_texts(model: MixModel, docs: DataFrame | None, text: str = "text") -> None:
+    """Counts of the contexts across words, then weights of all predictors, from whole texts.
+
+    A task fills tables of fixed size from about TASK_BYTES of text; Spark sums them by slot.
+    Weights learn online over all texts of a task and are averaged by texts seen.
+    """
+    model.text_counts = [(np.zeros(1 << b, np.float32), np.zeros(1 << b, np.float32))
+                         for b in TEXT_BITS]
+    model.text_weights = first_text_weights()
+    if docs is None:
+        return
+    context = docs.sparkSession.sparkContext
+    bound_batches(docs.sparkSession)
+    paths, inside = model.paths, len(TABLE_BITS)
+    nbytes = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    docs = docs.select(F.col(text).alias("text"))
+    large = docs.coalesce(int(nbytes // TASK_BYTES) + 1)
+
+    def tally(batches):
+        code, tables = MixModel(paths), [np.zeros((2, 1 << b)) for b in TEXT_BITS]
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                texts = [words_of(t) for t in raw_texts(part, "text")]
+                words = [w for t in texts for w in t]
+                before = [w for t in texts for w in (b"", *t[:-1])]
+                for a in range(0, len(words), SLICE):
+                    bits = code.bits(words[a:a + SLICE], before[a:a + SLICE])
+                    for k, own in enumerate(tables):
+                        for b in (0, 1):
+                            np.add.at(own[b], bits.slots[inside + k][bits.bit == b], 1.0)
+        for k, own in enumerate(tables):
+            at = np.flatnonzero(own.any(axis=0))
+            for a in range(0, len(at), 1 << 16):
+                some = at[a:a + (1 << 16)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(some), k, np.int8)), pa.array(some.astype(np.int32)),
+                     *(pa.array(own[b][some].astype(np.float32)) for b in (0, 1))],
+                    names=["k", "slot", "n0", "n1"])
+
+    got = (large.mapInArrow(tally, "k tinyint, slot int, n0 float, n1 float").groupBy("k", "slot")
+           .agg(F.sum("n0").cast("float").alias("n0"), F.sum("n1").cast("float").alias("n1"))
+           .toArrow())  # at most the sum of the table sizes
+    for k, pair in enumerate(model.text_counts):
+        pick = got["k"].to_numpy() == k
+        at = got["slot"].to_numpy()[pick]
+        pair[0][at], pair[1][at] = got["n0"].to_numpy()[pick], got["n1"].to_numpy()[pick]
+    del got
+    shared = sent(context, paths, model.counts, model.weights, model.text_counts)
+
+    def learn(batches):
+        own, n = received(shared), 0
+        start = first_text_weights()
+        state = {"w": start, "squares": np.full_like(start, FIRST_SQUARES)}
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                texts = [words_of(t) for t in raw_texts(part, "text")]
+                own.text_logs(texts, state)
+                n += len(texts)
+        flat = state["w"].ravel().astype(np.float64) * n
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(len(flat))), pa.array(flat), pa.array(np.full(len(flat), n))],
+            names=["i", "w", "n"])
+
+    mean = dict(docs.mapInArrow(learn, "i long, w double, n long").groupBy("i")
+                .agg(F.sum("w") / F.greatest(F.sum("n"), F.lit(1)), F.sum("n"))
+                .where("`sum(n)` > 0").drop("sum(n)").collect())
+    shared.destroy()
+    if mean:
+        model.text_weights = np.array([mean[i] for i in range(model.text_weights.size)],
+                                      np.float32).reshape(model.text_weights.shape)
+
+
 def counted_logs(counts: np.ndarray, totals: np.ndarray, distinct: int,
                  spelt: np.ndarray) -> np.ndarray:
     """Log probabilities of words by their counts: over all texts, then in each class of texts,
@@ -333,11 +535,13 @@ def counted_logs(counts: np.ndarray, totals: np.ndarray, distinct: int,
     return np.where(every > 0, np.log(np.maximum(every, 1e-300)), new[:, None])
 
 
-def mixed_logs(counts: np.ndarray, at: np.ndarray, logs: np.ndarray) -> np.ndarray:
+def mixed_logs(counts: np.ndarray, at: np.ndarray, logs: np.ndarray,
+               main: np.ndarray | None = None) -> np.ndarray:
     """Natural log probability of each text of ``counts`` words at places ``at``.
 
     The parties are the columns of ``logs`` (by word counts, and spelt by the mixed bit
-    predictors) and a cache of the text's own words. Shares of the
+    predictors) and a cache of the text's own words. With ``main``, the logs of each place by
+    the text's mixed bits, that party comes first and begins with FIRST_SHARE. Shares of the
     parties are constant over BLOCK words and then follow what each made of them; a little is
     dealt out evenly, so a party can come back. All texts advance together.
     """
@@ -351,7 +555,8 @@ def mixed_logs(counts: np.ndarray, at: np.ndarray, logs: np.ndarray) -> np.ndarr
     seen[order] = np.arange(len(at)) - np.repeat(new, np.diff(np.append(new, len(at))))
     plain = logs[at]
     cache = np.log((seen + CACHE * np.exp(plain[:, 0])) / (nth + CACHE))
-    plain = np.concatenate([plain, cache[:, None]], axis=1, dtype=logs.dtype)
+    first_party = [] if main is None else [main[:, None]]
+    plain = np.concatenate([*first_party, plain, cache[:, None]], axis=1, dtype=logs.dtype)
     parties = plain.shape[1]
     shares = np.full((len(counts), parties), (1 - FIRST_SHARE) / (parties - 1))
     shares[:, 0] = FIRST_SHARE
@@ -381,7 +586,8 @@ def score(docs: DataFrame, vocabulary: DataFrame, model: MixModel, totals: list[
     the counted words (a join the planner may split), and come back to the chunk's texts.
     Null texts are empty ones; repeated rows come back as often; other columns are dropped.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((model.paths, model.counts, model.weights))
+    shared = sent(docs.sparkSession.sparkContext, model.paths, model.counts, model.weights,
+                  model.text_counts, model.text_weights)
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     chunks = size // chunk_bytes + 1
     keyed = docs.select(
@@ -398,7 +604,7 @@ def score(docs: DataFrame, vocabulary: DataFrame, model: MixModel, totals: list[
         return pa.table({"chunk": pa.array(np.full(len(words), chunk)), "word": words})
 
     def spell(batches):
-        own = MixModel(*shared.value)
+        own = received(shared)
         for batch in batches:
             logs = own.word_logs(raw_texts(batch, "word"))
             logs = np.maximum(np.floor(logs * LOG_STEPS), -32768).astype(np.int16)
@@ -433,14 +639,16 @@ def score(docs: DataFrame, vocabulary: DataFrame, model: MixModel, totals: list[
         base = np.log10(seen + 0.1) - whole
         spelt = np.stack([words[m].to_numpy() for m in SPELT], axis=1) / float(LOG_STEPS)
         new = np.flatnonzero(seen == 0)
-        spelt[new] = MixModel(*shared.value).word_logs([names[k] for k in new])
+        spelt[new] = received(shared).word_logs([names[k] for k in new])
         by_class = np.stack([words[c].to_numpy() for c in COUNTS], axis=1)
         logs = np.concatenate([counted_logs(by_class, sums, distinct, spelt[:, -1]), spelt],
                               axis=1, dtype=np.float32)
+        main = received(shared).text_logs([words_of(t) for t in texts])
         part = first // MIXED_WORDS
         edges = [0, *(np.flatnonzero(np.diff(part)) + 1), len(counts)]
-        result = np.concatenate([mixed_logs(counts[a:b], at[first[a]:first[b - 1] + counts[b - 1]],
-                                            logs) for a, b in zip(edges, edges[1:])]) / np.log(10)
+        runs = [(a, b, slice(first[a], first[b - 1] + counts[b - 1])) for a, b in zip(edges, edges[1:])]
+        result = np.concatenate([mixed_logs(counts[a:b], at[run], logs, main[run])
+                                 for a, b, run in runs]) / np.log(10)
         sizes = np.fromiter(map(len, names), np.int64, len(names)) + 1
         nbytes = np.add.reduceat(sizes[at], first)
         return pa.table({
@@ -460,7 +668,7 @@ def op7_language_model(spark, sf_dir: str) -> DataFrame:
     vocabulary = stored(word_counts(taught), "words")
     distinct, *totals = vocabulary.agg(F.count("*"), *(F.sum(c) for c in COUNTS)).first()
     totals = [t or 0 for t in totals]
-    scored = score(docs, vocabulary, fit(vocabulary), totals, distinct)
+    scored = score(docs, vocabulary, fit(vocabulary, taught), totals, distinct)
     return scored.select(
         "doc_id", (remainder("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known",
         F.lit(totals[0]).cast("long").alias("train_tokens"), "base_score", "score",

@@ -116,6 +116,56 @@ def test_mixing_against_a_plain_loop():
         start += n
 
 
+def text_model(texts):
+    """Counts of contexts inside words and across them, from texts as lists of words."""
+    words = [w for t in texts for w in t]
+    model = small_model(sorted(set(words)))
+    bits = model.bits(words, [w for t in texts for w in (b"", *t[:-1])])
+    for k, width in enumerate(lm.TEXT_BITS, len(lm.TABLE_BITS)):
+        model.text_counts.append(tuple(np.bincount(
+            bits.slots[k][bits.bit == b], minlength=1 << width).astype(np.float32)
+            for b in (0, 1)))
+    model.text_weights = lm.first_text_weights()
+    return model
+
+
+def test_text_before_a_word_changes_its_chance():
+    """Words seen in one order only: the same words score better in that order, also where
+    they are equally common, and each text alone as among others."""
+    texts = [lm.words_of(b"red apple green pear " * 3)] * 20
+    model = text_model(texts)
+    in_order, turned = (lm.words_of(x) for x in (b"red apple green pear", b"pear green apple red"))
+    logs = model.text_logs([in_order, turned, texts[0]])
+    assert (logs < 0).all()
+    assert logs[:5].sum() > logs[5:10].sum() + 1
+    assert np.allclose(logs[5:10], model.text_logs([turned]), atol=1e-5)
+
+
+def test_scores_follow_the_text_while_it_is_read():
+    """A new word that comes again and again gets likelier after each block of words."""
+    model = text_model([lm.words_of(b"the cat sat on a mat")] * 5)
+    logs = model.text_logs([lm.words_of(b"zyx " * (3 * lm.BLOCK))])
+    blocks = logs[:3 * lm.BLOCK].reshape(3, -1).mean(axis=1)
+    assert blocks[0] < blocks[1] < blocks[2]
+
+
+def test_mixed_symbols_share_probability_one():
+    """Chances of all symbols after a start add up to one at most, across words too."""
+    model = text_model([lm.words_of(b"the cat sat on a mat")] * 5)
+    total = 0
+    for symbol in range(258):
+        if symbol in [*b" \t\n\r\x0b\x0c"] or symbol == lm.SPACE:
+            continue
+        word = b" " if symbol == lm.END else bytes([symbol])
+        bits = model.bits([word], [b"cat"])
+        none = np.zeros(len(bits.bit), np.float32)
+        inputs, gate = model.text_inputs(bits, (none, none))
+        at = np.flatnonzero(bits.place == 0)
+        chance = 1 / (1 + np.exp(-(inputs[:, at].T * model.text_weights[gate[at]]).sum(axis=1)))
+        total += np.prod(np.where(bits.bit[at] == 1, chance, 1 - chance))
+    assert 0.5 < total <= 1 + 1e-5
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame(
         [(1, None, 0), (None, "", 0), (2, "a b\tc", 0), (2, "a b\tc", 0), (3, "w" * 50000, 0),
