@@ -388,7 +388,7 @@ def recording_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PARTS_SQL = st.with_sql(st.DOC_SQL, st.JOB_SQL, st.SESSION_SQL, st.SUMMARY_SQL, """
-w AS (SELECT id FROM doc_recordings WHERE CAST(substr(id, 2) AS BIGINT) % 5 = 0)""") + """
+w AS (SELECT id FROM doc_recordings)""") + """
 SELECT 'recording' AS part, id AS recording_id, id AS key FROM w
 UNION ALL SELECT 'assets', id, CASE WHEN media_path LIKE '/%' THEN media_path ELSE '/library/' || media_path END
 FROM doc_recordings WHERE id IN (SELECT id FROM w)

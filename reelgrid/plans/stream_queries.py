@@ -32,7 +32,8 @@ def _folder(spark: SparkSession, name: str) -> str:
 def _in_arrival_order(rows: DataFrame, path: str, order: str, start, pieces: int = 3):
     """All rows in pieces of the order column. Each piece is written by all tasks, then the
     stream that ``start`` makes takes what is new; returns the last query."""
-    top = rows.agg(F.max(order)).head()[0] + 1
+    last = rows.agg(F.max(order)).head()[0]
+    top = 0 if last is None else last + 1
     for n in range(pieces):
         low, high = top * n // pieces, top * (n + 1) // pieces
         rows.where((F.col(order) >= low) & (F.col(order) < high)).write.mode("append").parquet(path)
