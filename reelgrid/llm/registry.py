@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from reelgrid.llm.language_model import op7_language_model
+from reelgrid.llm.merkle import OP13_SQL, op13_merkle_manifest
 from reelgrid.llm.neighbours import op9_neighbours
 from reelgrid.llm.packing import op5_packing
 from reelgrid.llm.quality import op4_quality
@@ -15,5 +16,7 @@ from reelgrid.llm.urls import OP3_SQL, op3_url_filter
 
 QUERIES = {f.__name__: f for f in (
     op1_sentencepiece, op2_simhash, op3_url_filter, op4_quality, op5_packing, op6_token_counts,
-    op7_language_model, op8_exact_topk, op9_neighbours, op10_toxicity)}
-SQL = {"op3_url_filter": OP3_SQL, "op8_exact_topk": OP8_SQL}
+    op7_language_model, op8_exact_topk, op9_neighbours, op10_toxicity,
+    op13_merkle_manifest)}
+SQL = {"op3_url_filter": OP3_SQL, "op8_exact_topk": OP8_SQL,
+       "op13_merkle_manifest": OP13_SQL}
