@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from reelgrid.llm.alignment import op11_alignment
 from reelgrid.llm.language_model import op7_language_model
 from reelgrid.llm.merkle import OP13_SQL, op13_merkle_manifest
 from reelgrid.llm.neighbours import op9_neighbours
@@ -18,6 +19,6 @@ from reelgrid.llm.warc import OP12_SQL, op12_warc
 QUERIES = {f.__name__: f for f in (
     op1_sentencepiece, op2_simhash, op3_url_filter, op4_quality, op5_packing, op6_token_counts,
     op7_language_model, op8_exact_topk, op9_neighbours, op10_toxicity,
-    op12_warc, op13_merkle_manifest)}
+    op11_alignment, op12_warc, op13_merkle_manifest)}
 SQL = {"op3_url_filter": OP3_SQL, "op8_exact_topk": OP8_SQL,
        "op12_warc": OP12_SQL, "op13_merkle_manifest": OP13_SQL}
