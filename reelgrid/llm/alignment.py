@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import accumulate
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,52 +21,38 @@ from reelgrid.llm.words import grown
 BYTE_TOKENIZER = "byte_bpe_50k.json"
 PIECE_MODEL = "piece_bpe_32k.model"
 CHUNK_BYTES = 32 << 20
-CACHE_BYTES = 256 << 20
-RUN_COST = 400  # rough bytes a kept run takes beside its text
+CACHE_BYTES = 112 << 20
+RUN_COST = 320  # rough bytes a kept run takes beside its text
+AT_ONCE = 4096  # runs encoded and aligned at a time
 PAIR = 1 << 32
 
 # No token of either tokenizer crosses a single space between two other characters.
 BORDER = re.compile(r"(?<=\S) (?=\S)")
 
 ROWS = ("chunk long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, "
-        "runs binary, times binary, pairs array<long>, counts array<long>, edges binary, places binary, "
-        "pair_times binary")
+        "runs binary, times binary, pairs array<long>, counts array<long>, edges binary, places binary")
 ARROW = pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), ("n_a", pa.int64()),
                    ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()),
                    ("groups", pa.string()), ("runs", pa.binary()), ("times", pa.binary()),
                    ("pairs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())),
-                   ("edges", pa.binary()), ("places", pa.binary()), ("pair_times", pa.binary())])
-
-
-def align(a_sizes: list[int], b_sizes: list[int]) -> list[tuple[int, int, int, int]]:
-    """Groups (from, to in A; from, to in B) between the byte offsets at which tokens of both
-    end. Both lists cover the same bytes."""
-    a_at = {end: k for k, end in enumerate(accumulate(a_sizes))}
-    b_at = {end: k for k, end in enumerate(accumulate(b_sizes))}
-    out, i, j = [], 0, 0
-    for end in sorted(a_at.keys() & b_at.keys()):
-        out.append((i, a_at[end] + 1, j, b_at[end] + 1))
-        i, j = out[-1][1], out[-1][3]
-    return out
-
-
-def overlaps(a_sizes: list[int], b_sizes: list[int]) -> list[tuple[int, int]]:
-    """Links of one group: places of tokens whose bytes overlap."""
-    if len(a_sizes) == 1 or len(b_sizes) == 1:
-        return [(i, j) for i in range(len(a_sizes)) for j in range(len(b_sizes))]
-    out, i, j = [], 0, 0
-    a_end, b_end = a_sizes[0], b_sizes[0]
-    while True:
-        out.append((i, j))
-        a_done, b_done = a_end <= b_end, b_end <= a_end
-        if a_done:
-            i += 1
-            if i == len(a_sizes):
-                return out
-            a_end += a_sizes[i]
-        if b_done:
-            j += 1
-            b_end += b_sizes[j]
+                   ("edges", pa.binary()), ("places", pa.binary())])
+
+
+def align(a_ends: list[int], b_ends: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Places in A and in B just after each group. A group ends at a byte offset where tokens of
+    both end: the keys two end-to-place dictionaries share."""
+    a_at = dict(zip(a_ends, range(1, len(a_ends) + 1)))
+    b_at = dict(zip(b_ends, range(1, len(b_ends) + 1)))
+    common = sorted(a_at.keys() & b_at.keys())
+    return (np.fromiter(map(a_at.__getitem__, common), np.int64, len(common)),
+            np.fromiter(map(b_at.__getitem__, common), np.int64, len(common)))
+
+
+def overlaps(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links: places of the A and B tokens that overlap, in order. Between two neighbouring ends
+    of either list lies one token of each, and each overlap holds one such stretch."""
+    ends = np.union1d(a_ends, b_ends)
+    return np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
 
 
 class Tokenizers:
@@ -91,10 +77,15 @@ class Tokenizers:
             piece = self.b.id_to_piece(k)
             self.b_bytes.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(k) else
                                 piece.replace(SPACE, " ").encode())
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in spelt], np.int64)
+                                      for spelt in (self.a_bytes, self.b_bytes))
+        # an id as text, with what may stand after it in a group
+        self.a_texts = np.array([[f"{k},", f"{k}|"] for k in range(len(self.a_bytes))], object)
+        self.b_texts = np.array([[f"{k},", f"{k};"] for k in range(len(self.b_bytes))], object)
 
     def encode(self, runs: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of runs that begin with a space; B adds that space itself."""
-        a = [e.ids for e in self.a.encode_batch(runs, add_special_tokens=False)]
+        a = [e.ids for e in self.a.encode_batch_fast(runs, add_special_tokens=False)]
         return a, self.b.encode([r[1:] for r in runs], num_threads=1)
 
 
@@ -110,45 +101,60 @@ class Runs:
         self.groups: list[str] = []
         self.facts = np.zeros((1 << 12, 4), np.int64)  # tokens of A, of B, groups, links
         self.good = np.zeros(1 << 12, bool)
-        self.edges = np.zeros(1 << 12, np.int64)  # where a run's pairs end
+        self.edges = np.zeros(1 << 12, np.int64)  # where a run's links end
         self.pairs = np.zeros(1 << 14, np.int64)
-        self.times = np.zeros(1 << 14, np.int64)
         self.used = self.held = 0
 
-    def _keep(self, new: list[str]):
-        a_all, b_all = self.tokenizers.encode(new)
+    def _spelt(self, new: list[str], a_all: list, b_all: list) -> np.ndarray:
+        """Which runs both lists of tokens spell."""
         a_bytes, b_bytes = self.tokenizers.a_bytes, self.tokenizers.b_bytes
+        return np.array([b"".join([a_bytes[i] for i in a]) == run.encode() == b"".join([b_bytes[j] for j in b])
+                         for run, a, b in zip(new, a_all, b_all)], bool)
+
+    def _keep(self, new: list[str]):
+        """Aligns runs as one stretch of bytes: every run ends a token of both sides, so no
+        group crosses from one to the next."""
+        known = self.tokenizers
+        a_all, b_all = known.encode(new)
+        good = self._spelt(new, a_all, b_all)
+        if not good.all():
+            a_all, b_all = ([x if g else [] for x, g in zip(side, good)] for side in (a_all, b_all))
         first, total = len(self.groups), len(self.groups) + len(new)
+        a_counts, b_counts = (np.fromiter(map(len, side), np.int64, len(new)) for side in (a_all, b_all))
+        a, b = (np.fromiter(chain.from_iterable(side), np.int64) for side in (a_all, b_all))
+        a_ends, b_ends = np.cumsum(known.a_sizes[a]), np.cumsum(known.b_sizes[b])
+        a_to, b_to = align(a_ends.tolist(), b_ends.tolist())
+        links = overlaps(a_ends, b_ends)
+
+        # texts: each group's A ids, then its B ids
+        a_group, b_group = (np.repeat(np.arange(len(to)), np.diff(to, prepend=0)) for to in (a_to, b_to))
+        items = np.empty(len(a) + len(b), object)
+        a_last, b_last = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        a_last[a_to - 1] = b_last[b_to - 1] = 1
+        b_before, a_before = np.concatenate([[0], b_to])[a_group], a_to[b_group]
+        items[np.arange(len(a)) + b_before] = known.a_texts[a, a_last]
+        items[np.arange(len(b)) + a_before] = known.b_texts[b, b_last]
+        items = items.tolist()
+
+        a_cuts, b_cuts = np.cumsum(a_counts), np.cumsum(b_counts)
+        group_cuts = np.searchsorted(a_to, a_cuts, "right")
+        link_cuts = np.searchsorted(links[0], a_cuts)
+        at = 0
+        for end in (a_cuts + b_cuts).tolist():
+            text = "".join(items[at:end])[:-1]
+            self.groups.append(text)
+            self.held += len(text)
+            at = end
+        self.held += sum(map(len, new)) + RUN_COST * len(new) + 8 * len(links[0])
         self.facts, self.good, self.edges = (grown(x, total + 1) for x in (
             self.facts, self.good, self.edges))
-        pairs, times = [], []
-        for k, (run, a, b) in enumerate(zip(new, a_all, b_all), first):
-            a_spelt, b_spelt, raw = [a_bytes[i] for i in a], [b_bytes[i] for i in b], run.encode()
-            self.held += len(raw) + RUN_COST
-            good = b"".join(a_spelt) == raw == b"".join(b_spelt)
-            text, found, links = "", {}, 0
-            if good:
-                a_sizes, b_sizes = [len(x) for x in a_spelt], [len(x) for x in b_spelt]
-                cuts = align(a_sizes, b_sizes)
-                parts = []
-                for i, i_to, j, j_to in cuts:
-                    parts.append(",".join(map(str, a[i:i_to])) + "|" + ",".join(map(str, b[j:j_to])))
-                    for p, q in overlaps(a_sizes[i:i_to], b_sizes[j:j_to]):
-                        code = a[i + p] * PAIR + b[j + q]
-                        found[code] = found.get(code, 0) + 1
-                        links += 1
-                text = ";".join(parts)
-                self.facts[k] = len(a), len(b), len(cuts), links
-            self.good[k] = good
-            self.groups.append(text)
-            pairs += found
-            times += found.values()
-            self.edges[k + 1] = self.used + len(pairs)
-            self.held += len(text) + 16 * len(found)
-        self.pairs, self.times = (grown(x, self.used + len(pairs)) for x in (self.pairs, self.times))
-        self.pairs[self.used:self.used + len(pairs)] = pairs
-        self.times[self.used:self.used + len(pairs)] = times
-        self.used += len(pairs)
+        self.facts[first:total] = np.stack(
+            [a_counts, b_counts, np.diff(group_cuts, prepend=0), np.diff(link_cuts, prepend=0)], axis=1)
+        self.good[first:total] = good
+        self.edges[first + 1:total + 1] = self.used + link_cuts
+        self.pairs = grown(self.pairs, self.used + len(links[0]))
+        self.pairs[self.used:self.used + len(links[0])] = a[links[0]] * PAIR + b[links[1]]
+        self.used += len(links[0])
 
     def look_up(self, texts: list[bytes]) -> list[np.ndarray | None]:
         """Places of each text's runs; None for a text without tokens."""
@@ -173,8 +179,8 @@ class Runs:
                     new.append(" " + run)
                 at.append(n)
             out.append(np.array(at, np.int64))
-        if new:
-            self._keep(new)
+        for k in range(0, len(new), AT_ONCE):
+            self._keep(new[k:k + AT_ONCE])
         return [at if at is not None and self.good[at].all() else None for at in out]
 
 
@@ -227,11 +233,9 @@ class Chunk:
         before = np.cumsum(sizes) - sizes
         at = np.repeat(runs.edges[members] - before, sizes) + np.arange(sizes.sum())
         pairs, places = np.unique(runs.pairs[at], return_inverse=True)
-        counts = np.bincount(places, runs.times[at] * np.repeat(self.totals[members], sizes),
-                             len(pairs)).astype(np.int64)
+        counts = np.bincount(places, np.repeat(self.totals[members], sizes), len(pairs)).astype(np.int64)
         columns = [[self.number], *[[None]] * 8, [pairs], [counts],
-                   [np.cumsum(sizes).astype("<i8").tobytes()], [places.astype("<u4").tobytes()],
-                   [runs.times[at].astype("<u4").tobytes()]]
+                   [np.cumsum(sizes).astype("<i8").tobytes()], [places.astype("<u4").tobytes()]]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ARROW)],
                                           schema=ARROW)
 
@@ -314,12 +318,11 @@ def with_counts(rows: DataFrame, counts: DataFrame) -> DataFrame:
         place = found.column("place").to_numpy()
         links[place] = found.column("links").to_numpy()
         best[place] = found.column("best").to_numpy(zero_copy_only=False)
-        times = np.frombuffer(key.column("pair_times")[0].as_py(), "<u4").astype(np.int64)
         edges = np.frombuffer(key.column("edges")[0].as_py(), "<i8")
         places = np.frombuffer(key.column("places")[0].as_py(), "<u4")
         sums = []
         for value in (best, links):
-            total = np.concatenate([[0], np.cumsum(value[places] * times)])
+            total = np.concatenate([[0], np.cumsum(value[places])])
             sums.append(np.diff(total[np.concatenate([[0], edges])]))
         out = [[], []]
         for numbers, often in zip(documents.column("runs"), documents.column("times")):

@@ -102,9 +102,13 @@ def test_groups_and_links_of_sizes(sizes, random):
     spans = [[(sum(s[:k]), sum(s[:k + 1])) for k in range(len(s))] for s in (sizes, other)]
     want = {(i, j) for i, x in enumerate(spans[0]) for j, y in enumerate(spans[1])
             if x[0] < y[1] and y[0] < x[1]}
-    got = [(i + p, j + q) for i, i2, j, j2 in al.align(sizes, other)
-           for p, q in al.overlaps(sizes[i:i2], other[j:j2])]
+    a_ends, b_ends = ([x[1] for x in side] for side in spans)
+    i, j = al.overlaps(al.np.array(a_ends), al.np.array(b_ends))
+    got = list(zip(i.tolist(), j.tolist()))
     assert len(got) == len(set(got)) and set(got) == want
+    i_to, j_to = al.align(a_ends, b_ends)
+    assert [a_ends[k - 1] for k in i_to] == [b_ends[k - 1] for k in j_to] == sorted(
+        set(a_ends) & set(b_ends))
 
 
 def query(spark, folder, docs, columns="doc_id long, text string"):
