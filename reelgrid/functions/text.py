@@ -35,6 +35,11 @@ DEFAULT_TITLE = "Untitled recording"
 DEFAULT_MODEL = "small.en"
 
 
+def let(value: Column, body) -> Column:
+    """Bind ``value`` once and use it many times inside ``body``."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _fold_map() -> tuple[str, str]:
     """Lower-case Latin letters that decompose to one base letter plus marks."""
     source, target = [], []

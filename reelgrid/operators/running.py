@@ -3,8 +3,10 @@
 A window partitioned by stream puts a whole stream into one task. Here each
 stream is cut into chunks of the order column; the rows are windowed inside
 their chunk only, and the aggregate of all earlier chunks is carried in from a
-small per-chunk summary. The summary has one row per chunk, so the only window
-over a whole stream runs over ``rows / chunk_width`` summary rows.
+per-chunk summary. The summary is a stream itself, with the chunk as its order, and
+is treated in the same way for as many ``levels`` as are asked for: a window then holds
+at most ``chunk_width`` rows on each level, however sparse the order is, and on the last
+one at most the largest order / chunk_width ** levels.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK_WIDTH = 65536
+LEVELS = 2  # with the width above, orders up to 2 ** 48 need no window over 65,536 rows
 
 
 def _chunk_of(order: Column, width: int) -> Column:
@@ -33,37 +36,41 @@ def _last(c: Column) -> Column:
 
 def running_before(df: DataFrame, keys: list[str], order: str,
                    specs: dict[str, tuple[str, Column]],
-                   chunk_width: int = CHUNK_WIDTH, inclusive: bool = False) -> DataFrame:
+                   chunk_width: int = CHUNK_WIDTH, inclusive: bool = False,
+                   levels: int = LEVELS) -> DataFrame:
     """Add, per row, aggregates over the rows before it in its stream.
 
     ``specs`` maps a new column to ``("sum" | "max" | "last", expression)``;
     ``last`` is the latest non-null value. ``order`` is a non-negative whole
     number, unique within a stream. ``inclusive`` also counts the row itself.
     """
-    chunked = df.withColumn("_chunk", _chunk_of(F.col(order), chunk_width))
+    merged_over = {"sum": F.sum, "max": F.max, "last": _last}
+    to = 0 if inclusive else -1
+    if not levels:
+        whole = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, to)
+        return df.select("*", *[merged_over[how](expr).over(whole).alias(name)
+                                for name, (how, expr) in specs.items()])
+    chunk = f"_chunk{levels}"
+    chunked = df.withColumn(chunk, _chunk_of(F.col(order), chunk_width))
     in_chunk = {
         "sum": F.sum, "max": F.max,
         "last": lambda e: F.max_by(e, F.when(e.isNotNull(), F.col(order)))}
-    per_chunk = chunked.groupBy(*keys, "_chunk").agg(
-        *[in_chunk[how](expr).alias(f"_c_{name}") for name, (how, expr) in specs.items()])
-
-    before_chunk = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(
-        Window.unboundedPreceding, -1)
-    merged_over = {"sum": F.sum, "max": F.max, "last": _last}
-    carried = per_chunk.select(
-        *keys, "_chunk",
-        *[merged_over[how](F.col(f"_c_{name}")).over(before_chunk).alias(f"_c_{name}")
-          for name, (how, _) in specs.items()])
-
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(
-        Window.unboundedPreceding, 0 if inclusive else -1)
-    joined = chunked.join(carried, [*keys, "_chunk"], "left")
+    own, before = ({name: f"_{part}{levels}_{name}" for name in specs} for part in "cb")
+    per_chunk = chunked.groupBy(*keys, chunk).agg(
+        *[in_chunk[how](expr).alias(own[name]) for name, (how, expr) in specs.items()])
+    carried = running_before(
+        per_chunk, keys, chunk, {before[name]: (how, F.col(own[name])) for name, (how, _) in specs.items()},
+        chunk_width, levels=levels - 1).select(*keys, chunk, *before.values())
+
+    inside = Window.partitionBy(*keys, chunk).orderBy(order).rowsBetween(
+        Window.unboundedPreceding, to)
+    joined = chunked.join(carried, [*keys, chunk], "left")
     local = joined.select(
         "*", *[merged_over[how](expr).over(inside).alias(f"_l_{name}")
                for name, (how, expr) in specs.items()])
     return local.select(
         *df.columns,
-        *[_merge(how, F.col(f"_c_{name}"), F.col(f"_l_{name}")).alias(name)
+        *[_merge(how, F.col(before[name]), F.col(f"_l_{name}")).alias(name)
           for name, (how, _) in specs.items()])
 
 

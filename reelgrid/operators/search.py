@@ -1,16 +1,16 @@
 """Ranked full-text search over transcript segments.
 
-The index is a set of ordinary tables: ``postings`` (one row per term and
-segment), ``positions`` (one row per token, for adjacent words only) and ``documents``
-(one row per segment with its length). Corpus and term statistics are aggregates over
-them. Hot terms are no hot spots: postings are
-built with a partial aggregation per segment, written range-partitioned by
-(term bucket, term, segment), and filtered to the query terms before anything
-else happens.
+The index is a set of ordinary tables: ``forward`` (one row per segment with its terms and their
+positions), ``postings`` (the same, one row per term and segment) and ``blocks`` (for each term,
+postings of about equal weight: their number and the best score they can have). Corpus and term
+statistics are aggregates over them. Hot terms are no hot spots: a segment's postings are made
+inside its row, written range-partitioned by (term bucket, term, block, segment), and filtered
+to the query terms before anything else happens.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, replace
 
 from pyspark.errors import AnalysisException
@@ -30,10 +30,19 @@ SNIPPET_TOKENS = 18
 # Folders a stored index is cut into by hash of the term.
 SALTS = 16
 POSTINGS = ("term string, segment_id string, transcript_id string, start_ms bigint, dl bigint, "
-            "tf bigint, term_bucket int")
-POSITIONS = "term string, segment_id string, transcript_id string, position int, term_bucket int"
-DOCUMENTS = "segment_id string, transcript_id string, recording_id string, dl bigint"
+            "tf bigint, positions array<int>, block int, term_bucket int")
+FORWARD = ("segment_id string, transcript_id string, recording_id string, start_ms bigint, dl bigint, "
+           "held array<struct<term:string,positions:array<int>>>, transcript_bucket int")
+BLOCKS = ("term string, block int, n bigint, cf bigint, most_tf bigint, least_ratio double, "
+          "term_bucket int")
 TERM_BUCKETS = 64
+TRANSCRIPT_BUCKETS = 64
+# Blocks a factor of two in segment length per occurrence is cut into.
+BLOCK_STEPS = 8
+# A search looks at this many postings per wanted hit before it knows what to skip.
+FIRST_LOOK = 8
+# A rarest word of no more postings is read whole.
+FEW_POSTINGS = 1 << 16
 
 
 # What a posting tells about its segment.
@@ -42,25 +51,47 @@ SEGMENT_FACTS = ("segment_id", "transcript_id", "start_ms", "dl")
 
 @dataclass(frozen=True)
 class SearchIndex:
-    """``postings``: term, segment_id, transcript_id, start_ms, dl, tf: all that ranking,
-    the status guard and the order need, so a query reads the rows of its terms and never
-    scans the segments. ``positions``: term, segment_id, position. Both have term_bucket
-    too when stored. ``documents``: segment_id, transcript_id, recording_id, dl.
-    ``terms``: term, df, cf. ``corpus``: one row with n and avgdl.
-    ``buckets`` is the number of term buckets of a stored index."""
+    """``postings``: term, segment_id, transcript_id, start_ms, dl, tf, positions, block: all
+    that ranking, the status guard, the order and adjacency need, so a query reads the rows of
+    its terms and never scans the segments. ``forward``: segment_id, transcript_id,
+    recording_id, start_ms, dl, held. ``terms``: term, df, cf. ``blocks``: term, block, n, cf,
+    most_tf, least_ratio. ``corpus``: one row with n and avgdl. Postings and blocks have
+    term_bucket too when stored; ``buckets`` is the number of term buckets then."""
 
     postings: DataFrame
-    positions: DataFrame
-    documents: DataFrame
+    forward: DataFrame
     terms: DataFrame
+    blocks: DataFrame
     corpus: DataFrame
     buckets: int | None = None
 
+    @property
+    def documents(self) -> DataFrame:
+        return self.forward.select("segment_id", "transcript_id", "recording_id", "dl")
 
-def make_index(postings: DataFrame, positions: DataFrame, documents: DataFrame) -> SearchIndex:
-    """Index with its statistics derived from the base tables."""
-    return SearchIndex(postings, positions, documents, term_stats(postings),
-                       corpus_stats(documents))
+    @property
+    def positions(self) -> DataFrame:
+        return self.postings.select("term", "segment_id", "transcript_id",
+                                    F.explode("positions").alias("position"))
+
+
+def postings_of(forward: DataFrame) -> DataFrame:
+    """Postings of forward rows. ``block`` orders a term's postings by what decides their score
+    most: the segment's length per occurrence."""
+    # an outer explode, since the filter on its input that a plain one implies would repeat the
+    # whole making of the words in every step of the plan
+    opened = forward.select(*SEGMENT_FACTS, F.explode_outer("held").alias("h")).where("h IS NOT NULL")
+    rows = opened.select(F.col("h.term").alias("term"), *SEGMENT_FACTS,
+                         F.size("h.positions").cast("bigint").alias("tf"),
+                         F.col("h.positions").alias("positions"))
+    return rows.withColumn("block", F.floor(F.log2(1 + F.col("dl") / F.col("tf")) * BLOCK_STEPS).cast("int"))
+
+
+def make_index(forward: DataFrame) -> SearchIndex:
+    """Index with all parts derived from its forward rows."""
+    postings = postings_of(forward)
+    return SearchIndex(postings, forward, term_stats(postings), block_stats(postings),
+                       corpus_stats(forward))
 
 
 def term_stats(postings: DataFrame) -> DataFrame:
@@ -68,8 +99,15 @@ def term_stats(postings: DataFrame) -> DataFrame:
         F.count("*").alias("df"), F.sum("tf").cast("bigint").alias("cf"))
 
 
-def corpus_stats(documents: DataFrame) -> DataFrame:
-    return documents.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+def block_stats(postings: DataFrame) -> DataFrame:
+    """What bounds the score of each block's postings, whatever the average length is."""
+    return postings.groupBy("term", "block").agg(
+        F.count("*").alias("n"), F.sum("tf").cast("bigint").alias("cf"), F.max("tf").alias("most_tf"),
+        F.min(F.col("dl") / F.col("tf")).alias("least_ratio"))
+
+
+def corpus_stats(forward: DataFrame) -> DataFrame:
+    return forward.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
 def term_bucket(term: Column, buckets: int) -> Column:
@@ -86,18 +124,29 @@ def searchable_segments(segments: DataFrame, transcripts: DataFrame) -> DataFram
 def index_segments(segments: DataFrame) -> SearchIndex:
     """Index the given segments (id, transcript_id, recording_id, start_ms, text).
 
-    Tokens of one segment come from one row, so counting them per (segment,
-    term) combines on the map side and shuffles distinct terms only.
+    A segment's words are sorted with their places, and runs of one word become its postings,
+    all inside the segment's row: nothing is shuffled.
     """
     tokens = segments.select(
         F.col("id").alias("segment_id"), "transcript_id", "recording_id", "start_ms",
-        tx.index_tokens(F.col("text")).alias("tokens"))
-    sized = tokens.withColumn("dl", F.size(F.filter("tokens", lambda t: t != "")).cast("bigint"))
-    every = sized.select(*SEGMENT_FACTS, F.posexplode("tokens").alias("position", "term")
-                         ).where(F.col("term") != "")
-    postings = every.groupBy("term", *SEGMENT_FACTS).agg(F.count("*").alias("tf"))
-    return make_index(postings, every.select("term", "segment_id", "transcript_id", "position"),
-                      sized.select("segment_id", "transcript_id", "recording_id", "dl"))
+        F.filter(F.transform(tx.index_tokens(F.col("text")), lambda t, i: F.struct(
+            t.alias("term"), i.alias("position"))), lambda w: w["term"] != "").alias("words"))
+    ordered = tokens.select("*", F.size("words").cast("bigint").alias("dl")).withColumn(
+        "words", F.sort_array("words"))
+
+    def opens(i: Column) -> Column:
+        return (i == 0) | (F.get("words", i)["term"] != F.get("words", i - 1)["term"])
+
+    every = F.when(F.col("dl") > 0, F.sequence(F.lit(0), F.size("words") - 1)).otherwise(
+        F.array().cast("array<int>"))
+    cut = ordered.withColumn("starts", F.filter(every, opens))
+    # places are read one by one: a slice would copy all words for each term
+    held = F.transform("starts", lambda at, k: F.struct(
+        F.get("words", at)["term"].alias("term"),
+        F.transform(F.sequence(at, F.coalesce(F.get("starts", k + 1), F.size("words")) - 1),
+                    lambda i: F.get("words", i)["position"]).alias("positions")))
+    return make_index(cut.select("segment_id", "transcript_id", "recording_id", "start_ms", "dl",
+                                 held.alias("held")))
 
 
 def build_index(segments: DataFrame, transcripts: DataFrame) -> SearchIndex:
@@ -105,10 +154,10 @@ def build_index(segments: DataFrame, transcripts: DataFrame) -> SearchIndex:
     return index_segments(searchable_segments(segments, transcripts))
 
 
-def write_by_term(rows: DataFrame, path: str, mode: str, buckets: int) -> None:
-    """Write index rows to folders by term bucket, ordered by term."""
-    order = ["term_bucket", "term", "segment_id"]
-    (rows.withColumn("term_bucket", term_bucket(F.col("term"), buckets))
+def write_by_term(postings: DataFrame, path: str, mode: str, buckets: int) -> None:
+    """Write postings to folders by term bucket, ordered by term and block."""
+    order = ["term_bucket", "term", "block", "segment_id"]
+    (postings.withColumn("term_bucket", term_bucket(F.col("term"), buckets))
      .repartitionByRange(*order).sortWithinPartitions(*order)
      .write.mode(mode).partitionBy("term_bucket").parquet(path))
 
@@ -125,29 +174,40 @@ def _batches(spark: SparkSession, path: str) -> list:
     return [r for r in rows if r.batch >= start]
 
 
-def _write_batch(index: SearchIndex, path: str, buckets: int, full: bool,
-                 dropped: DataFrame | None = None, gone: SearchIndex | None = None) -> None:
-    """Store an index, its statistics and the transcripts it takes rows from as a batch of its
-    own. The batch counts once its entry, written last, is there; a write cut short is written
-    over by the next. ``gone`` are the rows of ``dropped`` transcripts; their statistics are
+def _write_batch(forward: DataFrame, path: str, buckets: int, full: bool,
+                 dropped: DataFrame | None = None, gone: DataFrame | None = None) -> None:
+    """Store forward rows, what follows from them and the transcripts they take rows from as a
+    batch of its own. Texts are cut into words once; all else is derived from the stored rows.
+    The batch counts once its entry, written last, is there; a write cut short is written over
+    by the next. ``gone`` are the forward rows of ``dropped`` transcripts; their statistics are
     taken off."""
-    spark = index.documents.sparkSession
+    spark = forward.sparkSession
     done = _batches(spark, path)
     number = done[-1].batch + 1 if done else 0
 
     def folder(name: str) -> str:
         return f"{path}/{name}/batch={number}"
 
-    write_by_term(index.postings, folder("postings"), "overwrite", buckets)
-    write_by_term(index.positions, folder("positions"), "overwrite", buckets)
-    index.documents.write.mode("overwrite").parquet(folder("documents"))
-    terms = term_stats(spark.read.schema(POSTINGS).parquet(folder("postings")))
+    def stored(name: str, schema: str) -> DataFrame:
+        return spark.read.schema(schema).parquet(folder(name))
+
+    own = forward.withColumn("transcript_bucket", term_bucket(F.col("transcript_id"), TRANSCRIPT_BUCKETS))
+    # a transcript of very many segments is dealt over SALTS tasks
+    (own.repartition("transcript_bucket", F.pmod(F.xxhash64("segment_id"), F.lit(SALTS)))
+     .write.mode("overwrite").partitionBy("transcript_bucket").parquet(folder("forward")))
+    write_by_term(postings_of(stored("forward", FORWARD)), folder("postings"), "overwrite", buckets)
+    blocks = block_stats(stored("postings", POSTINGS))
+    (blocks.withColumn("term_bucket", term_bucket(F.col("term"), buckets))
+     .repartition("term_bucket", F.pmod(F.xxhash64("term"), F.lit(SALTS * buckets)))
+     .sortWithinPartitions("term_bucket", "term", "block")
+     .write.mode("overwrite").partitionBy("term_bucket").parquet(folder("blocks")))
+    terms = stored("blocks", BLOCKS).groupBy("term").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf"))
     sums = [F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).cast("bigint").alias("dl")]
-    corpus = spark.read.schema(DOCUMENTS).parquet(folder("documents")).agg(*sums)
+    corpus = stored("forward", FORWARD).agg(*sums)
     if gone is not None:
-        terms = terms.unionByName(term_stats(gone.postings).select(
+        terms = terms.unionByName(term_stats(postings_of(gone)).select(
             "term", (-F.col("df")).alias("df"), (-F.col("cf")).alias("cf")))
-        less = gone.documents.agg(*sums).select((-F.col("n")).alias("n"), (-F.col("dl")).alias("dl"))
+        less = gone.agg(*sums).select((-F.col("n")).alias("n"), (-F.col("dl")).alias("dl"))
         corpus = corpus.unionByName(less)
         dropped.select("transcript_id").distinct().write.mode("overwrite").parquet(folder("dropped"))
     terms.write.mode("overwrite").parquet(folder("terms"))
@@ -158,9 +218,24 @@ def _write_batch(index: SearchIndex, path: str, buckets: int, full: bool,
 
 def write_index(index: SearchIndex, path: str, buckets: int = TERM_BUCKETS) -> None:
     """Store a whole index; readers leave batches before it aside. Range partitioning on
-    (bucket, term, segment) splits a term that holds a large share of all postings over many
-    files."""
-    _write_batch(index, path, buckets, full=True)
+    (bucket, term, block, segment) splits a term that holds a large share of all postings over
+    many files."""
+    _write_batch(index.forward, path, buckets, full=True)
+
+
+def compact_index(spark: SparkSession, path: str, buckets: int = TERM_BUCKETS) -> None:
+    """Fold all batches of a stored index into one: rows of replaced transcripts go for good, and
+    readers need no list of them any more. No text is read. Searches see the old batches until
+    the new one is finished; a run that was cut off can be started again."""
+    if len(_batches(spark, path)) > 1:
+        _write_batch(read_index(spark, path, buckets).forward, path, buckets, full=True)
+
+
+def idle_batches(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the finished batches no reader needs any more: their folders may go."""
+    live = {r.batch for r in _batches(spark, path)}
+    rows = spark.read.schema("batch int, full boolean, drops boolean").parquet(f"{path}/batches").collect()
+    return sorted({r.batch for r in rows} - live)
 
 
 def read_index(spark: SparkSession, path: str, buckets: int = TERM_BUCKETS) -> SearchIndex:
@@ -173,19 +248,23 @@ def read_index(spark: SparkSession, path: str, buckets: int = TERM_BUCKETS) -> S
         return spark.read.schema(f"{schema}, batch int").parquet(f"{path}/{name}").where(
             F.col("batch").isin(numbers))
 
-    tables = [part("postings", POSTINGS), part("positions", POSITIONS), part("documents", DOCUMENTS)]
+    tables = [part("postings", POSTINGS), part("forward", FORWARD)]
     if any(r.drops for r in done):
         last = part("dropped", "transcript_id string").groupBy(
             F.col("transcript_id").alias("gone_id")).agg(F.max("batch").alias("gone_batch"))
         tables = [t.join(last, (t["transcript_id"] == last["gone_id"])
                          & (t["batch"] < last["gone_batch"]), "left_anti") for t in tables]
-    tables = [t.drop("batch") for t in tables]
+    postings, forward = [t.drop("batch") for t in tables]
     terms = part("terms", "term string, df bigint, cf bigint").drop("batch")
     if len(done) > 1:
         terms = terms.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).where("df > 0")
     corpus = part("corpus", "n bigint, dl bigint").agg(
         F.sum("n").alias("n"), F.try_divide(F.sum("dl"), F.sum("n")).alias("avgdl"))
-    return SearchIndex(*tables, terms, corpus, buckets)
+    # blocks of replaced transcripts only make a bound wider
+    blocks = part("blocks", BLOCKS).groupBy("term_bucket", "term", "block").agg(
+        F.sum("n").alias("n"), F.sum("cf").alias("cf"), F.max("most_tf").alias("most_tf"),
+        F.min("least_ratio").alias("least_ratio"))
+    return SearchIndex(postings, forward, terms, blocks, corpus, buckets)
 
 
 def reindex(segments: DataFrame, transcripts: DataFrame, path: str,
@@ -215,7 +294,7 @@ def append_missing(segments: DataFrame, transcripts: DataFrame, path: str,
     again after it was cut off."""
     stored = read_index(segments.sparkSession, path, buckets)
     added = index_segments(unindexed_segments(segments, transcripts, stored))
-    _write_batch(added, path, buckets, full=False)
+    _write_batch(added.forward, path, buckets, full=False)
 
 
 def replace_stored(new_segments: DataFrame, new_transcripts: DataFrame, path: str,
@@ -223,25 +302,26 @@ def replace_stored(new_segments: DataFrame, new_transcripts: DataFrame, path: st
     """Bring replaced transcripts of a stored index up to date: their old rows are dropped on
     reading, new ones come in where the new transcript is completed. Only rows of these
     transcripts are written."""
+    spark = new_segments.sparkSession
+    new = build_index(new_segments, new_transcripts).forward
+    if not _batches(spark, path):
+        _write_batch(new, path, buckets, full=True)
+        return
     ids = new_transcripts.select(F.col("id").alias("transcript_id")).distinct()
-    stored = read_index(new_segments.sparkSession, path, buckets)
-    gone = make_index(*[t.join(ids, "transcript_id", "left_semi")
-                        for t in (stored.postings, stored.positions, stored.documents)])
-    _write_batch(build_index(new_segments, new_transcripts), path, buckets, full=False,
-                 dropped=ids, gone=gone)
+    bucket = term_bucket(F.col("transcript_id"), TRANSCRIPT_BUCKETS)
+    touched = [r[0] for r in ids.select(bucket).distinct().collect()]  # TRANSCRIPT_BUCKETS at most
+    stored = read_index(spark, path, buckets).forward.where(F.col("transcript_bucket").isin(touched))
+    gone = stored.drop("transcript_bucket").join(ids, "transcript_id", "left_semi")
+    _write_batch(new, path, buckets, full=False, dropped=ids, gone=gone)
 
 
 def union_index(a: SearchIndex, b: SearchIndex) -> SearchIndex:
-    return make_index(
-        a.postings.drop("term_bucket").unionByName(b.postings.drop("term_bucket")),
-        a.positions.drop("term_bucket").unionByName(b.positions.drop("term_bucket")),
-        a.documents.unionByName(b.documents))
+    return make_index(a.forward.drop("transcript_bucket").unionByName(b.forward.drop("transcript_bucket")))
 
 
 def drop_transcripts(index: SearchIndex, transcript_ids: DataFrame) -> SearchIndex:
     """Index without the rows of the given transcripts (one column, transcript_id)."""
-    return make_index(*[t.join(transcript_ids, "transcript_id", "left_anti")
-                        for t in (index.postings, index.positions, index.documents)])
+    return make_index(index.forward.join(transcript_ids, "transcript_id", "left_anti"))
 
 
 def replace_in_index(index: SearchIndex, new_segments: DataFrame,
@@ -256,9 +336,7 @@ def replace_in_index(index: SearchIndex, new_segments: DataFrame,
 def drop_orphans(index: SearchIndex, segments: DataFrame) -> SearchIndex:
     """Index without rows whose segment no longer exists."""
     alive = segments.select(F.col("id").alias("segment_id"))
-    return make_index(index.postings.join(alive, "segment_id", "left_semi"),
-                      index.positions.join(alive, "segment_id", "left_semi"),
-                      index.documents.join(alive, "segment_id", "left_semi"))
+    return make_index(index.forward.join(alive, "segment_id", "left_semi"))
 
 
 def parse_queries(queries: DataFrame) -> DataFrame:
@@ -300,18 +378,14 @@ def single_hits(words: DataFrame, index: SearchIndex) -> DataFrame:
 
 def adjacent_hits(words: DataFrame, index: SearchIndex) -> DataFrame:
     """phrase, segment facts and tf of the phrases of several words, which must follow
-    each other. Each word votes for the place where its phrase would start; the facts come
-    from the posting of the first word."""
-    longer = words.where("n_words > 1")
-    votes = _rows_of_words(longer, index.positions, index.buckets).select(
-        "phrase", "n_words", "segment_id", (F.col("position") - F.col("offset")).alias("start"))
-    counted = (votes.groupBy("phrase", "n_words", "segment_id", "start")
-               .agg(F.count("*").alias("found"))
-               .where("found = n_words")
-               .groupBy("phrase", "segment_id").agg(F.count("*").alias("tf")))
-    facts = _rows_of_words(longer.where("offset = 0"), index.postings, index.buckets).select(
-        "phrase", *SEGMENT_FACTS)
-    return counted.join(facts, ["phrase", "segment_id"]).select("phrase", *SEGMENT_FACTS, "tf")
+    each other: the places where each word lets its phrase start are intersected."""
+    rows = _rows_of_words(words.where("n_words > 1"), index.postings, index.buckets)
+    met = rows.groupBy("phrase", "n_words", *SEGMENT_FACTS).agg(
+        F.count("*").alias("found"),
+        F.collect_list(F.transform("positions", lambda p: p - F.col("offset"))).alias("starts")
+    ).where("found = n_words")
+    common = F.aggregate(F.slice("starts", 2, F.size("starts")), F.get("starts", 0), F.array_intersect)
+    return met.select("phrase", *SEGMENT_FACTS, F.size(common).cast("bigint").alias("tf")).where("tf > 0")
 
 
 def match_and_rank(queries: DataFrame, index: SearchIndex) -> DataFrame:
@@ -354,6 +428,31 @@ def match_and_rank(queries: DataFrame, index: SearchIndex) -> DataFrame:
             "scores", F.lit(0.0), lambda total, s: total + s["score"]).alias("rank")))
 
 
+@dataclass(frozen=True)
+class Query:
+    """Phrases of one query and the buckets of its words, known when the plan is made."""
+
+    phrases: list[list[str]]
+    bucket_of: dict[str, int]
+
+    @property
+    def singles(self) -> list[str]:
+        return sorted({words[0] for words in self.phrases if len(words) == 1})
+
+    @property
+    def longer(self) -> list[tuple]:
+        return sorted({tuple(words) for words in self.phrases if len(words) > 1})
+
+
+def parse_query(spark: SparkSession, query: str, buckets: int | None) -> Query:
+    words = F.flatten("p") if buckets else F.array().cast("array<string>")
+    row = spark.range(1).select(tx.query_phrases(F.lit(query)).alias("p")).select(
+        "p", F.transform(words, lambda w: F.struct(
+            w.alias("term"), term_bucket(w, buckets or 1).alias("bucket"))).alias("b")).head()
+    phrases = [list(words) for words in row["p"]]
+    return Query(phrases if all(phrases) else [], {b["term"]: b["bucket"] for b in row["b"]})
+
+
 def match_query(query: str, index: SearchIndex) -> DataFrame:
     """segment_id, transcript_id, start_ms, rank of every segment holding all phrases of
     one query.
@@ -361,27 +460,26 @@ def match_query(query: str, index: SearchIndex) -> DataFrame:
     The words of the query are known when the plan is made, so the postings scan is
     pruned by bucket and term, and one shuffle by segment brings the words together.
     """
-    spark = index.documents.sparkSession
-    words = F.flatten("p") if index.buckets else F.array().cast("array<string>")
-    row = spark.range(1).select(tx.query_phrases(F.lit(query)).alias("p")).select(
-        "p", F.transform(words, lambda w: F.struct(
-            w.alias("term"), term_bucket(w, index.buckets or 1).alias("bucket"))).alias("b")).head()
-    phrases = [list(words) for words in row["p"]]
-    if not phrases or not all(phrases):
+    return _matches(parse_query(index.forward.sparkSession, query, index.buckets), index)
+
+
+def _matches(query: Query, index: SearchIndex, few: tuple[str, int] | None = None) -> DataFrame:
+    """Matches of a query; with ``few`` only those of a word's blocks up to a number."""
+    spark = index.forward.sparkSession
+    phrases, singles, longer = query.phrases, query.singles, query.longer
+    if not phrases:
         return spark.createDataFrame(
             [], "segment_id string, transcript_id string, start_ms bigint, rank double")
-    bucket_of = {b["term"]: b["bucket"] for b in row["b"]}
-    singles = sorted({words[0] for words in phrases if len(words) == 1})
-    longer = sorted({tuple(words) for words in phrases if len(words) > 1})
-    hits = _pruned(index.postings, singles, bucket_of).select(
-        F.col("term").alias("phrase"), *SEGMENT_FACTS, "tf")
+    rows = _pruned(index.postings, singles, query.bucket_of)
+    if few is not None:
+        rows = rows.where((F.col("term") != few[0]) | (F.col("block") <= few[1]))
+    hits = rows.select(F.col("term").alias("phrase"), *SEGMENT_FACTS, "tf")
     if longer:
         words = spark.createDataFrame(
             [(" ".join(p), len(p), o, t) for p in longer for o, t in enumerate(p)],
             "phrase string, n_words int, offset int, term string")
         wanted = sorted({t for p in longer for t in p})
-        near = replace(index, postings=_pruned(index.postings, wanted, bucket_of),
-                       positions=_pruned(index.positions, wanted, bucket_of))
+        near = replace(index, postings=_pruned(index.postings, wanted, query.bucket_of))
         hits = hits.unionByName(adjacent_hits(words, near))
 
     names = {p: f"n{i}" for i, p in enumerate([*singles, *(" ".join(p) for p in longer)])}
@@ -403,6 +501,72 @@ def match_query(query: str, index: SearchIndex) -> DataFrame:
         "segment_id", "transcript_id", "start_ms", score.alias("rank"))
 
 
+@dataclass(frozen=True)
+class Skipping:
+    """Blocks of a query's rarest word, best first: number, postings in it and before it, and
+    the best rank a segment of it can have with the best of all other words added."""
+
+    term: str
+    blocks: list[tuple[int, int, float]]
+
+    @property
+    def postings(self) -> int:
+        return self.blocks[-1][1]
+
+    def first(self, wanted: int) -> int:
+        """The block up to which there are so many postings."""
+        return next((number for number, held, _ in self.blocks if held >= wanted), self.blocks[-1][0])
+
+    def needed(self, worst: float | None) -> int:
+        """The last block that may hold a rank of ``worst`` or better."""
+        if worst is None:
+            return self.blocks[-1][0]
+        slack = abs(worst) * 1e-9
+        return max((number for number, _, best in self.blocks if best <= worst + slack),
+                   default=self.blocks[0][0])
+
+    def read(self, last: int) -> int:
+        return max(held for number, held, _ in self.blocks if number <= last)
+
+
+def skipping(query: Query, index: SearchIndex, least: int) -> Skipping | None:
+    """What a search may skip; None where the rarest word has ``least`` postings or fewer, or
+    the query has no word that stands alone. A word has a few hundred blocks at most."""
+    singles = query.singles
+    if not singles:
+        return None
+    known = {r.term: r for r in index.terms.where(F.col("term").isin(singles)).select(
+        "term", "df", index.corpus.select("n").scalar().alias("n"),
+        index.corpus.select("avgdl").scalar().alias("avgdl")).collect()}
+    if len(known) < len(singles):
+        return None
+    term = min(singles, key=lambda t: (known[t].df, t))
+    if known[term].df <= least:
+        return None
+    rows = _pruned(index.blocks, singles, query.bucket_of).select(
+        "term", "block", "n", "most_tf", "least_ratio").collect()
+
+    def idf(df: int) -> float:
+        n = known[term].n
+        return max(math.log((n - df + 0.5) / (df + 0.5)), IDF_FLOOR)
+
+    def best(r) -> float:
+        ratio = (1 - BM25_B) / r.most_tf + BM25_B * r.least_ratio / known[r.term].avgdl
+        return -idf(known[r.term].df) * (BM25_K1 + 1) / (1 + BM25_K1 * ratio)
+
+    # a phrase of several words is no rarer than one segment, and scores below its limit
+    others = -sum(idf(1) * (BM25_K1 + 1) for words in query.phrases if len(words) > 1)
+    for words in query.phrases:
+        if len(words) == 1 and words[0] != term:
+            others += min(best(r) for r in rows if r.term == words[0])
+    times = sum(words == [term] for words in query.phrases)
+    blocks, held = [], 0
+    for r in sorted((r for r in rows if r.term == term), key=lambda r: r.block):
+        held += r.n
+        blocks.append((r.block, held, times * best(r) + others))
+    return Skipping(term, blocks)
+
+
 def _pruned(rows: DataFrame, terms: list[str], bucket_of: dict[str, int]) -> DataFrame:
     """Index rows of known terms, with filters the scan can use."""
     found = rows.where(F.col("term").isin(terms))
@@ -463,17 +627,35 @@ def search_batch(queries: DataFrame, index: SearchIndex, segments: DataFrame,
     return asked.select("query_id", "same").join(shown, "same").drop("same")
 
 
+def few_blocks(asked: Query, index: SearchIndex, transcripts: DataFrame, k: int,
+               few_postings: int = FEW_POSTINGS) -> tuple[str, int, int, int] | None:
+    """The rarest word, the last of its blocks that the k best live hits can come from, and its
+    postings up to there and in all; None where all are read."""
+    plan = skipping(asked, index, few_postings)
+    if plan is None:
+        return None
+    first = plan.first(FIRST_LOOK * k)
+    found = _live(_matches(asked, index, (plan.term, first)), transcripts).select("rank").orderBy(
+        "rank").limit(k).agg(F.count("*").alias("n"), F.max("rank").alias("worst")).head()
+    last = plan.needed(found.worst if found.n == k else None)
+    return plan.term, last, plan.read(last), plan.postings
+
+
 def search(query: str, index: SearchIndex, segments: DataFrame, transcripts: DataFrame,
-           recordings: DataFrame, limit: int | None = None) -> DataFrame:
+           recordings: DataFrame, limit: int | None = None,
+           few_postings: int = FEW_POSTINGS) -> DataFrame:
     """Top hits of one query with snippets, best first.
 
-    Ranks are cut at the k-th best first, ties included, so only hits that can win meet
-    the recordings. The keys of the winners, 100 at most, come to the driver and go back
-    into the segment scan as a filter; a table sorted by recording is then read in a few
-    row groups instead of as a whole.
+    A word of more than ``few_postings`` postings is not read whole: its first blocks give the
+    k-th rank there, and then only blocks that can reach it are read. Ranks are cut at the k-th
+    best, ties included, so only hits that can win meet the recordings. The keys of the winners,
+    100 at most, come to the driver and go back into the segment scan as a filter; a table
+    sorted by recording is then read in a few row groups instead of as a whole.
     """
     k = clamp_limit(limit)
-    live = _live(match_query(query, index), transcripts)
+    asked = parse_query(segments.sparkSession, query, index.buckets)
+    few = few_blocks(asked, index, transcripts, k, few_postings)
+    live = _live(_matches(asked, index, few and few[:2]), transcripts)
     worst = live.select("rank").orderBy("rank").limit(k).agg(F.max("rank").alias("r")).scalar()
     near = live.where(F.col("rank") <= worst)
     keys = _dated(near, recordings).orderBy(*_result_order()).limit(k)

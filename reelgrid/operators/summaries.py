@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,20 +30,22 @@ REASON_KEYS = ("details", "rationale", "reason")
 
 # A JSON string literal, with the colon after it where it is a key.
 LITERAL_PATTERN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:\s*+:)?'
-SPACES = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028,
-                           0x2029, 0x202F, 0x205F, 0x3000]))
+TOKEN_PATTERN = LITERAL_PATTERN + r"|[{}\[\],]"
 KEY_PATTERN = "|".join(FORBIDDEN_KEY_FRAGMENTS)
 START_PATTERN = f"^[{tx.SPACE_CLASS}]*({'|'.join(PATH_STARTS)})"
 
 
 def likely_media_path(text: Column) -> Column:
     """True for a text that starts like a path or holds any marker of one. Plain substring
-    tests are far cheaper on long texts than one pattern of many branches."""
-    normal = F.replace(F.lower(text), F.lit("\\"), F.lit("/"))
-    found = normal.rlike(START_PATTERN)
-    for part in PATH_PARTS + MEDIA_PATH_MARKERS:
-        found = found | normal.contains(part)
-    return found
+    tests on the text brought to one form are far cheaper on long texts than one pattern of
+    many branches."""
+    def marked(normal: Column) -> Column:
+        found = normal.rlike(START_PATTERN)
+        for part in PATH_PARTS + MEDIA_PATH_MARKERS:
+            found = found | normal.contains(part)
+        return found
+
+    return tx.let(F.replace(F.lower(text), F.lit("\\"), F.lit("/")), marked)
 
 
 def summary_payloads(recordings: DataFrame, transcripts: DataFrame, segments: DataFrame,
@@ -109,64 +108,90 @@ def summary_payloads(recordings: DataFrame, transcripts: DataFrame, segments: Da
                           F.when(F.col("error").isNull(), F.col("made")).alias("payload"))
 
 
+def _plain(literal: Column) -> Column:
+    """Text of a string literal; null where its escapes are no JSON."""
+    text = F.regexp_replace(literal, r'^"|"\s*:?$', "")
+    whole = F.from_json(F.concat(F.lit('["'), text, F.lit('"]')), "array<string>")
+    return F.when(text.contains("\\"), F.get(whole, 0)).otherwise(text)
+
+
+def _bad_key(literal: Column) -> Column:
+    return F.coalesce(F.lower(_plain(literal)).rlike(KEY_PATTERN), F.lit(True))
+
+
+def _bad_value(literal: Column) -> Column:
+    """Every path marker has a slash or a dot, or escapes that may become one; literals without
+    them are not looked into."""
+    worth = literal.contains("/") | literal.contains(".") | literal.contains("\\")
+    return F.when(worth, F.coalesce(likely_media_path(_plain(literal)), F.lit(True))).otherwise(False)
+
+
 def refused(payload: Column) -> Column:
     """Whether a payload is no JSON, or holds a forbidden key or a likely media path at any
     depth. One pass over its string literals; one that a colon follows is a key."""
     found = F.regexp_extract_all(payload, F.lit(LITERAL_PATTERN), F.lit(0))
-
-    def plain(literal: Column) -> Column:
-        text = F.regexp_replace(literal, r'^"|"\s*:?$', "")
-        whole = F.from_json(F.concat(F.lit('["'), text, F.lit('"]')), "array<string>")
-        return F.when(text.contains("\\"), F.get(whole, 0)).otherwise(text)
-
-    bad = F.exists(found, lambda x: F.coalesce(
-        F.when(x.endswith(":"), F.lower(plain(x)).rlike(KEY_PATTERN))
-        .otherwise(likely_media_path(plain(x))), F.lit(True)))
+    bad = F.exists(found, lambda x: F.when(x.endswith(":"), _bad_key(x)).otherwise(_bad_value(x)))
     return F.try_parse_json(payload).isNull() | bad
 
 
-class _Pairs(list):
-    """Fields of a JSON object in order, repeated names included."""
+VIOLATIONS = "array<struct<location:string,kind:string>>"
+
 
+def _location(path: Column) -> Column:
+    """``$`` and the fields and places of the open objects and lists."""
+    return F.concat(F.lit("$"), F.array_join(F.transform(path, lambda step: F.coalesce(
+        F.concat(F.lit("."), step["name"]), F.concat(F.lit("["), step["at"].cast("string"), F.lit("]")))), ""))
 
-def _is_path(text: str) -> bool:
-    normal = text.lower().replace("\\", "/")
-    return normal.lstrip(SPACES).startswith(PATH_STARTS) or any(
-        part in normal for part in PATH_PARTS + MEDIA_PATH_MARKERS)
 
+def violations(payload: Column) -> Column:
+    """Location and kind of each violation of a JSON text, in document order.
 
-def _locations(payload: str) -> list[tuple[str, str]]:
-    """Location and kind of each violation of one payload, in document order."""
-    try:
-        todo = [("$", json.loads(payload, object_pairs_hook=_Pairs))]
-    except (ValueError, RecursionError):
-        return [("$", "unreadable")]
-    out = []
-    while todo:
-        where, value = todo.pop()
-        if where is None:
-            out.append(value)
-        elif isinstance(value, _Pairs):
-            for key, inner in reversed(value):
-                todo.append((f"{where}.{key}", inner))
-                if any(part in key.lower() for part in FORBIDDEN_KEY_FRAGMENTS):
-                    todo.append((None, (where, "key")))
-        elif isinstance(value, list):
-            todo += [(f"{where}[{i}]", x) for i, x in reversed(list(enumerate(value)))]
-        elif isinstance(value, str) and _is_path(value):
-            out.append((where, "value"))
-    return out or [("$", "unreadable")]
+    One fold over its literals and brackets: the state holds a step for each open object (the
+    field it is at) or list (the place it is at), and what was found so far.
+    """
+    step = "struct<name:string,at:int>"
+    none = F.lit(None)
+    tokens = F.transform(
+        F.regexp_extract_all(payload, F.lit(TOKEN_PATTERN), F.lit(0)),
+        lambda x: tx.let(x.endswith(":"), lambda key: F.struct(
+            F.when(x.startswith('"'), F.when(key, "key").otherwise("value")).otherwise(x).alias("kind"),
+            F.when(key, _plain(x)).alias("name"),
+            F.when(~x.startswith('"'), False).when(key, _bad_key(x)).otherwise(_bad_value(x)).alias("bad"))))
+    start = F.struct(F.array().cast(f"array<{step}>").alias("path"), F.array().cast(VIOLATIONS).alias("found"))
+
+    def fold(state: Column, token: Column) -> Column:
+        path, kind = state["path"], token["kind"]
+        outer = F.slice(path, 1, F.greatest(F.size(path) - 1, F.lit(0)))
+
+        def opened(name: Column, at: Column) -> Column:
+            return F.array(F.struct(name.cast("string").alias("name"), at.cast("int").alias("at")))
+
+        last = F.get(path, F.size(path) - 1)
+        moved = (
+            F.when(kind == "value", path)
+            .when(kind == "key", F.concat(outer, opened(F.coalesce(token["name"], F.lit("")), none)))
+            .when(kind == "{", F.concat(path, opened(F.lit(""), none)))
+            .when(kind == "[", F.concat(path, opened(none, F.lit(0))))
+            .when((kind == ",") & last["at"].isNotNull(), F.concat(outer, opened(none, last["at"] + 1)))
+            .when(kind == ",", path)
+            .otherwise(outer))
+        where = _location(F.when(kind == "key", outer).otherwise(path))
+        found = F.when(token["bad"], F.concat(state["found"], F.array(F.struct(
+            where.alias("location"), kind.alias("kind"))))).otherwise(state["found"])
+        return F.struct(moved.alias("path"), found.alias("found"))
+
+    return F.aggregate(tokens, start, fold, lambda state: state["found"])
 
 
 def _violations(payloads: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and the array of violations. Only refused payloads leave the JVM."""
-    @F.pandas_udf("array<struct<location:string,kind:string>>")
-    def located(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [] if t is None else _locations(t))
-
-    text = F.when(refused(F.col("payload")), F.coalesce("payload", F.lit("")))
-    text = F.when(F.col("payload").isNull(), F.lit("")).otherwise(text)
-    return payloads.select(*keys, located(text).alias("found"))
+    """keys and the array of violations. Only refused payloads are walked."""
+    payload = F.col("payload")
+    unreadable = F.array(F.struct(F.lit("$").alias("location"), F.lit("unreadable").alias("kind")))
+    readable = F.try_parse_json(payload).isNotNull()
+    walked = tx.let(violations(payload), lambda v: F.when(F.size(v) > 0, v).otherwise(unreadable))
+    found = F.when(payload.isNull() | ~readable, unreadable).when(refused(payload), walked).otherwise(
+        F.array().cast(VIOLATIONS))
+    return payloads.select(*keys, found.alias("found"))
 
 
 def guardrail_violations(payloads: DataFrame, keys: list[str]) -> DataFrame:

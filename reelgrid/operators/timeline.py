@@ -1,15 +1,16 @@
-"""Audio timelines: block placement, sample rows, resampling, mixing, speech samples.
+"""Audio timelines: block placement, levels, resampling, mixing, speech samples.
 
-Streams may be of any length: running values use chunked windows, and a next-row
-lookup crosses chunk borders through a small table of chunk heads.
+Streams may be of any length: running values use chunked windows, and samples are worked on in
+blocks (``audio_blocks``). The functions on sample rows here gather rows into blocks first.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelgrid.operators.running import CHUNK_WIDTH, running_before, with_group_facts
+from reelgrid.operators import audio_blocks as ab
+from reelgrid.operators.running import CHUNK_WIDTH, running_before
 
 # Supported PCM sample formats and the bytes one sample takes.
 SAMPLE_BYTES = {"i8": 1, "u8": 1, "i16": 2, "u16": 2, "i24": 4, "i32": 4, "u24": 4, "u32": 4,
@@ -19,6 +20,7 @@ ENCODE_RATE = 48000
 SPEECH_RATE = 16000
 # Fixed value: the largest sample size that still counts as silence (32-bit epsilon).
 SILENCE = 1.1920929e-07
+STEREO = ["left", "right"]
 
 
 def frame_at(elapsed_ms: str, rate: str) -> Column:
@@ -59,14 +61,10 @@ def timeline_lengths(placed: DataFrame) -> DataFrame:
 
 def silent_samples(placed: DataFrame, piece: int = CHUNK_WIDTH) -> DataFrame:
     """Sample rows of the gaps. A long gap is opened in pieces of bounded size."""
+    none = [F.lit(None).cast("array<double>").alias(v) for v in STEREO]
     gaps = placed.where("gap_frames > 0").select(
-        "stream_id", F.col("timeline_end").alias("first"),
-        (F.col("timeline_end") + F.col("gap_frames") - 1).alias("last"))
-    pieces = gaps.select(
-        "stream_id", "last", F.explode(F.sequence("first", "last", F.lit(piece))).alias("first"))
-    frames = F.sequence("first", F.least(F.col("first") + (piece - 1), F.col("last")))
-    return pieces.select("stream_id", F.explode(frames).alias("frame"),
-                         F.lit(0.0).alias("left"), F.lit(0.0).alias("right"))
+        "stream_id", F.col("timeline_end").alias("first"), F.col("gap_frames").alias("n"), *none)
+    return ab.rows_of_blocks(gaps, STEREO, "stream_id", piece)
 
 
 def timeline_samples(placed: DataFrame, decoded: DataFrame) -> DataFrame:
@@ -75,15 +73,7 @@ def timeline_samples(placed: DataFrame, decoded: DataFrame) -> DataFrame:
     ``decoded`` has stream_id, block_seq and the arrays left and right, one row per
     block.
     """
-    at = placed.where("kept_frames > 0").select("stream_id", "block_seq", "skip_frames", "out_frame")
-    rows = at.join(decoded, ["stream_id", "block_seq"]).select(
-        "stream_id", "skip_frames", "out_frame",
-        F.posexplode(F.arrays_zip("left", "right")).alias("i", "s"))
-    heard = rows.where("i >= skip_frames").select(
-        "stream_id", (F.col("out_frame") + F.col("i") - F.col("skip_frames")).alias("frame"),
-        F.col("s.left").cast("double").alias("left"),
-        F.col("s.right").cast("double").alias("right"))
-    return heard.unionByName(silent_samples(placed))
+    return ab.rows_of_blocks(ab.timeline_blocks(placed, decoded), STEREO, "stream_id")
 
 
 def stream_levels(samples: DataFrame, key: str = "stream_id") -> DataFrame:
@@ -94,45 +84,16 @@ def stream_levels(samples: DataFrame, key: str = "stream_id") -> DataFrame:
         (peak <= SILENCE).alias("is_silent"))
 
 
-def _with_next(samples: DataFrame, key: str, values: list[str], width: int) -> DataFrame:
-    """Adds ``next_<value>``: the value of the following frame, null at the end."""
-    chunked = samples.withColumn("_chunk", F.expr(f"frame div {width}L"))
-    heads = chunked.groupBy(key, (F.col("_chunk") - 1).alias("_chunk")).agg(
-        F.min_by(F.struct(*values), "frame").alias("_head"))
-    inside = Window.partitionBy(key, "_chunk").orderBy("frame")
-    joined = chunked.join(heads, [key, "_chunk"], "left")
-    return joined.select(*samples.columns, *[
-        F.coalesce(F.lead(v).over(inside), F.col("_head")[v]).alias(f"next_{v}") for v in values])
-
-
 def resample(samples: DataFrame, rates: DataFrame | int, rate_out: int, values: list[str],
-             key: str = "stream_id", chunk_width: int = CHUNK_WIDTH) -> DataFrame:
+             key: str = "stream_id", chunk_width: int = ab.WIDTH) -> DataFrame:
     """Linear resampling of gap-free sample rows.
 
-    ``rates`` is one rate for all streams or a frame with sample_rate per stream. Each input frame produces the output
-    frames that fall between it and the next one, so no join on frames is needed;
-    the last frame repeats.
+    ``rates`` is one rate for all streams or a frame with sample_rate per stream. The last
+    frame repeats.
     """
-    lengths = samples.groupBy(key).agg((F.max("frame") + 1).alias("_n"))
-    if isinstance(rates, int):
-        facts = lengths.withColumn("_in", F.lit(rates).cast("bigint"))
-    else:
-        facts = lengths.join(rates.select(key, F.col("sample_rate").alias("_in")), key)
-    facts = facts.withColumn(
-        "_frames", F.expr(f"(_n * {rate_out}L + _in div 2) div _in"))
-    rows = with_group_facts(_with_next(samples, key, values, chunk_width),
-                            facts.where("_in > 0"), [key], "frame", chunk_width)
-    # Smallest output frame at or after an input frame: ceil(frame * out / in).
-    first = F.expr(f"(frame * {rate_out}L + _in - 1) div _in")
-    last = F.expr(f"least(((frame + 1) * {rate_out}L + _in - 1) div _in, _frames) - 1")
-    spread = rows.withColumns({"_first": first, "_last": last}).where("_last >= _first").select(
-        key, "frame", "_in", *values, *[f"next_{v}" for v in values],
-        F.explode(F.sequence("_first", "_last")).alias("_out"))
-    fraction = F.expr(f"(_out * _in - frame * {rate_out}L) / {rate_out}D")
-    return spread.select(
-        key, F.col("_out").alias("frame"),
-        *[(F.col(v) + (F.coalesce(F.col(f"next_{v}"), F.col(v)) - F.col(v)) * fraction).alias(v)
-          for v in values])
+    blocks = ab.blocks_of_rows(samples, values, key, chunk_width)
+    return ab.rows_of_blocks(ab.resample(blocks, rates, rate_out, values, key, chunk_width), values,
+                             key)
 
 
 def source_gains(levels: DataFrame, sources: DataFrame) -> DataFrame:
@@ -146,9 +107,8 @@ def source_gains(levels: DataFrame, sources: DataFrame) -> DataFrame:
 
 def mix(samples: DataFrame, gains: DataFrame) -> DataFrame:
     """recording_id, frame, left, right: equal-gain sum as long as the longest source."""
-    return with_group_facts(samples, gains, ["stream_id"], "frame").groupBy("recording_id", "frame").agg(
-        F.sum(F.col("left") * F.col("gain")).alias("left"),
-        F.sum(F.col("right") * F.col("gain")).alias("right"))
+    blocks = ab.blocks_of_rows(samples, STEREO, "stream_id")
+    return ab.rows_of_blocks(ab.mix(blocks, gains), STEREO, "recording_id")
 
 
 def sixteen_bit(sample: Column) -> Column:
@@ -159,12 +119,17 @@ def sixteen_bit(sample: Column) -> Column:
     return F.round(level * scale).cast("int")
 
 
+def speech_blocks(blocks: DataFrame, rate: int = ENCODE_RATE, key: str = "recording_id",
+                  width: int = ab.WIDTH) -> DataFrame:
+    """Blocks (key, first, n, sample): mono, 16 kHz, 16 bit; null where silent."""
+    return ab.speech(blocks, rate, SPEECH_RATE, sixteen_bit, key, width)
+
+
 def speech_samples(samples: DataFrame, rate: int = ENCODE_RATE,
                    key: str = "recording_id") -> DataFrame:
     """key, frame, sample: mono, 16 kHz, 16 bit."""
-    mono = samples.select(key, "frame", ((F.col("left") + F.col("right")) / 2).alias("mono"))
-    heard = resample(mono, rate, SPEECH_RATE, ["mono"], key)
-    return heard.select(key, "frame", sixteen_bit(F.col("mono")).alias("sample"))
+    heard = speech_blocks(ab.blocks_of_rows(samples, STEREO, key), rate, key)
+    return ab.rows_of_blocks(heard, ["sample"], key).withColumn("sample", F.col("sample").cast("int"))
 
 
 def format_problem(rate: Column, channels: Column, sample_format: Column) -> Column:

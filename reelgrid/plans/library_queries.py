@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from reelgrid.operators import lookups as lk
 from reelgrid.operators import transcripts as tr
 from reelgrid.operators import upserts as up
 from reelgrid.plans import stand_ins as st
+from reelgrid.session import shared_folder
 from reelgrid.sources import library as lib
 
 NOW = st.NOW
@@ -170,10 +173,10 @@ def _doc_key(column: str = "doc_id"):
     return F.concat(F.lit("d"), F.col(column).cast("string"))
 
 
-def recording_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
+def label_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels as patches: title and failure text from them, the rest left alone."""
     null = F.lit(None).cast("string")
-    patches = st.given(spark, sf_dir, "labels").select(
+    return st.given(spark, sf_dir, "labels").select(
         _doc_key().alias("id"),
         F.when(F.col("quality") == 1, F.concat(F.lit("good "), F.col("doc_id").cast("string")))
         .alias("title"), null.alias("status"), null.alias("media_path"),
@@ -181,7 +184,20 @@ def recording_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("toxic") == 1, F.lit(5).cast("bigint")).alias("duration_ms"),
         null.alias("captured_at"), null.alias("completed_at"),
         F.when(F.col("toxic") == 1, F.lit("toxic")).alias("failure_message"))
-    return up.patch_recordings(st.doc_recordings(spark, sf_dir), patches, NOW)
+
+
+def recording_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return up.patch_recordings(st.doc_recordings(spark, sf_dir), label_patches(spark, sf_dir), NOW)
+
+
+def stored_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The patches applied to a stored table, in the folders of the patched recordings."""
+    path = shared_folder(spark, f"stored-{uuid.uuid4().hex}")
+    lib.write_snapshot(st.doc_recordings(spark, sf_dir), path)
+    patches = label_patches(spark, sf_dir)
+    lib.change_snapshot(spark, path, "recordings", patches.select("id"),
+                        lambda rows: up.patch_recordings(rows, patches, NOW))
+    return lib.read_snapshot(spark, path, "recordings")
 
 
 PATCH_SQL = st.with_sql(st.DOC_SQL) + """
@@ -256,8 +272,9 @@ SELECT coalesce(t.id, md5('transcript|d' || c_custkey)) AS id, coalesce(t.record
 FROM doc_transcripts t FULL JOIN customer ON 'd' || c_custkey = t.recording_id"""
 
 
-def segment_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every third conversation gets new segments; every sixth one loses all of them."""
+def segment_changes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Segments, replaced transcripts and what comes in: every third conversation gets new
+    segments; every sixth one loses all of them."""
     segments = st.talk_segments(spark, sf_dir)
     number = F.substring("transcript_id", 2, 20).cast("bigint")
     replaced = st.talk_transcripts(spark, sf_dir).select(
@@ -266,7 +283,21 @@ def segment_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
         "transcript_id", F.col("segment_index").alias("position"),
         F.when(F.col("segment_index") % 2 == 0, F.col("segment_index") * 10).alias("segment_index"),
         "start_ms", "end_ms", F.concat(F.lit("again: "), "text").alias("text"), "confidence")
-    return up.replace_segments(segments, replaced, incoming, NOW)
+    return segments, replaced, incoming
+
+
+def segment_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return up.replace_segments(*segment_changes(spark, sf_dir), NOW)
+
+
+def stored_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same replacement on stored segments, in the folders of the replaced transcripts."""
+    path = shared_folder(spark, f"stored-{uuid.uuid4().hex}")
+    segments, replaced, incoming = segment_changes(spark, sf_dir)
+    lib.write_snapshot(segments, path, "recording_id")
+    lib.change_snapshot(spark, path, "transcript_segments", replaced.select("recording_id"),
+                        lambda rows: up.replace_segments(rows, replaced, incoming, NOW), "recording_id")
+    return lib.read_snapshot(spark, path, "transcript_segments")
 
 
 SEGMENT_REPLACE_SQL = st.with_sql(
@@ -520,6 +551,8 @@ QUERIES = {
     "recording_detail": (recording_detail, DETAIL_SQL),
     "work_pending": (work_pending, PENDING_SQL),
     "recording_create": (recording_create, CREATE_SQL),
+    "stored_patch": (stored_patch, PATCH_SQL),
+    "stored_segments": (stored_segments, SEGMENT_REPLACE_SQL),
     "recording_patch": (recording_patch, PATCH_SQL),
     "patch_unmatched": (patch_unmatched, UNMATCHED_SQL),
     "recording_transition": (recording_transition, TRANSITION_SQL),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelgrid.functions import variants as vr
+from reelgrid.operators import audio_blocks as ab
 from reelgrid.operators import media as md
 from reelgrid.operators import timeline as tl
 from reelgrid.operators.running import running_before
@@ -78,7 +79,8 @@ lv AS (SELECT stream_id, any_value(recording_id) AS recording_id, count(*) AS n,
 
 
 def stream_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tl.stream_levels(event_samples(spark, sf_dir)).withColumn("peak", F.round("peak", 9))
+    blocks = ab.blocks_of_rows(event_samples(spark, sf_dir), tl.STEREO, "stream_id")
+    return ab.levels(blocks, "stream_id", tl.SILENCE).withColumn("peak", F.round("peak", 9))
 
 
 LEVELS_SQL = st.with_sql(_SAMPLE_CTE) + """
@@ -86,10 +88,12 @@ SELECT stream_id, n AS frames, round(peak, 9) AS peak, peak <= 1.1920929e-07 AS
 
 
 def mix_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources of each user gathered into blocks, mixed by cells, and opened again."""
     samples = event_samples(spark, sf_dir)
-    gains = tl.source_gains(tl.stream_levels(samples),
-                            samples.select("stream_id", "recording_id").distinct())
-    mixed = tl.mix(samples.select("stream_id", "frame", "left", "right"), gains)
+    blocks = ab.blocks_of_rows(samples, tl.STEREO, "stream_id")
+    sources = samples.groupBy("stream_id").agg(F.first("recording_id").alias("recording_id"))
+    gains = tl.source_gains(ab.levels(blocks, "stream_id", tl.SILENCE), sources)
+    mixed = ab.rows_of_blocks(ab.mix(blocks, gains), tl.STEREO, "recording_id")
     return mixed.select("recording_id", "frame", F.round("left", 9).alias("left"),
                         F.round("right", 9).alias("right"))
 
@@ -105,7 +109,7 @@ def resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = event_samples(spark, sf_dir)
     rates = samples.select("stream_id").distinct().withColumn(
         "sample_rate", F.when(F.col("stream_id").endswith("k"), 48000).otherwise(22050).cast("bigint"))
-    out = tl.resample(samples, rates, 44100, ["left", "right"], chunk_width=8)
+    out = tl.resample(samples, rates, 44100, tl.STEREO)
     return out.select("stream_id", "frame", F.round("left", 9).alias("left"),
                       F.round("right", 9).alias("right"))
 
@@ -132,25 +136,68 @@ v AS (SELECT o.stream_id, o.frame, greatest(least(m, 1.0), -1.0) AS m
 SELECT stream_id, frame, CAST(round(m * CASE WHEN m < 0 THEN 32768 ELSE 32767 END) AS INTEGER) AS sample FROM v"""
 
 
+PCM_FORMATS = ("i8", "u8", "i16", "u16", "i24", "u24", "i32", "u32", "f32", "f64", "i64")
+
+
 def pcm_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Document texts read as PCM bytes in all formats: frames, level sums and errors."""
-    docs = st.given(spark, sf_dir, "documents").select("doc_id", "text")
-    formats = F.array(*map(F.lit, ("i8", "u8", "i16", "u16", "i32", "u32", "i64")))
+    """Document texts read as PCM bytes in all formats: frames, sums of both sides as 16-bit
+    levels, and errors. Three texts in four are filled up with spaces to whole frames."""
+    docs = st.given(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.element_at(F.array(*map(F.lit, PCM_FORMATS)), (F.col("doc_id") % 11 + 1)
+                                       .cast("int")).alias("sample_format"),
+        (F.col("doc_id") % 3 + 1).alias("channels"))
+    size = F.try_element_at(F.create_map(*[F.lit(x) for pair in tl.SAMPLE_BYTES.items() for x in pair]),
+                            F.col("sample_format")) * F.col("channels")
+    missing = F.when(F.col("doc_id") % 4 != 0, F.pmod(-F.octet_length("text"), size)).otherwise(0)
     blocks = docs.select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("stream_id"),
         F.lit(0).cast("bigint").alias("block_seq"), F.lit(0).cast("bigint").alias("elapsed_ms"),
-        F.col("text").cast("binary").alias("bytes"),
-        F.element_at(formats, (F.col("doc_id") % 7 + 1).cast("int")).alias("sample_format"),
-        (F.col("doc_id") % 3 + 1).alias("channels"))
-    return raw.decode_blocks(blocks).select("stream_id", "frames", "error")
-
-
-DECODE_SQL = """
-WITH b AS (SELECT doc_id, octet_length(encode(text)) AS n, doc_id % 3 + 1 AS ch,
-             [1, 1, 2, 2, 4, 4, NULL][doc_id % 7 + 1] AS w FROM documents)
+        F.concat("text", F.repeat(F.lit(" "), F.coalesce(missing, F.lit(0)).cast("int"))).cast("binary")
+        .alias("bytes"), "sample_format", "channels")
+
+    def total(side: str):
+        return F.aggregate(side, F.lit(0).cast("bigint"), lambda s, x: s + tl.sixteen_bit(x)).alias(f"{side}_sum")
+
+    return raw.decode_blocks(blocks).select("stream_id", "frames", total("left"), total("right"), "error")
+
+
+def _bits_sql(width: int, exponent: int, mantissa: int, bias: int) -> str:
+    """Value of an IEEE number of so many bytes, from its bits ``u``."""
+    e, m = f"((u >> {mantissa}) & {2 ** exponent - 1})", f"(u & {2 ** mantissa - 1})::DOUBLE"
+    sign = f"CASE WHEN (u >> {width * 8 - 1}) & 1 = 1 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END"
+    return (f"CASE WHEN {e} = {2 ** exponent - 1} THEN 'inf'::DOUBLE WHEN {e} = 0 THEN {sign} * {m} * "
+            f"pow(2.0, {1 - bias - mantissa}) ELSE {sign} * (1.0::DOUBLE + {m} / {2.0 ** mantissa!r}::DOUBLE) * "
+            f"pow(2.0, ({e})::INTEGER - {bias}) END")
+
+
+_SIGNED = "(CASE WHEN u >= {half} THEN u::HUGEINT - {full} ELSE u::HUGEINT END)::DOUBLE"
+_VALUES = {"i8": (8, True), "u8": (8, False), "i16": (16, True), "u16": (16, False),
+           "i32": (32, True), "u32": (32, False)}
+_DECODED = "\n".join(
+    [f"WHEN '{f}' THEN " + (_SIGNED.format(half=2 ** (b - 1), full=2 ** b) + f" / {2.0 ** (b - 1)!r}::DOUBLE" if signed
+                            else f"(u::DOUBLE - {2.0 ** (b - 1)!r}::DOUBLE) / {2.0 ** (b - 1)!r}::DOUBLE")
+     for f, (b, signed) in _VALUES.items()]
+    + [f"WHEN 'i24' THEN {_SIGNED.format(half=2 ** 31, full=2 ** 32)} / 8388608.0::DOUBLE",
+       f"WHEN 'u24' THEN ({_SIGNED.format(half=2 ** 31, full=2 ** 32)} - 8388608.0::DOUBLE) / 8388608.0::DOUBLE",
+       f"WHEN 'f32' THEN {_bits_sql(4, 8, 23, 127)}", f"WHEN 'f64' THEN {_bits_sql(8, 11, 52, 1023)}"])
+_LEVEL_SQL = ("CAST(round(CASE WHEN abs({0}) > 3.4028234663852886e38::FLOAT THEN 0 WHEN {0} < 0 THEN "
+              "greatest({0}::DOUBLE, -1.0) * 32768 ELSE least({0}::DOUBLE, 1.0) * 32767 END) AS BIGINT)")
+DECODE_SQL = f"""
+WITH b AS (SELECT doc_id, text, doc_id % 3 + 1 AS ch, [{", ".join(repr(f) for f in PCM_FORMATS)}][doc_id % 11 + 1] AS f,
+             [1, 1, 2, 2, 4, 4, 4, 4, 4, 8, NULL][doc_id % 11 + 1] AS w FROM documents),
+p AS (SELECT *, text || repeat(' ', coalesce(CASE WHEN doc_id % 4 <> 0 THEN (w * ch - strlen(text) % (w * ch)) % (w * ch) END, 0)) AS t FROM b),
+q AS (SELECT doc_id, ch, f, w, strlen(t) AS n, hex(encode(t)) AS h FROM p),
+r AS (SELECT *, unnest(range(n // w)) AS k FROM q WHERE n % (w * ch) = 0),
+s AS (SELECT doc_id, ch, f, k, CAST('0x' || list_aggregate(list_transform(range(w), lambda j: h[2 * (k * w + w - 1 - j) + 1:2 * (k * w + w - 1 - j) + 2]), 'string_agg', '') AS UBIGINT) AS u FROM r),
+v AS (SELECT doc_id, ch, k, CASE f {_DECODED} END AS x FROM s),
+x AS (SELECT doc_id, ch, k // ch AS frame, k % ch AS c, CASE WHEN abs(x) >= 3.4028235677973366e38 THEN sign(x) * 'inf'::FLOAT ELSE x::FLOAT END AS x FROM v),
+y AS (SELECT doc_id, frame, ch, max(CASE WHEN c = 0 THEN x END) AS a, max(CASE WHEN c = 1 THEN x END) AS b, max(CASE WHEN c = 2 THEN x END) AS d FROM x GROUP BY ALL),
+z AS (SELECT doc_id, CASE WHEN ch < 3 THEN a ELSE ((a + b) + d) / 3::FLOAT END AS l, CASE ch WHEN 1 THEN a WHEN 2 THEN b ELSE ((a + b) + d) / 3::FLOAT END AS r FROM y),
+t AS (SELECT doc_id, CAST(sum({_LEVEL_SQL.format('l')}) AS BIGINT) AS left_sum, CAST(sum({_LEVEL_SQL.format('r')}) AS BIGINT) AS right_sum FROM z GROUP BY doc_id)
 SELECT 'd' || doc_id AS stream_id, CASE WHEN n % (w * ch) = 0 THEN n // (w * ch) END AS frames,
+       CASE WHEN n % (w * ch) = 0 THEN coalesce(left_sum, 0) END AS left_sum, CASE WHEN n % (w * ch) = 0 THEN coalesce(right_sum, 0) END AS right_sum,
        CASE WHEN w IS NULL THEN 'unsupported sample format' WHEN n % (w * ch) <> 0 THEN 'block not aligned to frames' END AS error
-FROM b"""
+FROM q LEFT JOIN t USING (doc_id)"""
 
 
 def requested_streams(spark: SparkSession, sf_dir: str) -> DataFrame:

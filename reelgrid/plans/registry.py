@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 FAMILIES = ("search_queries", "library_queries", "session_queries", "job_queries",
-            "text_queries", "media_queries", "stream_queries")
+            "text_queries", "media_queries", "capture_queries", "stream_queries")
 
 
 def all_queries() -> dict:

@@ -20,7 +20,6 @@ from reelgrid.plans.job_queries import FOLD_SQL, event_patches
 from reelgrid.plans.search_queries import INDEX_STATS_SQL
 from reelgrid.session import shared_folder
 from reelgrid.sources import documents as dc
-from reelgrid.sources import files as fl
 from reelgrid.sources import library as lib
 from reelgrid.streaming import counters, job_states, landing
 
@@ -43,8 +42,12 @@ def _in_arrival_order(rows: DataFrame, path: str, order: str, start, pieces: int
 
 
 def live_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of sessions that stop with their last event; no state is left behind."""
     home = _folder(spark, "counters")
+    counters.use_state_store(spark)
     events = mq.capture_events(spark, sf_dir)
+    last = events.groupBy("session_id").agg(F.max("seq").alias("seq"))
+    events = events.unionByName(last.withColumn("kind", F.lit(counters.STOP)), allowMissingColumns=True)
 
     def keep(rows: DataFrame, batch: int) -> None:
         rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(
@@ -52,11 +55,11 @@ def live_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def start():
         stream = counters.read_capture_events(spark, f"{home}/events")
-        return (counters.live_counters(stream).writeStream.outputMode("update").foreachBatch(keep)
+        return (counters.ending_counters(stream).writeStream.outputMode("update").foreachBatch(keep)
                 .option("checkpointLocation", f"{home}/checkpoint"))
 
     _in_arrival_order(events, f"{home}/events", "seq", start)
-    rows = spark.read.parquet(f"{home}/out").drop("batch_id")
+    rows = spark.read.parquet(f"{home}/out").where("stopped").drop("batch_id", "stopped")
     others = [c for c in rows.columns if c not in ("session_id", "batch")]
     return rows.groupBy("session_id").agg(F.max_by(F.struct(*others), "batch").alias("r")).select(
         "session_id", "r.*")
@@ -177,8 +180,14 @@ INDEX_WRITE_SQL = st.with_sql(st.DOC_SQL, sq.index_sql("doc_segments", "doc_tran
 SELECT segment_id, count(*) AS terms, CAST(sum(tf) AS BIGINT) AS words FROM post GROUP BY segment_id"""
 
 
-def file_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fl.inventory(spark, sf_dir, "*.parquet")
+def index_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored index with replaced transcripts, folded into one batch: its term statistics."""
+    path = _folder(spark, "index")
+    segments, transcripts = st.talk_segments(spark, sf_dir), st.talk_transcripts(spark, sf_dir)
+    se.write_index(se.build_index(segments, transcripts), path, 4)
+    se.replace_stored(*sq.replaced_talks(segments, transcripts), path, 4)
+    se.compact_index(spark, path, 4)
+    return se.term_stats(se.read_index(spark, path, 4).postings)
 
 
 QUERIES = {
@@ -191,5 +200,5 @@ QUERIES = {
     "index_append": (index_append, INDEX_STATS_SQL),
     "index_replace": (index_replace, sq.REPLACE_SQL),
     "index_write": (index_write, INDEX_WRITE_SQL),
-    "file_inventory": (file_inventory, None),
+    "index_compact": (index_compact, sq.REPLACE_SQL),
 }

@@ -13,6 +13,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +29,8 @@ VIDEO_HEADER = "<QQIIII"
 ROWS_PER_BATCH = 4096
 LARGEST_LONG = 2 ** 63 - 1
 
-# Decoded frames a task holds before it hands them on.
-FRAMES_HELD = 1 << 19
+# Payload bytes a task decodes at a time.
+BYTES_HELD = 1 << 21
 
 
 def _open(path: str):
@@ -128,15 +130,25 @@ def _samples(raw: bytes, sample_format: str) -> np.ndarray:
     return (centred / half).astype(np.float32)
 
 
-def to_stereo(raw: bytes, sample_format: str, channels: int) -> tuple[np.ndarray, np.ndarray]:
-    """Left and right of one block: mono is doubled, stereo kept, more channels averaged."""
-    frames = _samples(raw, sample_format).reshape(-1, channels)
+def _both(frames: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Left and right of frames (frames x channels): mono is doubled, stereo kept, more
+    channels averaged in their order."""
+    channels = frames.shape[1]
     if channels == 2:
         return frames[:, 0], frames[:, 1]
-    mono = frames[:, 0] if channels == 1 else frames.mean(axis=1, dtype=np.float32)
+    mono = frames[:, 0]
+    for k in range(1, channels):
+        mono = mono + frames[:, k]
+    if channels > 1:
+        mono = mono / np.float32(channels)
     return mono, mono
 
 
+def to_stereo(raw: bytes, sample_format: str, channels: int) -> tuple[np.ndarray, np.ndarray]:
+    """Left and right of one block."""
+    return _both(_samples(raw, sample_format).reshape(-1, channels))
+
+
 DECODED = ("stream_id string, block_seq long, elapsed_ms long, frames long, "
            "left array<float>, right array<float>, error string")
 
@@ -149,26 +161,43 @@ def block_problem(byte_count: Column, sample_format: Column, channels: Column) -
             .when(byte_count % (size * channels) != 0, F.lit("block not aligned to frames")))
 
 
-def _decode(batches: Iterator[pd.DataFrame], payload) -> Iterator[pd.DataFrame]:
-    def framed(rows: list) -> pd.DataFrame:
-        frame = pd.DataFrame(rows, columns=["stream_id", "block_seq", "elapsed_ms", "frames",
-                                            "left", "right", "error"])
-        frame["frames"] = frame["frames"].astype("Int64")
-        return frame
-
-    for batch in batches:
-        out, held = [], 0
-        for row in batch.itertuples(index=False):
-            left = right = None
-            if row.error is None:
-                left, right = to_stereo(payload(row), row.sample_format, int(row.channels))
-                held += len(left)
-            out.append((row.stream_id, row.block_seq, row.elapsed_ms,
-                        None if left is None else len(left), left, right, row.error))
-            if held > FRAMES_HELD:
-                yield framed(out)
-                out, held = [], 0
-        yield framed(out)
+ARROW_DECODED = pa.schema([
+    ("stream_id", pa.string()), ("block_seq", pa.int64()), ("elapsed_ms", pa.int64()),
+    ("frames", pa.int64()), ("left", pa.list_(pa.float32())), ("right", pa.list_(pa.float32())),
+    ("error", pa.string())])
+
+
+def _decode(batch: pa.RecordBatch, payloads: pa.Array) -> pa.RecordBatch:
+    """Decoded rows of a batch. Blocks of one format and channel count are decoded as one run
+    of samples and cut into rows by offsets, so no work is done row by row."""
+    rows = batch.num_rows
+    kinds = list(zip(batch.column("sample_format").to_pylist(), batch.column("channels").to_pylist(),
+                     batch.column("error").is_null().to_pylist()))
+    groups: dict[tuple, list[int]] = {}
+    for k, (sample_format, channels, good) in enumerate(kinds):
+        if good:
+            groups.setdefault((sample_format, channels), []).append(k)
+    place = np.full(rows, -1, np.int64)
+    parts, done = ([], []), 0
+    with np.errstate(over="ignore", invalid="ignore"):
+        for (sample_format, channels), members in groups.items():
+            taken = payloads.take(pa.array(members))
+            sizes = pc.binary_length(taken).to_numpy().astype(np.int64)
+            raw = b"".join(taken.to_pylist())
+            found = _both(_samples(raw, sample_format).reshape(-1, channels))
+            edges = np.concatenate([[0], np.cumsum(sizes // (SAMPLE_BYTES[sample_format] * channels))])
+            for side, part in zip(found, parts):
+                part.append(pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)),
+                                                     pa.array(side, pa.float32())))
+            place[members] = np.arange(done, done + len(members))
+            done += len(members)
+    at = pa.array(place, mask=place < 0)
+    empty = pa.array([], pa.list_(pa.float32()))
+    left, right = (pa.concat_arrays([*p, empty]).take(at) for p in parts)
+    return pa.RecordBatch.from_arrays(
+        [*(batch.column(n) for n in ("stream_id", "block_seq", "elapsed_ms")),
+         pc.cast(pc.list_value_length(left), pa.int64()), left, right, batch.column("error")],
+        schema=ARROW_DECODED)
 
 
 def decode_blocks(blocks: DataFrame) -> DataFrame:
@@ -178,10 +207,21 @@ def decode_blocks(blocks: DataFrame) -> DataFrame:
         "stream_id", "block_seq", "elapsed_ms", "bytes", "sample_format", "channels",
         block_problem(F.length("bytes"), F.col("sample_format"), F.col("channels")).alias("error"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return _decode(batches, lambda row: bytes(row.bytes))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column("bytes")), 0).to_numpy(zero_copy_only=False)
+            for a, b in _runs(sizes):
+                part = batch.slice(a, b - a)
+                yield _decode(part, part.column("bytes"))
+
+    return checked.mapInArrow(run, DECODED)
 
-    return checked.mapInPandas(run, DECODED)
+
+def _runs(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about BYTES_HELD bytes each; a larger row is alone."""
+    part = np.cumsum(sizes.astype(np.int64)) // BYTES_HELD
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
+    yield from ((a, b) for a, b in zip(edges, edges[1:]) if b > a)
 
 
 def decode_files(index: DataFrame, formats: DataFrame) -> DataFrame:
@@ -193,19 +233,22 @@ def decode_files(index: DataFrame, formats: DataFrame) -> DataFrame:
         block_problem(F.col("byte_count"), F.col("sample_format"), F.col("channels"))
         .alias("error")).repartition("path", F.expr("block_seq div 256"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened = {}
 
-        def payload(row) -> bytes:
-            if row.path not in opened:
+        def payload(path: str, offset: int, count: int) -> bytes:
+            if path not in opened:
                 for f in opened.values():
                     f.close()
                 opened.clear()
-                opened[row.path] = _open(row.path)
-            f = opened[row.path]
-            f.seek(int(row.byte_offset))
-            return f.read(int(row.byte_count))
+                opened[path] = _open(path)
+            opened[path].seek(offset)
+            return opened[path].read(count)
 
-        yield from _decode(batches, payload)
+        for batch in batches:
+            for a, b in _runs(batch.column("byte_count").to_numpy()):
+                part = batch.slice(a, b - a)
+                places = zip(*(part.column(n).to_pylist() for n in ("path", "byte_offset", "byte_count")))
+                yield _decode(part, pa.array([payload(*p) for p in places], pa.binary()))
 
-    return rows.mapInPandas(run, DECODED)
+    return rows.mapInArrow(run, DECODED)

@@ -62,10 +62,8 @@ def land_batch(files: DataFrame, batch_id: int, target: str, model: str = tx.DEF
         .alias("id"), "*", version.alias("version"))
     segments.write.mode("overwrite").parquet(f"{target}/segments/{folder}")
 
-    index = se.index_segments(spark.read.parquet(f"{target}/segments/{folder}"))
-    se.write_by_term(index.postings, f"{target}/postings/{folder}", "overwrite", BUCKETS)
-    se.write_by_term(index.positions, f"{target}/positions/{folder}", "overwrite", BUCKETS)
-    index.documents.write.mode("overwrite").parquet(f"{target}/documents/{folder}")
+    se.replace_stored(spark.read.parquet(f"{target}/segments/{folder}"),
+                      spark.read.parquet(f"{target}/transcripts/{folder}"), f"{target}/index", BUCKETS)
 
 
 def start_landing(spark: SparkSession, source: str, target: str, checkpoint: str,
@@ -95,7 +93,5 @@ def current_segments(spark: SparkSession, target: str) -> DataFrame:
 
 
 def current_index(spark: SparkSession, target: str) -> se.SearchIndex:
-    """Search index without rows of replaced segments."""
-    index = se.make_index(*[_versioned(spark, f"{target}/{part}")
-                            for part in ("postings", "positions", "documents")])
-    return se.drop_orphans(index, current_segments(spark, target))
+    """The stored search index over the newest transcripts."""
+    return se.read_index(spark, f"{target}/index", BUCKETS)

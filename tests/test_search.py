@@ -2,6 +2,7 @@ import math
 import re
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
@@ -179,3 +180,56 @@ def test_combining_marks_and_case(spark):
     df = spark.createDataFrame([("Ca\u0301fe \u00c9T\u00c9 na\u00efve",), (None,)], "t string")
     got = [x[0] for x in df.select(tx.index_tokens(F.col("t"))).collect()]
     assert got == [["cafe", "ete", "naive"], []]
+
+
+def test_compaction_keeps_results_and_survives_a_cut(spark, tmp_path, monkeypatch):
+    """Batches with replaced transcripts folded into one: the same rows, no list of dropped
+    transcripts, and a run cut off before its entry changes nothing."""
+    path = str(tmp_path / "index")
+    s, t, _ = library(spark, ["alpha beta alpha", "beta gamma", "gamma delta gamma", "alpha"])
+    se.write_index(se.build_index(s, t), path, 4)
+    new = s.withColumn("text", F.lit("omega beta"))
+    for _ in range(2):
+        se.replace_stored(new, t, path, 4)
+
+    def facts():
+        index = se.read_index(spark, path, 4)
+        return (rows(index.terms, "term"), rows(index.postings.drop("term_bucket"), "term", "segment_id"),
+                rows(index.documents, "segment_id"), rows(index.corpus),
+                rows(se.match_query("omega_beta", index), "segment_id"))
+
+    before = facts()
+    assert [r.drops for r in se._batches(spark, path)] == [False, True, True]
+
+    real = se.write_by_term
+    monkeypatch.setattr(se, "write_by_term", lambda *a: (_ for _ in ()).throw(RuntimeError("cut off")))
+    with pytest.raises(RuntimeError):
+        se.compact_index(spark, path, 4)
+    assert facts() == before
+    monkeypatch.setattr(se, "write_by_term", real)
+    se.compact_index(spark, path, 4)
+    assert facts() == before
+    assert [r.drops for r in se._batches(spark, path)] == [False]
+    assert se.idle_batches(spark, path) == [0, 1, 2]
+    se.compact_index(spark, path, 4)
+    assert se.idle_batches(spark, path) == [0, 1, 2]
+
+
+def test_search_skips_blocks_that_cannot_win(spark, tmp_path):
+    """The same winners with every posting read and with few; fewer are read, ties at the last
+    place and segments of failed transcripts included."""
+    texts = [" ".join(["hot"] * (1 + i % 7) + [f"w{i}"] + ["cold"] * (i % 31)) for i in range(600)]
+    texts += ["hot cold hot"] * 40
+    s, t, r = library(spark, texts)
+    number = F.regexp_extract("id", "([0-9]+)$", 1).cast("int")
+    t = t.withColumn("status", F.when(number % 5 == 0, "failed").otherwise("completed"))
+    path = str(tmp_path / "index")
+    se.write_index(se.index_segments(s), path, 4)
+    index = se.read_index(spark, path, 4)
+    for query in ("hot", "cold hot", "hot_cold hot"):
+        whole = [tuple(x) for x in se.search(query, index, s, t, r, 10).collect()]
+        few = [tuple(x) for x in se.search(query, index, s, t, r, 10, few_postings=5).collect()]
+        assert whole == few and len(whole) == 10
+    asked = se.parse_query(spark, "hot", 4)
+    _, _, read, held = se.few_blocks(asked, index, t, 10, 5)
+    assert held == 640 and read < held / 2
