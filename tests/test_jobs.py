@@ -186,3 +186,29 @@ def test_cleanup_plan(spark):
                    ("b", "preserve", "/lib/temp/2"), ("b", "preserve", "/lib/temp/2/j"),
                    ("b", "preserve", "/lib/temp/2/mic"), ("b", "preserve", "/lib/temp/2/v"),
                    ("b", "remove", "/lib/recordings/b/recording.tmp.mp4.sb-9")]
+
+
+def test_job_states_read_the_folders_of_their_events(spark, tmp_path, monkeypatch):
+    """A batch reads the chains of its own jobs' hashes only; a long chain is written whole; an
+    empty batch and a batch run again change nothing."""
+    monkeypatch.setattr(job_states, "LONGEST_CHAIN", 3)
+    target = str(tmp_path / "states")
+
+    def events(ids, seq, state):
+        return spark.createDataFrame([(f"j{i}", seq, str(seq), state) for i in ids],
+                                     "job_id string, seq long, at string, state string").select(
+            *[F.col(f.name) if f.name in ("job_id", "seq", "at", "state") else F.lit(None).cast(f.dataType).alias(f.name)
+              for f in job_states.JOB_EVENTS.fields])
+
+    job_states.fold_batch(events([], 0, "queued"), 0, target)
+    assert job_states.states_after(spark, target, 0).count() == 0
+    job_states.fold_batch(events(range(200), 1, "queued"), 1, target)
+    for batch, state in ((2, "running"), (3, "succeeded"), (4, "failed")):
+        job_states.fold_batch(events([7], batch, state), batch, target)
+        job_states.fold_batch(events([7], batch, state), batch, target)
+    chains, _ = job_states.read_chains(spark, target, 4)
+    bucket = spark.sql(f"SELECT CAST(pmod(xxhash64('j7'), {job_states.BUCKETS}) AS INT)").head()[0]
+    assert chains[bucket] == [3, 4] and all(c == [1] for k, c in enumerate(chains) if c and k != bucket)
+    assert len(job_states.folders(target, chains, [bucket])) == 2
+    after = {r.job_id: r.state for r in job_states.states_after(spark, target, 4).collect()}
+    assert len(after) == 200 and after["j7"] == "failed" and after["j8"] == "queued"

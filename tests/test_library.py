@@ -165,3 +165,41 @@ def test_detail_parts_of_all_recordings(spark):
     got = lq.recording_parts(spark, SMALL)
     assert difference(got, connect(SMALL), whole) is None
     assert got.where(F.substring("recording_id", 2, 20).cast("bigint") % 5 != 0).count() > 0
+
+
+def test_stored_changes_touch_their_folders_only(spark, tmp_path):
+    """A patch and a removal rewrite the folders of their recordings; other files keep their
+    names, and a folder that loses all its rows reads as empty."""
+    import glob
+
+    from reelgrid import schemas
+    from reelgrid.operators import upserts as up
+    from reelgrid.sources import library as lib
+
+    made = spark.range(60).select(
+        F.concat(F.lit("s"), "id").alias("id"), F.concat(F.lit("t"), F.col("id") % 30).alias("transcript_id"),
+        F.concat(F.lit("r"), F.col("id") % 30).alias("recording_id"), F.col("id").alias("segment_index"),
+        F.lit(0).cast("long").alias("start_ms"), F.lit(1).cast("long").alias("end_ms"), F.lit("x").alias("text"),
+        F.lit(None).cast("double").alias("confidence"))
+    path = str(tmp_path / "segments")
+    lib.write_snapshot(made.select(*schemas.TRANSCRIPT_SEGMENTS.fieldNames()), path, "recording_id", 8)
+
+    def files():
+        return {f for f in glob.glob(f"{path}/bucket=*/*.parquet")}
+
+    before = files()
+    replaced = spark.createDataFrame([("t1", "r1"), ("t2", "r2")], "transcript_id string, recording_id string")
+    none = spark.createDataFrame([], "transcript_id string, position long, segment_index long, start_ms long, "
+                                     "end_ms long, text string, confidence double")
+    touched = lib.change_snapshot(spark, path, "transcript_segments", replaced.select("recording_id"),
+                                  lambda held: up.replace_segments(held, replaced, none, "9"), "recording_id", 8)
+    after = files()
+    kept = {f for f in before if int(f.split("bucket=")[1].split("/")[0]) not in touched}
+    assert kept and kept == before & after
+    left = lib.read_snapshot(spark, path, "transcript_segments")
+    assert {r[0] for r in left.select("transcript_id").distinct().collect()} == {
+        f"t{k}" for k in range(30) if k not in (1, 2)}
+    every = spark.createDataFrame([(f"t{k}", f"r{k}") for k in range(30)], "transcript_id string, recording_id string")
+    lib.change_snapshot(spark, path, "transcript_segments", every.select("recording_id"),
+                        lambda held: up.replace_segments(held, every, none, "9"), "recording_id", 8)
+    assert lib.read_snapshot(spark, path, "transcript_segments").count() == 0

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from reelgrid.operators import media as md
+from reelgrid.operators import audio_blocks as ab
 from reelgrid.operators import timeline as tl
 from reelgrid.operators.running import running_before
 from reelgrid.sources import documents as dc
@@ -264,3 +265,83 @@ def test_requested_streams_and_warnings(spark):
     levels = spark.createDataFrame([("m", False), ("l", True)], "path string, is_silent boolean")
     got = rows(tl.stream_warnings(streams, levels).select("session_id", "reason"), "session_id")
     assert got == [("1", "source audio was requested but no capture file was recorded"), ("2", "unsupported sample format")]
+
+
+def test_a_year_of_silence_is_one_row(spark):
+    """Two short sounds a year apart: the gap is one row through resampling, mixing and speech
+    preparation, beside the few cells with sound."""
+    year = 365 * 24 * 3600 * 48000
+    blocks = spark.createDataFrame(
+        [("s", 0, 3, [0.5, 1.0, -0.5], [0.5, 1.0, -0.5]), ("s", 3, year, None, None), ("s", year + 3, 2, [0.25, 0.5], [0.25, 0.5])],
+        "stream_id string, first long, n long, left array<double>, right array<double>")
+    width = 64
+    cut = ab.cells(blocks, tl.STEREO, "stream_id", width, overlap=1)
+    assert cut.where("left IS NULL").count() == 1 and cut.count() <= 4
+    assert cut.agg(F.sum("n")).head()[0] == year + 5
+    slow = ab.resample(blocks, 48000, 16000, tl.STEREO, "stream_id", width)
+    assert slow.where("left IS NULL").count() == 1 and slow.count() <= 4
+    assert slow.agg(F.sum("n")).head()[0] == (year + 5 + 1) // 3
+    gains = spark.createDataFrame([("s", "r", 0.5)], "stream_id string, recording_id string, gain double")
+    mixed = ab.mix(blocks, gains, width)
+    assert mixed.where("left IS NULL").count() == 1
+    assert mixed.agg(F.sum("n"), F.max(F.col("first") + F.col("n"))).head()[:] == (year + 5, year + 5)
+    heard = tl.speech_blocks(mixed, 48000, width=width)
+    assert heard.where("sample IS NULL").count() == 1
+    tail = ab.resample(blocks.where("first < 100").withColumn("n", F.least("n", F.lit(200))), 3, 1, tl.STEREO, "stream_id", 8)
+    got = {r.frame: r.left for r in ab.rows_of_blocks(tail, tl.STEREO, "stream_id", 16).collect()}
+    assert sorted(got) == list(range(68)) and got[0] == 0.5 and got[1] == 0.0
+
+
+@pytest.mark.parametrize("width", [1, 2, 5])
+def test_cells_hold_every_frame_and_one_more(spark, width):
+    """Blocks of any cut, silence included, give the frames back, with the next one as overlap."""
+    values = [0.0 if 4 <= i < 19 or i > 27 else (i * 7 % 11) / 10 + 0.1 for i in range(31)]
+    parts = [(0, 3), (3, 1), (4, 15), (19, 2), (21, 7), (28, 3)]
+    blocks = spark.createDataFrame(
+        [("s", a, n, None if values[a] == 0.0 else values[a:a + n]) for a, n in parts],
+        "k string, first long, n long, mono array<double>")
+    seen = {}
+    for r in ab.cells(blocks, ["mono"], "k", width, overlap=1).collect():
+        for i in range(r.n):
+            seen[r.first + i] = 0.0 if r.mono is None else r.mono[i]
+        if r.mono is not None:
+            assert r.n <= width and len(r.mono) == min(r.n + 1, 31 - r.first) or r.n < width
+            assert r.mono == values[r.first:r.first + len(r.mono)]
+    assert [seen[i] for i in range(31)] == values
+
+
+def test_capture_source_ranges_and_damage(spark, tmp_path):
+    """Written in parallel, read by ranges of any size: every block once; no index, a wrong
+    magic and cut files give what can be read and one error each."""
+    import os
+
+    from reelgrid.sources import capture_source as cs
+
+    cs.register(spark)
+    path = str(tmp_path / "capture")
+    options = {"path": path, "kind": "audio", "magic": "MAGIC", "indexEvery": "3"}
+    rows_in = spark.range(300).select(
+        F.concat(F.lit("u"), F.col("id") % 3, F.lit("/0")).alias("file"), F.col("id").alias("elapsed_ms"),
+        (F.col("id") * 2).alias("callback_stream_ns"), F.col("id").alias("capture_stream_ns"),
+        F.repeat(F.lit("x"), (F.col("id") % 5).cast("int")).cast("binary").alias("bytes"))
+    (rows_in.repartition(3, "file").sortWithinPartitions("file", "elapsed_ms")
+     .write.format(cs.NAME).options(**options).mode("append").save())
+
+    def read(split):
+        return spark.read.format(cs.NAME).options(**options, payload="true", splitBytes=str(split)).load()
+
+    whole = rows(read(1 << 20), "file", "block_seq")
+    assert len(whole) == 300 and whole == rows(read(100), "file", "block_seq") == rows(read(7), "file", "block_seq")
+    assert read(100).rdd.getNumPartitions() > read(1 << 20).rdd.getNumPartitions()
+    assert {(r.elapsed_ms, bytes(r.bytes)) for r in read(64).collect()} == {(i, b"x" * (i % 5)) for i in range(300)}
+    os.remove(f"{path}/u0/0.raw.index")
+    assert rows(read(50), "file", "block_seq") == whole
+    with open(f"{path}/u1/0.raw", "r+b") as f:
+        f.truncate(os.path.getsize(f"{path}/u1/0.raw") - 1)
+    with open(f"{path}/u2/0.raw", "r+b") as f:
+        f.write(b"m")
+    for split in (40, 1 << 20):
+        bad = read(split).where("error IS NOT NULL")
+        assert rows(bad.select("file", "block_seq", "error"), "file") == [
+            ("u1/0", 99, "truncated block"), ("u2/0", 0, "unsupported file header")]
+        assert read(split).where("error IS NULL").count() == 199

@@ -221,8 +221,9 @@ def test_search_skips_blocks_that_cannot_win(spark, tmp_path):
     texts = [" ".join(["hot"] * (1 + i % 7) + [f"w{i}"] + ["cold"] * (i % 31)) for i in range(600)]
     texts += ["hot cold hot"] * 40
     s, t, r = library(spark, texts)
-    number = F.regexp_extract("id", "([0-9]+)$", 1).cast("int")
-    t = t.withColumn("status", F.when(number % 5 == 0, "failed").otherwise("completed"))
+    s = s.withColumn("transcript_id", F.concat(F.lit("t"), "segment_index"))
+    t = s.select(F.col("transcript_id").alias("id"), "recording_id", F.when(
+        F.col("segment_index") % 5 == 0, "failed").otherwise("completed").alias("status"))
     path = str(tmp_path / "index")
     se.write_index(se.index_segments(s), path, 4)
     index = se.read_index(spark, path, 4)

@@ -56,3 +56,22 @@ def test_term_in_every_segment(spark):
     found = se.search_batch(queries, index, s, t, r, limit=100)
     assert rows(found.groupBy("query_id").count(), "query_id") == [(1, 100), (2, 43)]
     assert se.match_query("common", index).count() == 300
+
+
+def test_running_values_of_a_sparse_order_in_levels(spark):
+    """One stream whose order leaves a chunk to each row: no window of the plan is over the
+    stream alone but the last, and that one sees few rows."""
+    width, n = 16, 4000
+    df = spark.range(n).select(F.lit("s").alias("k"), (F.col("id") * 1000).alias("o"),
+                               (F.col("id") % 7).alias("v"), F.when(F.col("id") % 5 == 0, F.col("id")).alias("w"))
+    specs = {"total": ("sum", F.col("v")), "top": ("max", F.col("v")), "seen": ("last", F.col("w"))}
+    got = rows(running_before(df, ["k"], "o", specs, width, levels=5).select("o", "total", "top", "seen"), "o")
+    total, top, seen = 0, None, None
+    for i, r in enumerate(got):
+        assert r == (i * 1000, total, top, seen)
+        total, top = total + i % 7, i % 7 if top is None else max(top, i % 7)
+        seen = i if i % 5 == 0 else seen
+    for level in range(1, 6):  # rows a window of each level holds
+        held = df.select(F.expr(f"o DIV {width ** level}").alias("c"), F.expr(f"o DIV {width ** (level - 1)}").alias("r"))
+        assert held.distinct().groupBy("c").count().agg(F.max("count")).head()[0] <= width
+    assert df.select(F.expr(f"o DIV {width ** 5}")).distinct().count() <= width
