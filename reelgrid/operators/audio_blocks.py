@@ -78,29 +78,38 @@ def cells(blocks: DataFrame, values: list[str], key: str, width: int = WIDTH,
     spans = blocks.where("n > 0").select(
         key, "first", "n", *values, end.alias("end"), is_silent.alias("silent"),
         low.alias("low"), high.alias("high"), run.alias("run"), stop.alias("stop"))
-    whole = spans.where("silent AND stop > run").select(
-        key, (F.col("run") * width).alias("first"), ((F.col("stop") - F.col("run")) * width).alias("n"),
-        *[F.lit(None).cast("array<double>").alias(v) for v in values])
-    # sound meets every cell of its span, silence only those beside its run of whole cells
-    before = F.when(F.col("run") > F.col("low"), F.sequence("low", F.col("run") - 1))
-    after = F.when(F.col("stop") <= F.col("high"), F.sequence("stop", "high"))
-    none = F.array().cast("array<bigint>")
-    met = F.when(F.col("silent"), F.concat(F.coalesce(before, none), F.coalesce(after, none))).otherwise(
-        F.sequence("low", "high"))
-    at = spans.withColumn("cell", F.explode(met)).withColumns({
-        "from": F.greatest(F.col("first"), F.col("cell") * width),
-        "to": F.least(F.col("end"), (F.col("cell") + 1) * width + overlap)})
-    size = (F.col("to") - F.col("from")).cast("int")
+    # sound meets every cell of its span, silence the cells beside its run of whole cells, and
+    # the run, which is one row however long it is
+    def places(low: Column, high: Column, wanted: Column) -> Column:
+        none = F.array().cast("array<struct<cell:bigint,run:boolean>>")
+        return F.when(wanted & (low <= high), F.transform(F.sequence(low, high), lambda c: F.struct(
+            c.alias("cell"), F.lit(False).alias("run")))).otherwise(none)
+
+    silent = F.col("silent")
+    met = F.concat(
+        places(F.col("low"), F.col("high"), ~silent), places(F.col("low"), F.col("run") - 1, silent),
+        places(F.col("stop"), F.col("high"), silent),
+        F.when(silent & (F.col("stop") > F.col("run")), F.array(F.struct(
+            F.col("run").alias("cell"), F.lit(True).alias("run")))).otherwise(
+            F.array().cast("array<struct<cell:bigint,run:boolean>>")))
+    at = spans.withColumn("m", F.explode_outer(met)).where("m IS NOT NULL").withColumns({
+        "cell": F.col("m.cell"), "is_run": F.col("m.run")}).withColumns({
+            "from": F.greatest(F.col("first"), F.col("cell") * width),
+            "to": F.when(F.col("is_run"), F.col("stop") * width).otherwise(
+                F.least(F.col("end"), (F.col("cell") + 1) * width + overlap))})
+    size = F.when(F.col("is_run"), F.lit(0)).otherwise(F.col("to") - F.col("from")).cast("int")
     parts = at.where(F.col("to") > F.col("from")).select(
-        key, "cell", "from", *[F.when(F.col("silent"), F.array_repeat(F.lit(0.0), size)).otherwise(
-            F.slice(v, (F.col("from") - F.col("first") + 1).cast("int"), size)).alias(v) for v in values])
-    held = parts.groupBy(key, "cell").agg(
-        F.array_sort(F.collect_list(F.struct("from", *values))).alias("held"))
-    joined = held.select(key, (F.col("cell") * width).alias("first"), *[
-        F.flatten(F.transform("held", _part(v))).alias(v) for v in values])
-    dense = joined.select(key, "first", F.least(F.size(values[0]).cast("bigint"), F.lit(width))
-                          .cast("bigint").alias("n"), *values)
-    return dense.unionByName(whole)
+        key, "cell", "is_run", "from", "to", *[
+            F.when(silent, F.array_repeat(F.lit(0.0), size)).otherwise(
+                F.slice(v, (F.col("from") - F.col("first") + 1).cast("int"), size)).alias(v) for v in values])
+    held = parts.groupBy(key, "cell", "is_run").agg(
+        F.array_sort(F.collect_list(F.struct("from", "to", *values))).alias("held"))
+    joined = held.select(key, (F.col("cell") * width).alias("first"), "is_run",
+                         (F.get("held", 0)["to"] - F.get("held", 0)["from"]).alias("run_frames"), *[
+        F.when(~F.col("is_run"), F.flatten(F.transform("held", _part(v)))).alias(v) for v in values])
+    frames = F.when(F.col("is_run"), F.col("run_frames")).otherwise(
+        F.least(F.size(values[0]).cast("bigint"), F.lit(width).cast("bigint")))
+    return joined.select(key, "first", frames.cast("bigint").alias("n"), *values)
 
 
 def lengths(blocks: DataFrame, key: str) -> DataFrame:
@@ -165,7 +174,8 @@ def mix(blocks: DataFrame, gains: DataFrame, width: int = WIDTH) -> DataFrame:
     values = ["left", "right"]
     known = with_group_facts(cells(blocks, values, "stream_id", width), gains, ["stream_id"], "first",
                              width * PIECES)
-    sized = known.groupBy("recording_id").agg(F.max(F.col("first") + F.col("n")).alias("frames"))
+    sized = (lengths(blocks, "stream_id").join(gains.select("stream_id", "recording_id"), "stream_id")
+             .groupBy("recording_id").agg(F.max("frames").alias("frames")))
     heard = known.where("left IS NOT NULL").select(
         "recording_id", "first", "stream_id", *[
             F.transform(v, lambda x: x * F.col("gain")).alias(v) for v in values])
@@ -189,7 +199,7 @@ def _silent_between(dense: DataFrame, sized: DataFrame, values: list[str]) -> Da
     # the end of the recording stands as a block of no frames
     ends = sized.select("recording_id", F.col("frames").alias("first"), F.col("frames").alias("end"))
     before = running_before(spans.unionByName(ends), ["recording_id"], "first",
-                            {"covered": ("max", F.col("end"))}, WIDTH * PIECES)
+                            {"covered": ("max", F.col("end"))}, WIDTH * PIECES, levels=1)
     start = F.coalesce("covered", F.lit(0))
     return before.where(F.col("first") > start).select(
         "recording_id", start.cast("bigint").alias("first"), (F.col("first") - start).alias("n"),

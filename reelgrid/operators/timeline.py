@@ -115,8 +115,9 @@ def sixteen_bit(sample: Column) -> Column:
     """Clamped 16-bit value of a sample; values that are not finite become zero."""
     finite = ~F.isnan(sample) & (F.abs(sample) != float("inf"))
     level = F.when(finite, F.greatest(F.least(sample, F.lit(1.0)), F.lit(-1.0))).otherwise(0.0)
-    scale = F.when(level < 0, 32768.0).otherwise(32767.0)
-    return F.round(level * scale).cast("int")
+    # rounded half away from zero
+    return F.when(level < 0, F.ceil(level * 32768.0 - 0.5)).otherwise(
+        F.floor(level * 32767.0 + 0.5)).cast("int")
 
 
 def speech_blocks(blocks: DataFrame, rate: int = ENCODE_RATE, key: str = "recording_id",

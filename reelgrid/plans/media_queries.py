@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from reelgrid.operators import media as md
 from reelgrid.operators import timeline as tl
 from reelgrid.operators.running import running_before
 from reelgrid.plans import stand_ins as st
+from reelgrid.session import shared_folder
 from reelgrid.sources import raw_capture as raw
 
 RATE = 16000
@@ -78,6 +81,13 @@ sm AS (SELECT 'u' || user_id || '-' || event_type AS stream_id, 'u' || user_id A
 lv AS (SELECT stream_id, any_value(recording_id) AS recording_id, count(*) AS n, max(l) AS peak FROM sm GROUP BY stream_id)"""
 
 
+def stored_blocks(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """Sample rows gathered into blocks and stored, as captured audio is."""
+    path = shared_folder(spark, f"blocks-{uuid.uuid4().hex}")
+    ab.blocks_of_rows(rows, tl.STEREO, "stream_id").write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def stream_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = ab.blocks_of_rows(event_samples(spark, sf_dir), tl.STEREO, "stream_id")
     return ab.levels(blocks, "stream_id", tl.SILENCE).withColumn("peak", F.round("peak", 9))
@@ -89,9 +99,8 @@ SELECT stream_id, n AS frames, round(peak, 9) AS peak, peak <= 1.1920929e-07 AS
 
 def mix_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources of each user gathered into blocks, mixed by cells, and opened again."""
-    samples = event_samples(spark, sf_dir)
-    blocks = ab.blocks_of_rows(samples, tl.STEREO, "stream_id")
-    sources = samples.groupBy("stream_id").agg(F.first("recording_id").alias("recording_id"))
+    blocks = stored_blocks(spark, event_samples(spark, sf_dir))
+    sources = blocks.select("stream_id", F.split_part("stream_id", F.lit("-"), F.lit(1)).alias("recording_id")).distinct()
     gains = tl.source_gains(ab.levels(blocks, "stream_id", tl.SILENCE), sources)
     mixed = ab.rows_of_blocks(ab.mix(blocks, gains), tl.STEREO, "recording_id")
     return mixed.select("recording_id", "frame", F.round("left", 9).alias("left"),
@@ -106,10 +115,10 @@ FROM sm JOIN g ON g.stream_id = sm.stream_id GROUP BY g.recording_id, frame"""
 
 def resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Streams of two rates brought to 44.1 kHz."""
-    samples = event_samples(spark, sf_dir)
-    rates = samples.select("stream_id").distinct().withColumn(
+    blocks = stored_blocks(spark, event_samples(spark, sf_dir))
+    rates = blocks.select("stream_id").distinct().withColumn(
         "sample_rate", F.when(F.col("stream_id").endswith("k"), 48000).otherwise(22050).cast("bigint"))
-    out = tl.resample(samples, rates, 44100, tl.STEREO)
+    out = ab.rows_of_blocks(ab.resample(blocks, rates, 44100, tl.STEREO, "stream_id"), tl.STEREO, "stream_id")
     return out.select("stream_id", "frame", F.round("left", 9).alias("left"),
                       F.round("right", 9).alias("right"))
 
