@@ -27,7 +27,7 @@ ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.
 
 class Packer:
     """A fixed number of open windows. A piece goes to the window it fills best; where none
-    has room, the fullest is closed. A window that is full closes at once."""
+    has room, the fullest is filled up and closed. A window that is full closes at once."""
 
     def __init__(self, window: int, most: int, first_id: int):
         self.window, self.most, self.next_id = window, most, first_id
@@ -45,25 +45,39 @@ class Packer:
         self.tokens += at
         self.next_id += 1
 
-    def place(self, doc_id, start: int, ids: np.ndarray, doc_tokens: int):
-        """One piece of at most a window."""
-        size = len(ids)
+    def _best(self, size: int):
+        """The fullest window with room for ``size``."""
         best = None
         for w in self.windows:
             if w[0] + size <= self.window and (best is None or w[0] > best[0]):
                 best = w
+        return best
+
+    def _add(self, held: list, doc_id, start: int, ids: np.ndarray, doc_tokens: int):
+        held[0] += len(ids)
+        held[1].append((doc_id, start, ids.copy(), doc_tokens))  # not a view of its whole batch
+        if held[0] == self.window:
+            self.windows.remove(held)
+            self._close(held[1])
+
+    def place(self, doc_id, start: int, ids: np.ndarray, doc_tokens: int):
+        """One piece of at most a window. A whole window goes straight out. Where no window has
+        room and no more may open, the fullest is filled with the head of the piece and closed,
+        and the rest is placed."""
+        if len(ids) == self.window:
+            self._close([(doc_id, start, ids, doc_tokens)])
+            return
+        best = self._best(len(ids))
+        if best is None and len(self.windows) == self.most:
+            fullest = max(self.windows, key=lambda w: w[0])
+            room = self.window - fullest[0]
+            self._add(fullest, doc_id, start, ids[:room], doc_tokens)
+            start, ids = start + room, ids[room:]
+            best = self._best(len(ids))
         if best is None:
-            if len(self.windows) == self.most:
-                fullest = max(self.windows, key=lambda w: w[0])
-                self.windows.remove(fullest)
-                self._close(fullest[1])
             best = [0, []]
             self.windows.append(best)
-        best[0] += size
-        best[1].append((doc_id, start, ids, doc_tokens))
-        if best[0] == self.window:
-            self.windows.remove(best)
-            self._close(best[1])
+        self._add(best, doc_id, start, ids, doc_tokens)
 
     def document(self, doc_id, ids: np.ndarray):
         """Cuts whole windows off a long document; its rest is one piece."""
@@ -95,8 +109,8 @@ def pack(docs: DataFrame, definition: str, doc_id: str = "doc_id", text: str = "
     """Pieces (doc_id, start, length, doc_tokens, ids, sequence_id, offset) of all documents.
 
     ``definition`` is the tokenizer's JSON text; ``ids`` are little-endian unsigned 32-bit.
-    A document is its ids and then ``end``; a null or empty text is ``end`` alone. Only
-    documents longer than a window are cut at first. The windows a partition still has open
+    A document is its ids and then ``end``; a null or empty text is ``end`` alone. A document
+    is cut where it is longer than a window, or where no open window has room for it. The windows a partition still has open
     at its end (``open_windows`` at most) meet in tasks of about ``merged_windows`` of them
     and are filled one after the other, cut where a window ends, so each such task pads one
     window at most. Sequence ids come from partition and count, so a task run again gives

@@ -98,4 +98,34 @@ def test_best_fit_and_fullest():
         p.place(name, 0, np.zeros(size, np.uint32), size)
     assert [(r[0], r[5], r[6]) for r in p.rows] == [("a", 0, 0), ("c", 0, 6)]
     p.place("f", 0, np.zeros(4, np.uint32), 4)
-    assert p.rows[-1][0] == "d" and [w[0] for w in p.windows] == [8, 4]
+    # the fullest takes the head of the piece that fits nowhere, the rest opens a window
+    assert [(r[0], r[1], r[2], r[6]) for r in p.rows[-2:]] == [("d", 0, 9, 0), ("f", 0, 1, 9)]
+    assert [w[0] for w in p.windows] == [8, 3]
+
+
+def test_documents_over_half_a_window_fill_it():
+    """Lengths of which no two fit one window: pieces are cut into the room that is left."""
+    for sizes in ([2100] * 1500, [2049 + (k * 37) % 1950 for k in range(1500)]):
+        packer = pk.Packer(4096, 64, 0)
+        for name, size in enumerate(sizes):
+            packer.document(name, np.arange(size, dtype=np.uint32))
+        closed = packer.next_id
+        held = sum(r[2] for r in packer.rows)
+        assert held / (closed * 4096) > 0.97 and len(packer.windows) <= 64
+        assert all(ids.base is None for w in packer.windows for _, _, ids, _ in w[1])
+        packer.finish(left_open=True)
+        seen = defaultdict(list)
+        for name, start, length, total, ids, _, _, _ in packer.rows:
+            assert np.frombuffer(ids, np.uint32).tolist() == list(range(start, start + length))
+            seen[name].append((start, length, total))
+        for name, size in enumerate(sizes):
+            parts = sorted(seen[name])
+            assert sum(p[1] for p in parts) == size == parts[0][2]
+            assert [p[0] for p in parts] == [sum(q[1] for q in parts[:k]) for k in range(len(parts))]
+
+
+def test_whole_windows_evict_nothing():
+    packer = pk.Packer(8, 1, 0)
+    packer.document("a", np.arange(3, dtype=np.uint32))
+    packer.document("b", np.arange(16, dtype=np.uint32))
+    assert [r[0] for r in packer.rows] == ["b", "b"] and packer.windows[0][0] == 3
