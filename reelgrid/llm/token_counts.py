@@ -44,29 +44,52 @@ class Counter:
         if model.is_bpe and SPACE * 2 in word:  # pieces of one score: merged one by one
             return sum(self._bytes(c) if t == model.unknown else 1
                        for t, c in self._spelt(word, model.merge(word)))
-        unknown, score, fit = model.unknown, model.score, model.fit
-        best, tokens, last = [0.0], [0], [unknown]
-        at = 0
+        if model.is_bpe:
+            return self._left_by_merges(word)
+        unknown, score = model.unknown, model.score
+        best, tokens = [0.0], [0]
         found: list = [[] for _ in word]
         for end, match in self.matches.iter(word):
             found[end].append(match)
         for end in range(len(word)):
-            top, count, token, single = -np.inf, 0, unknown, False
+            top, count, single = -np.inf, 0, False
             for size, k in sorted(found[end], reverse=True):
                 at = end + 1 - size
                 single |= size == 1
-                if model.is_bpe:
-                    if at == 0 or fit(last[at], k):
-                        top, count, token = 0.0, tokens[at] + 1, k
-                        break
-                elif best[at] + score[k] > top:
-                    top, count, token = best[at] + score[k], tokens[at] + 1, k
-            if not single and (token == unknown or best[end] + score[unknown] > top):
+                if best[at] + score[k] > top:
+                    top, count = best[at] + score[k], tokens[at] + 1
+            if not single and best[end] + score[unknown] > top:
                 top = best[end] + score[unknown]
-                count, token = tokens[end] + self._bytes(word[end]), unknown
+                count = tokens[end] + self._bytes(word[end])
             best.append(top)
             tokens.append(count)
-            last.append(token)
+        return tokens[-1]
+
+    def _left_by_merges(self, word: str) -> int:
+        """Tokens of a word under a BPE model: at each end the one match that the merge order
+        leaves after the token before it. Matches of one end come longest first. Where a
+        character is no piece, no piece that merges reach holds it, so nothing ends there."""
+        model = self.model
+        fit, fits, n, unknown = model.fit, model._fits, model.unknown + 1, model.unknown
+        last, tokens = [unknown] * (len(word) + 1), [0] * (len(word) + 1)
+        filled = 0  # ends up to here have their token and count
+        for end, (size, k) in self.matches.iter(word):
+            if end < filled:
+                continue
+            while filled < end:
+                tokens[filled + 1] = tokens[filled] + self._bytes(word[filled])
+                filled += 1
+            at = end + 1 - size
+            if at:
+                before = last[at]
+                known = fits.get(before * n + k)
+                if not (fit(before, k) if known is None else known):
+                    continue
+            tokens[end + 1], last[end + 1] = tokens[at] + 1, k
+            filled = end + 1
+        while filled < len(word):
+            tokens[filled + 1] = tokens[filled] + self._bytes(word[filled])
+            filled += 1
         return tokens[-1]
 
     @staticmethod
