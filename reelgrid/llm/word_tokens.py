@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import islice
 
 import numpy as np
 import regex
 
 from reelgrid.llm.rows import kept
-from reelgrid.llm.words import WordIndex, grown
+from reelgrid.llm.words import grown
 
 MOST_WORDS = 300_000
 
@@ -26,6 +27,14 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(others)}
 
 
+class Places(dict):
+    """Numbers words in order of first sight."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = place = len(self)
+        return place
+
+
 class WordTokens:
     """Encodes texts word by word; a word's ids are found once and kept.
 
@@ -45,7 +54,7 @@ class WordTokens:
         self.clear()
 
     def clear(self):
-        self.words = WordIndex()
+        self.words = Places()
         self.pieces: dict[str, list[int]] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 12, np.int64)
@@ -53,11 +62,9 @@ class WordTokens:
         self.used = 0
 
     def _piece(self, piece: str) -> list[int]:
-        found = self.pieces.get(piece)
-        if found is None:
-            mapped = piece if piece.isascii() else piece.encode().decode("latin-1").translate(
-                self.letters)
-            found = self.pieces[piece] = [t.id for t in self.model.tokenize(mapped)]
+        mapped = piece if piece.isascii() else piece.encode().decode("latin-1").translate(
+            self.letters)
+        found = self.pieces[piece] = [t.id for t in self.model.tokenize(mapped)]
         return found
 
     def _word(self, word: bytes) -> list[int]:
@@ -65,7 +72,7 @@ class WordTokens:
         if LATIN.fullmatch(text) and "<|" not in text:
             out: list[int] = []
             for piece in SPLIT.findall(text.lower()):
-                out += self._piece(piece)
+                out += self.pieces.get(piece) or self._piece(piece)
             return out
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
@@ -86,13 +93,18 @@ class WordTokens:
         """Ids of each text, with ``end`` after them."""
         if len(self.words) > MOST_WORDS:
             self.clear()
-        at, counts, new = self.words.look_up(texts)
-        if new:
-            self._keep(new)
+        known, places, counts = len(self.words), [], []
+        for text in texts:
+            words = text.split()
+            counts.append(len(words))
+            places.extend(map(self.words.__getitem__, words))
+        at = np.array(places, np.int64)
+        if len(self.words) > known:
+            self._keep(list(islice(self.words, known, None)))
         sizes = self.sizes[at]
         before = np.cumsum(sizes) - sizes
         flat = self.ids[np.repeat(self.starts[at] - before, sizes) + np.arange(sizes.sum())]
-        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(counts)]
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(np.array(counts, np.int64))]
         flat = np.insert(flat, ends, end)
         cuts = ends + np.arange(1, len(ends) + 1)
         return np.split(flat, cuts[:-1]) if len(ends) else []
