@@ -1,35 +1,43 @@
 """Documents cleaned, deduplicated and packed for training, one stage after the other.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows the stage before kept. The
-filters return the columns of documents unchanged; the last stage returns pieces.
+filters return the columns of documents unchanged, whatever they are called; the last stage
+returns pieces.
+
+Null and empty texts are scored and packed like any other; all texts without a word are near
+duplicates of each other, as equal texts are. Of near duplicates the smallest doc_id stays, a
+null one only where there is no other; of repeated rows one stays. Texts of any length are read
+whole. An empty table gives empty stages.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from reelgrid.llm import packing, quality, simhash, toxicity
-from reelgrid.llm.rows import stored, table
-
-SCORE = "__score"
+from reelgrid.llm.rows import free_name, stored, table
 
 
-def _kept(scored: DataFrame, keep: str) -> DataFrame:
-    """Rows the condition keeps, without the score."""
-    return scored.where(keep).drop(SCORE, "predicted")
+def _names(docs: DataFrame) -> dict[str, str]:
+    """Names for a score and its prediction that no column of ``docs`` has."""
+    return {"name": free_name(docs, "score"), "predicted": free_name(docs, "predicted")}
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10; documents it calls toxic (0.5 or more) go."""
     network = toxicity.toxicity_model(spark, docs, sf_dir)
-    return _kept(toxicity.score(docs, network, name=SCORE), f"{SCORE} < 0.5")
+    own = _names(docs)
+    scored = toxicity.score(docs, network, **own)
+    return scored.where(F.col(own["name"]) < 0.5).drop(*own.values())
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4; documents it scores below 0.5 go."""
     machine = quality.quality_model(spark, docs, sf_dir)
-    return _kept(quality.score(docs, machine, metadata=("n_chars",), name=SCORE),
-                 f"{SCORE} >= 0.5")
+    own = _names(docs)
+    scored = quality.score(docs, machine, metadata=("n_chars",), **own)
+    return scored.where(F.col(own["name"]) >= 0.5).drop(*own.values())
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -182,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, taught, doc_id: str = "d
 
 
 def score(docs: DataFrame, model: Machine, text: str = "text", metadata: tuple[str, ...] = (),
-          name: str = "score") -> DataFrame:
+          name: str = "score", predicted: str = "predicted") -> DataFrame:
     """Rows with ``name``, 0 to 1, and ``predicted`` (1 at 0.5 or more) for their whole text.
 
     Null and empty texts are scored like any other, from their shape; null metadata counts as
@@ -202,7 +202,7 @@ def score(docs: DataFrame, model: Machine, text: str = "text", metadata: tuple[s
             return [pa.array(value), pa.array((value >= 0.5).astype(np.int32))]
         return compute
 
-    return with_columns(docs, [(name, T.DoubleType()), ("predicted", T.IntegerType())], text, make)
+    return with_columns(docs, [(name, T.DoubleType()), (predicted, T.IntegerType())], text, make)
 
 
 def quality_model(spark, docs: DataFrame, sf_dir: str) -> Machine:

@@ -77,6 +77,14 @@ def with_columns(rows: DataFrame, fields: list[tuple[str, T.DataType]], text: st
     return rows.mapInArrow(run, schema)
 
 
+def free_name(rows: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column of ``rows`` is called so."""
+    taken = {c.lower() for c in rows.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def stored(rows: DataFrame, name: str) -> DataFrame:
     """The rows written to the folder all executors share, and read back."""
     spark = rows.sparkSession

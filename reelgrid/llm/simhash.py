@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from reelgrid.llm.components import connected_components
 from reelgrid.llm.gray_index import GrayIndex, sub_masks
-from reelgrid.llm.rows import checkpointed, raw_texts, stored, with_columns
+from reelgrid.llm.rows import checkpointed, free_name, raw_texts, stored, with_columns
 
 WORDS = 3
 DIFFERENCES = 3
@@ -152,19 +152,22 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, with one row kept of each group of near-duplicates:
-    that of the smallest doc_id (a group of null ids keeps one row).
+    that of the smallest doc_id; a null id counts after all others, and a group of null ids
+    keeps one row.
 
     Rows meet the kept ids by id and text hash, so a text crosses one shuffle and a hot
     fingerprint gathers nothing.
     """
     found = near_duplicates(docs.select(
-        F.struct(F.col(doc_id).alias("id"), F.xxhash64(text).alias("text_hash")).alias("doc_id"),
+        F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"),
+                 F.xxhash64(text).alias("text_hash")).alias("doc_id"),
         F.col(text).alias("text")), "doc_id", "text")
     kept = found.where("doc_id <=> component_id").select("component_id.*").distinct()
-    keyed = docs.withColumns({"__id": F.col(doc_id), "__hash": F.xxhash64(text)})
-    return (keyed.join(kept, keyed["__id"].eqNullSafe(kept["id"])
-                       & (keyed["__hash"] == kept["text_hash"]), "left_semi")
-            .dropDuplicates(["__id", "__hash"]).drop("__id", "__hash"))
+    own_id, own_hash = free_name(docs, "__id"), free_name(docs, "__hash")
+    keyed = docs.withColumns({own_id: F.col(doc_id), own_hash: F.xxhash64(text)})
+    return (keyed.join(kept, keyed[own_id].eqNullSafe(kept["id"])
+                       & (keyed[own_hash] == kept["text_hash"]), "left_semi")
+            .dropDuplicates([own_id, own_hash]).drop(own_id, own_hash))
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:

@@ -264,7 +264,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, taught, doc_id: str = "d
 
 
 def score(docs: DataFrame, network: Network | None, text: str = "text", name: str = "score",
-          ) -> DataFrame:
+          predicted: str = "predicted") -> DataFrame:
     """Rows with ``name``, 0 to 1: the highest probability of any window of the whole text, and
     ``predicted`` (1 at 0.5 or more).
 
@@ -284,7 +284,7 @@ def score(docs: DataFrame, network: Network | None, text: str = "text", name: st
             return [pa.array(value), pa.array((value >= 0.5).astype(np.int32))]
         return compute
 
-    return with_columns(docs, [(name, T.DoubleType()), ("predicted", T.IntegerType())], text, make)
+    return with_columns(docs, [(name, T.DoubleType()), (predicted, T.IntegerType())], text, make)
 
 
 def toxicity_model(spark, docs: DataFrame, sf_dir: str) -> Network | None:

@@ -74,6 +74,38 @@ def test_run(spark, stages):
     assert sorted(got.select(*key).collect()) == sorted(stages[4].select(*key).collect())
 
 
+def test_clashing_columns_stay(spark):
+    """Columns called like the stages' own come through all filters with their values."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").selectExpr(
+        "*", "doc_id + 7 AS predicted", "'own' AS score", "doc_id AS __id", "text AS __hash")
+    for _, stage in cp.STAGES[:3]:
+        docs = stage(spark, docs, SMALL)
+    assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "predicted", "score",
+                            "__id", "__hash"]
+    assert docs.where("predicted <> doc_id + 7 OR score <> 'own' OR __id <> doc_id "
+                      "OR __hash <> text").count() == 0
+    assert docs.count() > 0
+
+
+def test_null_id_stays_only_alone(spark):
+    text = "one two three four five six seven"
+    docs = spark.createDataFrame(
+        [(None, text), (5, text), (9, text), (None, "quite other words are written here"), (3, None), (4, "")],
+        "doc_id long, text string")
+    got = cp.drop_copies(spark, docs, SMALL).collect()
+    assert sorted((r["doc_id"] or -1, r["text"]) for r in got if r["text"]) == [
+        (-1, "quite other words are written here"), (5, text)]
+    assert [r["doc_id"] for r in got if not r["text"]] == [3]
+
+
+def test_very_long_text(spark):
+    docs = spark.createDataFrame(
+        [(1, "plain words in a row " * 100_000, "en", "s", 2_100_000)],
+        "doc_id long, text string, lang string, source string, n_chars long")
+    own = cp.pack(spark, cp.drop_copies(spark, docs, SMALL), SMALL).collect()
+    assert sum(r["length"] for r in own) == own[0]["doc_tokens"] > 500_000
+
+
 def test_odd_rows(spark):
     rows = [(1, None, "en", None, 0, "x"), (None, "", None, "s", None, "x"),
             (2, "good words here", "en", "s", 15, "x"), (2, "good words here", "en", "s", 15, "x")]
