@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("search_queries", "library_queries", "session_queries", "job_queries",
+FAMILIES = ("search_queries", "retrieval_queries", "library_queries", "session_queries", "job_queries",
             "text_queries", "media_queries", "capture_queries", "stream_queries")
 
 
