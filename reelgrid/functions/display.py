@@ -70,6 +70,7 @@ def byte_text(n: Column) -> Column:
 
 
 def rank_text(rank: Column) -> Column:
+    rank = rank + F.lit(0.0)  # a negative zero is shown without its sign
     finite = rank.isNotNull() & ~F.isnan(rank) & (F.abs(rank) < float("inf"))
     exponent = F.regexp_replace(F.format_string("%.2e", rank), r"e([+-])0+(\d)", "e$1$2")
     plain = F.concat(F.when(rank < 0, "-").otherwise(""), _fixed(F.abs(rank), 3))

@@ -287,7 +287,8 @@ SELECT e AS event_id,
     WHEN b < 1073741824 THEN printf('%.1f', floor(b / 1048576 * 10 + 0.5) / 10) || ' MB'
     ELSE printf('%.1f', floor(b / 1073741824 * 10 + 0.5) / 10) || ' GB' END AS bytes,
   (fsecs // 60) || ':' || lpad(CAST(fsecs % 60 AS VARCHAR), 2, '0') AS segment_time,
-  'Rank ' || CASE WHEN v / 1000 < 0.001 THEN regexp_replace(printf('%.2e', -v / 1000), 'e-0+', 'e-') ELSE printf('%.3f', -v / 1000) END AS rank,
+  'Rank ' || CASE WHEN v / 1000 < 0.001 THEN regexp_replace(printf('%.2e', 0 - v / 1000), 'e([+-])0+([0-9])', 'e\\1\\2') ELSE printf('%.3f',
+    -(v / 1000 + CASE WHEN v / 1000 * 16 % 2 = 1 THEN 0.0001 ELSE 0 END)) END AS rank,
   CASE WHEN e % 3 > 0 THEN CAST(floor(v / 500 * 100 + 0.5) AS BIGINT) || '%' ELSE '' END AS confidence,
   CASE WHEN e % 2 = 0 AND user_id <> 0 THEN user_id || ' x ' || (n + 1) ELSE 'Pending' END AS resolution,
   CASE e % 5 WHEN 0 THEN 'Off' WHEN 1 THEN 'PCM pending' WHEN 2 THEN '2 ch' WHEN 3 THEN '2 ch / 48000 Hz' ELSE '2 ch / 48000 Hz / f32' END AS stream,

@@ -196,3 +196,24 @@ def test_display_texts(spark):
     assert show(tx.path_tail(lit("a"))) == "a" and show(tx.path_tail(lit("/x/y\\z/"))) == "y/z"
     assert show(tx.normal_title(lit("  Monday notes  "))) == "Monday notes"
     assert show(tx.normal_title(lit(" \u00a0\t"))) == "Untitled recording"
+
+
+def test_rank_texts_of_ties_and_zero_agree_with_their_sql(spark, tmp_path):
+    """Exact ties of three decimals go up, a negative zero has no sign and one digit of exponent."""
+    import datetime
+
+    import duckdb
+    import oracle
+    from reelgrid.plans import text_queries as tq
+
+    values = [62.5, 187.5, 562.5, 1062.5, 62.4, 0.0, 0.05, 0.99, 1.0]
+    spark.createDataFrame(
+        [(n, n % 3, datetime.datetime(2024, 1, 1), "view", v) for n, v in enumerate(values)],
+        "event_id long, user_id long, ts timestamp_ntz, event_type string, value double").write.parquet(
+            f"{tmp_path}/events.parquet")
+    found = tq.format_report(spark, str(tmp_path))
+    assert [r["rank"] for r in found.orderBy("event_id").collect()] == ["Rank " + t for t in (
+        "-0.063", "-0.188", "-0.563", "-1.063", "-0.062", "0.00e+0", "-5.00e-5", "-9.90e-4", "-0.001")]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert oracle.difference(found, con, tq.FORMAT_SQL) is None
