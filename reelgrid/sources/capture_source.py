@@ -3,18 +3,26 @@
 A file is a magic and then blocks, each a fixed header and its payload. A reader splits files
 into byte ranges and owns the blocks that start in its range; an index beside the file, with the
 place of every so many blocks, lets it start near its range, and a file without one is walked
-over its headers from the start. Options: ``path``; ``kind`` (audio or video); ``magic``;
-``payload`` (true to read the bytes as well); ``splitBytes``; ``indexEvery`` for the writer.
+over its headers from the start. Small files share a task. Options: ``path``; ``kind`` (audio or
+video); ``magic``; ``payload`` (true to read the bytes as well); ``splitBytes``; for the writer
+``indexEvery`` and ``pack``.
+
+With ``pack`` true a write task puts its files one behind the other into one pack, so very many
+small captures make few files on disk. A Parquet table beside the pack has a row for every run of
+``indexEvery`` blocks: ``file``, ``start`` and ``length`` of the file in the pack, number of the
+run's first block, and where the run's bytes begin and stop.
 """
 
 from __future__ import annotations
 
+import io
 import struct
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourceReader,
                                     InputPartition, WriterCommitMessage)
 
@@ -22,10 +30,16 @@ from reelgrid.sources.raw_capture import AUDIO_HEADER, LARGEST_LONG, VIDEO_HEADE
 
 NAME = "raw_capture"
 SUFFIX, INDEX = ".raw", ".index"
+PACK, MEMBERS = ".pack", ".members"
 SPLIT_BYTES = 128 << 20
 INDEX_EVERY = 4096
 BATCH_ROWS, BATCH_BYTES = 8192, 8 << 20
+FILES_MOST = 4096  # files a task reads
+READ_BYTES = 1 << 20  # read ahead in a pack
+RUNS_HELD = 1 << 16  # rows of a pack's table written at a time
 ENTRY = struct.Struct("<QQ")  # block number, byte offset
+RUNS = pa.schema([("file", pa.string()), ("start", pa.int64()), ("length", pa.int64()),
+                  ("block_seq", pa.int64()), ("place", pa.int64()), ("stop", pa.int64())])
 
 FIELDS = {"audio": (AUDIO_HEADER, ["elapsed_ms", "callback_stream_ns", "capture_stream_ns"]),
           "video": (VIDEO_HEADER, ["elapsed_ms", "display_time_ms", "format_code", "width", "height"])}
@@ -41,13 +55,21 @@ def file_system(path: str):
 
 
 @dataclass
-class Blocks(InputPartition):
-    """Blocks of a file that start at ``start`` or later and before ``stop``."""
+class Blocks:
+    """Blocks of a file or pack that start at ``start`` or later and before ``stop``."""
 
     file: str
     size: int
     start: int
     stop: int
+    packed: bool
+
+
+@dataclass
+class Ranges(InputPartition):
+    """What a task reads: one range, or several small files."""
+
+    ranges: list[Blocks]
 
 
 class _Layout:
@@ -78,18 +100,25 @@ class CaptureReader(DataSourceReader):
         self.layout = _Layout(options)
         self.split = int(options.get("splitBytes", SPLIT_BYTES))
 
-    def partitions(self) -> list[Blocks]:
+    def partitions(self) -> list[Ranges]:
         """Byte ranges of all files below the path, by name; file sizes are all this reads."""
         from pyarrow import fs
 
         system, root = file_system(self.layout.root)
         found = system.get_file_info(fs.FileSelector(root, recursive=True))
-        out = []
+        out, held = [], 0
         for info in sorted(found, key=lambda i: i.path):
-            if info.is_file and info.path.endswith(SUFFIX):
-                name = info.path[len(root):].lstrip("/")[:-len(SUFFIX)]
-                for start in range(0, max(info.size, 1), self.split):
-                    out.append(Blocks(name, info.size, start, start + self.split))
+            packed = info.path.endswith(PACK)
+            if not info.is_file or not (packed or info.path.endswith(SUFFIX)):
+                continue
+            name = info.path[len(root):].lstrip("/")[:-len(PACK if packed else SUFFIX)]
+            for start in range(0, max(info.size, 1), self.split):
+                cost = max(min(info.size - start, self.split), self.split // FILES_MOST)
+                if not out or held + cost > self.split:
+                    out.append(Ranges([]))
+                    held = 0
+                out[-1].ranges.append(Blocks(name, info.size, start, start + self.split, packed))
+                held += cost
         return out
 
     def _entry(self, system, path: str, start: int) -> tuple[int, int]:
@@ -114,42 +143,71 @@ class CaptureReader(DataSourceReader):
             f.seek((low - 1) * ENTRY.size)
             return ENTRY.unpack(f.read(ENTRY.size))
 
+    def _nothing(self) -> tuple:
+        return (None,) * (len(self.layout.names) + (3 if self.layout.payload else 2))
+
     def _blocks(self, part: Blocks) -> Iterator[tuple]:
         """Rows of the blocks a range owns; a damaged file ends with one row with its error,
         which belongs to the range where the damage starts."""
         layout = self.layout
         system, root = file_system(layout.root)
         path = f"{root}/{part.file}{SUFFIX}"
-        nothing = (None,) * (len(layout.names) + (3 if layout.payload else 2))
-        head = layout.head
         with system.open_input_file(path) as f:
             if f.read(len(layout.magic)) != layout.magic:
                 if part.start == 0:
-                    yield part.file, 0, *nothing, "unsupported file header"
+                    yield part.file, 0, *self._nothing(), "unsupported file header"
                 return
             seq, at = self._entry(system, path, part.start)
-            while at < min(part.size, part.stop):
-                f.seek(at)
-                raw, error = f.read(head), None
-                if len(raw) < head:
-                    error = "truncated block header"
-                else:
-                    *fields, count = struct.unpack(layout.header, raw)
-                    if at + head + count > part.size:
-                        error = "truncated block"
-                if error:
-                    if at >= part.start:
-                        yield part.file, seq, *nothing, error
-                    return
+            yield from self._walk(f, part, part.file, seq, at, part.size)
+
+    def _packed(self, part: Blocks) -> Iterator[tuple]:
+        """The same for a pack: the runs of blocks that reach into the range."""
+        import pyarrow.parquet as pq
+
+        layout = self.layout
+        system, root = file_system(layout.root)
+        path = f"{root}/{part.file}"
+        runs = pq.read_table(path + MEMBERS, filesystem=system, filters=[
+            ("place", "<", part.stop), ("stop", ">", part.start)]).sort_by("place")
+        with io.BufferedReader(system.open_input_file(path + PACK), READ_BYTES) as f:
+            last = known = None
+            for batch in runs.to_batches(max_chunksize=BATCH_ROWS):
+                for file, start, length, seq, place, stop in zip(*(c.to_pylist() for c in batch.columns)):
+                    if start != last:
+                        f.seek(start)
+                        last, known = start, f.read(len(layout.magic)) == layout.magic
+                    if known:
+                        yield from self._walk(f, part, file, seq, place, start + length, start, stop)
+                    elif seq == 0 and place >= part.start:
+                        yield file, 0, *self._nothing(), "unsupported file header"
+
+    def _walk(self, f, part: Blocks, file: str, seq: int, at: int, end: int, base: int = 0,
+              stop: int | None = None) -> Iterator[tuple]:
+        """Rows of a file's blocks from ``at`` on that start in the range; the file begins at
+        ``base`` and ends at ``end``."""
+        layout, head = self.layout, self.layout.head
+        while at < min(end if stop is None else stop, part.stop):
+            f.seek(at)
+            raw, error = f.read(min(head, end - at)), None
+            if len(raw) < head:
+                error = "truncated block header"
+            else:
+                *fields, count = struct.unpack(layout.header, raw)
+                if at + head + count > end:
+                    error = "truncated block"
+            if error:
                 if at >= part.start:
-                    if max(fields) > LARGEST_LONG:
-                        yield part.file, seq, *nothing, "header value out of range"
-                    else:
-                        data = (f.read(count),) if layout.payload else ()
-                        yield part.file, seq, *fields, at + head, count, *data, None
-                seq, at = seq + 1, at + head + count
-
-    def read(self, part: Blocks) -> Iterator[pa.RecordBatch]:
+                    yield file, seq, *self._nothing(), error
+                return
+            if at >= part.start:
+                if max(fields) > LARGEST_LONG:
+                    yield file, seq, *self._nothing(), "header value out of range"
+                else:
+                    data = (f.read(count),) if layout.payload else ()
+                    yield file, seq, *fields, at + head - base, count, *data, None
+            seq, at = seq + 1, at + head + count
+
+    def read(self, part: Ranges) -> Iterator[pa.RecordBatch]:
         schema = self.layout.arrow()
         place = schema.get_field_index("byte_count")
 
@@ -158,12 +216,13 @@ class CaptureReader(DataSourceReader):
                 [pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
         rows, held = [], 0
-        for row in self._blocks(part):
-            rows.append(row)
-            held += (row[place] or 0) if self.layout.payload else 0
-            if len(rows) == BATCH_ROWS or held > BATCH_BYTES:
-                yield batch(rows)
-                rows, held = [], 0
+        for own in part.ranges:
+            for row in self._packed(own) if own.packed else self._blocks(own):
+                rows.append(row)
+                held += (row[place] or 0) if self.layout.payload else 0
+                if len(rows) == BATCH_ROWS or held > BATCH_BYTES:
+                    yield batch(rows)
+                    rows, held = [], 0
         if rows:
             yield batch(rows)
 
@@ -221,6 +280,68 @@ class CaptureWriter(DataSourceArrowWriter):
         return WriterCommitMessage()
 
 
+class PackWriter(CaptureWriter):
+    """Writes all files of a task as one pack with its table of runs. A task that runs again
+    replaces its pack; packs of other writes are kept."""
+
+    def __init__(self, options, overwrite: bool):
+        super().__init__(options, overwrite)
+        self.name = uuid.uuid4().hex
+
+    def write(self, batches) -> WriterCommitMessage:
+        import pyarrow.parquet as pq
+        from pyspark import TaskContext
+
+        layout = self.layout
+        system, root = file_system(layout.root)
+        task = TaskContext.get()
+        path = f"{root}/{self.name}-{task.partitionId()}"
+        unique = f".{task.taskAttemptId()}.part"
+        out = table = name = None
+        runs: list[tuple] = []  # finished runs: all columns
+        own: list[tuple[int, int]] = []  # of the open file: block number and place
+        start = seq = at = 0
+
+        def finish_file():
+            for (number, place), stop in zip(own, [*(p for _, p in own[1:]), at]):
+                runs.append((name, start, at - start, number, place, stop))
+
+        def flush():
+            if runs:
+                table.write_table(pa.Table.from_arrays(
+                    [pa.array(c, f.type) for c, f in zip(zip(*runs), RUNS)], schema=RUNS))
+                runs.clear()
+
+        for batch in batches:
+            columns = [batch.column(n).to_pylist() for n in ("file", *layout.names, "bytes")]
+            for file, *fields, data in zip(*columns):
+                if out is None:
+                    out = system.open_output_stream(path + PACK + unique)
+                    listed = system.open_output_stream(path + MEMBERS + unique)
+                    table = pq.ParquetWriter(listed, RUNS)
+                if file != name:
+                    finish_file()
+                    if len(runs) >= RUNS_HELD:
+                        flush()
+                    name, own, seq, start = file, [], 0, at
+                    out.write(layout.magic)
+                    at += len(layout.magic)
+                if seq % self.every == 0:
+                    own.append((seq, at))
+                data = data or b""
+                out.write(struct.pack(layout.header, *fields, len(data)) + data)
+                seq, at = seq + 1, at + layout.head + len(data)
+        if out is not None:
+            finish_file()
+            flush()
+            table.close()
+            listed.close()
+            out.close()
+            system.move(path + MEMBERS + unique, path + MEMBERS)
+            system.move(path + PACK + unique, path + PACK)
+        return WriterCommitMessage()
+
+
 class CaptureSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -233,9 +354,17 @@ class CaptureSource(DataSource):
         return CaptureReader(self.options)
 
     def writer(self, schema, overwrite: bool) -> CaptureWriter:
-        return CaptureWriter(self.options, overwrite)
+        packed = self.options.get("pack", "false").lower() == "true"
+        return (PackWriter if packed else CaptureWriter)(self.options, overwrite)
 
 
 def register(spark: SparkSession) -> None:
     """Makes ``spark.read.format("raw_capture")`` known to a session."""
     spark.dataSource.register(CaptureSource)
+
+
+def runs(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of all packs' tables below a folder; no pack is read."""
+    return spark.read.schema(
+        "file string, start bigint, length bigint, block_seq bigint, place bigint, stop bigint"
+    ).option("pathGlobFilter", f"*{MEMBERS}").parquet(path)

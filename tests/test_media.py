@@ -1,4 +1,5 @@
 import json
+import os
 import random
 import struct
 
@@ -345,3 +346,21 @@ def test_capture_source_ranges_and_damage(spark, tmp_path):
         assert rows(bad.select("file", "block_seq", "error"), "file") == [
             ("u1/0", 99, "truncated block"), ("u2/0", 0, "unsupported file header")]
         assert read(split).where("error IS NULL").count() == 199
+
+
+def test_many_captures_make_few_files(spark, tmp_path):
+    """Files of a write task lie in one pack; the inventory has each of them by name and size."""
+    from reelgrid.plans import capture_queries as cq
+    from reelgrid.sources import capture_source as cs
+
+    blocks = spark.range(3000).select(
+        F.concat(F.lit("u"), F.col("id") % 1000, F.lit("/0")).alias("file"), F.col("id").alias("order"),
+        *[F.col("id").alias(n) for n in cs.FIELDS["audio"][1]],
+        F.repeat(F.lit("x"), (F.col("id") % 1000 % 5).cast("int")).cast("binary").alias("bytes"))
+    root = cq._written(spark, blocks, "audio", "MAGIC")
+    found = rows(fl.packed(spark, root), "file")
+    assert [tuple(r) for r in found] == sorted((f"u{i}/0", 5 + 3 * (28 + i % 5)) for i in range(1000))
+    base = cs.file_system(root)[1]
+    stored = [f for _, _, names in os.walk(base) for f in names]
+    assert len(stored) <= 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sum(os.path.getsize(f"{base}/{f}") for f in stored if f.endswith(cs.PACK)) == sum(n for _, n in found)
