@@ -364,3 +364,16 @@ def test_many_captures_make_few_files(spark, tmp_path):
     stored = [f for _, _, names in os.walk(base) for f in names]
     assert len(stored) <= 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert sum(os.path.getsize(f"{base}/{f}") for f in stored if f.endswith(cs.PACK)) == sum(n for _, n in found)
+
+
+def test_small_capture_files_share_tasks(spark, tmp_path):
+    from reelgrid.sources import capture_source as cs
+
+    cs.register(spark)
+    options = {"path": str(tmp_path / "c"), "kind": "audio", "magic": "MAGIC"}
+    blocks = spark.range(200).select(
+        F.concat(F.lit("u"), "id").alias("file"), *[F.col("id").alias(n) for n in cs.FIELDS["audio"][1]],
+        F.lit("abc").cast("binary").alias("bytes"))
+    blocks.coalesce(2).write.format(cs.NAME).options(**options).mode("append").save()
+    found = spark.read.format(cs.NAME).options(**options).load()
+    assert found.rdd.getNumPartitions() == 1 and found.where("error IS NULL").count() == 200
