@@ -377,3 +377,30 @@ def test_small_capture_files_share_tasks(spark, tmp_path):
     blocks.coalesce(2).write.format(cs.NAME).options(**options).mode("append").save()
     found = spark.read.format(cs.NAME).options(**options).load()
     assert found.rdd.getNumPartitions() == 1 and found.where("error IS NULL").count() == 200
+
+
+def test_packed_captures_read_by_ranges(spark, tmp_path, monkeypatch):
+    """A pack read by ranges of any size gives every block once; a file cut in it ends with an
+    error, and the file behind it is whole; a file of another magic is told."""
+    from reelgrid.plans import capture_queries as cq
+    from reelgrid.sources import capture_source as cs
+
+    names = cs.FIELDS["video"][1]
+    blocks = spark.range(1500).select(
+        F.concat(F.lit("u"), F.col("id") % 2, F.lit("/0")).alias("file"), F.col("id").alias("order"),
+        *[F.col("id").alias(n) for n in names],
+        F.repeat(F.lit("x"), (F.col("id") % 7 + 1).cast("int")).cast("binary").alias("bytes")).coalesce(1)
+    seen = []
+    for split in (1 << 20, 1000):
+        monkeypatch.setattr(cq, "SPLIT_BYTES", split)
+        seen.append(rows(cq._round_trip(spark, blocks, "video", "MAGIC"), "file", "block_seq"))
+    assert seen[0] == seen[1] and len(seen[0]) == 1500
+    bad = [r for r in seen[0] if r[-1]]
+    assert [(r[0], r[1], r[-1]) for r in bad] == [("u0/0", 749, "truncated block")]
+    good = [r for r in seen[0] if not r[-1]]
+    assert sorted((r[2], bytes(r[-2])) for r in good) == [(i, b"x" * (i % 7 + 1)) for i in range(1500) if i != 1498]
+    assert [r[-4] for r in good if r[0] == "u1/0"][:2] == [5 + 32, 5 + 32 + 2 + 32]
+    root = cq._written(spark, blocks, "video", "MAGIC")
+    other = spark.read.format(cs.NAME).options(path=root, kind="video", magic="OTHER", splitBytes="1000").load()
+    assert rows(other.select("file", "block_seq", "error"), "file") == [
+        ("u0/0", 0, "unsupported file header"), ("u1/0", 0, "unsupported file header")]
