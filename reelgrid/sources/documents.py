@@ -10,6 +10,21 @@ from reelgrid import schemas
 from reelgrid.functions import text as tx
 
 
+BUNDLE = "path string, json string"
+
+
+def write_bundles(documents: DataFrame, path: str) -> None:
+    """Documents (path, json), very many of them to a file: a file and folder for each would cost
+    more than all work on them."""
+    tasks = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    documents.select("path", "json").repartition(tasks, "path").write.parquet(path)
+
+
+def read_bundles(spark: SparkSession, path: str) -> DataFrame:
+    """path, json of bundled documents."""
+    return spark.read.schema(BUNDLE).parquet(path)
+
+
 def read_transcript_json(spark: SparkSession, path: str, model: str = tx.DEFAULT_MODEL) -> DataFrame:
     """One row per transcript file: path, json, model_name."""
     return spark.read.text(path, wholetext=True).select(
@@ -85,13 +100,26 @@ def write_session_files(sessions: DataFrame, path: str) -> None:
     nested_sessions(sessions).write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
+_MANIFEST = T.StructType([*schemas.CHUNK_MANIFEST.fields, T.StructField("_corrupt", T.StringType())])
+
+
 def read_manifests(spark: SparkSession, path: str, manifest_format: str) -> DataFrame:
     """Chunk manifests of the wanted format, with their path. Files that are not JSON, lack
     a field or have another format yield no row."""
-    shape = T.StructType([*schemas.CHUNK_MANIFEST.fields, T.StructField("_corrupt", T.StringType())])
-    found = (spark.read.schema(shape).option("multiLine", True)
+    found = (spark.read.schema(_MANIFEST).option("multiLine", True)
              .option("columnNameOfCorruptRecord", "_corrupt").json(path)
              .select("*", F.col("_metadata.file_path").alias("manifest_path")))
+    return _usable_manifests(found, manifest_format)
+
+
+def bundled_manifests(documents: DataFrame, manifest_format: str) -> DataFrame:
+    """The same for manifests that come as rows (path, json), one manifest each."""
+    read = F.from_json("json", _MANIFEST, {"columnNameOfCorruptRecord": "_corrupt"})
+    return _usable_manifests(documents.select(F.col("path").alias("manifest_path"), read.alias("m"))
+                             .select("m.*", "manifest_path"), manifest_format)
+
+
+def _usable_manifests(found: DataFrame, manifest_format: str) -> DataFrame:
     whole = F.lit(True)
     for field in schemas.CHUNK_MANIFEST.fields:
         whole = whole & F.col(field.name).isNotNull()

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from reelgrid.functions import text as tx
 from reelgrid.operators import search as se
 from reelgrid.operators import transcripts as tr
+from reelgrid.sources import documents as dc
 
 FILE_SCHEMA = "value string"
 BUCKETS = 16
@@ -23,6 +24,11 @@ def read_landing(spark: SparkSession, path: str) -> DataFrame:
             .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("json")))
 
 
+def read_landing_bundles(spark: SparkSession, path: str) -> DataFrame:
+    """Stream of the documents of bundles that land: path, json."""
+    return spark.readStream.schema(dc.BUNDLE).parquet(path)
+
+
 def recording_of(path):
     """Recording id of ``.../{id}/{file}``; a folder may be written ``name={id}``."""
     return F.regexp_extract(path, "(?:[^/=]+=)?([^/=]+)/[^/]+$", 1)
@@ -67,8 +73,9 @@ def land_batch(files: DataFrame, batch_id: int, target: str, model: str = tx.DEF
 
 
 def start_landing(spark: SparkSession, source: str, target: str, checkpoint: str,
-                  model: str = tx.DEFAULT_MODEL):
-    return (read_landing(spark, source).writeStream
+                  model: str = tx.DEFAULT_MODEL, bundles: bool = False):
+    """Lands files of a document each or, with ``bundles``, of very many."""
+    return ((read_landing_bundles if bundles else read_landing)(spark, source).writeStream
             .foreachBatch(lambda rows, batch: land_batch(rows, batch, target, model))
             .option("checkpointLocation", checkpoint))
 
