@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -33,6 +33,7 @@ PARTS = f"session_id string, {PART}, stopped boolean"
 COUNTERS = ("session_id string, frame_count long, microphone_audio_byte_count long, "
             "source_audio_byte_count long, width long, height long, error_count long, "
             "first_error string, status string, stopped boolean")
+_SHOWN = Row(*(f.split()[0] for f in COUNTERS.split(", ")))
 SUMS = ("frames", "microphone", "source", "errors")
 
 
@@ -93,27 +94,23 @@ class _Counting(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.held = handle.getValueState("counters", PART)
 
-    def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timers) -> Iterator[Row]:
         parts, stopped = [], False
-        for frame in rows:
-            stopped |= bool(frame["stopped"].any())
-            values = frame.drop(columns=["session_id", "stopped"]).astype(object)
-            parts += [tuple(None if pd.isna(v) else v for v in row)
-                      for row in values.itertuples(index=False)]
-        if self.held.exists():
-            parts.append(tuple(self.held.get()))
-        whole = tuple(v if v is None or isinstance(v, str) else int(v) for v in merged(parts))
-        if stopped:
-            self.held.clear()
-        else:
+        for row in rows:
+            _, *part, ended = row
+            parts.append(tuple(part))
+            stopped |= bool(ended)
+        before = self.held.get()
+        if before is not None:
+            parts.append(tuple(before))
+        whole = merged(parts)
+        if not stopped:
             self.held.update(whole)
+        elif before is not None:
+            self.held.clear()
         frames, microphone, source, errors, _, width, height, _, first = whole
-        out = pd.DataFrame([(key[0], frames, microphone, source, width, height, errors, first,
-                             "failed" if errors else "stopped", stopped)],
-                           columns=[f.split()[0] for f in COUNTERS.split(", ")])
-        for name in ("width", "height"):
-            out[name] = out[name].astype("Int64")
-        yield out
+        yield _SHOWN(key[0], frames, microphone, source, width, height, errors, first,
+                     "failed" if errors else "stopped", stopped)
 
     def close(self) -> None:
         pass
@@ -127,7 +124,7 @@ def ending_counters(events: DataFrame) -> DataFrame:
     set by ``use_state_store``.
     """
     parts = events.mapInArrow(_parts, PARTS)
-    return parts.groupBy("session_id").transformWithStateInPandas(
+    return parts.groupBy("session_id").transformWithState(
         _Counting(), COUNTERS, outputMode="update", timeMode="none")
 
 

@@ -42,3 +42,34 @@ def test_no_events(spark, tmp_path):
         (table.limit(0) if name.startswith("events") else table).coalesce(1).write.parquet(f"{tmp_path}/{name}")
     assert sq.live_counters(spark, str(tmp_path)).count() == 0
     assert sq.job_state_stream(spark, str(tmp_path)).count() == 0
+
+
+def test_a_session_costs_one_read_and_one_write_of_its_state():
+    """Rows, not frames, reach a session's counters; a session that ends in its first batch
+    writes nothing."""
+    calls = []
+
+    class Held:
+        value = None
+
+        def get(self):
+            calls.append("get")
+            return self.value
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+        def clear(self):
+            calls.append("clear")
+            self.value = None
+
+    counting = counters._Counting()
+    counting.held = Held()
+    part = ("a", 1, 2, 0, 0, 7, 10, 20, None, None)
+    first = list(counting.handleInputRows(("a",), iter([(*part, False)]), None))
+    assert tuple(first[0]) == ("a", 1, 2, 0, 10, 20, 0, None, "stopped", False) and calls == ["get", "update"]
+    last = list(counting.handleInputRows(("a",), iter([(*part, True)]), None))
+    assert tuple(last[0]) == ("a", 2, 4, 0, 10, 20, 0, None, "stopped", True) and calls[2:] == ["get", "clear"]
+    list(counting.handleInputRows(("b",), iter([("b", *part[1:], True)]), None))
+    assert calls[4:] == ["get"]
