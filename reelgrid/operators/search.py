@@ -35,6 +35,8 @@ FORWARD = ("segment_id string, transcript_id string, recording_id string, start_
            "held array<struct<term:string,positions:array<int>>>, transcript_bucket int")
 BLOCKS = ("term string, block int, n bigint, cf bigint, most_tf bigint, least_ratio double, "
           "term_bucket int")
+WORD_ROWS = ("term string, segment_id string, transcript_id string, start_ms bigint, dl bigint, "
+             "position int, tf bigint")
 TERM_BUCKETS = 64
 TRANSCRIPT_BUCKETS = 64
 # Blocks a factor of two in segment length per occurrence is cut into.
@@ -370,13 +372,13 @@ def _rows_of_words(words: DataFrame, rows: DataFrame, buckets: int | None) -> Da
         rows, ["term_bucket", "term"])
 
 
-def single_hits(words: DataFrame, index: SearchIndex) -> DataFrame:
+def single_hits(words: DataFrame, index: SearchIndex | WordIndex) -> DataFrame:
     """phrase, segment facts and tf of the phrases of one word."""
     return _rows_of_words(words.where("n_words = 1"), index.postings, index.buckets).select(
         "phrase", *SEGMENT_FACTS, "tf")
 
 
-def adjacent_hits(words: DataFrame, index: SearchIndex) -> DataFrame:
+def adjacent_hits(words: DataFrame, index: SearchIndex | WordIndex) -> DataFrame:
     """phrase, segment facts and tf of the phrases of several words, which must follow
     each other: the places where each word lets its phrase start are intersected."""
     rows = _rows_of_words(words.where("n_words > 1"), index.postings, index.buckets)
@@ -388,7 +390,49 @@ def adjacent_hits(words: DataFrame, index: SearchIndex) -> DataFrame:
     return met.select("phrase", *SEGMENT_FACTS, F.size(common).cast("bigint").alias("tf")).where("tf > 0")
 
 
-def match_and_rank(queries: DataFrame, index: SearchIndex) -> DataFrame:
+@dataclass(frozen=True)
+class WordIndex:
+    """What a batch of queries needs of an index, for its own words alone: ``postings``, ``terms``
+    and ``corpus`` as in ``SearchIndex``; positions only of words that stand in longer phrases."""
+
+    postings: DataFrame
+    terms: DataFrame
+    corpus: DataFrame
+    buckets: int | None = None
+
+
+def index_words(queries: DataFrame, segments: DataFrame, path: str) -> WordIndex:
+    """Postings of the words of ``queries`` over all ``segments``, stored at ``path``.
+
+    A batch that is asked once needs no other words, so its index is read off the texts in one
+    pass. Every segment is counted and measured by the empty word, which is put before its first
+    one. A word of a longer phrase has a row for each place, any other a row for each segment.
+    """
+    spark = segments.sparkSession
+    asked = parse_queries(queries).where("term <> ''").groupBy("term").agg(
+        F.max(F.col("n_words") > 1).alias("placed"))
+    wanted = asked.unionByName(spark.range(1).select(F.lit("").alias("term"), F.lit(False).alias("placed")))
+    words = segments.select(F.col("id").alias("segment_id"), "transcript_id", "start_ms",
+                            tx.index_tokens(F.col("text")).alias("words"))
+    sized = words.withColumn("dl", F.size(F.array_remove("words", "")).cast("bigint"))
+    # an outer explode, as for postings
+    opened = sized.select(
+        *SEGMENT_FACTS, F.posexplode_outer(F.concat(F.array(F.lit("")), "words")).alias("place", "term"))
+    found = opened.where("place = 0 OR term <> ''").join(wanted, "term")
+    (found.groupBy("term", *SEGMENT_FACTS, F.when(F.col("placed"), F.col("place") - 1).alias("position"))
+     .agg(F.count("*").alias("tf")).write.mode("overwrite").parquet(path))
+    rows = spark.read.schema(WORD_ROWS).parquet(path)
+    placed = rows.where("position IS NOT NULL").groupBy("term", *SEGMENT_FACTS).agg(
+        F.sum("tf").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
+    postings = rows.where("term <> '' AND position IS NULL").select(
+        "term", *SEGMENT_FACTS, "tf", F.lit(None).cast("array<int>").alias("positions")).unionByName(placed)
+    corpus = rows.where("term = ''").agg(
+        F.coalesce(F.sum("tf"), F.lit(0)).alias("n"),
+        F.try_divide(F.sum(F.col("dl") * F.col("tf")), F.sum("tf")).alias("avgdl"))
+    return WordIndex(postings, term_stats(postings), corpus)
+
+
+def match_and_rank(queries: DataFrame, index: SearchIndex | WordIndex) -> DataFrame:
     """query_id, segment_id, transcript_id, start_ms, rank of every segment holding all
     phrases of its query.
 
@@ -603,7 +647,7 @@ def clamp_limit(limit: int | None) -> int:
     return max(1, min(MAX_LIMIT, DEFAULT_LIMIT if limit is None else limit))
 
 
-def search_batch(queries: DataFrame, index: SearchIndex, segments: DataFrame,
+def search_batch(queries: DataFrame, index: SearchIndex | WordIndex, segments: DataFrame,
                  transcripts: DataFrame, recordings: DataFrame,
                  limit: int | None = None) -> DataFrame:
     """Top hits of many queries.

@@ -244,3 +244,26 @@ def test_snippets_are_made_by_all_tasks(spark):
     found = sq.search_snippet(spark, small)
     assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert oracle.difference(found, oracle.connect(small), sq.SEARCH_SNIPPET_SQL) is None
+
+
+def test_batch_keeps_its_own_words_only(spark, tmp_path):
+    texts = ["big red car", "Red big car", "big big red", "", None, "caf\u00e9 \u0301 bar big", "other words"]
+    s, t, r = library(spark, texts)
+    queries = spark.createDataFrame(
+        [(1, "big_red car"), (2, "red"), (3, "nothing red"), (4, "cafe_bar"), (5, "big big"), (6, "_"), (7, "red")],
+        "query_id int, query string")
+    path = str(tmp_path / "words")
+    index, whole = se.index_words(queries, s, path), se.build_index(s, t)
+    assert {x.term for x in spark.read.parquet(path).collect()} == {"", "big", "red", "car", "cafe", "bar"}
+    assert index.corpus.head() == whole.corpus.head()
+    got, want = ({(x.query_id, x.segment_id, x.rank) for x in se.match_and_rank(queries, i).collect()}
+                 for i in (index, whole))
+    assert got == want and {q for q, _, _ in got} == {1, 2, 5, 7}
+
+
+def test_batch_queries_write_no_whole_index(spark, monkeypatch):
+    from reelgrid.plans import retrieval_queries as rq, search_queries as sq
+
+    monkeypatch.setattr(se, "write_index", lambda *a: (_ for _ in ()).throw(AssertionError("whole index")))
+    monkeypatch.setattr(sq, "_stored", {})
+    assert sq.search_bm25_batch(spark, "/root/testdata/sf0.001").columns[0] == "query_id"
