@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,14 +16,17 @@ SLICES = 8
 FUSION = 60  # ranks are damped by this many places
 DIGITS = 9  # similarities that agree so far are equal
 SLACK = 1e-6  # what rounding may add to a bound
+VECTORS_HELD = 1 << 13  # vectors of a slice that meet its queries at a time
 
 
 class VectorIndex(NamedTuple):
-    """``vectors`` (segment_id, cluster, slice, unit), ``clusters`` (cluster, centre, reach),
-    where reach is the widest angle between a cluster's vectors and its centre."""
+    """``vectors`` (segment_id, cluster, slice, unit, cosine), ``clusters`` (cluster, centre, reach),
+    where reach is the widest angle between a cluster's vectors and its centre; ``centres``
+    (cluster, centre) are known before any vector is placed."""
 
     vectors: DataFrame
     clusters: DataFrame
+    centres: DataFrame
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -51,34 +56,84 @@ def vector_index(units: DataFrame, centres: int = CENTRES, slices: int = SLICES)
     near = let(F.col("unit"), lambda unit: F.array_max(F.transform("centres", lambda c: F.struct(
         _dot(unit, c["unit"]).alias("cosine"), c["cluster"].alias("cluster"),
         c["unit"].alias("centre")))))
-    placed = units.withColumn("centres", picked.scalar()).withColumn("near", near).select(
+    # vectors cost far more than their bytes tell, so they are dealt over all tasks
+    placed = units.repartition(_tasks(units), "segment_id").withColumn(
+        "centres", picked.scalar()).withColumn("near", near).select(
         "segment_id", F.col("near.cluster").alias("cluster"),
         F.pmod(F.xxhash64("segment_id"), F.lit(slices)).alias("slice"), "unit",
-        F.col("near.centre").alias("centre"), F.col("near.cosine").alias("cosine"))
-    clusters = placed.groupBy("cluster").agg(
-        F.first("centre").alias("centre"), _angle(F.min("cosine")).alias("reach"))
-    return VectorIndex(placed.drop("centre", "cosine"), clusters)
+        F.col("near.cosine").alias("cosine"))
+    centre = picked.select(F.explode(picked.columns[0]).alias("c")).select(
+        F.col("c.cluster").alias("cluster"), F.col("c.unit").alias("centre"))
+    return VectorIndex(placed, _clusters(placed, centre), centre)
+
+
+def _tasks(rows: DataFrame) -> int:
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _clusters(placed: DataFrame, centre: DataFrame) -> DataFrame:
+    return placed.groupBy("cluster").agg(_angle(F.min("cosine")).alias("reach")).join(
+        centre.dropDuplicates(["cluster"]), "cluster").select("cluster", "centre", "reach")
 
 
 def write_vector_index(index: VectorIndex, path: str) -> None:
-    index.vectors.write.mode("overwrite").partitionBy("cluster").parquet(f"{path}/vectors")
-    index.clusters.write.mode("overwrite").parquet(f"{path}/clusters")
+    """Places all vectors once; what is known of the clusters follows from the stored ones."""
+    (index.vectors.repartition("cluster", "slice").write.mode("overwrite").partitionBy("cluster")
+     .parquet(f"{path}/vectors"))
+    spark = index.vectors.sparkSession
+    _clusters(_stored_vectors(spark, path), index.centres).write.mode(
+        "overwrite").parquet(f"{path}/clusters")
 
 
-def read_vector_index(spark, path: str) -> VectorIndex:
-    vectors = spark.read.schema(
-        "segment_id string, slice bigint, unit array<double>, cluster string").parquet(
-        f"{path}/vectors")
-    return VectorIndex(vectors, spark.read.parquet(f"{path}/clusters"))
+def _stored_vectors(spark, path: str) -> DataFrame:
+    return spark.read.schema("segment_id string, slice bigint, unit array<double>, cosine double, "
+                             "cluster string").parquet(f"{path}/vectors")
 
 
-def _scored(asked: DataFrame, index: VectorIndex, slices: int) -> DataFrame:
-    """Similarities of (query_id, asked, cluster) with the vectors of that cluster; a cluster
-    is dealt over its slices, so a hot one is scored by many tasks."""
+def read_vector_index(spark, path: str) -> VectorIndex:
+    clusters = spark.read.parquet(f"{path}/clusters")
+    return VectorIndex(_stored_vectors(spark, path), clusters, clusters.select("cluster", "centre"))
+
+
+def _best_pairs(asked: np.ndarray, held: np.ndarray, ids: np.ndarray, k: int):
+    """Rows of ``asked`` and of ``held`` that may be among the k nearest, and their products,
+    each added up in order. Of equal ones the k of smallest id are kept."""
+    found = asked @ held.T
+    k = min(k, found.shape[1])
+    least = np.partition(found, -k, axis=1)[:, -k] - SLACK
+    for q, row in enumerate(found):
+        at = np.flatnonzero(row >= least[q])
+        exact = np.cumsum(asked[q] * held[at], axis=1)[:, -1] + 0.0
+        order = np.lexsort((ids[at], exact))
+        at, exact = at[order], exact[order]
+        first = np.searchsorted(exact, exact)  # of its equals
+        kept = np.arange(len(exact)) - first < k
+        yield q, at[kept], exact[kept]
+
+
+def _scored(asked: DataFrame, index: VectorIndex, slices: int, k: int) -> DataFrame:
+    """Similarities of (query_id, asked, cluster) with the vectors of that cluster that may be
+    among the query's k nearest; a cluster is dealt over its slices, so a hot one is scored by
+    many tasks, each by products of matrices."""
     dealt = asked.withColumn("slice", F.explode(F.sequence(
         F.lit(0).cast("bigint"), F.lit(slices - 1).cast("bigint"))))
-    return dealt.join(index.vectors, ["cluster", "slice"]).select(
-        "query_id", "segment_id", _dot(F.col("asked"), F.col("unit")).alias("similarity"))
+
+    def best(own: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        parts = [([], [], [])]
+        if len(own) and len(near):
+            queries, names = np.stack(own["asked"]), own["query_id"].to_numpy()
+            for at in range(0, len(near), VECTORS_HELD):
+                some = near.iloc[at:at + VECTORS_HELD]
+                ids = some["segment_id"].to_numpy(dtype=object)
+                for q, found, exact in _best_pairs(queries, np.stack(some["unit"]), ids, k):
+                    parts.append((names[[q] * len(found)], ids[found], exact))
+        return pd.DataFrame({n: pd.Series([x for c in column for x in c], dtype=t) for n, t, column in zip(
+            ("query_id", "segment_id", "similarity"), (own["query_id"].dtype, object, float), zip(*parts))})
+
+    kind = asked.schema["query_id"].dataType.simpleString()
+    return dealt.groupBy("cluster", "slice").cogroup(
+        index.vectors.select("cluster", "slice", "segment_id", "unit").groupBy("cluster", "slice")
+    ).applyInPandas(best, f"query_id {kind}, segment_id string, similarity double")
 
 
 def _top(scored: DataFrame, k: int) -> DataFrame:
@@ -107,13 +162,15 @@ def nearest_segments(queries: DataFrame, index: VectorIndex, k: int, slices: int
         "centres", centres.scalar()).withColumn("bounds", bounds).drop("centres")
     first = asked.select("query_id", "asked", F.array_max(F.transform(
         "bounds", lambda b: F.struct(b["cosine"], b["cluster"])))["cluster"].alias("cluster"))
-    floor = _top(_scored(first, index, slices), k).groupBy("query_id").agg(
+    floor = _top(_scored(first, index, slices, k), k).groupBy("query_id").agg(
         F.when(F.count("*") == k, F.min("similarity")).alias("floor"))
+    # an outer explode, since the filter on its input that a plain one implies is pushed below
+    # the joins of the queries, and bounds would be made for rows that they drop
     open_ = asked.join(floor, "query_id", "left").select(
-        "query_id", "asked", "floor", F.explode("bounds").alias("b")).where(
+        "query_id", "asked", "floor", F.explode_outer("bounds").alias("b")).where("b IS NOT NULL").where(
         F.col("floor").isNull() | (F.col("b.most") >= F.col("floor") - SLACK))
     wanted = open_.select("query_id", "asked", F.col("b.cluster").alias("cluster"))
-    return _top(_scored(wanted, index, slices), k)
+    return _top(_scored(wanted, index, slices, k), k)
 
 
 def fused(by_words: DataFrame, by_vector: DataFrame, k: int, damping: int = FUSION) -> DataFrame:

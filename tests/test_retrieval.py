@@ -28,6 +28,26 @@ def test_exact_with_few_clusters_and_odd_vectors(spark):
         assert own == list(enumerate(want[:5], 1))
 
 
+def test_slices_are_scored_by_matrices_with_many_equal_vectors(spark, monkeypatch):
+    monkeypatch.setattr(rt, "VECTORS_HELD", 16)
+    rng = random.Random(5)
+    rows = [(f"s{n:03}", [rng.gauss(0, 1) for _ in range(6)]) for n in range(60)]
+    rows += [(f"t{n:03}", rows[7][1]) for n in range(90)]
+    units = rt.unit_vectors(spark.createDataFrame(rows, WIDE), "segment_id").cache()
+    kept = {r["segment_id"]: r["unit"] for r in units.collect()}
+    asked = units.where("segment_id IN ('s007', 's020')").withColumnRenamed("segment_id", "query_id")
+    index = rt.vector_index(units, centres=4)
+    dealt = asked.crossJoin(index.centres.select("cluster")).withColumnRenamed("unit", "asked")
+    # a slice gives k of its equal vectors, never all of them
+    scored = rt._scored(dealt, index, 2, 3).where("query_id = 's007' AND segment_id > 't'").collect()
+    assert 3 <= len(scored) <= 2 * 3 * math.ceil(91 / 16)
+    got = rt.nearest_segments(asked, index, 3).collect()
+    for q in ("s007", "s020"):
+        want = sorted(kept, key=lambda s: (-round(sum(a * b for a, b in zip(kept[q], kept[s])), 9), s))
+        own = sorted((r["place"], r["segment_id"]) for r in got if r["query_id"] == q)
+        assert own == list(enumerate(want[:3], 1))
+
+
 def test_fused_places(spark):
     schema = "query_id long, segment_id string, place int"
     words = spark.createDataFrame([(1, "a", 1), (1, "b", 2)], schema)
