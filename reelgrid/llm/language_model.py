@@ -17,13 +17,16 @@ from reelgrid.llm.rows import bound_batches, kept, raw_texts, slices, stored, ta
 from reelgrid.llm.words import WordIndex, remainder
 
 SPACE, END, START = 256, 257, 258
+SYMBOLS = 258
 END_WORD = " "  # stands for the end of a text among the words
+END_BYTES = END_WORD.encode()
 TABLE_BITS = (17, 19, 20, 21)  # contexts: one, two, three bytes back; the word so far
 TEXT_BITS = (21, 21)  # contexts across words: word before and word so far; four bytes back
 OWN_BITS = 14  # the text's own counts of the word so far
 GROUP = 128  # texts mixed together
 RATE, FIRST_SQUARES = 0.02, 30.0
 TASK_BYTES = 128 << 20
+LEARN_BYTES = 8 << 20  # texts of a task that advance together while weights are learnt
 RARE = 2  # words seen less often are kept out of the last table
 GATES = 24
 EXPERTS = 2
@@ -35,6 +38,7 @@ CACHE = 20.0
 CHUNK_BYTES = 16 << 20
 HELD_WORDS = 300_000
 SLICE = 16_384
+WORD_SLICE = 2_048  # words whose decisions are mixed at once
 PRIOR = 0.4
 SPELT = [f"spelt{m}" for m in range(EXPERTS)]
 MIXED_WORDS = 300_000
@@ -63,6 +67,17 @@ def huffman(weights: np.ndarray) -> list[list[tuple[int, int]]]:
     return [p[::-1] for p in paths]
 
 
+def codes_after(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A code for the symbols after each symbol, from counts by (symbol before, symbol): sizes of
+    all paths, and their nodes and bits one after the other. A symbol nothing was seen after has
+    the code of all."""
+    one, paths = huffman(pairs.sum(axis=0) + 1), []
+    for own in pairs:
+        paths += huffman(16 * own + 1) if own.any() else one
+    flat = np.array([x for p in paths for x in p], np.int16)
+    return np.fromiter(map(len, paths), np.int16, len(paths)), flat[:, 0], flat[:, 1].astype(np.uint8)
+
+
 @dataclass
 class Bits:
     """The binary decisions that spell words, with their contexts."""
@@ -75,28 +90,41 @@ class Bits:
 
 @dataclass
 class MixModel:
-    """Symbol code, counts of zeros and ones by context slot, mixing weights by gate."""
+    """Symbol code, counts of zeros and ones by context slot, mixing weights by gate.
 
-    paths: list
+    ``paths`` are those of one code, or what ``codes_after`` makes. Every context holds the
+    symbol before, so a code for each says nothing new to a predictor, it only asks for fewer
+    decisions.
+    """
+
+    paths: list | tuple
     counts: list = field(default_factory=list)
     weights: np.ndarray | None = None
     text_counts: list = field(default_factory=list)
     text_weights: np.ndarray | None = None
-    odds: list | None = None  # log odds by slot, made when first asked for
+    odds: list = field(default_factory=list)  # log odds by slot, made when first asked for
     known: np.ndarray | None = None
+    # the same by slot and bit, without one sighting of that bit
+    left_odds: list = field(default_factory=list)
+    left_known: np.ndarray | None = None
 
     def __post_init__(self):
-        sizes = np.array([len(p) for p in self.paths])
+        if isinstance(self.paths, tuple):
+            sizes, nodes, self.steps = self.paths
+        else:
+            sizes = np.array([len(p) for p in self.paths])
+            nodes = np.array([n for p in self.paths for n, _ in p])
+            self.steps = np.array([b for p in self.paths for _, b in p], np.uint8)
+        sizes = sizes.astype(np.int64)
         self.path_sizes, self.path_starts = sizes, np.cumsum(sizes) - sizes
-        flat = [x for p in self.paths for x in p]
-        self.nodes = np.array([n for n, _ in flat], np.uint64)
-        self.steps = np.array([b for _, b in flat], np.uint8)
+        with np.errstate(over="ignore"):
+            self.nodes = nodes.astype(np.uint64) * STEP
 
     def bits(self, words: list[bytes], before: list[bytes] | None = None) -> Bits:
         """All decisions of words, in order. A word is its bytes and a space, the end of a text
         one symbol of its own, so the words spell in one way only. With the word ``before`` each
         (none is empty), slots of the contexts across words follow those inside a word."""
-        end = np.array([w == END_WORD.encode() for w in words])
+        end = np.array([w == END_BYTES for w in words])
         flat = np.frombuffer(b" ".join([*words, b""]), np.uint8).astype(np.int64)
         sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
         last = np.cumsum(sizes) - 1
@@ -120,25 +148,34 @@ class MixModel:
             if before is not None:
                 widths = TABLE_BITS + TEXT_BITS
                 names = np.fromiter(map(zlib.crc32, before), np.uint64, len(before))
-                tails = np.frombuffer(b"".join([(b"\0\0\0\0" + w)[-4:] for w in before]),
-                                      np.uint8).reshape(-1, 4).astype(np.int64)
-                last4 = np.zeros(len(flat), np.uint64)
-                for k in (1, 2, 3, 4):
-                    back = np.where(place >= k, np.roll(flat, k), SPACE)
-                    over = np.flatnonzero(place < k - 1)
-                    back[over] = tails[word[over], 4 - (k - 1 - place[over])]
-                    last4 = last4 * np.uint64(512) + back.astype(np.uint64)
+                # Each word after the last bytes of the word before and a space, whose byte no
+                # word has: a symbol's last four are those just before its place.
+                line = np.frombuffer(b"".join([(b"\0\0\0\0" + b)[-4:] + b" " + w
+                                               for b, w in zip(before, words)]), np.uint8)
+                line = line.astype(np.uint64)
+                line[line == 32] = SPACE
+                fours = line[:-3].copy()
+                for k in (1, 2, 3):
+                    fours += line[k:len(line) - 3 + k] * np.uint64(512 ** k)
+                spans = np.fromiter(map(len, words), np.int64, len(words)) + 5
+                last4 = fours[(np.cumsum(spans) - spans + 1)[word] + place]
                 context += [so_far * BACK + (names + np.uint64(1))[word] * MIX, last4]
-            many = self.path_sizes[flat]
+            path = flat
+            if len(self.path_sizes) > SYMBOLS:
+                path = past[0].view(np.int64) * SYMBOLS + flat
+            many = self.path_sizes[path]
             owner = np.repeat(np.arange(len(flat)), many)
-            step = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
-            at = self.path_starts[flat][owner] + step
+            at = (self.path_starts[path] - np.cumsum(many) + many)[owner]
+            at += np.arange(len(owner))
             node = self.nodes[at]
             slots = []
             for k, (c, width) in enumerate(zip(context, widths)):
-                mixed = (c * MIX + np.uint64(k + 1))[owner] ^ (node * STEP)
-                slots.append(((mixed ^ mixed >> np.uint64(29)) * MIX
-                              >> np.uint64(64 - width)).astype(np.int64))
+                mixed = (c * MIX + np.uint64(k + 1))[owner]
+                mixed ^= node
+                mixed ^= mixed >> np.uint64(29)
+                mixed *= MIX
+                mixed >>= np.uint64(64 - width)
+                slots.append(mixed.view(np.int64))
         return Bits(word[owner], self.steps[at], slots, place[owner])
 
     def inputs(self, bits: Bits, own: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -149,40 +186,45 @@ class MixModel:
         in the word with how well the word so far is known.
         """
         out = np.ones((len(bits.bit), len(TABLE_BITS) + 1), np.float32)
-        one = bits.bit.astype(np.float32)
-        for k, (zeros, ones) in enumerate(self.counts[:len(TABLE_BITS)]):
-            n0, n1 = zeros[bits.slots[k]], ones[bits.slots[k]]
-            if own:
-                n0, n1 = np.maximum(n0 - (1 - one), 0), np.maximum(n1 - one, 0)
-            np.log((n1 + PRIOR) / (n0 + PRIOR), out=out[:, k])
-        known = n0 + n1
-        gate = np.minimum(bits.place, 7) * 3 + (known > 0) + (known > 30)
-        return out, gate
+        return out, self.look_up(bits, out.T[:len(TABLE_BITS)], own)
 
     def text_inputs(self, bits: Bits, past: tuple[np.ndarray, np.ndarray],
                     own: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """The same with the predictors across words and with the text's own counts so far, a
         row for each predictor and the constant last."""
-        tables = [*self.counts[:len(TABLE_BITS)], *self.text_counts]
-        out = np.ones((MIXED_INPUTS, len(bits.bit)), np.float32)
-        if own:
-            one = bits.bit.astype(np.float32)
-            for k, (zeros, ones) in enumerate(tables):
-                n0 = np.maximum(zeros[bits.slots[k]] - (1 - one), 0)
-                n1 = np.maximum(ones[bits.slots[k]] - one, 0)
-                np.log((n1 + PRIOR) / (n0 + PRIOR), out=out[k])
-                if k == len(TABLE_BITS) - 1:
-                    known = (n0 + n1 > 0).astype(np.int64) + (n0 + n1 > 30)
-        else:
-            if self.odds is None:
-                self.odds = [np.log((n1 + PRIOR) / (n0 + PRIOR)) for n0, n1 in tables]
-                n = sum(self.counts[len(TABLE_BITS) - 1])
-                self.known = (n > 0).astype(np.int8) + (n > 30)
-            for k, odds in enumerate(self.odds):
-                np.take(odds, bits.slots[k], out=out[k], mode="clip")
-            known = self.known[bits.slots[len(TABLE_BITS) - 1]]
+        out = np.empty((MIXED_INPUTS, len(bits.bit)), np.float32)
+        gate = self.look_up(bits, out[:-2], own)
         np.log((past[1] + PRIOR) / (past[0] + PRIOR), out=out[-2])
-        return out, np.minimum(bits.place, 7) * 3 + known
+        out[-1] = 1
+        return out, gate
+
+    def look_up(self, bits: Bits, out: np.ndarray, own: bool) -> np.ndarray:
+        """Fills a row of ``out`` for each context with log odds; the gate of each decision."""
+        self.tabulate(own)
+        tables, known = (self.left_odds, self.left_known) if own else (self.odds, self.known)
+        for k, row in enumerate(out):
+            slot = bits.slots[k] << 1 | bits.bit if own else bits.slots[k]
+            row[:] = tables[k].take(slot)
+            if k == len(TABLE_BITS) - 1:
+                known = known.take(slot)
+        return np.minimum(bits.place, 7) * 3 + known
+
+    def tabulate(self, own: bool) -> None:
+        """Log odds of all slots, once a table; ``own`` those without one sighting of a bit."""
+        tables = [*self.counts[:len(TABLE_BITS)], *self.text_counts]
+        made = self.left_odds if own else self.odds
+        for k in range(len(made), len(tables)):
+            n0, n1 = tables[k]
+            if own:
+                n0, n1 = (np.stack([np.maximum(n0 - 1, 0), n0], axis=1).ravel(),
+                          np.stack([n1, np.maximum(n1 - 1, 0)], axis=1).ravel())
+            made.append(np.log((n1 + PRIOR) / (n0 + PRIOR)))
+            if k == len(TABLE_BITS) - 1:
+                known = (n0 + n1 > 0).astype(np.int8) + (n0 + n1 > 30)
+                if own:
+                    self.left_known = known
+                else:
+                    self.known = known
 
     def text_logs(self, texts: list[list[bytes]], learnt: dict | None = None) -> np.ndarray:
         """Natural log probability of every word of some texts, in their order.
@@ -204,7 +246,7 @@ class MixModel:
                 squares = np.full_like(w, FIRST_SQUARES)
             else:
                 w, squares = learnt["w"][None], learnt["squares"][None]
-            seen = np.zeros((2, len(group) << OWN_BITS), np.float32)
+            seen = np.zeros(len(group) << OWN_BITS, np.int64)  # two float counts in each
             for a in range(0, int(sizes[group[0]]), BLOCK):
                 live = int(np.searchsorted(-sizes[group], -a, side="left"))
                 parts = [texts[t][a:a + BLOCK] for t in group[:live]]
@@ -215,15 +257,16 @@ class MixModel:
                 bits = self.bits(words, before)
                 text = np.repeat(np.arange(live), count)[bits.word]
                 own = (text << OWN_BITS) + (bits.slots[len(TABLE_BITS) - 1] & (1 << OWN_BITS) - 1)
-                inputs, gate = self.text_inputs(bits, (seen[0][own], seen[1][own]),
-                                                learnt is not None)
+                past = seen.take(own).view(np.float32).reshape(-1, 2).T
+                inputs, gate = self.text_inputs(bits, (past[0], past[1]), learnt is not None)
                 cell = gate if learnt is not None else text * GATES + gate
                 flat = w.reshape(-1, MIXED_INPUTS)
-                odds = np.clip(np.einsum("kb,bk->b", inputs, flat[cell]), -30, 30)
-                chance = 1 / (1 + np.exp(-odds))
-                off = bits.bit - chance
-                lost = np.bincount(bits.word, -np.log1p(-np.abs(off.astype(np.float64))),
-                                   minlength=len(words))
+                odds = np.einsum("kb,bk->b", inputs, flat.take(cell, axis=0))
+                np.clip(odds, -30, 30, out=odds)
+                sign = 2 * bits.bit.astype(np.float32) - 1
+                against = np.exp(-sign * odds)  # of the bit that is there
+                off = sign * against / (1 + against)
+                lost = np.bincount(bits.word, np.log(1 + against), minlength=len(words))
                 base = np.cumsum(count) - count
                 out[np.arange(len(words)) + np.repeat(starts[group[:live]] + a - base, count)] = -lost
                 root = squares.reshape(-1, MIXED_INPUTS)
@@ -231,22 +274,21 @@ class MixModel:
                     grad = np.bincount(cell, off * inputs[k], minlength=len(flat))
                     root[:, k] += grad * grad
                     flat[:, k] += RATE * grad / np.sqrt(root[:, k])
-                for b in (0, 1):
-                    np.add.at(seen[b], own[bits.bit == b], np.float32(1))
+                np.add.at(seen.view(np.float32), own << 1 | bits.bit, np.float32(1))
         return out
 
     def word_logs(self, words: list[bytes]) -> np.ndarray:
         """Natural log probability of each word under each set of weights."""
         out = np.zeros((len(words), EXPERTS))
-        for a in range(0, len(words), SLICE):
-            part = words[a:a + SLICE]
+        for a in range(0, len(words), WORD_SLICE):
+            part = words[a:a + WORD_SLICE]
             bits = self.bits(part)
             inputs, gate = self.inputs(bits)
             sign = np.where(bits.bit == 1, np.float32(-1), np.float32(1))
             for m in range(EXPERTS):
                 odds = np.einsum("bk,bk->b", inputs, self.weights[m][gate])
-                lost = np.logaddexp(np.float32(0), sign * np.clip(odds, -30, 30))
-                out[a:a + SLICE, m] = -np.bincount(bits.word, lost, minlength=len(part))
+                lost = np.log(1 + np.exp(sign * np.clip(odds, -30, 30)))
+                out[a:a + WORD_SLICE, m] = -np.bincount(bits.word, lost, minlength=len(part))
         return out
 
     def learn(self, words: list[bytes], counts: np.ndarray, weights: np.ndarray,
@@ -293,7 +335,7 @@ def received(shared) -> MixModel:
 
 def words_of(text: bytes) -> list[bytes]:
     """Lower-cased words and the end of the text."""
-    return [*text.lower().split(), END_WORD.encode()]
+    return [*text.lower().split(), END_BYTES]
 
 
 def text_class(text: bytes) -> int:
@@ -366,21 +408,28 @@ def fit(vocabulary: DataFrame, docs: DataFrame | None = None, text: str = "text"
     spark = vocabulary.sparkSession
 
     def tally(state, words, counts):
-        for w, c in zip(words, counts.tolist()):
-            if w == END_WORD.encode():
-                state[END] += c
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        flat = np.frombuffer(b"".join(words), np.uint8)
-        state[:256] += np.bincount(flat, np.repeat(counts, sizes), minlength=256).astype(np.int64)
-        state[SPACE] += counts.sum()
+        end = np.array([w == END_BYTES for w in words])
+        state[START * SYMBOLS + END] += counts[end].sum()
+        words, counts = [w for w in words if w != END_BYTES], counts[~end]
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        last = np.cumsum(sizes) - 1
+        flat = np.frombuffer(b" ".join([*words, b""]), np.uint8).astype(np.int64)
+        flat[last] = SPACE
+        past = np.roll(flat, 1)
+        past[last - sizes + 1] = START
+        state += np.bincount(past * SYMBOLS + flat, np.repeat(counts, sizes),
+                             minlength=len(state)).astype(np.int64)
 
     def tallied(state):
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(258)), pa.array(state)],
-                                         names=["symbol", "n"])
-
-    seen = dict(_batches(vocabulary, "symbol long, n long", lambda: np.zeros(258, np.int64), tally,
-                         tallied).groupBy("symbol").sum("n").collect())  # 258 rows
-    model = MixModel(huffman(np.array([seen.get(k, 0) + 1 for k in range(258)])))
+        at = np.flatnonzero(state)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(state[at])], names=["pair", "n"])
+
+    seen = _batches(vocabulary, "pair long, n long",
+                    lambda: np.zeros((START + 1) * SYMBOLS, np.int64), tally, tallied)
+    pairs = np.zeros((START + 1) * SYMBOLS, np.int64)
+    for pair, n in seen.groupBy("pair").sum("n").collect():  # at most that many rows
+        pairs[pair] = n
+    model = MixModel(codes_after(pairs.reshape(START + 1, SYMBOLS)))
     paths = model.paths
 
     def slots():
@@ -427,8 +476,9 @@ def fit(vocabulary: DataFrame, docs: DataFrame | None = None, text: str = "text"
                 "squares": np.zeros_like(first_weights()), "n": 0}
 
     def learn(state, words, counts):
-        for a in range(0, len(words), 2048):
-            state["model"].learn(words[a:a + 2048], counts[a:a + 2048], state["w"], state["squares"])
+        for a in range(0, len(words), WORD_SLICE):
+            part = slice(a, a + WORD_SLICE)
+            state["model"].learn(words[part], counts[part], state["w"], state["squares"])
         state["n"] += len(words)
 
     def learnt(state):
@@ -450,7 +500,8 @@ def fit(vocabulary: DataFrame, docs: DataFrame | None = None, text: str = "text"
 def fit_texts(model: MixModel, docs: DataFrame | None, text: str = "text") -> None:
     """Counts of the contexts across words, then weights of all predictors, from whole texts.
 
-    A task fills tables of fixed size from about TASK_BYTES of text; Spark sums them by slot.
+    A task fills tables of fixed size from at most about TASK_BYTES of text, less where cores
+    would idle; Spark sums them by slot.
     Weights learn online over all texts of a task and are averaged by texts seen.
     """
     model.text_counts = [(np.zeros(1 << b, np.float32), np.zeros(1 << b, np.float32))
@@ -463,10 +514,10 @@ def fit_texts(model: MixModel, docs: DataFrame | None, text: str = "text") -> No
     paths, inside = model.paths, len(TABLE_BITS)
     nbytes = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     docs = docs.select(F.col(text).alias("text"))
-    large = docs.coalesce(int(nbytes // TASK_BYTES) + 1)
+    large = docs.coalesce(max(int(nbytes // TASK_BYTES) + 1, context.defaultParallelism))
 
     def tally(batches):
-        code, tables = MixModel(paths), [np.zeros((2, 1 << b)) for b in TEXT_BITS]
+        code, tables = MixModel(paths), [np.zeros((1 << b, 2), np.int32) for b in TEXT_BITS]
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 texts = [words_of(t) for t in raw_texts(part, "text")]
@@ -475,15 +526,14 @@ def fit_texts(model: MixModel, docs: DataFrame | None, text: str = "text") -> No
                 for a in range(0, len(words), SLICE):
                     bits = code.bits(words[a:a + SLICE], before[a:a + SLICE])
                     for k, own in enumerate(tables):
-                        for b in (0, 1):
-                            np.add.at(own[b], bits.slots[inside + k][bits.bit == b], 1.0)
+                        np.add.at(own.reshape(-1), bits.slots[inside + k] << 1 | bits.bit, np.int32(1))
         for k, own in enumerate(tables):
-            at = np.flatnonzero(own.any(axis=0))
+            at = np.flatnonzero(own.any(axis=1))
             for a in range(0, len(at), 1 << 16):
                 some = at[a:a + (1 << 16)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(some), k, np.int8)), pa.array(some.astype(np.int32)),
-                     *(pa.array(own[b][some].astype(np.float32)) for b in (0, 1))],
+                     *(pa.array(own[some, b].astype(np.float32)) for b in (0, 1))],
                     names=["k", "slot", "n0", "n1"])
 
     got = (large.mapInArrow(tally, "k tinyint, slot int, n0 float, n1 float").groupBy("k", "slot")
@@ -501,7 +551,7 @@ def fit_texts(model: MixModel, docs: DataFrame | None, text: str = "text") -> No
         start = first_text_weights()
         state = {"w": start, "squares": np.full_like(start, FIRST_SQUARES)}
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text", LEARN_BYTES):
                 texts = [words_of(t) for t in raw_texts(part, "text")]
                 own.text_logs(texts, state)
                 n += len(texts)
