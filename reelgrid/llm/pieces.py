@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import re
 import struct
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -86,8 +87,8 @@ class PieceModel:
         self.ids = np.array([i for _, _, i in order] + [-1], np.int32)
         self.sizes = np.array([len(t) for t in self.text] + [1], np.int64)
         self.unknown = len(order)
-        scores = [s for t, s, _ in order if len(t) > 1]
-        shared = {s for s in scores if scores.count(s) > 1} if len(set(scores)) < len(scores) else set()
+        scores = Counter(s for t, s, _ in order if len(t) > 1)
+        shared = {s for s, n in scores.items() if n > 1}
         if any(t.strip(SPACE) for t, s, _ in order if len(t) > 1 and s in shared) and self.is_bpe:
             raise ValueError("pieces of one score must be runs of spaces")
         if any(a != SPACE and b == SPACE for t in self.text for a, b in zip(t, t[1:])):
