@@ -26,7 +26,7 @@ OWN_BITS = 14  # the text's own counts of the word so far
 GROUP = 128  # texts mixed together
 RATE, FIRST_SQUARES = 0.02, 30.0
 TASK_BYTES = 128 << 20
-LEARN_BYTES = 8 << 20  # texts of a task that advance together while weights are learnt
+LEARN_BYTES = 4 << 20  # texts of a task that advance together while weights are learnt
 RARE = 2  # words seen less often are kept out of the last table
 GATES = 24
 EXPERTS = 2
@@ -204,7 +204,7 @@ class MixModel:
         tables, known = (self.left_odds, self.left_known) if own else (self.odds, self.known)
         for k, row in enumerate(out):
             slot = bits.slots[k] << 1 | bits.bit if own else bits.slots[k]
-            row[:] = tables[k].take(slot)
+            np.take(tables[k], slot, out=row, mode="clip")
             if k == len(TABLE_BITS) - 1:
                 known = known.take(slot)
         return np.minimum(bits.place, 7) * 3 + known
@@ -218,7 +218,8 @@ class MixModel:
             if own:
                 n0, n1 = (np.stack([np.maximum(n0 - 1, 0), n0], axis=1).ravel(),
                           np.stack([n1, np.maximum(n1 - 1, 0)], axis=1).ravel())
-            made.append(np.log((n1 + PRIOR) / (n0 + PRIOR)))
+            odds = np.divide(n1 + PRIOR, n0 + PRIOR)
+            made.append(np.log(odds, out=odds))
             if k == len(TABLE_BITS) - 1:
                 known = (n0 + n1 > 0).astype(np.int8) + (n0 + n1 > 30)
                 if own:
@@ -327,10 +328,18 @@ def sent(context, *parts):
     return context.broadcast((uuid.uuid4().hex, zlib.compress(pickle.dumps(parts, 5), 1)))
 
 
-def received(shared) -> MixModel:
-    """The model of ``sent``, kept in the Python worker."""
+def received(shared, own: bool = False) -> MixModel:
+    """The model of ``sent``, kept in the Python worker with its log odds (those for learning
+    with ``own``) in place of its counts."""
     key, data = shared.value
-    return kept(("language model", key), lambda: MixModel(*pickle.loads(zlib.decompress(data))))
+
+    def build():
+        model = MixModel(*pickle.loads(zlib.decompress(data)))
+        model.tabulate(own)
+        model.counts, model.text_counts = [], []
+        return model
+
+    return kept(("language model", key, own), build)
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -472,7 +481,7 @@ def fit(vocabulary: DataFrame, docs: DataFrame | None = None, text: str = "text"
     shared = sent(spark.sparkContext, paths, model.counts)
 
     def begin():
-        return {"model": received(shared), "w": first_weights(),
+        return {"model": received(shared, own=True), "w": first_weights(),
                 "squares": np.zeros_like(first_weights()), "n": 0}
 
     def learn(state, words, counts):
@@ -500,8 +509,7 @@ def fit(vocabulary: DataFrame, docs: DataFrame | None = None, text: str = "text"
 def fit_texts(model: MixModel, docs: DataFrame | None, text: str = "text") -> None:
     """Counts of the contexts across words, then weights of all predictors, from whole texts.
 
-    A task fills tables of fixed size from at most about TASK_BYTES of text, less where cores
-    would idle; Spark sums them by slot.
+    A task fills tables of fixed size from about TASK_BYTES of text; Spark sums them by slot.
     Weights learn online over all texts of a task and are averaged by texts seen.
     """
     model.text_counts = [(np.zeros(1 << b, np.float32), np.zeros(1 << b, np.float32))
@@ -514,7 +522,7 @@ def fit_texts(model: MixModel, docs: DataFrame | None, text: str = "text") -> No
     paths, inside = model.paths, len(TABLE_BITS)
     nbytes = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     docs = docs.select(F.col(text).alias("text"))
-    large = docs.coalesce(max(int(nbytes // TASK_BYTES) + 1, context.defaultParallelism))
+    large = docs.coalesce(int(nbytes // TASK_BYTES) + 1)
 
     def tally(batches):
         code, tables = MixModel(paths), [np.zeros((1 << b, 2), np.int32) for b in TEXT_BITS]
@@ -547,7 +555,7 @@ def fit_texts(model: MixModel, docs: DataFrame | None, text: str = "text") -> No
     shared = sent(context, paths, model.counts, model.weights, model.text_counts)
 
     def learn(batches):
-        own, n = received(shared), 0
+        own, n = received(shared, own=True), 0
         start = first_text_weights()
         state = {"w": start, "squares": np.full_like(start, FIRST_SQUARES)}
         for batch in batches:
