@@ -23,6 +23,13 @@ END_BYTES = END_WORD.encode()
 TABLE_BITS = (17, 19, 20, 21)  # contexts: one, two, three bytes back; the word so far
 TEXT_BITS = (21, 21)  # contexts across words: word before and word so far; four bytes back
 OWN_BITS = 14  # the text's own counts of the word so far
+LISTED = 1 << 15  # common words that have a code of their own
+LISTED_LEAST = 5  # words seen less often are always spelt
+PAIR_BITS = 21  # contexts in the words' code: the word before
+ODDS = 500  # slots' log odds are kept in steps of 1 / ODDS: with counts to 10 ** 13 they fit
+LIST_BITS = 12  # the text's own counts in the words' code
+LIST_GATES, LIST_INPUTS = 12, 3
+PULL = 2.0  # sightings a class of texts borrows from all texts at each decision
 GROUP = 128  # texts mixed together
 RATE, FIRST_SQUARES = 0.02, 30.0
 TASK_BYTES = 128 << 20
@@ -40,9 +47,7 @@ HELD_WORDS = 300_000
 SLICE = 16_384
 WORD_SLICE = 2_048  # words whose decisions are mixed at once
 PRIOR = 0.4
-SPELT = [f"spelt{m}" for m in range(EXPERTS)]
 MIXED_WORDS = 300_000
-LOG_STEPS = 50
 COUNTS = ["count", *(f"c{k}" for k in range(CLASSES))]
 MIX = np.uint64(0x9E3779B97F4A7C15)
 STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -78,6 +83,50 @@ def codes_after(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.fromiter(map(len, paths), np.int16, len(paths)), flat[:, 0], flat[:, 1].astype(np.uint8)
 
 
+def code_sizes(weights: np.ndarray) -> np.ndarray:
+    """Sizes of the codes in a Huffman code of many signs."""
+    many = len(weights)
+    order = np.argsort(weights, kind="stable")
+    worth = [*weights[order].tolist(), *([0] * (many - 1))]
+    above = np.zeros(2 * many - 1, np.int64)
+    leaf, inner = 0, many
+    for new in range(many, 2 * many - 1):
+        for _ in (0, 1):
+            if leaf < many and (inner >= new or worth[leaf] <= worth[inner]):
+                low, leaf = leaf, leaf + 1
+            else:
+                low, inner = inner, inner + 1
+            worth[new] += worth[low]
+            above[low] = new
+    sizes, at = np.zeros(many, np.int64), np.arange(many)
+    while len(live := np.flatnonzero(at < 2 * many - 2)):
+        sizes[order[live]] += 1
+        at[live] = above[at[live]]
+    return sizes
+
+
+def canonical(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of these sizes as numbers, and what to add, by depth, to a code's first bits for the
+    number of the node they lead to: nodes are numbered from the root down."""
+    codes = np.zeros(len(sizes), np.int64)
+    longest = int(sizes.max(initial=0))
+    shift, first, nodes = np.zeros(longest + 1, np.int64), 0, 0
+    for depth in range(longest + 1):
+        own = np.flatnonzero(sizes == depth)
+        codes[own] = first + np.arange(len(own))
+        first += len(own)  # now the first inner node of this depth
+        shift[depth] = nodes - first
+        nodes += (1 << depth) - first
+        first *= 2
+    return codes, shift
+
+
+def left_out(n0: np.ndarray, n1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts by slot and bit, without one sighting of that bit."""
+    return (np.stack([np.maximum(n0 - 1, 0), n0], axis=-1).reshape(*n0.shape[:-1], -1),
+            np.stack([n1, np.maximum(n1 - 1, 0)], axis=-1).reshape(*n1.shape[:-1], -1))
+
+
 @dataclass
 class Bits:
     """The binary decisions that spell words, with their contexts."""
@@ -107,6 +156,7 @@ class MixModel:
     # the same by slot and bit, without one sighting of that bit
     left_odds: list = field(default_factory=list)
     left_known: np.ndarray | None = None
+    code: WordCode | None = None  # of common words, so that only others are spelt
 
     def __post_init__(self):
         if isinstance(self.paths, tuple):
@@ -216,8 +266,7 @@ class MixModel:
         for k in range(len(made), len(tables)):
             n0, n1 = tables[k]
             if own:
-                n0, n1 = (np.stack([np.maximum(n0 - 1, 0), n0], axis=1).ravel(),
-                          np.stack([n1, np.maximum(n1 - 1, 0)], axis=1).ravel())
+                n0, n1 = left_out(n0, n1)
             odds = np.divide(n1 + PRIOR, n0 + PRIOR)
             made.append(np.log(odds, out=odds))
             if k == len(TABLE_BITS) - 1:
@@ -308,6 +357,180 @@ class MixModel:
                 weights[m, :, k] += 0.1 * grad / np.sqrt(squares[m, :, k] + 1e-9)
 
 
+class WordCode:
+    """A Huffman code of common words, with one more sign for all others, which are spelt after
+    it; the bits of all signs are mixed at their place in a text.
+
+    ``counts`` has a row for each sign (the other words last) and the columns of COUNTS;
+    ``pairs`` are zeros and ones by slot of the word before and the node.
+    """
+
+    def __init__(self, words: list[bytes], counts: np.ndarray, pairs: tuple | None = None,
+                 weights: np.ndarray | None = None):
+        self.words, self.counts, self.pairs = words, counts, pairs
+        self.weights = first_code_weights() if weights is None else weights
+        self.other = len(words)
+        self.place = {w: k for k, w in enumerate(words)}
+        self.sizes = code_sizes(counts[:, 0] + 1)
+        self.codes, self.shift = canonical(self.sizes)
+        self.tables: dict[bool, tuple] = {}  # made when first asked for
+        total = counts.sum(axis=0)
+        share = (counts[:, :1] + 1) / (total[0] + len(counts))
+        pull = 500 + 0.05 * total[1:]
+        self.class_logs = np.log((counts[:, 1:] + pull * share) / (total[1:] + pull),
+                                 dtype=np.float32, casting="same_kind")
+
+    def signs(self, names: list[bytes]) -> np.ndarray:
+        return np.fromiter((self.place.get(w, self.other) for w in names), np.int64, len(names))
+
+    def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Signs of the words and the end of each text, and how many of them each text has."""
+        index = WordIndex()
+        at, counts, names = index.look_up([t.lower() for t in texts])
+        signs = np.insert(self.signs(names)[at], np.cumsum(counts), self.signs([END_BYTES])[0])
+        return signs, counts + 1
+
+    def rest_logs(self, seen: np.ndarray, distinct: int, spelt: np.ndarray) -> np.ndarray:
+        """Natural log probability of words without a sign, after the sign for them: by their
+        counts, and for new words the share of first sightings times their spelling's."""
+        total, kinds = self.counts[-1, 0], max(distinct - self.other, 1)
+        return np.log(np.where(seen > 0, seen, kinds) / (total + kinds)) + np.where(seen > 0, 0, spelt)
+
+    def before(self, signs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The sign before each sign of texts one after the other; one more starts a text."""
+        past = np.roll(signs, 1)
+        past[np.cumsum(sizes) - sizes] = self.other + 1
+        return past
+
+    def decisions(self, signs: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of each decision: which of the signs it is for, its node, its bit, and the slot of the
+        word before and the node."""
+        many = self.sizes.take(signs)
+        owner, node, bit = self.walk(signs, many)
+        with np.errstate(over="ignore"):
+            slot = node.view(np.uint64) * STEP
+            slot ^= np.repeat((before.view(np.uint64) + np.uint64(1)) * MIX, many)
+            slot ^= slot >> np.uint64(29)
+            slot *= MIX
+            slot >>= np.uint64(64 - PAIR_BITS)
+        return owner, node, bit, slot.view(np.int64)
+
+    def walk(self, signs: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Nodes and bits on the way to signs with codes of ``many`` bits."""
+        owner = np.repeat(np.arange(len(signs)), many)
+        ahead = np.repeat(np.cumsum(many), many)
+        ahead -= np.arange(len(ahead))
+        code = np.repeat(self.codes.take(signs), many)
+        node = np.repeat(many, many)
+        node -= ahead
+        node = self.shift.take(node)
+        node += code >> ahead
+        ahead -= 1
+        code >>= ahead
+        code &= 1
+        return owner, node, code
+
+    def tabulate(self, own: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Log odds of nodes (a row over all texts, then one for each class), and of slots in
+        steps of 1 / ODDS with how well the slot is known in the last two bits; ``own`` by node or
+        slot and bit, without one sighting of that bit."""
+        if own not in self.tables:
+            owner, node, bit = self.walk(np.arange(len(self.sizes)), self.sizes)
+            n0, n1 = (np.array([np.bincount(node[on], c[owner[on]], minlength=self.other)
+                                for c in self.counts.T]) for on in (bit == 0, bit == 1))
+            p0, p1 = self.pairs
+            if own:
+                (n0, n1), (p0, p1) = left_out(n0, n1), left_out(p0, p1)
+            part = (n1[0] + PRIOR) / (n0[0] + n1[0] + 2 * PRIOR)
+            nodes = np.log((n1 + PULL * part) / (n0 + PULL * (1 - part)))
+            odds = np.divide(p1 + np.float32(PRIOR), p0 + np.float32(PRIOR))
+            odds = np.rint(np.log(odds, out=odds) * np.float32(ODDS)).astype(np.int16) << 2
+            p0 = p0 + p1
+            odds += (p0 > 0).astype(np.int16) + (p0 > 3) + (p0 > 30)
+            self.tables[own] = (nodes.astype(np.float32), odds)
+        return self.tables[own]
+
+    def inputs(self, node: np.ndarray, bit: np.ndarray, slot: np.ndarray, kind: np.ndarray,
+               zeros: np.ndarray, ones: np.ndarray, own: bool) -> tuple[np.ndarray, np.ndarray]:
+        """What each predictor says of each decision, a row each: counts of the text's class
+        (``kind``; 0: of all texts), the word before, the text's own counts so far. The gate of
+        each decision: how well the word before is known there, and how well the text."""
+        nodes, odds = self.tabulate(own)
+        if own:
+            node, slot = node << 1 | bit, slot << 1 | bit
+        out = np.empty((LIST_INPUTS, len(node)), np.float32)
+        np.take(nodes.reshape(-1), kind * nodes.shape[1] + node, out=out[0], mode="clip")
+        slot = odds.take(slot)
+        np.multiply(slot >> 2, np.float32(1 / ODDS), out=out[1])
+        np.divide(ones + np.float32(PRIOR), zeros + np.float32(PRIOR), out=out[2])
+        np.log(out[2], out=out[2])
+        slot &= 3
+        slot *= 3
+        slot += np.minimum(zeros + ones, np.float32(2)).astype(np.int16)
+        return out, slot
+
+    def place_logs(self, signs: np.ndarray, sizes: np.ndarray,
+                   learnt: dict | None = None) -> np.ndarray:
+        """Natural log probability of the sign at every place of texts of ``sizes`` places.
+
+        A text begins with the weights all taught texts made; after each BLOCK of words its
+        weights, its own counts and its class (the likeliest so far) follow what it held. Texts
+        advance together and share nothing, save with ``learnt``: then they change the weights
+        ``w`` and ``squares`` in it, and each decision is left out of its own counts.
+        """
+        starts = np.cumsum(sizes) - sizes
+        before = self.before(signs, sizes)
+        out = np.zeros(len(signs))
+        turn = np.argsort(-sizes, kind="stable")
+        for g in range(0, len(turn), GROUP):
+            group = turn[g:g + GROUP]
+            if learnt is None:  # a row for each input, of all texts' weights by gate
+                w = np.tile(self.weights.T, len(group))
+                squares = np.full_like(w, FIRST_SQUARES)
+            else:
+                w, squares = learnt["w"], learnt["squares"]
+            seen = np.zeros(len(group) << LIST_BITS, np.int64)  # two float counts in each
+            heard = np.zeros((len(group), CLASSES))
+            kind = np.zeros(len(group), np.int64)
+            for a in range(0, int(sizes[group[0]]), BLOCK):
+                live = int(np.searchsorted(-sizes[group], -a, side="left"))
+                count = np.minimum(BLOCK, sizes[group[:live]] - a)
+                base = np.cumsum(count) - count
+                text = np.repeat(np.arange(live), count)
+                here = np.arange(len(text)) + np.repeat(starts[group[:live]] + a - base, count)
+                sign = signs.take(here)
+                owner, node, bit, slot = self.decisions(sign, before.take(here))
+                whose = text.take(owner)
+                own = (whose << LIST_BITS) + (node & (1 << LIST_BITS) - 1)
+                past = seen.take(own).view(np.float32).reshape(-1, 2).T
+                inputs, cell = self.inputs(node, bit, slot, kind.take(whose), *past, learnt is not None)
+                if learnt is None:
+                    cell = cell + whose * LIST_GATES
+                odds, part = np.zeros(len(node), np.float32), np.empty(len(node), np.float32)
+                for row, weight in zip(inputs, w):
+                    odds += np.multiply(row, np.take(weight, cell, out=part, mode="clip"), out=part)
+                np.clip(odds, -30, 30, out=odds)
+                side = 2 * bit.astype(np.float32) - 1
+                against = np.exp(odds * -side)  # of the bit that is there
+                out[here] = -np.bincount(owner, np.log(1 + against), minlength=len(here))
+                off = side * against / (1 + against)
+                many = len(w[0]) if learnt is not None else live * LIST_GATES
+                for row, weight, square in zip(inputs, w, squares):
+                    grad = np.bincount(cell, off * row, minlength=many).astype(np.float32)
+                    square[:many] += grad * grad
+                    weight[:many] += np.float32(RATE) * grad / np.sqrt(square[:many])
+                np.add.at(seen.view(np.float32), own << 1 | bit, np.float32(1))
+                heard[:live] += np.add.reduceat(self.class_logs.take(sign, axis=0), base)
+                kind[:live] = 1 + heard[:live].argmax(axis=1)
+        return out
+
+
+def first_code_weights() -> np.ndarray:
+    start = np.full((LIST_GATES, LIST_INPUTS), 0.2, np.float32)
+    start[:, 0] = 0.8
+    return start
+
+
 def first_weights() -> np.ndarray:
     start = np.full((EXPERTS, GATES, len(TABLE_BITS) + 1), 0.3)
     start[..., -1] = 0
@@ -328,13 +551,18 @@ def sent(context, *parts):
     return context.broadcast((uuid.uuid4().hex, zlib.compress(pickle.dumps(parts, 5), 1)))
 
 
-def received(shared, own: bool = False) -> MixModel:
+def received(shared, own: bool = False, kind=MixModel):
     """The model of ``sent``, kept in the Python worker with its log odds (those for learning
     with ``own``) in place of its counts."""
     key, data = shared.value
 
     def build():
-        model = MixModel(*pickle.loads(zlib.decompress(data)))
+        model = kind(*pickle.loads(zlib.decompress(data)))
+        if kind is WordCode:
+            if model.pairs is not None:
+                model.tabulate(own)
+                model.pairs = None
+            return model
         model.tabulate(own)
         model.counts, model.text_counts = [], []
         return model
@@ -342,6 +570,21 @@ def received(shared, own: bool = False) -> MixModel:
     return kept(("language model", key, own), build)
 
 
+def received_both(shared, listing) -> MixModel:
+    """The spelling model with the words' code (none without ``listing``), kept together."""
+    def build():
+        model = MixModel(*pickle.loads(zlib.decompress(shared.value[1])))
+        model.tabulate(False)
+        model.counts, model.text_counts = [], []
+        if listing:
+            model.code = WordCode(*pickle.loads(zlib.decompress(listing.value[1])))
+            model.code.tabulate(False)
+            model.code.pairs = None
+        return model
+
+    return kept(("language model", shared.value[0], False), build)
+
+
 def words_of(text: bytes) -> list[bytes]:
     """Lower-cased words and the end of the text."""
     return [*text.lower().split(), END_BYTES]
@@ -406,15 +649,39 @@ def _batches(vocabulary: DataFrame, schema: str, start, step, finish) -> DataFra
     return vocabulary.mapInArrow(run, schema)
 
 
-def fit(vocabulary: DataFrame, docs: DataFrame | None = None, text: str = "text") -> MixModel:
+def listed_words(vocabulary: DataFrame, listed: int) -> tuple[WordCode, DataFrame]:
+    """A code of the ``listed`` commonest words seen LISTED_LEAST times, and the other words."""
+    top = (vocabulary.where(F.col("count") >= LISTED_LEAST).orderBy(F.desc("count"), "word")
+           .limit(listed).select("word", *COUNTS).toArrow())
+    words = raw_texts(top, "word")
+    counts = np.stack([top[c].to_numpy() for c in COUNTS], axis=1).astype(np.float64)
+    total = vocabulary.agg(*(F.sum(c) for c in COUNTS)).first()
+    other = np.array([t or 0 for t in total]) - counts.sum(axis=0)
+    rest = F.col("count") < LISTED_LEAST
+    if len(words) == listed:
+        least = int(counts[-1, 0])
+        rest = (F.col("count") < least) | (
+            (F.col("count") == least) & (F.col("word") > words[-1].decode()))
+    return WordCode(words, np.concatenate([counts, other[None]])), vocabulary.where(rest)
+
+
+def fit(vocabulary: DataFrame, docs: DataFrame | None = None, text: str = "text",
+        listed: int = LISTED) -> MixModel:
     """Symbol code, context counts and mixing weights from all counted words, and those across
     words from all texts of ``docs`` (none: no counts).
 
+    The ``listed`` commonest words get a code of their own, whose bits are mixed at their place
+    in a text; spelling is then counted and learnt from the other words. With none listed, all
+    words are spelt at their place.
+
     Contexts inside a word get from counted words all counts that their texts would give. The
     tables have fixed sizes (2 ** TABLE_BITS slots) and are summed by slot before the driver
     gets them. Each task mixes its words online; tasks' weights are averaged by words seen.
     """
     spark = vocabulary.sparkSession
+    listing = None
+    if listed:
+        listing, vocabulary = listed_words(vocabulary, listed)
 
     def tally(state, words, counts):
         end = np.array([w == END_BYTES for w in words])
@@ -442,26 +709,25 @@ def fit(vocabulary: DataFrame, docs: DataFrame | None = None, text: str = "text"
     paths = model.paths
 
     def slots():
-        return MixModel(paths), [np.zeros((2, 1 << b)) for b in TABLE_BITS]
+        return MixModel(paths), [np.zeros((1 << b, 2)) for b in TABLE_BITS]
 
     def add(state, words, counts):
         code, tables = state
-        bits = code.bits(words)
-        weight = counts[bits.word]
-        for k, table_ in enumerate(tables):
-            some = weight >= RARE if k == len(tables) - 1 else slice(None)
-            for b in (0, 1):
-                on = (bits.bit == b) * weight
-                table_[b] += np.bincount(bits.slots[k][some], on[some], minlength=table_.shape[1])
+        for a in range(0, len(words), WORD_SLICE):
+            bits = code.bits(words[a:a + WORD_SLICE])
+            weight = counts[a:a + WORD_SLICE][bits.word].astype(np.float64)
+            for k, table_ in enumerate(tables):
+                some = np.flatnonzero(weight >= RARE) if k == len(tables) - 1 else slice(None)
+                np.add.at(table_.reshape(-1), bits.slots[k][some] << 1 | bits.bit[some], weight[some])
 
     def filled(state):
         for k, table_ in enumerate(state[1]):
-            at = np.flatnonzero(table_.any(axis=0))
+            at = np.flatnonzero(table_.any(axis=1))
             for a in range(0, len(at), 1 << 16):
                 part = at[a:a + (1 << 16)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(part), k)), pa.array(part),
-                     pa.array(table_[0][part]), pa.array(table_[1][part])],
+                     pa.array(table_[part, 0]), pa.array(table_[part, 1])],
                     names=["k", "slot", "n0", "n1"])
 
     sums = (_batches(vocabulary, "k long, slot long, n0 double, n1 double", slots, add, filled)
@@ -502,10 +768,80 @@ def fit(vocabulary: DataFrame, docs: DataFrame | None = None, text: str = "text"
     model.weights = np.array([mean.get(i, 0.0) for i in range(start.size)], np.float32).reshape(
         start.shape) if mean else start.astype(np.float32)
     shared.destroy()
-    fit_texts(model, docs, text)
+    if listing is None:
+        fit_texts(model, docs, text)
+    else:
+        fit_code(listing, docs, text)
+        model.code = listing
     return model
 
 
+def fit_code(code: WordCode, docs: DataFrame | None, text: str = "text") -> None:
+    """Counts of the words' code after each word, then its weights, from whole texts.
+
+    A task fills a table of fixed size from about TASK_BYTES of text; Spark sums them by slot.
+    Weights learn online over all texts of a task and are averaged by texts seen.
+    """
+    code.pairs = tuple(np.zeros((2, 1 << PAIR_BITS), np.float32))
+    if docs is None:
+        return
+    context = docs.sparkSession.sparkContext
+    bound_batches(docs.sparkSession)
+    nbytes = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    docs = docs.select(F.col(text).alias("text"))
+    large = docs.coalesce(int(nbytes // TASK_BYTES) + 1)
+    shared = sent(context, code.words, code.counts)
+
+    def tally(batches):
+        own, table_ = received(shared, kind=WordCode), np.zeros((1 << PAIR_BITS, 2), np.uint32)
+        for batch in batches:
+            for part in slices(batch, "text", LEARN_BYTES):
+                signs, sizes = own.read(raw_texts(part, "text"))
+                before = own.before(signs, sizes)
+                for a in range(0, len(signs), WORD_SLICE):
+                    _, _, bit, slot = own.decisions(signs[a:a + WORD_SLICE], before[a:a + WORD_SLICE])
+                    np.add.at(table_.reshape(-1), slot << 1 | bit, np.uint32(1))
+        at = np.flatnonzero(table_.any(axis=1))
+        for a in range(0, len(at), 1 << 16):
+            some = at[a:a + (1 << 16)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(some.astype(np.int32)), pa.array(table_[some].view(np.int64).reshape(-1))],
+                names=["slot", "both"])
+
+    zeros, ones = F.expr("both & 4294967295"), F.expr("shiftrightunsigned(both, 32)")
+    got = (large.mapInArrow(tally, "slot int, both long").groupBy("slot")
+           .agg(F.sum(zeros).cast("float").alias("n0"), F.sum(ones).cast("float").alias("n1"))
+           .toArrow())  # at most the size of the table
+    at = got["slot"].to_numpy()
+    for name, table_ in zip(("n0", "n1"), code.pairs):
+        table_[at] = got[name].to_numpy()
+    del got
+    shared.destroy()
+    shared = sent(context, code.words, code.counts, code.pairs)
+
+    def learn(batches):
+        own, n = received(shared, True, WordCode), 0
+        w = np.ascontiguousarray(first_code_weights().T)
+        state = {"w": w, "squares": np.full_like(w, FIRST_SQUARES)}
+        for batch in batches:
+            for part in slices(batch, "text", LEARN_BYTES):
+                signs, sizes = own.read(raw_texts(part, "text"))
+                own.place_logs(signs, sizes, state)
+                n += len(sizes)
+        flat = w.T.ravel().astype(np.float64) * n
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(len(flat))), pa.array(flat), pa.array(np.full(len(flat), n))],
+            names=["i", "w", "n"])
+
+    mean = dict(docs.mapInArrow(learn, "i long, w double, n long").groupBy("i")
+                .agg(F.sum("w") / F.greatest(F.sum("n"), F.lit(1)), F.sum("n"))
+                .where("`sum(n)` > 0").drop("sum(n)").collect())
+    shared.destroy()
+    if mean:
+        code.weights = np.array([mean[i] for i in range(code.weights.size)],
+                                np.float32).reshape(code.weights.shape)
+
+
 def fit_texts(model: MixModel, docs: DataFrame | None, text: str = "text") -> None:
     """Counts of the contexts across words, then weights of all predictors, from whole texts.
 
@@ -644,8 +980,10 @@ def score(docs: DataFrame, vocabulary: DataFrame, model: MixModel, totals: list[
     the counted words (a join the planner may split), and come back to the chunk's texts.
     Null texts are empty ones; repeated rows come back as often; other columns are dropped.
     """
-    shared = sent(docs.sparkSession.sparkContext, model.paths, model.counts, model.weights,
-                  model.text_counts, model.text_weights)
+    context, code = docs.sparkSession.sparkContext, model.code
+    shared = sent(context, model.paths, model.counts, model.weights, model.text_counts,
+                  model.text_weights)
+    listing = code and sent(context, code.words, code.counts, code.pairs, code.weights)
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     chunks = size // chunk_bytes + 1
     keyed = docs.select(
@@ -661,23 +999,9 @@ def score(docs: DataFrame, vocabulary: DataFrame, model: MixModel, totals: list[
         chunk = group["chunk"][0].as_py()
         return pa.table({"chunk": pa.array(np.full(len(words), chunk)), "word": words})
 
-    def spell(batches):
-        own = received(shared)
-        for batch in batches:
-            logs = own.word_logs(raw_texts(batch, "word"))
-            logs = np.maximum(np.floor(logs * LOG_STEPS), -32768).astype(np.int16)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *(pa.array(logs[:, m]) for m in range(EXPERTS))],
-                names=[*batch.schema.names, *SPELT])
-
-    # A counted word is spelt once, not once in each chunk it is in. Its logs travel rounded
-    # down, so chances still add up to one at most.
-    counted = vocabulary.select("word", *COUNTS).mapInArrow(
-        spell, ", ".join(["word string", *(f"{c} long" for c in COUNTS),
-                          *(f"{m} smallint" for m in SPELT)]))
     needed = keyed.groupBy("chunk").applyInArrow(own_words, "chunk long, word string")
-    known = needed.join(counted, "word", "left").select(
-        "chunk", "word", *(F.coalesce(c, F.lit(0)).alias(c) for c in COUNTS), *SPELT)
+    known = needed.join(vocabulary.select("word", *COUNTS), "word", "left").select(
+        "chunk", "word", *(F.coalesce(c, F.lit(0)).alias(c) for c in COUNTS))
     sums = np.array(totals, np.float64)
     whole = np.log10(totals[0] + 0.1 * (distinct + 1))
 
@@ -695,13 +1019,18 @@ def score(docs: DataFrame, vocabulary: DataFrame, model: MixModel, totals: list[
         first = np.cumsum(counts) - counts
         seen = words["count"].to_numpy()
         base = np.log10(seen + 0.1) - whole
-        spelt = np.stack([words[m].to_numpy() for m in SPELT], axis=1) / float(LOG_STEPS)
         new = np.flatnonzero(seen == 0)
-        spelt[new] = received(shared).word_logs([names[k] for k in new])
+        own = received_both(shared, listing)
+        spelt = np.zeros(len(names))
+        spelt[new] = own.word_logs([names[k] for k in new])[:, -1]
         by_class = np.stack([words[c].to_numpy() for c in COUNTS], axis=1)
-        logs = np.concatenate([counted_logs(by_class, sums, distinct, spelt[:, -1]), spelt],
-                              axis=1, dtype=np.float32)
-        main = received(shared).text_logs([words_of(t) for t in texts])
+        logs = counted_logs(by_class, sums, distinct, spelt).astype(np.float32)
+        if own.code:
+            signs = own.code.signs(names)
+            rest = np.where(signs == own.code.other, own.code.rest_logs(seen, distinct, spelt), 0)
+            main = own.code.place_logs(signs[at], counts) + rest[at]
+        else:
+            main = own.text_logs([words_of(t) for t in texts])
         part = first // MIXED_WORDS
         edges = [0, *(np.flatnonzero(np.diff(part)) + 1), len(counts)]
         runs = [(a, b, slice(first[a], first[b - 1] + counts[b - 1])) for a, b in zip(edges, edges[1:])]
