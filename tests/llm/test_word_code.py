@@ -102,3 +102,16 @@ def test_listed_and_other_words_are_all_words(spark):
         assert sorted(r["word"] for r in rest.collect()) == sorted(
             w for w, _ in rows if w.encode() not in want)
         assert code.counts[:, 0].sum() == 32
+
+
+def test_with_and_without_a_list_all_texts_are_scored(spark):
+    docs = spark.createDataFrame([(k, "the thin thing then thanks the them " * 3) for k in range(9)]
+                                 + [(9, None), (10, "zyx the")], "doc_id long, text string")
+    counted = lm.word_counts(docs.where("doc_id < 9"))
+    totals = list(counted.agg(*(lm.F.sum(c) for c in lm.COUNTS)).first())
+    for listed in (0, 3, lm.LISTED):
+        model = lm.fit(counted, docs.where("doc_id < 9"), listed=listed)
+        assert (model.code.other if model.code else 0) == min(listed, 7)
+        rows = {r["doc_id"]: r for r in lm.score(docs, counted, model, totals, 7).collect()}
+        assert len(rows) == 11 and all(np.isfinite(r["score"]) and r["score"] < 0 for r in rows.values())
+        assert rows[0]["score"] > rows[0]["base_score"] and rows[10]["n_known"] == 2
